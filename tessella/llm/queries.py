@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id
+from . import language_id, mixing, topk_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_mixing": mixing.op7_mixing,
     "op8_language_id": language_id.op8_language_id,
+    "op9_topk_search": topk_search.op9_topk_search,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_topk_search": topk_search.ORACLE,
+}
