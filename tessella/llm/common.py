@@ -26,7 +26,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on executors, where the caller has not already done so."""
+    """Make this package importable on executors where the caller has not, and keep Arrow batches of long texts small."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     if _ROOT in os.environ.get("PYTHONPATH", "").split(":") or os.getcwd() == _ROOT:
         return
     sc = spark.sparkContext
@@ -185,3 +187,35 @@ def words(data: np.ndarray, off: np.ndarray, table: np.ndarray = BYTE_LOWER) ->
 
 def crc(data) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
+
+
+def labels(spark: SparkSession, n: int) -> np.ndarray:
+    """n int labels that repartition(n, label) sends to n different partitions, in order of the partition."""
+    k = F.col("id").cast("int")
+    rows = spark.range(0, 30 * n + 200, 1, 1).select(k.alias("k"), F.pmod(F.hash(k), F.lit(n)).alias("p")).collect()
+    place: dict[int, int] = {}
+    for r in rows:
+        place.setdefault(r[1], r[0])
+    return np.array([place.get(p, next(iter(place.values()))) for p in range(n)], np.int32)
+
+
+def components(links: DataFrame, most: int = 60) -> DataFrame:
+    """(node, root) of every node of the links (a, b): root is the smallest node reachable.
+
+    Large-star and small-star turns until nothing changes; each turn is written to the shared folder.
+    """
+    e = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    e, before = written(e, "links"), None
+    for _ in range(most):
+        sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        both = large.join(low, "u")
+        small = both.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        e = written(small, "links")
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+        if now == before:
+            break
+        before = now
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
