@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, shingle_join, topk_search
+from . import language_id, mixing, shingle_join, token_counts, topk_search, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": token_counts.op1_token_counts,
     "op4_shingle_join": shingle_join.op4_shingle_join,
     "op7_mixing": mixing.op7_mixing,
     "op8_language_id": language_id.op8_language_id,
     "op9_topk_search": topk_search.op9_topk_search,
+    "op10_wavelet": wavelet.op10_wavelet,
 }
 
 ORACLE_SQL: dict[str, str] = {
