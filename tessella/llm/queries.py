@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, shingle_join, token_counts, topk_search, wavelet
+from . import language_id, mixing, shingle_join, token_counts, topk_search, toxicity, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_shingle_join": shingle_join.op4_shingle_join,
     "op7_mixing": mixing.op7_mixing,
     "op8_language_id": language_id.op8_language_id,
