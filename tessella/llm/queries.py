@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, shingle_join, token_counts, topk_search, toxicity, wavelet
+from . import language_id, line_dedup, mixing, shingle_join, token_counts, topk_search, toxicity, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_shingle_join": shingle_join.op4_shingle_join,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op8_language_id": language_id.op8_language_id,
     "op9_topk_search": topk_search.op9_topk_search,
