@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import common, language_id
+from tessella.llm import common, language_id, line_dedup, mixing, segmentation, shingle_join
 
 #: (name, function of (spark, docs, sf_dir)); every stage but the last returns the columns of documents.
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", language_id.stage),
+    ("line_dedup", line_dedup.stage),
+    ("shingle_join", shingle_join.stage),
+    ("mixing", mixing.stage),
+    ("segmentation", segmentation.stage),
 ]
 
 #: Model training, flow routing and sampling cannot be expressed in SQL; tests hold the stages against brute force.

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jpeg, language_id, line_dedup, mixing, shingle_join, token_counts, topk_search, toxicity, wavelet
+from . import jpeg, language_id, line_dedup, mixing, segmentation, shingle_join, token_counts, topk_search, toxicity, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_progressive_jpeg": jpeg.op2_progressive_jpeg,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_shingle_join": shingle_join.op4_shingle_join,
+    "op5_segmentation": segmentation.op5_segmentation,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op8_language_id": language_id.op8_language_id,
