@@ -1,4 +1,4 @@
-"""Every query of the engine by name, with the SQL that checks it."""
+"""Every query of the engine by name, with the SQL that checks it where SQL can express it."""
 
 from __future__ import annotations
 
@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import boards, texts
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = boards.Q | texts.Q
+ORACLE_SQL: dict[str, str] = boards.S | texts.S
