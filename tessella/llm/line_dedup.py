@@ -3,10 +3,10 @@
 Method: a deletion-neighbourhood join. Two word sequences are one substitution apart if they are equal without the
 word at one position, and one insertion apart if one is the other without a word. So every line emits its variants
 with one word deleted as hashed keys, equal variants are joined, and what meets is verified by comparing the word
-sequences. One edit leaves the first or the second half of a line as it is; lines are first dealt by their halves
-(also those of a line one word shorter), and the variants of the other half are emitted and joined only among lines
-that share one, so the join never sees the many lines that resemble no other. Exact copies need no variants: they
-are one line, and inside a batch only the earliest copy goes further.
+sequences. One edit leaves the first or the second half of a line as it is. A first pass therefore joins only the
+hashes of lines and of their halves (also those of a line one word shorter): it finds exact copies, of which the
+earliest stands for all, and the lines that share a half with another. Only these fetch their words again, are dealt
+by their halves and emit the variants of the other half, so the many lines that resemble no other cost two hashes.
 
 A line is a text's part between newlines; its words are [^\\x20\\x09-\\x0D]+, compared as they are. Lines of fewer
 than LEAST words are dropped only as exact copies, as one word of few is no small edit. Earliest means the smallest
@@ -30,6 +30,9 @@ from . import common as C
 
 #: Words that a line has at least for one of them to be edited.
 LEAST = 8
+#: Marks a copy of an earlier line of its own batch.
+DECIDED = 2
+KEYS = "bucket int, key binary, doc binary, line binary, full binary"
 DEALT = "bucket int, key binary, doc binary, line binary, full binary, n binary, side binary, rest binary"
 
 
@@ -61,55 +64,147 @@ def folded(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return s, up, down
 
 
-def dealer(labels: np.ndarray):
-    """Arrow function over (doc, order, text): each line's halves with the words of the other half, dealt to buckets."""
+class Lines:
+    """Non-blank lines of a chunk: row, number, range and hash of their words, and the hashes of their halves."""
+
+    def __init__(self, data: np.ndarray, off: np.ndarray):
+        self.h, self.row, self.number, self.lo, self.hi = line_words(data, off)
+        self.n = self.hi - self.lo
+        self.s, _, self.down = folded(self.h)
+        self.full = self.of(self.lo, self.hi)
+
+    def of(self, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        return C.mix((self.s[z] - self.s[a]) * self.down[a] + (z - a).astype(np.uint64))
+
+    def halves(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of these lines: which, the key of a half, its side, and the range of the other words.
+
+        Sides 1 and 2 are the first and second half; 3 and 4 those of the line as if it had a word less, by which it
+        meets lines that lack one of its words: the length in the key is the shorter line's.
+        """
+        x = x[self.n[x] >= LEAST]
+        more = x[self.n[x] > LEAST]
+        half, less = self.lo + self.n // 2, self.lo + (self.n - 1) // 2
+        rows, keys, froms, tos, sides = [], [], [], [], []
+        for side, r, cut in ((1, x, half), (2, x, half), (3, more, less), (4, more, less + 1)):
+            m = self.n[r] - (side > 2)
+            a, z = (self.lo[r], cut[r]) if side % 2 else (cut[r], self.hi[r])
+            rows.append(r)
+            keys.append(C.mix(self.of(a, z) + m.astype(np.uint64) * C.STEP[9] + np.uint64(side % 2)))
+            froms.append(cut[r] if side % 2 else self.lo[r])
+            tos.append(self.hi[r] if side % 2 else cut[r])
+            sides.append(np.full(len(r), side, np.int8))
+        return tuple(np.concatenate(z) for z in (rows, keys, sides, froms, tos))
+
+
+def deal(labels: np.ndarray, key: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    """A row for each bucket of keys, each column's values packed."""
+    bucket = (key % np.uint64(len(labels))).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    cut = np.searchsorted(bucket[by], np.arange(len(labels) + 1))
+    some = np.flatnonzero(np.diff(cut))
+    packed = [pa.array([v[by[cut[k] : cut[k + 1]]].tobytes() for k in some], pa.binary()) for v in (key, *columns)]
+    return pa.RecordBatch.from_arrays([pa.array(labels[some].astype(np.int32)), *packed], names=names)
+
+
+def keys_of(labels: np.ndarray):
+    """Arrow function over (doc, text): hashes of lines, and of the halves of each distinct line of a batch.
+
+    A line's own hash is a key with full 0; full is odd beside a half's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = C.text_bytes(b.column(1))
-            docs = b.column(0).to_numpy(zero_copy_only=False)
-            for i, j in C.chunks(off, 4_000_000):
-                h, row, number, lo, hi = line_words(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                if not len(row):
+            docs = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for i, j in C.chunks(off):
+                x = Lines(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                if not len(x.row):
                     continue
-                n = hi - lo
-                s, up, down = folded(h)
-                hash_of = lambda a, z: C.mix((s[z] - s[a]) * down[a] + (z - a).astype(np.uint64))
-                full = hash_of(lo, hi)
-                doc = docs[i + row]
-                by = np.lexsort((number, doc, full))
-                keep = np.ones(len(by), bool)
-                keep[1:] = full[by][1:] != full[by][:-1]
-                lead = by[keep]
-                copies = by[~keep]
-                # sides: 0 the whole line, for copies; 1 and 2 the first and the second half; 3 and 4 the halves of
-                # the line as if it had a word less, by which it meets lines that lack one of its words
-                long = lead[n[lead] >= LEAST]
-                more = long[n[long] > LEAST]
-                rows = [np.concatenate((lead, copies)), long, long, more, more]
-                half, less = lo + n // 2, lo + (n - 1) // 2
-                keys, froms, tos = [full[rows[0]]], [hi[rows[0]]], [hi[rows[0]]]
-                for side, x, cut in ((1, long, half), (2, long, half), (3, more, less), (4, more, less + 1)):
-                    m = n[x] - (side > 2)  # the shorter line's length: both sides hash it with their half
-                    a, z = (lo[x], cut[x]) if side % 2 else (cut[x], hi[x])
-                    keys.append(C.mix(hash_of(a, z) + m.astype(np.uint64) * C.STEP[9] + np.uint64(side % 2)))
-                    froms.append(cut[x] if side % 2 else lo[x])
-                    tos.append(hi[x] if side % 2 else cut[x])
-                side = np.repeat(np.arange(5, dtype=np.int8), [len(r) for r in rows])
-                rows, key, f, t = (np.concatenate(z) for z in (rows, keys, froms, tos))
-                bucket = (key % np.uint64(len(labels))).astype(np.int64)
+                doc = docs[i + x.row]
+                by = np.lexsort((x.number, doc, x.full))
+                new = np.concatenate(([True], x.full[by][1:] != x.full[by][:-1]))
+                lead = by[new]
+                first = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
+                copy = by[(doc[by] != doc[first]) | (x.number[by] != x.number[first])]
+                r, key, _, _, _ = x.halves(lead)
+                small = (x.full >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+                rows = np.concatenate((lead, copy, r))
+                full = np.concatenate((np.zeros(len(lead), np.uint32), np.full(len(copy), DECIDED, np.uint32), small[r]))
+                # a batch's later copies are decided: they go anywhere, so that no line is hot
+                key = np.concatenate((x.full[lead], C.mix(doc[copy].view(np.uint64) * C.STEP[2] + x.number[copy].astype(np.uint64)), key))
+                yield deal(labels, key, [doc[rows], x.number[rows].astype(np.int32), full], ["bucket", "key", "doc", "line", "full"])
+
+    return run
+
+
+def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From keys to copies (dropped) and to lines that share a half with another line (not dropped yet)."""
+    held: dict[int, list] = {}
+    for b in batches:
+        for k, *x in zip(*[b.column(c).to_pylist() for c in range(5)]):
+            held.setdefault(k, []).append(x)
+    for k in list(held):
+        rows = held.pop(k)
+        key, doc, line, full = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in enumerate((np.uint64, np.int64, np.int32, np.uint32)))
+        done = np.flatnonzero(full == DECIDED)
+        if len(done):
+            yield pa.RecordBatch.from_arrays([pa.array(doc[done]), pa.array(line[done]), pa.array(np.ones(len(done), bool))], names=["doc", "line", "copy"])
+        by = np.flatnonzero(full != DECIDED)
+        by = by[np.argsort(key[by], kind="stable")]
+        twice = key[by][1:] == key[by][:-1]
+        some = np.zeros(len(by), bool)
+        some[1:] |= twice
+        some[:-1] |= twice
+        by = by[some]
+        by = by[np.lexsort((line[by], doc[by], full[by], key[by]))]
+        key, doc, line, full = key[by], doc[by], line[by], full[by]
+        if not len(key):
+            continue
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (full[1:] != full[:-1])))
+        lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+        copy = (full == 0) & ((doc != doc[lead]) | (line != line[lead]))
+        # halves: leads of keys that have two lines at least
+        at = np.flatnonzero(new & (full > 0))
+        pair = key[at][1:] == key[at][:-1]
+        shared = np.zeros(len(at), bool)
+        shared[1:] |= pair
+        shared[:-1] |= pair
+        pick = np.concatenate((np.flatnonzero(copy), at[shared]))
+        yield pa.RecordBatch.from_arrays([pa.array(doc[pick]), pa.array(line[pick]), pa.array(np.arange(len(pick)) < copy.sum())], names=["doc", "line", "copy"])
+
+
+def dealer(labels: np.ndarray, key: int, text: int, wanted: int):
+    """Arrow function over rows with key, text and wanted lines at these places: the lines' halves with the words of
+    the other half, dealt to buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = C.text_bytes(b.column(text))
+            docs = b.column(key).to_numpy(zero_copy_only=False).astype(np.int64)
+            want = b.column(wanted)
+            at = np.concatenate(([0], np.cumsum(np.asarray(want.value_lengths().fill_null(0)))))
+            want = np.asarray(want.flatten()).astype(np.int64)
+            for i, j in C.chunks(off):
+                x = Lines(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                if not len(x.row):
+                    continue
+                width = int(x.number.max()) + 1
+                mine = np.repeat(np.arange(j - i), np.diff(at[i : j + 1])) * width + np.minimum(want[at[i] : at[j]], width - 1)
+                r, k, side, f, t = x.halves(np.flatnonzero(np.isin(x.row * width + x.number, mine)))
+                if not len(r):
+                    continue
+                size = t - f
+                small = C.mix(x.h).astype(np.uint32)
+                bucket = (k % np.uint64(len(labels))).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
+                r, k, side, f, size = r[by], k[by], side[by], f[by], size[by]
+                out = deal(labels, k, [docs[i + x.row[r]], x.number[r].astype(np.int32), x.full[r], x.n[r].astype(np.int32), side], ["bucket", "key", "doc", "line", "full", "n", "side"])
                 cut = np.searchsorted(bucket[by], np.arange(len(labels) + 1))
-                small = C.mix(h).astype(np.uint32)
-                out: list[list] = [[] for _ in range(8)]
-                for k in np.flatnonzero(np.diff(cut)):
-                    x = by[cut[k] : cut[k + 1]]
-                    size = t[x] - f[x]
-                    total = np.cumsum(size)
-                    rest = small[np.repeat(f[x] - total + size, size) + np.arange(total[-1])] if total[-1] else small[:0]
-                    for o, v in zip(out, (int(labels[k]), key[x], doc[rows[x]].astype(np.int64), number[rows[x]].astype(np.int32), full[rows[x]], n[rows[x]].astype(np.int32), side[x], rest)):
-                        o.append(v if isinstance(v, int) else v.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(o, pa.binary()) for o in out[1:]]], names=["bucket", "key", "doc", "line", "full", "n", "side", "rest"])
+                total = np.cumsum(size)
+                rest = small[np.repeat(f - total + size, size) + np.arange(total[-1])]
+                ends = np.concatenate(([0], total))[cut]
+                words = [rest[ends[c] : ends[c + 1]].tobytes() for c in np.flatnonzero(np.diff(cut))]
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(words, pa.binary())], names=[*out.schema.names, "rest"])
 
     return run
 
@@ -189,7 +284,7 @@ def near(key: np.ndarray, order: np.ndarray, n: np.ndarray, side: np.ndarray, re
 
 
 def dropped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From dealt lines to those that are dropped: (doc, line), or the copies of a dropped line by its hash."""
+    """From dealt halves to the lines (doc, line) that are within one edit of an earlier line."""
     held: dict[int, list] = {}
     for b in batches:
         for k, *x in zip(*[b.column(c).to_pylist() for c in range(8)]):
@@ -199,60 +294,46 @@ def dropped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         col = lambda c, t: np.concatenate([np.frombuffer(r[c], t) for r in rows])
         key, doc, line, full, n, side, rest = (col(c, t) for c, t in enumerate((np.uint64, np.int64, np.int32, np.uint64, np.int32, np.int8, np.uint32)))
         n = n.astype(np.int64)
-        size = np.select([side == 0, side == 1, side == 2, side == 3], [0 * n, n - n // 2, n // 2, n - (n - 1) // 2], (n - 1) // 2 + 1)
+        size = np.select([side == 1, side == 2, side == 3], [n - n // 2, n // 2, n - (n - 1) // 2], (n - 1) // 2 + 1)
         at = np.concatenate(([0], np.cumsum(size)))
-        out_doc, out_line, out_full = [], [], []
-        # exact copies: all but the earliest; the earliest may be dropped as a near copy elsewhere, and these with it
-        x = np.flatnonzero(side == 0)
-        by = x[np.lexsort((line[x], doc[x], full[x]))]
-        new = np.concatenate(([True], full[by][1:] != full[by][:-1]))[: len(by)]
-        lead = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
-        same = (doc[by] != doc[lead]) | (line[by] != line[lead])
-        out_doc.append(doc[by[same]])
-        out_line.append(line[by[same]])
-        # near copies
-        x = np.flatnonzero(side > 0)
-        by = x[np.argsort(key[x], kind="stable")]
+        by = np.argsort(key, kind="stable")
         twice = key[by][1:] == key[by][:-1]
         some = np.zeros(len(by), bool)
         some[1:] |= twice
         some[:-1] |= twice
-        by = by[some]
-        # of a line's copies from several batches, the earliest stands for all
-        by = by[np.lexsort((line[by], doc[by], side[by], full[by], key[by]))]
-        if len(by):
-            new = np.concatenate(([True], (key[by][1:] != key[by][:-1]) | (full[by][1:] != full[by][:-1]) | (side[by][1:] != side[by][:-1])))
-            lead = by[new]
-            words = rest[np.repeat(at[lead] - (np.cumsum(size[lead]) - size[lead]), size[lead]) + np.arange(size[lead].sum())]
-            rank = np.lexsort((line[lead], doc[lead]))
-            order = np.empty(len(lead), np.int64)
-            order[rank] = np.arange(len(lead))
-            # a line may stand at more than one side: its rank is one
-            _, where, back = np.unique(full[lead], return_index=True, return_inverse=True)
-            low = np.full(len(where), np.iinfo(np.int64).max)
-            np.minimum.at(low, back, order)
-            hit = near(key[lead], low[back], n[lead], side[lead], words, np.concatenate(([0], np.cumsum(size[lead]))))
-            out_doc.append(doc[lead[hit]])
-            out_line.append(line[lead[hit]])
-        if sum(map(len, out_doc)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_doc)), pa.array(np.concatenate(out_line))], names=["doc", "line"])
-
-
-def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, line) of every dropped line; lines are numbered from 0 in their text."""
-    spark: SparkSession = docs.sparkSession
+        lead = by[some]
+        if not len(lead):
+            continue
+        words = rest[np.repeat(at[lead] - (np.cumsum(size[lead]) - size[lead]), size[lead]) + np.arange(size[lead].sum())]
+        # a line may stand at more than one side: its rank is one
+        _, order = np.unique(np.stack((doc[lead], line[lead].astype(np.int64)), axis=1), axis=0, return_inverse=True)
+        hit = near(key[lead], order.ravel().astype(np.int64), n[lead], side[lead], words, np.concatenate(([0], np.cumsum(size[lead]))))
+        if hit.any():
+            yield pa.RecordBatch.from_arrays([pa.array(doc[lead[hit]]), pa.array(line[lead[hit]])], names=["doc", "line"])
+
+
+def find(keyed: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc, line) of every dropped line; lines are numbered from 0 in their text. key: a column of type long."""
+    spark: SparkSession = keyed.sparkSession
     C.ship(spark)
     n = C.parts(spark)
-    dealt = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null").mapInArrow(dealer(C.labels(spark, n)), DEALT)
-    return dealt.repartition(n, "bucket").mapInArrow(dropped, "doc long, line int").distinct()
+    labels = C.labels(spark, n)
+    hashed = keyed.select(key, text).where(F.col(key).isNotNull()).mapInArrow(keys_of(labels), KEYS).repartition(n, "bucket")
+    met = C.written(hashed.mapInArrow(meeting, "doc long, line int, copy boolean").distinct(), "lines")
+    wanted = C.fresh(keyed, "ln_wanted")
+    lines = met.where("not copy").groupBy(F.col("doc").alias("ln_doc")).agg(F.collect_set("line").alias(wanted))
+    # all columns stay, so that this join and the last one read one shuffle of the texts
+    near_ = keyed.join(lines, F.col(key) == F.col("ln_doc")).drop("ln_doc")
+    dealt = near_.mapInArrow(dealer(labels, keyed.columns.index(key), keyed.columns.index(text), len(keyed.columns)), DEALT).repartition(n, "bucket")
+    return met.where("copy").select("doc", "line").unionByName(dealt.mapInArrow(dropped, "doc long, line int")).distinct()
 
 
 def without(docs: DataFrame, key: str = "doc_id", text: str = "text", count: tuple[str, str] | None = None) -> DataFrame:
     """docs whose texts lack the dropped lines. count: names for columns of lines before and after."""
-    gone = find(docs, key, text)
-    lines, k, where = (C.fresh(docs, x) for x in ("ln_gone", "ln_key", "ln_at"))
-    per = gone.groupBy("doc").agg(F.collect_set("line").alias(lines)).withColumnRenamed("doc", k)
-    both = docs.join(per, docs[key].cast("long") == per[k], "left").drop(k)
+    lines, k = C.fresh(docs, "ln_gone"), C.fresh(docs, "ln_key")
+    keyed = docs.withColumn(k, F.col(key).cast("long"))
+    per = find(keyed, k, text).groupBy(F.col("doc").alias("ln_doc")).agg(F.collect_set("line").alias(lines))
+    both = keyed.join(per, F.col(k) == F.col("ln_doc"), "left").drop(k, "ln_doc")
     parts = F.split(F.col(text), "\n", -1)
     kept = F.filter(parts, lambda _, i: ~F.array_contains(F.col(lines), i))
     if count:
