@@ -328,6 +328,7 @@ def parse(files: list[bytes]) -> tuple[np.ndarray, list[Image | None]]:
     escape = ff[after == 0] + 1
     marks = ff[(after != 0) & (after != 255)]
     kind = raw[marks + 1]
+    ends = np.flatnonzero((kind < 0xD0) | (kind > 0xD7))
     keep = np.ones(len(raw), bool)
     keep[escape] = False
     shift = np.cumsum(~keep)
@@ -373,9 +374,7 @@ def parse(files: list[bytes]) -> tuple[np.ndarray, list[Image | None]]:
                     lo, hi, a = body[1 + 2 * n : 4 + 2 * n]
                     chosen = tuple(tables.get((0x10 if lo else 0) | (body[2 + 2 * i] >> (0 if lo else 4) & 15), b"") for i in range(n))
                     k = int(np.searchsorted(marks, at))
-                    j = k
-                    while 0xD0 <= kind[j] <= 0xD7:  # lanes are cut at restart markers
-                        j = min(j + 64, len(kind) - 1) if len(kind) > j + 64 and ((kind[j : j + 64] >= 0xD0) & (kind[j : j + 64] <= 0xD7)).all() else j + 1
+                    j = int(ends[np.searchsorted(ends, k)])  # lanes are cut at the restart markers before it
                     starts = np.concatenate(([at], marks[k:j] + 2))
                     im.scans.append((tuple(comps), lo, hi, a >> 4, a & 15, interval, chosen, starts - shift[starts - 1]))
                     at = int(marks[j])
@@ -399,8 +398,18 @@ def table(raw: bytes) -> Table:
     return _tables[raw]
 
 
+_HALF = np.array([0, *(1 << k for k in range(15))], np.int32)
+_SPAN = np.array([(1 << k) - 1 for k in range(16)], np.int32)
+
+
 def extend(bits: np.ndarray, size: np.ndarray) -> np.ndarray:
-    return np.where((size > 0) & (bits < (1 << np.maximum(size - 1, 0))), bits - (1 << size) + 1, bits)
+    """Signed values of so many bits."""
+    return bits - np.where(bits < _HALF[size], _SPAN[size], 0)
+
+
+def after(w: np.ndarray, n: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """The `more` bits that follow the first n of 32."""
+    return (((w << n.astype(np.uint32)) >> np.uint32(1)) >> (31 - more).astype(np.uint32)).astype(np.int32)
 
 
 def accumulate(files: list[bytes]) -> tuple[list[Image | None], np.ndarray, np.ndarray]:
@@ -461,9 +470,9 @@ def dc_scan(window, flat, lanes, lo, hi, ah, al, tables) -> None:
             flat[b * 64] |= (w >> np.uint32(31)).astype(np.int32) << al
             pos[on] += 1
             continue
-        e = looks[k, w >> np.uint32(16)].astype(np.int64)
+        e = looks[k, w >> np.uint32(16)].astype(np.int32)
         n, s = e & 31, e >> 5
-        extra = ((w << n.astype(np.uint32)).astype(np.int64) & 0xFFFFFFFF) >> (32 - s) & ((1 << s) - 1)
+        extra = after(w, n, s)
         last[on, k] += extend(extra, s)
         flat[b * 64] = last[on, k] << al
         pos[on] += n + s
@@ -480,10 +489,10 @@ def ac_scan(window, flat, lanes, lo, hi, ah, al, tables) -> None:
         at, p, k = blocks[begin[on] + i] * 64, pos[on], np.full(len(on), lo)
         while len(on):
             w = peek(window, p)
-            e = look[w >> np.uint32(16)].astype(np.int64)
+            e = look[w >> np.uint32(16)].astype(np.int32)
             n, s, r = e & 31, e >> 5 & 15, e >> 9
             more = np.where(s > 0, s, np.where(r < 15, r, 0))
-            extra = ((w << n.astype(np.uint32)).astype(np.int64) & 0xFFFFFFFF) >> (32 - more) & ((1 << more) - 1)
+            extra = after(w, n, more)
             p = p + n + more
             k = k + r
             v = s > 0
@@ -512,10 +521,10 @@ def refine_scan(window, flat, lanes, lo, hi, ah, al, tables) -> None:
             ask = np.flatnonzero(~ended & (run < 0))
             if len(ask):
                 w = peek(window, p[ask])
-                e = look[w >> np.uint32(16)].astype(np.int64)
+                e = look[w >> np.uint32(16)].astype(np.int32)
                 n, s, r = e & 31, e >> 5 & 15, e >> 9
                 more = np.where(s > 0, 1, np.where(r < 15, r, 0))
-                extra = ((w << n.astype(np.uint32)).astype(np.int64) & 0xFFFFFFFF) >> (32 - more) & ((1 << more) - 1)
+                extra = after(w, n, more)
                 p[ask] += n + more
                 run[ask] = r
                 put[ask] = np.where(s > 0, np.where(extra > 0, one, -one), 0)
