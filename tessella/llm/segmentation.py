@@ -240,7 +240,6 @@ def sample(v: Vocabulary, data: np.ndarray, off: np.ndarray, seeds: np.ndarray,
     paths: list[tuple[np.ndarray, np.ndarray]] = []  # edges, offsets by row
     top = gumbel(C.mix(seeds + C.STEP[13]))
     todo = np.arange(n)
-    logp = np.zeros(n)
     for draw in range(k):
         if draw == 0:
             units, pos = np.arange(len(starts)), begin
@@ -280,9 +279,18 @@ def sample(v: Vocabulary, data: np.ndarray, off: np.ndarray, seeds: np.ndarray,
         unit, place, edge, value, oh, oe = walk(lat, pos, begin[units], stop[units], C.mix(salt[units] + times(draw, 14)), k)
         row = rows[unit]
         lp = lat.share[edge]
-        run = np.concatenate(([0.0], np.cumsum(lp)))
         node_at = np.searchsorted(row, np.arange(n + 1))
-        before = run[:-1] - run[node_at[row]] + done[row]
+        # sums run row by row, so that their rounding does not depend on the batch
+        run = np.empty(len(lp))
+        for a, z in zip(node_at[:-1].tolist(), node_at[1:].tolist()):
+            np.cumsum(lp[a:z], out=run[a:z])
+        run += done[row]
+        logp = done.copy()
+        some = node_at[1:] > node_at[:-1]
+        logp[some] = run[node_at[1:][some] - 1]
+        lead = np.zeros(len(lp), bool)
+        lead[node_at[:-1][some]] = True
+        before = np.where(lead, done[row], np.concatenate(([0.0], run[:-1])) if len(run) else run)
         m = top[row]
         with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
             # values of the edges not taken, given that the taken one has the node's
@@ -301,7 +309,6 @@ def sample(v: Vocabulary, data: np.ndarray, off: np.ndarray, seeds: np.ndarray,
         for f, x in zip(front, (row, np.full(len(row), draw), index, units[unit], place, before, val, oe)):
             f.append(x)
         paths.append((pe, po))
-        logp = done + run[node_at[1:]] - run[node_at[:-1]]
         draws.append((todo, lat.piece[pe], po, logp[todo], top[todo]))
     kappa = np.full(n, -np.inf)
     for r, val in zip(front[0], front[6]):
@@ -311,7 +318,6 @@ def sample(v: Vocabulary, data: np.ndarray, off: np.ndarray, seeds: np.ndarray,
     for todo, ids, po, lp, _ in draws:
         with np.errstate(over="ignore"):
             chance = -np.expm1(-np.exp(np.clip(lp - kappa[todo], -700, 50)))
-        # sums over a batch differ in their last digits with its rows; what is returned does not
         inclusion = np.where(np.isfinite(kappa[todo]), np.exp(np.round(np.log(np.maximum(chance, 1e-300)), 7)), 1.0)
         out.append((todo, ids, po, np.round(lp, 8) + 0.0, inclusion))
     return out

@@ -128,7 +128,8 @@ class Wavelet:
 
     def count(self, token: int, lo: int = 0, hi: int | None = None) -> int:
         """How often a token occurs among positions lo to hi."""
-        a, b = self._range(token, lo, self.n if hi is None else hi)
+        hi = self.n if hi is None else max(0, min(hi, self.n))
+        a, b = self._range(token, min(max(lo, 0), hi), hi)
         return b - a
 
     def locate(self, token: int, k: int) -> int:
