@@ -61,7 +61,7 @@ def relative_date(text: Column, today: Column) -> Column:
     word = F.regexp_extract(t, r"^(?:posted )?([a-z]+|\d+)\+?\s*(?:m(?:in|inute)?|h(?:our)?|d(?:ay)?|w(?:eek)?|mo(?:nth)?)s?\b", 1)
     unit = F.regexp_extract(t, r"^(?:posted )?(?:[a-z]+|\d+)\+?\s*(mo|m|h|d|w)", 1)
     number = F.coalesce(F.try_to_number(word, F.lit("999")).cast("int"), F.create_map(*[F.lit(x) for k, v in NUMBER_WORDS.items() for x in (k, v)])[word])
-    days = F.when(unit.isin("m", "h"), 0).when(unit == "d", number).when(unit == "w", number * 7).when(unit == "mo", number * 30)
+    days = F.when(number.isNull(), None).when(unit.isin("m", "h"), 0).when(unit == "d", number).when(unit == "w", number * 7).when(unit == "mo", number * 30)
     return F.when(t.rlike("today|just now"), today).when(t.contains("yesterday"), F.date_sub(today, 1)).otherwise(F.date_sub(today, days.cast("int")))
 
 

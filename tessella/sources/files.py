@@ -96,7 +96,7 @@ def front_matter(df: DataFrame, text: str) -> DataFrame:
     items = F.transform(pairs, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("v")))
     # the last of equal keys counts
     items = F.filter(items, lambda x, i: F.size(F.filter(F.slice(items, i + 2, F.size(items)), lambda y: y["k"] == x["k"])) == 0)
-    return df.withColumn("meta", F.map_from_entries(items)).withColumn("body", F.when(F.col(text).rlike(rx), F.trim(F.regexp_extract(text, rx, 2))).otherwise(F.col(text)))
+    return df.withColumn("meta", F.map_from_entries(items)).withColumn("body", F.when(F.col(text).rlike(rx), F.regexp_replace(F.regexp_extract(text, rx, 2), r"^\s+|\s+$", "")).otherwise(F.col(text)))
 
 
 def cards(df: DataFrame, html: str) -> DataFrame:
