@@ -126,17 +126,19 @@ class Lattice:
         known[p[size == wide[p]]] = True
         alone = np.flatnonzero(~np.repeat(known[heads], width))
         p, size, i = np.concatenate((p, alone)), np.concatenate((size, np.ones(len(alone), np.int64))), np.concatenate((i, v.byte_id[data[alone]]))
-        by = np.lexsort((size, p))
+        by = np.argsort(p, kind="stable")  # lengths rise already
         p, self.length, self.piece = p[by], size[by], i[by]
         self.count = np.bincount(p, minlength=n)
         self.start = np.cumsum(self.count) - self.count
         w = v.weight[self.piece]
         # backward pass: all positions as far from their unit's end at once
         mass = np.full(n + 1, -np.inf)
+        mass[n] = 0.0  # stands for the end of every unit
         far = end - np.arange(n)
-        order = np.argsort(far, kind="stable")
+        order = np.argsort(far.astype(np.uint16) if far.max(initial=0) < 1 << 16 else far, kind="stable")
         cut = np.searchsorted(far[order], np.arange(1, int(far.max(initial=0)) + 2))
-        ends_here = p + self.length == end[p]
+        then = p + self.length
+        then[then == end[p]] = n
         self.share = np.zeros(len(p))
         for d in range(len(cut) - 1):
             at = order[cut[d] : cut[d + 1]]
@@ -146,7 +148,7 @@ class Lattice:
             c = self.count[at]
             tot = np.cumsum(c)
             e = np.repeat(self.start[at] - tot + c, c) + np.arange(tot[-1])
-            x = w[e] + np.where(ends_here[e], 0.0, mass[np.minimum(p[e] + self.length[e], n)])
+            x = w[e] + mass[then[e]]
             top = np.maximum.reduceat(x, tot - c)
             top = np.where(np.isfinite(top), top, 0.0)
             with np.errstate(divide="ignore"):
@@ -171,26 +173,28 @@ def walk(lat: Lattice, pos: np.ndarray, begin: np.ndarray, end: np.ndarray, salt
     count = np.zeros(len(pos), np.int64)
     while len(on):
         at = p[on]
-        c = lat.count[at]
-        tot = np.cumsum(c)
-        lead = tot - c
-        e = np.repeat(lat.start[at] - lead, c) + np.arange(tot[-1])
-        seed = C.mix(salt[on] + (at - begin[on]).astype(np.uint64) * C.STEP[11])
-        h = lat.share[e] + gumbel(C.mix(np.repeat(seed, c) + lat.length[e].astype(np.uint64) * C.STEP[12]))
-        lane = np.repeat(np.arange(len(on)), c)
-        best = np.maximum.reduceat(h, lead)
-        took = np.zeros(len(on), np.int64)
-        hit = np.flatnonzero(h == best[lane])
-        took[lane[hit]] = hit
-        chosen = e[took]
+        # a node with one edge needs no noise: its edge has the node's value
+        chosen, best = lat.start[at], np.zeros(len(on))
         other_h, other_e = np.full((len(on), alts), -np.inf), np.zeros((len(on), alts), np.int64)
-        many = np.flatnonzero(c > 1)
+        many = np.flatnonzero(lat.count[at] > 1)
         if len(many):
+            c = lat.count[at[many]]
+            tot = np.cumsum(c)
+            lead = tot - c
+            e = np.repeat(chosen[many] - lead, c) + np.arange(tot[-1])
+            seed = C.mix(salt[on[many]] + (at[many] - begin[on[many]]).astype(np.uint64) * C.STEP[11])
+            h = lat.share[e] + gumbel(C.mix(np.repeat(seed, c) + lat.length[e].astype(np.uint64) * C.STEP[12]))
+            lane = np.repeat(np.arange(len(many)), c)
+            top = np.maximum.reduceat(h, lead)
+            hit = np.flatnonzero(h == top[lane])
+            took = np.empty(len(many), np.int64)
+            took[lane[hit]] = hit
+            chosen[many], best[many] = e[took], top
             h[took] = -np.inf
             for a in range(alts):
                 m = np.maximum.reduceat(h, lead)
                 hit = np.flatnonzero((h == m[lane]) & np.isfinite(h))
-                i = lane[hit]
+                i = many[lane[hit]]
                 other_h[i, a], other_e[i, a] = h[hit], e[hit]
                 h[hit] = -np.inf
         steps.append((on, at, chosen, best, other_h, other_e))
@@ -208,6 +212,14 @@ def walk(lat: Lattice, pos: np.ndarray, begin: np.ndarray, end: np.ndarray, salt
     return unit, place, edge, value, oh, oe
 
 
+def highest(x: np.ndarray) -> np.ndarray:
+    """Each row's maximum, for few columns."""
+    out = x[:, 0].copy()
+    for k in range(1, x.shape[1]):
+        np.maximum(out, x[:, k], out=out)
+    return out
+
+
 def per_row(offsets: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """offsets[r], offsets[r] + 1, ... counts[r] of them, for every r."""
     return np.repeat(offsets - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
@@ -248,7 +260,7 @@ def sample(v: Vocabulary, data: np.ndarray, off: np.ndarray, seeds: np.ndarray,
         else:
             f_row, f_path, f_index, f_unit, f_place, f_before, f_value, f_edge = columns = [np.concatenate(x) for x in front]
             best = np.full(n, -np.inf)
-            np.maximum.at(best, f_row, f_value.max(axis=1))
+            np.maximum.at(best, f_row, highest(f_value))
             hit = np.argwhere((f_value == best[f_row][:, None]) & np.isfinite(f_value))
             pick, col = np.full(n, -1), np.zeros(n, np.int64)
             pick[f_row[hit[:, 0]]], col[f_row[hit[:, 0]]] = hit[:, 0], hit[:, 1]
@@ -292,10 +304,12 @@ def sample(v: Vocabulary, data: np.ndarray, off: np.ndarray, seeds: np.ndarray,
         lead[node_at[:-1][some]] = True
         before = np.where(lead, done[row], np.concatenate(([0.0], run[:-1])) if len(run) else run)
         m = top[row]
+        # values of the edges not taken, given that the taken one has the node's
+        open_ = np.flatnonzero(np.isfinite(oh[:, 0]))
+        oh = oh[open_]
         with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
-            # values of the edges not taken, given that the taken one has the node's
-            gap = (m - before)[:, None] - oh + np.log1p(-np.exp(np.minimum(oh - value[:, None], -1e-12)))
-            val = m[:, None] - np.maximum(gap, 0) - np.log1p(np.exp(-np.abs(gap)))
+            gap = (m - before)[open_, None] - oh + np.log1p(-np.exp(np.minimum(oh - value[open_, None], -1e-12)))
+            val = m[open_, None] - np.maximum(gap, 0) - np.log1p(np.exp(-np.abs(gap)))
         val = np.where(np.isfinite(oh), val, -np.inf)
         pre = np.diff(pre_off)
         own = np.diff(node_at)
@@ -306,14 +320,14 @@ def sample(v: Vocabulary, data: np.ndarray, off: np.ndarray, seeds: np.ndarray,
         pe[per_row(po[:-1], pre)] = pre_edges
         pe[per_row(po[:-1] + pre, own)] = edge
         index = np.arange(len(row)) - node_at[row] + pre[row]
-        for f, x in zip(front, (row, np.full(len(row), draw), index, units[unit], place, before, val, oe)):
+        for f, x in zip(front, (row[open_], np.full(len(open_), draw), index[open_], units[unit[open_]], place[open_], before[open_], val, oe[open_])):
             f.append(x)
         paths.append((pe, po))
         draws.append((todo, lat.piece[pe], po, logp[todo], top[todo]))
     kappa = np.full(n, -np.inf)
     for r, val in zip(front[0], front[6]):
         if len(r):
-            np.maximum.at(kappa, r, val.max(axis=1))
+            np.maximum.at(kappa, r, highest(val))
     out = []
     for todo, ids, po, lp, _ in draws:
         with np.errstate(over="ignore"):
