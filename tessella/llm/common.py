@@ -6,7 +6,6 @@ hashes and n-grams are computed by numpy over that array, so no Python code runs
 
 from __future__ import annotations
 
-import os
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -16,9 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
+
 #: Bytes of text worked on at once; a text is never cut, so one longer text makes a longer chunk.
 CHUNK = 2_000_000
-_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,23 +29,7 @@ def ship(spark: SparkSession) -> None:
     """Make this package importable on executors where the caller has not, and keep Arrow batches of long texts small."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    if _ROOT in os.environ.get("PYTHONPATH", "").split(":") or os.getcwd() == _ROOT:
-        return
-    sc = spark.sparkContext
-    if getattr(sc, "_tessella_shipped", False):
-        return
-    import tempfile
-    import zipfile
-
-    path = os.path.join(tempfile.mkdtemp(), "tessella_pkg.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for d, _, names in os.walk(os.path.join(_ROOT, "tessella")):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(d, n)
-                    z.write(full, os.path.relpath(full, _ROOT))
-    sc.addPyFile(path)
-    sc._tessella_shipped = True
+    session.ship(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
