@@ -122,7 +122,7 @@ def names_from_slugs(spark, d):
 CV = "Ann Lee\nann@x.org | +61 400 000 000\nlinkedin.com/in/ann-lee\nExperience\nAnalyst, Acme\nJan 2019 - Present\nDid things\nClerk, Globex\n2015 - 2018\nEducation:\nBSc 2011 to 2014"
 
 
-@query("resume_parts", "SELECT * FROM (VALUES ('education', 1, 'BSc 2011 to 2014', '2011 - 2014'), ('experience', 0, 'Analyst, Acme', ''), ('experience', 1, 'Jan 2019 - Present', '2019 - Present'), ('experience', 1, 'Did things', ''), ('experience', 1, 'Clerk, Globex', ''), ('experience', 2, '2015 - 2018', '2015 - 2018')) t(section, entry, value, span)")
+@query("resume_parts", "SELECT section, CAST(entry AS BIGINT) AS entry, value, span FROM (VALUES ('education', 1, 'BSc 2011 to 2014', '2011 - 2014'), ('experience', 0, 'Analyst, Acme', ''), ('experience', 1, 'Jan 2019 - Present', '2019 - Present'), ('experience', 1, 'Did things', ''), ('experience', 1, 'Clerk, Globex', ''), ('experience', 2, '2015 - 2018', '2015 - 2018')) t(section, entry, value, span)")
 def resume_parts(spark, d):
     s = P.resume_sections(spark.createDataFrame([(1, CV)], "id int, text string"), "id", "text").where("section <> 'header'")
     return s.select("section", "entry", "value", P.date_span(F.col("value")).alias("span"))

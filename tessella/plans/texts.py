@@ -44,7 +44,7 @@ def registrable_domain(spark, d):
 
 @query("pages_by_url", rf"""WITH p AS (SELECT page_id, html, lower(rtrim(regexp_replace(trim(url), '#.*$', ''), '/')) AS k FROM pages) SELECT k, page_id, length(html) AS n FROM p QUALIFY row_number() OVER (PARTITION BY k ORDER BY length(html) DESC, page_id) = 1""")
 def pages_by_url(spark, d):
-    p = D.table(spark, d, "pages").select(U.merge_url(F.col("url")).alias("k"), "page_id", F.length("html").alias("n"))
+    p = D.table(spark, d, "pages").select(U.merge_url(F.col("url")).alias("k"), "page_id", F.length("html").cast("long").alias("n"))
     return merge.best_by(p, "k", "n", "page_id").select("k", "page_id", "n")
 
 

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 
 def session(app: str = "tessella", master: str = "local[*]", **conf: str) -> SparkSession:
     base = {
@@ -14,3 +20,19 @@ def session(app: str = "tessella", master: str = "local[*]", **conf: str) -> Spa
         "spark.ui.enabled": "false",
     }
     return SparkSession.builder.appName(app).master(master).config(map=base | conf).getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send a zip of this package to executors, unless they find it by PYTHONPATH or the working folder."""
+    sc = spark.sparkContext
+    if _ROOT in os.environ.get("PYTHONPATH", "").split(":") or os.getcwd() == _ROOT or getattr(sc, "_tessella_shipped", False):
+        return
+    path = os.path.join(tempfile.mkdtemp(), "tessella_pkg.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for d, _, names in os.walk(os.path.join(_ROOT, "tessella")):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(d, n)
+                    z.write(full, os.path.relpath(full, _ROOT))
+    sc.addPyFile(path)
+    sc._tessella_shipped = True
