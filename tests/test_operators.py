@@ -73,6 +73,38 @@ def test_resolution(spark):
     assert collect(entity.resolve(typed, cand).select("seq", "match_type", "company_key"), "seq") == [(1, "exact", "k1"), (2, "suffix", "k1"), (3, "fuzzy", "k2"), (4, "new", "nobody")]
 
 
+def near_names(rng, n):
+    """Names a few edits from one of three stems, at any place."""
+    out = []
+    for _ in range(n):
+        w = list(rng.choice(["cold anvil promo", "old brass ring 🙂 economy", "acme holdings of nowhere"]))
+        for _ in range(rng.randint(0, 3)):
+            p = rng.randrange(len(w))
+            w[p : p + 1] = rng.choice(([], [rng.choice("abco ")], [w[p], rng.choice("abco ")]))
+        out.append("".join(w))
+    return out
+
+
+def test_similar_pairs_are_all_pairs(spark):
+    rng = random.Random(3)
+    names = ["cold anvil promo", "old anvil promo", "a", "a", "", None, "x" * 230, "y" + "x" * 229, *near_names(rng, 150)]
+    rows = [(i, rng.choice("op"), t, rng.choice(["", "here", "there", None])) for i, t in enumerate(names)]
+    df = spark.createDataFrame(rows, "seq long, owner string, title string, location string")
+    near = lambda x, y: x == "" or y == "" or (x is not None and x == y)
+    want = [(a[0], b[0], entity.similarity(b[2], a[2])) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and near(a[3], b[3])]
+    for least in (0.92, 0.6):
+        got = collect(entity.similar_pairs(df, "seq", "owner", "title", "location", least), "a", "b")
+        assert got == [x for x in want if x[2] >= least] and len({x[0] for x in got}) > 20
+
+
+def test_similar_titles(spark, sf):
+    from tessella.plans import texts
+
+    rows = texts.rows_of_titles(spark, sf).select("seq", "owner", "title").collect()
+    want = [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and entity.similarity(b[2], a[2]) >= 0.92]
+    assert collect(texts.similar_titles(spark, sf).select("a", "b"), "a", "b") == sorted(want)
+
+
 def test_similarity_keeps_order():
     assert entity.similarity("tide", "diet") == 0.25 and entity.similarity("diet", "tide") == 0.5
 
