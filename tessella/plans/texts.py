@@ -307,8 +307,9 @@ def company_resolution(spark, d):
 
 @query("fuzzy_suggestions")
 def fuzzy_suggestions(spark, d):
-    typed = D.table(spark, d, "nation").select(F.col("n_nationkey").alias("seq"), F.lower("n_name").alias("name"))
-    cand = D.table(spark, d, "nation").select(F.col("n_nationkey").alias("seq"), F.col("n_nationkey").alias("company_key"), F.col("n_name").alias("company"))
+    """The customers most like each supplier."""
+    typed = D.table(spark, d, "supplier").select(F.col("s_suppkey").alias("seq"), F.col("s_name").alias("name"))
+    cand = D.table(spark, d, "customer").select(F.col("c_custkey").alias("seq"), F.col("c_custkey").alias("company_key"), F.col("c_name").alias("company"))
     return entity.suggestions(typed, cand)
 
 

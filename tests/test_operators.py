@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tessella.functions.text import company_core
 from tessella.operators import entity, joins, matching, merge, ordered
 from tessella.sources import files
 
@@ -105,6 +106,31 @@ def test_similar_titles(spark, sf):
     assert collect(texts.similar_titles(spark, sf).select("a", "b"), "a", "b") == sorted(want)
 
 
+def test_suggestions_rank_every_candidate(spark, monkeypatch):
+    monkeypatch.setattr(entity, "TYPED", 7)
+    monkeypatch.setattr(entity, "CANDIDATES", 16)
+    rng = random.Random(4)
+    names = ["The Acme", "Zlobex", "", None, "z" * 80, *near_names(rng, 20)]
+    known = ["Acme Pty Ltd", "Globex Inc", "Pty Ltd", "z" * 79 + " q", *near_names(rng, 70)]
+    typed = spark.createDataFrame(list(enumerate(names)), "seq int, name string")
+    cand = spark.createDataFrame([(i, f"k{i}", x) for i, x in enumerate(known)], "seq int, company_key string, company string")
+    core = lambda df, c: [r[0] for r in df.orderBy("seq").select(company_core(F.col(c))).collect()]
+    of, to = core(typed, "name"), core(cand, "company")
+    best = [sorted((-entity.similarity(a, b), j) for j, b in enumerate(to))[:5] for a in of]
+    got = collect(entity.suggestions(typed, cand).select("seq", "rank", "company_key", "similarity"), "seq", "rank")
+    assert got == [(i, k + 1, f"k{j}", round(-s, 6)) for i, top in enumerate(best) for k, (s, j) in enumerate(top)]
+    assert got[0][2] == "k0" and got[5][2] == "k1"
+    # resolution: the best of all, wherever the core differs
+    fuzzy = {r["seq"]: r["company_key"] for r in entity.resolve(typed, cand).where("match_type = 'fuzzy'").collect()}
+    assert fuzzy == {i: f"k{top[0][1]}" for i, (a, top) in enumerate(zip(of, best)) if a and a not in to and -top[0][0] >= 0.90}
+
+
+def test_resolution_where_both_ends_differ(spark):
+    typed = spark.createDataFrame([(1, "Xlobex Corporation Holdingz")], "seq int, name string")
+    cand = spark.createDataFrame([(1, "k1", "Globex Corporation Holdings")], "seq int, company_key string, company string")
+    assert collect(entity.resolve(typed, cand).select("match_type", "company_key"), "match_type") == [("fuzzy", "k1")]
+
+
 def test_similarity_keeps_order():
     assert entity.similarity("tide", "diet") == 0.25 and entity.similarity("diet", "tide") == 0.5
 
