@@ -141,8 +141,9 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 4.
         best, p, known = model.predict(raw, off)
         right = best == y[held]
         if right.any():
-            model.least = float(min(1.02 / k if k > 1 else 0.5, np.quantile(p[right], lost)))
-            model.least_seen = float(0.6 * np.quantile(known[right], lost))
+            # either limit may cost half of what both may
+            model.least = float(np.quantile(p[right], lost / 2, method="lower"))
+            model.least_seen = float(np.quantile(known[right], lost / 2, method="lower"))
     return model
 
 

@@ -350,6 +350,18 @@ def test_language_batches_do_not_matter():
         assert alone[0][0] == together[0][i] and abs(alone[1][0] - together[1][i]) < 1e-9
 
 
+def test_language_rejects_what_was_not_learned():
+    rng = random.Random(8)
+    vocab = {k: ["".join(rng.choice(c) for _ in range(rng.randint(3, 8))) for _ in range(60)] for k, c in (("aa", "abcdefgh"), ("bb", "ghijklmn"), ("new", "opqrstuv"))}
+    text = lambda *w: " ".join(rng.choice(vocab[rng.choice(w)]) for _ in range(30))
+    m = language_id.train([text(k) for _ in range(400) for k in ("aa", "bb")], ["aa", "bb"] * 400)
+    rejected = lambda texts: (lambda b, p, known: (p < m.least) | (known < m.least_seen))(*m.predict(*common.text_bytes(pa.array(texts))))
+    held_out = rejected([text(k) for _ in range(500) for k in ("aa", "bb")])
+    assert held_out.mean() <= 0.02
+    # a language that shares most of its words with a learned one
+    assert rejected([text("aa", "aa", "aa", "new") for _ in range(100)]).mean() > 0.95
+
+
 def test_language_odd(odd, none):
     out = language_id.stage(odd.sparkSession, odd, "")
     assert out.columns == odd.columns
