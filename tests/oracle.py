@@ -18,7 +18,7 @@ def run(sf: str, sql: str) -> pd.DataFrame:
 
 
 def plain(v):
-    if v is None or v is pd.NaT:
+    if v is None or v is pd.NaT or v is pd.NA:
         return None
     if hasattr(v, "to_pydatetime"):
         v = v.to_pydatetime()
