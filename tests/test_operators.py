@@ -58,6 +58,34 @@ def test_tiers_and_sidecar(spark):
     assert collect(joins.sidecar(raw, side, "k", "t", "n").select("k", "t", "outcome"), "k") == [("a", "long text", "kept"), ("b", "replaced", "replaced"), ("c", "y", "unmatched")]
 
 
+def first_fit_by_hand(rows):
+    groups, out = [], []
+    for r in rows:
+        hit, why = None, ""
+        for g in groups:
+            why = next((w for m in g if (w := entity.duplicate(r, m))), "")
+            if why:
+                hit = g
+                break
+        if hit is None:
+            groups.append([r])
+        else:
+            hit.append(r)
+        out.append((r["seq"], (hit or [r])[0]["seq"], why))
+    return out
+
+
+def test_first_fit_by_brute_force():
+    rng = random.Random(1)
+    pick = lambda xs, n: [rng.choice(xs) for _ in range(n)]
+    for _ in range(12):
+        words = ["senior", "data", "analyst", "engineer", "date", "analysts", "sr", "lead", ""]
+        rows = [dict(seq=i, url=rng.choice(["", "", "u1", "u2"]), owner=rng.choice(["a", "a", "b", ""]), title=" ".join(pick(words, rng.randint(0, 4))), location=rng.choice(["", "x", "y"]), sig=pick("abcdef", rng.randint(0, 4))) for i in range(120)]
+        assert entity.fitted(rows) == first_fit_by_hand(rows)
+        rng.shuffle(rows)
+        assert entity.fitted(rows) == first_fit_by_hand(rows)
+
+
 def test_first_fit_is_not_transitive(spark):
     # b resembles a, c resembles b but not a: c joins through b; groups never merge
     rows = [(1, "", "o", "senior data analyst melbourne", "", []), (2, "", "o", "senior data analyst melbourn", "", []), (3, "u", "o", "other", "", []), (4, "u", "p", "unlike", "", [])]
