@@ -6,6 +6,7 @@ hashes and n-grams are computed by numpy over that array, so no Python code runs
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -80,7 +81,7 @@ def append_columns(df: DataFrame, fields: str, make: Callable[[pa.RecordBatch],
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([*b.columns, *make(b)], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -97,6 +98,31 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
+def tidy() -> None:
+    """Give freed memory back to the system: a Python worker lives on between tasks, and with it what it once held."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """An Arrow function that gives its memory back when it ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return wrapped
+
+
 def chunks(off: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Ranges of rows of at most so many bytes, or of one row."""
     i, n = 0, len(off) - 1
@@ -183,14 +209,14 @@ def labels(spark: SparkSession, n: int) -> np.ndarray:
     return np.array([place.get(p, next(iter(place.values()))) for p in range(n)], np.int32)
 
 
-def components(links: DataFrame, most: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of the links (a, b): root is the smallest node reachable.
 
     Large-star and small-star turns until nothing changes; each turn is written to the shared folder.
     """
     e = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e, before = written(e, "links"), None
-    for _ in range(most):
+    while True:
         sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
