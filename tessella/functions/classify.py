@@ -51,14 +51,25 @@ FAMILIES = [
 ]
 #: Headers that open a text's requirements.
 REGION = ["requirements", "what you’ll bring", "about you", "qualifications", "must have", "essential", "skills and experience", "what we’re looking for", "to be successful"]
+#: Patterns of stated years, certificates, presence, degrees, residence, and of diversity statements.
 YEARS_PLUS = r"(?i)\b(\d{1,2})\s*\+\s*years?\b"
 YEARS_LEAST = r"(?i)\b(?:minimum|min\.?|at least)\s+(?:of\s+)?(\d{1,2})\s*\+?\s*years?\b"
 #: Acronyms that never count as a tool.
-ACRONYM_STOP = "AU NZ US USA UK EU AUS ANZ APAC EMEA CEO CFO CIO CTO COO HR PR IT QA RD KPI KPIS OKR OKRS SLA ROI EOI FAQ ASAP FYI PDF DOC URL WFH FTE EOD TBC TBD AKA ETC AND OR THE FOR YOU OUR WE ALL ANY NEW VIC NSW QLD WA SA ACT NT CBD GMT AEST AEDT DEI EEO LGBT LGBTQ ESG CSR NDIS TAFE".split()
+ACRONYM_STOP = ["AU", "NZ", "US", "USA", "UK", "EU", "AUS", "ANZ", "APAC", "EMEA", "CEO", "CFO", "CIO", "CTO", "COO", "HR", "PR", "IT", "QA", "RD", "KPI", "KPIS", "OKR", "OKRS", "SLA", "ROI", "EOI", "FAQ", "ASAP", "FYI", "PDF", "DOC", "URL", "WFH", "FTE", "EOD", "TBC", "TBD", "AKA", "ETC", "AND", "OR", "THE", "FOR", "YOU", "OUR", "WE", "ALL", "ANY", "NEW", "VIC", "NSW", "QLD", "WA", "SA", "ACT", "NT", "CBD", "GMT", "AEST", "AEDT", "DEI", "EEO", "LGBT", "LGBTQ", "ESG", "CSR", "NDIS", "TAFE"]
 CERTIFICATES = r"(?i)\b(cpa|cfa|pmp|cscp|aws certified|azure (?:certified|administrator)|cissp|prince2|itil|six sigma|comptia|security\+)(?![a-z0-9])"
 ONSITE = r"(?i)\b(on-?site|in[-\s]office|in person|relocat\w+|\d\s*days?\s*(?:per week\s*)?(?:in (?:the )?office|on-?site))\b"
 
 
+DEGREE = r"(?i)\b(?:bachelor'?s?|master'?s?|phd|doctorate|degree|tertiary qualification)\b"
+DEGREE_NEEDED = r"(?i)\b(required|essential|must have|mandatory)\b"
+DEGREE_SOFT = r"(?i)\b(preferred|desirable|advantageous|nice to have|a plus|or equivalent|equivalent experience)\b"
+RESIDENCE = r"(?i)\b(australian citizen|security clearance|agsva|baseline clearance|nv1|nv2|must be a citizen|permanent resident only|pr or citizen)\b"
+DIVERSITY = r"(?i)\b(gender identity|sexual orientation|veteran|protected characteristic|marital status)\b"
+SENIOR_WORDS = r"(?i)\b(senior|lead|principal|head of)\b"
+#: Words of titles by which no two roles are alike.
+TITLE_STOP = ["senior", "junior", "lead", "principal", "head", "associate", "staff", "the", "and", "of", "in", "a", "an", "to", "for", "with", "at", "i", "ii", "iii", "iv", "v"]
+
+
 def any_of(words: list[str]) -> str:
     return "|".join(re.escape(w) for w in words)
 
@@ -128,56 +139,113 @@ def acronyms(text: Column, known: list[str] = ()) -> Column:
     return F.filter(out, lambda x: ~F.lower(x).isin(list(known))) if known else out
 
 
-def knockouts(text: Column, region: Column, years: int | None = None, certificates: list[str] | None = None, degree: bool = False) -> Column:
+KNOCKOUT = "struct<type:string,detail:string,required_value:int,status:string>"
+
+
+def knockouts(text: Column, region: Column, years: int | None = None, certificates: list[str] | None = None, degree: bool = False, sponsored: bool = False) -> Column:
     """Hard requirements as an array of (type, detail, required_value, status), in a fixed order.
 
-    region: the text from its requirements on. Status: met, unmet, or unknown where the candidate states nothing.
+    region: the text from its requirements on. Status: met, unmet, or unknown where the candidate states nothing. Only
+    a candidate who needs a sponsor is asked for residence, and not by a text that names it beside diversity.
     """
-    kb = lambda kind, detail, value, status: F.struct(F.lit(kind).alias("type"), detail.alias("detail"), value.alias("required_value"), status.alias("status"))
     none = F.lit(None).cast("int")
+    kb = lambda kind, detail, value, status: F.struct(F.lit(kind).alias("type"), detail.alias("detail"), value.alias("required_value"), status.alias("status"))
+    empty = F.array().cast(f"array<{KNOCKOUT}>")
+    found = lambda test, k: F.when(test, F.array(k)).otherwise(empty)
     need = required_years(region)
     by_years = F.lit("unknown") if years is None else F.when(F.lit(years) >= need, "met").otherwise("unmet")
-    term = r"(?i)\b(?:bachelor'?s?|master'?s?|phd|doctorate|degree|tertiary qualification)\b"
-    windows = F.regexp_extract_all(region, F.lit(r"(?s)(" + term + r".{0,50})"), F.lit(1))
-    needed = F.filter(windows, lambda w: w.rlike(r"(?i)\b(required|essential|must have|mandatory)\b") & ~w.rlike(r"(?i)\b(preferred|desirable|advantageous|nice to have|a plus|or equivalent|equivalent experience)\b"))
+    windows = F.regexp_extract_all(region, F.lit(r"(?s)(" + DEGREE + r".{0,50})"), F.lit(1))
+    needed = F.filter(windows, lambda w: w.rlike(DEGREE_NEEDED) & ~w.rlike(DEGREE_SOFT))
+    named = F.lower(F.regexp_extract(F.get(needed, F.lit(0)), DEGREE, 0))
     certs = F.array_distinct(F.transform(F.regexp_extract_all(region, F.lit(CERTIFICATES), F.lit(1)), lambda c: F.lower(c)))
-    has = (lambda c: F.lit("unknown")) if not certificates else (lambda c: F.when(F.exists(T.strings([x.lower() for x in certificates]), lambda x: x.contains(c)), "met").otherwise("unmet"))
-    empty = F.array().cast("array<struct<type:string,detail:string,required_value:int,status:string>>")
-    return F.concat(
-        F.when(need.isNotNull(), F.array(kb("min_years", F.concat(need.cast("string"), F.lit("+ years")), need, by_years))).otherwise(empty),
-        F.when(F.size(needed) > 0, F.array(kb("degree", F.lower(F.regexp_extract(F.get(needed, F.lit(0)), term, 0)), none, F.lit("met" if degree else "unknown")))).otherwise(empty),
+    own = T.strings([x.lower() for x in certificates or []])
+    has = lambda c: F.when(F.exists(own, lambda x: x.contains(c)), "met").otherwise("unmet") if certificates else F.lit("unknown")
+    out = [
+        found(need.isNotNull(), kb("min_years", F.concat(need.cast("string"), F.lit("+ years")), need, by_years)),
+        found(F.size(needed) > 0, kb("degree", named, none, F.lit("met" if degree else "unknown"))),
         F.transform(certs, lambda c: kb("certification", c, none, has(c))),
-        F.when(region.rlike(ONSITE), F.array(kb("onsite", F.lit("onsite/relocation"), none, F.lit("unknown")))).otherwise(empty),
-    )
+    ]
+    if sponsored:
+        asked, at = F.regexp_extract(text, RESIDENCE, 1), F.regexp_instr(text, F.lit(RESIDENCE))
+        first = F.greatest(F.lit(1), at - 60)
+        around = F.substr(text, first, at - first + F.length(asked) + 60)
+        out.append(found((asked != "") & ~around.rlike(DIVERSITY), kb("work_authorization", F.lower(asked), none, F.lit("unmet"))))
+    out.append(found(region.rlike(ONSITE), kb("onsite", F.lit("onsite/relocation"), none, F.lit("unknown"))))
+    return F.concat(*out)
+
 
+def significant(title: Column) -> Column:
+    """A title's words that tell roles apart."""
+    return F.array_except(F.array_distinct(F.filter(F.split(low(title), "[^a-z]+"), lambda w: w != "")), T.strings(TITLE_STOP))
 
-def authenticity(company: Column, role: Column, url: Column, text: Column, domain: Column, location: Column, skills: Column, notes: Column, platform: Column) -> tuple[Column, Column]:
-    """Score from 0 to 100 and status of a posting. A missing domain is inferred from an unknown host, which then
-    matches itself, as postings were always rated."""
+
+def off_target(title: Column, keywords: list[str]) -> Column:
+    """Whether a title shares no word with any of the keywords; never where either side has none."""
+    if not keywords:
+        return F.lit(False)
+    tracked = F.array_distinct(F.flatten(F.array(*[significant(F.lit(k)) for k in keywords])))
+    own = significant(title)
+    return (F.size(own) > 0) & ~F.arrays_overlap(own, tracked)
+
+
+def status_is_open(status: Column) -> Column:
+    """Whether a status does not start as a rejection."""
+    return ~F.lower(F.coalesce(status, F.lit(""))).startswith("reject")
+
+
+def _rated(company: Column, role: Column, url: Column, text: Column, domain: Column, location: Column, skills: Column, notes: Column, platform: Column) -> dict[str, Column]:
+    """What a posting's authenticity is rated by. A missing domain is inferred from an unknown host, which then matches
+    itself, as postings were always rated."""
     full = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
     h = U.host(url)
     board, ats = U.under(h, U.BOARD_HOSTS), U.under(h, U.ATS_HOSTS)
     inferred = F.when(full(domain), F.lower(domain)).when((h != "") & ~board & ~ats & ~U.registrable(url).isin(FREE_MAIL), U.registrable(url)).otherwise("")
-    match = (h != "") & (inferred != "") & ((h == inferred) | h.endswith(F.concat(F.lit("."), inferred)))
     words = F.lower(F.concat_ws(" ", company, role, text, skills, notes))
     agency_words = F.lower(F.concat_ws(" ", company, platform, notes, F.left(F.coalesce(text, F.lit("")), F.lit(1200))))
-    agency = agency_words.rlike(any_of(AGENCY) + "|" + "|".join(HIDDEN_EMPLOYER))
-    scam = words.rlike("(?s)" + "|".join(SCAM))
+    return {
+        "company": full(company), "role": full(role), "url": full(url), "long": (F.length(F.coalesce(text, F.lit(""))) >= 350) | full(skills), "location": full(location),
+        "domain": full(domain), "free": full(domain) & F.lower(domain).isin(FREE_MAIL), "host": h, "board": board, "ats": ats, "inferred": inferred,
+        "match": (h != "") & (inferred != "") & ((h == inferred) | h.endswith(F.concat(F.lit("."), inferred))),
+        "agency": agency_words.rlike(any_of(AGENCY) + "|" + "|".join(HIDDEN_EMPLOYER)), "scam": words.rlike("(?s)" + "|".join(SCAM)), "words": words,
+    }
+
+
+def authenticity(*posting: Column) -> tuple[Column, Column]:
+    """Score from 0 to 100 and status of a posting: company, role, url, text, domain, location, skills, notes, platform."""
+    x = _rated(*posting)
+    h, board, ats, match = x["host"], x["board"], x["ats"], x["match"]
     pick = lambda test, yes, no: F.when(test, yes).otherwise(no)
     score = (
-        F.lit(50) + pick(full(company), 10, -25) + pick(full(role), 10, -25) + pick(full(url), 10, -15)
-        + pick((F.length(F.coalesce(text, F.lit(""))) >= 350) | full(skills), 10, 0) + pick(full(location), 5, 0)
-        + F.when(full(domain) & F.lower(domain).isin(FREE_MAIL), -35).when(full(domain), 8).when((h != "") & ~board & ~ats, pick(inferred != "", 5, 0)).otherwise(-5)
-        + F.when(match, 20).when(board, 22).when(ats, 18).when(h != "", -8).otherwise(0)
-        + pick(agency, -12, 0) + pick(scam, -55, 0)
+        F.lit(50) + pick(x["company"], 10, -25) + pick(x["role"], 10, -25) + pick(x["url"], 10, -15) + pick(x["long"], 10, 0) + pick(x["location"], 5, 0)
+        + F.when(x["free"], -35).when(x["domain"], 8).when((h != "") & ~board & ~ats, pick(x["inferred"] != "", 5, 0)).otherwise(-5)
+        + F.when(match, 20).when(board, 22).when(ats, 18).when(h != "", -8).otherwise(0) + pick(x["agency"], -12, 0) + pick(x["scam"], -55, 0)
     )
     score = F.greatest(F.lit(0), F.least(F.lit(100), score))
     status = (
-        F.when(scam | (score < 30) | ~full(company) | ~full(role), "reject_suspicious")
-        .when(agency, "agency_or_recruiter_listing")
+        F.when(x["scam"] | (score < 30) | ~x["company"] | ~x["role"], "reject_suspicious")
+        .when(x["agency"], "agency_or_recruiter_listing")
         .when(match & (score >= 80), "verified_company_source")
         .when((board | ats) & (score >= 70), "trusted_alert_source")
         .when(score >= 45, "needs_company_confirmation")
         .otherwise("reject_low_authenticity")
     )
     return score, status
+
+
+def authenticity_notes(*posting: Column) -> Column:
+    """What spoke for or against a posting, in the order of the rating."""
+    x = _rated(*posting)
+    h, board, ats = x["host"], x["board"], x["ats"]
+    kind = F.when(U.under(h, ["linkedin.com"]), "linkedin").when(U.under(h, ["seek.com.au"]), "seek").otherwise("trusted job board")
+    own = F.lower(F.coalesce(posting[4], F.lit("")))
+    hits = F.filter(F.array(*[F.when(x["words"].rlike("(?s)" + rx), F.lit(rx)) for rx in SCAM]), lambda r: r.isNotNull())
+    said = F.array(
+        F.when(~x["company"], "missing company name"), F.when(~x["role"], "missing role title"), F.when(~x["url"], "missing job URL"), F.when(~x["long"], "short or missing JD text"),
+        F.when(x["free"], F.concat(F.lit("company_domain is a free email domain ("), own, F.lit(")"))).when(x["domain"], None)
+        .when((h != "") & ~board & ~ats, F.when(x["inferred"] != "", F.concat(F.lit("inferred company_domain from job URL ("), x["inferred"], F.lit(")")))).otherwise("company domain not provided"),
+        F.when(x["match"], "job URL host matches company domain").when(board, F.concat(F.lit("trusted job-board source ("), kind, F.lit(")"))).when(ats, "trusted ATS source").when(h != "", F.concat(F.lit("unrecognized job URL host ("), h, F.lit(")"))),
+        F.when(x["agency"], "agency/recruiter or end-employer-unclear listing"),
+        F.when(F.size(hits) > 0, F.concat(F.lit("suspicious wording: "), F.array_join(F.slice(hits, 1, 3), ", "))),
+    )
+    said = F.filter(said, lambda n: n.isNotNull())
+    return F.when(F.size(said) == 0, F.array(F.lit("no authenticity issues found"))).otherwise(said)

@@ -29,26 +29,49 @@ def seconds_between(early: Column, late: Column) -> Column:
     return F.unix_seconds(late.cast("timestamp")) - F.unix_seconds(early.cast("timestamp"))
 
 
-def ago(t: Column, now: Column) -> Column:
-    s = seconds_between(t, now)
+def ago(value: Column, now: Column) -> Column:
+    """'12m ago', '3h ago' for times; 'today', 'yesterday', '3d ago' for dates and times of other days; '' for neither."""
+    t = lenient(value)
+    s = F.greatest(F.lit(0), seconds_between(t, now))
     n = lambda x, unit: F.concat(F.floor(x).cast("string"), F.lit(unit))
-    return F.when(t.isNull(), "").when(s < 60, "just now").when(s < 3600, n(s / 60, "m ago")).when(s < 86400, n(s / 3600, "h ago")).when(s < 7 * 86400, n(s / 86400, "d ago")).otherwise(n(s / (7 * 86400), "w ago"))
+    days = F.floor(s / 86400)
+    by_day = F.when(days == 0, "today").when(days == 1, "yesterday").otherwise(n(days, "d ago"))
+    timed = value.contains("T")
+    return F.when(t.isNull(), "").when(timed & (s < 60), "just now").when(timed & (s < 3600), n(s / 60, "m ago")).when(timed & (s < 86400), n(s / 3600, "h ago")).otherwise(by_day)
+
+
+def relative_day(value: Column, today: Column) -> Column:
+    """A day as a label: 'today', 'yesterday', days, weeks and months ago, else month and day or year; a value that is
+    no date is cut to ten characters."""
+    t = F.coalesce(F.try_to_timestamp(F.left(value, F.lit(19))), F.try_to_timestamp(F.when(F.length(value) <= 10, value)))
+    d = F.date_diff(today, F.to_date(t))
+    n = lambda x, unit: F.concat(F.floor(x).cast("string"), F.lit(unit))
+    label = (
+        F.when(d < 0, F.date_format(t, "MMM dd")).when(d == 0, "today").when(d == 1, "yesterday").when(d < 7, n(d, "d ago"))
+        .when(d < 30, n(d / 7, "w ago")).when(d < 365, n(d / 30, "mo ago")).otherwise(F.date_format(t, "MMM yyyy"))
+    )
+    return F.when(F.coalesce(value, F.lit("")) == "", "").when(t.isNull(), F.left(value, F.lit(10))).otherwise(label)
+
+
+def just_posted(value: Column, now: Column, seconds: int = 1800) -> Column:
+    """Whether a time (a date alone is none) is less than half an hour old, and not in the future."""
+    s = seconds_between(lenient(value), now)
+    return F.coalesce(value.contains("T") & (s >= 0) & (s < seconds), F.lit(False))
 
 
 def fresh(value: Column, bucket: str, now: Column) -> Column:
     """Whether a posted value passes a freshness bucket; other buckets pass all.
 
-    A date alone passes only the day bucket, while it is less than two days old (also in the future); a time in the
-    future and a value that is none fail.
+    A date alone (without a T) passes only the day bucket, while it is less than two days old (also in the future); a
+    time in the future and a value that is none fail.
     """
     limit = {"1h": 3600, "4h": 4 * 3600, "24h": 86400}.get(bucket)
     if limit is None:
         return F.lit(True)
     t = lenient(value)
     s = seconds_between(t, now)
-    date_only = F.trim(value).rlike(r"^\d{4}-\d{2}-\d{2}$")
     by_date = F.lit(bucket == "24h") & (s < 2 * 86400)
-    return F.coalesce(F.when(date_only, by_date).otherwise((s >= 0) & (s <= limit)), F.lit(False))
+    return F.coalesce(F.when(~value.contains("T"), by_date).otherwise((s >= 0) & (s < limit)), F.lit(False))
 
 
 def days_old(value: Column, today: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ordered
+from . import text as T
 
 DEGREE = r"·?\s*(?:1st|2nd|3rd)\b"
 #: Lines of pasted lists that say nothing about a person.
@@ -27,10 +28,23 @@ def from_slug(url: Column) -> Column:
 def clean_name(c: Column) -> Column:
     """Without degree marks, credentials after a comma and emphasis; once where it is written twice."""
     n = F.regexp_replace(F.regexp_replace(c, DEGREE, ""), r",.*$|[*_|]|\(.*?\)", " ")
-    n = F.trim(F.regexp_replace(n, r"\s+", " "))
+    n = F.regexp_replace(F.trim(F.regexp_replace(n, r"\s+", " ")), r"(?i)\s+is open to work\s*$", "")
     return F.regexp_replace(n, r"^(.+?)\s*\1$", "$1")
 
 
+def proper_case(c: Column) -> Column:
+    """A name all in capitals, or all in small letters, with a capital for each run of letters (O'Neil, Smith-Jones)."""
+    runs = F.regexp_extract_all(c, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
+    title = F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.left(x, F.lit(1))), F.lower(F.substr(x, F.lit(2))))), "")
+    one_case = c.rlike(r"\p{L}") & ((F.upper(c) == c) | (F.lower(c) == c))
+    return F.when(one_case, title).otherwise(c)
+
+
+def plain_name(c: Column) -> Column:
+    """A cleaned name in proper case, without diacritics."""
+    return T.unmarked(proper_case(clean_name(c)))
+
+
 def initials_only(c: Column) -> Column:
     """Whether a name's last part is an initial, so that it needs review."""
     return c.rlike(r"(?:^|\s)[A-Za-z]\.?$") | c.rlike("(?i)^linkedin member$")

@@ -12,11 +12,13 @@ from pyspark.sql.types import StringType
 #: Legal suffixes of company names, and suffixes left out of a company's token set.
 LEGAL_SUFFIXES = ["pty", "ltd", "limited", "pvt", "private", "inc", "incorporated", "llc", "plc", "corp", "corporation", "co", "company", "group"]
 TOKEN_SUFFIXES = ["pty", "ltd", "limited", "inc", "llc", "plc", "corp", "corporation", "co", "company", "australia", "australian", "group"]
+MATCHING_SUFFIX = r"\b(pty\s+ltd|pty\s+limited|ltd|limited|inc|incorporated|co|company|group|corp|corporation|plc|services)\b"
+WORD_DROPS = ["pty", "ltd", "limited", "inc", "group", "australia", "australian", "anz", "co", "company", "corp", "corporation"]
 TITLE_DROPS = ["full", "time", "part", "contract", "temporary", "permanent"]
 #: Relevance words. Seniority and filler are left out of titles; generic roles anchor nothing.
-SENIORITY_WORDS = "vp vice president chief ceo cto cfo director head manager mgr principal staff senior snr sr lead junior jnr entry associate graduate grad trainee intern internship".split()
-FILLER_WORDS = "the a an of and or to for in at with remote hybrid onsite contract permanent fulltime parttime full part time new role job position officer i ii iii iv".split()
-GENERIC_ROLES = "engineer engineering developer programmer consultant specialist architect advisor technician".split()
+SENIORITY_WORDS = ["vp", "vice", "president", "chief", "ceo", "cto", "cfo", "director", "head", "manager", "mgr", "principal", "staff", "senior", "snr", "sr", "lead", "junior", "jnr", "entry", "associate", "graduate", "grad", "trainee", "intern", "internship"]
+FILLER_WORDS = ["the", "a", "an", "of", "and", "or", "to", "for", "in", "at", "with", "remote", "hybrid", "onsite", "contract", "permanent", "fulltime", "parttime", "full", "part", "time", "new", "role", "job", "position", "officer", "i", "ii", "iii", "iv"]
+GENERIC_ROLES = ["engineer", "engineering", "developer", "programmer", "consultant", "specialist", "architect", "advisor", "technician"]
 
 
 def strings(values: list[str]) -> Column:
@@ -54,6 +56,32 @@ def without_marks(s: pd.Series) -> pd.Series:
     return s.map(one, na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def unmarked(s: pd.Series) -> pd.Series:
+    """Decomposed, combining marks dropped; case and white space stay."""
+    return s.map(lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if unicodedata.category(c) != "Mn"), na_action="ignore")
+
+
+def clean_text(c: Column) -> Column:
+    """Compatibility composition, white space squeezed; null as ''."""
+    return squeeze(compat_form(c))
+
+
+def company_letters(c: Column) -> Column:
+    """A company's letters and digits without common suffixes, by which registries are matched."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), MATCHING_SUFFIX, ""), "[^a-z0-9]", "")
+
+
+def company_words(c: Column) -> Column:
+    """A company's words but for those that say nothing, as an array."""
+    return F.filter(tokens(c), lambda x: ~x.isin(WORD_DROPS))
+
+
+def file_slug(c: Column) -> Column:
+    """A name for files: '&' as 'and', joined by hyphens, at most ninety characters."""
+    return slug(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit(" and ")), "-", 90)
+
+
 def company_key(c: Column) -> Column:
     return F.lower(squeeze(c))
 
@@ -155,9 +183,18 @@ def email_pattern(local: Column) -> Column:
 
 
 def highlight(c: Column, terms: list[str]) -> Column:
+    """A text as HTML with terms marked, the longest first; lines end in breaks."""
+    import re
+
+    longest = sorted((t for t in terms if len(t) >= 2), key=lambda t: (-len(t), t))
+    safe = F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    marked = safe if not longest else _marked(safe, longest)
+    return F.replace(marked, F.lit("\n"), F.lit("<br>"))
+
+
+def _marked(c: Column, longest: list[str]) -> Column:
     import re
 
-    longest = sorted(terms, key=lambda t: (-len(t), t))
     return F.regexp_replace(c, r"(?i)(?<!\w)(" + "|".join(map(re.escape, longest)) + r")(?!\w)", "<mark>$1</mark>")
 
 
