@@ -45,6 +45,24 @@ def better(candidates: DataFrame, key: str, status: str, description: str, seq:
     return s.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("score", -F.col(seq))).alias("r")).select(key, "r.*")
 
 
+#: What an address counts by its kind, and paths of career pages.
+ADDRESS = {"ats": 80, "company": 75, "possible": 55, "aggregator": 35}
+CAREER_PATHS = ["career", "job", "vacanc", "position", "opportunit", "work-with-us", "join-us"]
+
+
+def ranked(candidates: DataFrame, key: str, url: str, title: str, seq: str, domain: Column) -> DataFrame:
+    """Candidate addresses of each key with their score and rank: by kind, a career path, and the title's words in it;
+    the first of equals first."""
+    from ..functions import urls as U
+
+    kind, path = U.source_kind(F.col(url), domain), F.lower(F.regexp_extract(url, r"^[^/]*//[^/?#]*([^?#]*)", 1))
+    points = F.coalesce(F.create_map(*[F.lit(x) for kv in ADDRESS.items() for x in kv])[kind], F.lit(0))
+    in_path = F.array_intersect(F.array_distinct(T.tokens(F.col(title))), F.array_distinct(T.tokens(F.concat(path, F.lit(" "), U.host(F.col(url))))))
+    score = points + F.when(path.rlike("|".join(CAREER_PATHS)), 12).otherwise(0) + F.least(F.size(in_path) * 3, F.lit(15))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), seq))
+    return candidates.withColumn("score", score.cast("int")).withColumn("rank", rank)
+
+
 def real_signal(c: Column, generic: list[str]) -> Column:
     import re
 

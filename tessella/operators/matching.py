@@ -12,7 +12,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What may stand beside a strict alias.
@@ -28,9 +28,15 @@ def alias_pattern(alias: str, strict: bool = False) -> str:
 
 
 def alias_counts(text: Column, aliases: dict[str, list[str]], strict: tuple[str, ...] = ()) -> Column:
-    """Array of (label, freq) of labels that occur, in the dictionary's order; aliases of a label add up."""
+    """Array of (label, freq, first_pos) of labels that occur, in the dictionary's order; aliases of a label add up, and
+    its first place, from 0, is that of the earliest."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    one = [F.struct(F.lit(label).alias("label"), sum((F.regexp_count(t, F.lit(alias_pattern(a, a in strict))) for a in names), F.lit(0)).alias("freq")) for label, names in aliases.items()]
+    one = []
+    for label, names in aliases.items():
+        patterns = [F.lit(alias_pattern(a, a in strict)) for a in names]
+        freq = sum((F.regexp_count(t, p) for p in patterns), F.lit(0))
+        first = F.array_min(F.filter(F.array(*[F.regexp_instr(t, p) for p in patterns]), lambda x: x > 0)) - 1
+        one.append(F.struct(F.lit(label).alias("label"), freq.alias("freq"), first.alias("first_pos")))
     return F.filter(F.array(*one), lambda x: x["freq"] > 0)
 
 
@@ -109,8 +115,29 @@ def overlay_aliases(curated: DataFrame, wider: DataFrame) -> DataFrame:
     return precedence([curated.withColumn("n", F.col("label")), wider.withColumn("n", F.col("label"))], ["alias"], "n").select("alias", "label")
 
 
+def contained(items: DataFrame, texts: DataFrame, item: str, text: str, tokens: str, share: float) -> DataFrame:
+    """item, text, common, size: pairs of an item and a text that holds this share of its distinct tokens.
+
+    A text that lacks fewer than n - ceil(share * n) + 1 of an item's n tokens holds one of its so many rarest: only
+    these meet, so a word that is in every text joins nothing. What meets is counted as sets.
+    """
+    t, n = "contained_token", "contained_size"
+    seen = texts.select(F.explode(tokens).alias(t)).groupBy(t).agg(F.count("*").alias("contained_seen"))
+    own = items.select(item, F.size(tokens).alias(n), F.explode(tokens).alias(t)).join(seen, t)
+    # tokens that no text has would be the rarest
+    rank = F.row_number().over(Window.partitionBy(item).orderBy("contained_seen", t)) + F.col(n) - F.count("*").over(Window.partitionBy(item))
+    need = F.ceil(F.col(n) * F.lit(share) - 1e-9)
+    rare = own.withColumn("contained_rank", rank).where(F.col("contained_rank") <= F.col(n) - need + 1)
+    met = rare.select(item, t).join(texts.select(text, F.explode(tokens).alias(t)), t).select(item, text).distinct()
+    both = met.join(items.select(item, F.col(tokens).alias("contained_a")), item).join(texts.select(text, F.col(tokens).alias("contained_b")), text)
+    out = both.select(item, text, F.size(F.array_intersect("contained_a", "contained_b")).cast("long").alias("common"), F.size("contained_a").cast("long").alias("size"))
+    return out.where(F.col("common") >= F.col("size") * F.lit(share)).select(item, text, "common", "size")
+
+
 #: Parameters of the fit score.
 KEEP, STRONG, SMOOTH, GAP_DISCOUNT = 45, 68, 2, 0.6
+SOFT_MANAGER, SOFT_ANALYST, SOFT_OTHER = 0.40, 0.25, 0.15
+LEAD_WORDS = r"(?i)\b(senior|lead|principal|head of|head|director|manager|chief|staff)\b"
 
 
 def importance(freq: Column, first_pos: Column, region: Column) -> Column:
@@ -118,22 +145,51 @@ def importance(freq: Column, first_pos: Column, region: Column) -> Column:
     return F.when((region > 0) & (first_pos >= region - 1), 2).otherwise(1) * F.least(freq, F.lit(3))
 
 
-def fit_score(hits: DataFrame, key: str, profile: DataFrame, unknown: str, soft_weight: str, lacked: str = "lacked_weight", unmet: str = "unmet", authorization: str = "no_authorization", senior: str = "senior", off_target: str = "off_target") -> DataFrame:
+def soft_weight(title: Column, text: Column, region: Column) -> Column:
+    """What soft labels count for a role. region: the text from its requirements on."""
+    from ..functions import classify as K
+
+    lead = F.coalesce(title, F.lit("")).rlike(LEAD_WORDS) | region.rlike(K.SENIOR_WORDS)
+    return F.when(lead, SOFT_MANAGER).when(K.role_family(title, text) == "business_analyst", SOFT_ANALYST).otherwise(SOFT_OTHER)
+
+
+def lacked(first_pos: Column, region: Column) -> Column:
+    """What a tool that the candidate lacks counts: twice from the requirements on. Places as for importance."""
+    return F.when((region > 0) & (first_pos >= region - 1), 4).otherwise(2)
+
+
+FLAGS = ("unmet", "no_authorization", "senior", "off_target", "in_region")
+
+
+def fit_score(hits: DataFrame, key: str, profile: DataFrame, unknown: str, soft_weight: str, lacked: str = "lacked_weight", flags: tuple[str, ...] = FLAGS) -> DataFrame:
     """Score of each key from its label hits.
 
     hits: key, label, imp, and the per-key columns named here: number of unknown acronyms, weight of soft labels,
-    weight of labels that the candidate lacks, and the flags that cap the score. profile: label, supported, soft,
-    excluded. A key without hits has a row with a null label. Soft labels are tested before excluded ones.
+    weight of labels that the candidate lacks, and flags: those that cap the score, and whether requirements were
+    found, without which confidence is low. profile: label, supported, soft, excluded. A key without hits has a row
+    with a null label. Soft labels are tested before excluded ones.
     """
-    rows = hits.join(F.broadcast(profile), "label", "left")
+    unmet, authorization, senior, off_target, in_region = flags
+    rows = hits.join(profile, "label", "left")
     is_soft, has, out = (F.coalesce(F.col(c), F.lit(False)) for c in ("soft", "supported", "excluded"))
     live = F.col("label").isNotNull()
-    total = lambda test, factor=1.0: F.coalesce(F.sum(F.when(live & test, F.col("imp") * factor)), F.lit(0.0))
-    per = [F.first(c).alias(c) for c in (unknown, soft_weight, lacked, unmet, authorization, senior, off_target)]
+
+    def total(test: Column, factor: float = 1.0) -> Column:
+        return F.coalesce(F.sum(F.when(live & test, F.col("imp") * factor)), F.lit(0.0))
+
+    def labels(test: Column) -> Column:
+        return F.array_sort(F.collect_set(F.when(live & test, F.col("label"))))
+
     sums = rows.groupBy(key).agg(
-        total(~is_soft & has).alias("sup"), total(is_soft & has).alias("sup_soft"), total(is_soft & ~has, GAP_DISCOUNT).alias("gap_soft"), total(~is_soft & ~has & ~out, GAP_DISCOUNT).alias("gap"),
-        F.array_sort(F.collect_set(F.when(live & has, F.col("label")))).alias("supported"), F.array_sort(F.collect_set(F.when(live & ~is_soft & ~has, F.col("label")))).alias("lacking"), *per,
-    )
+        total(~is_soft & has).alias("sup"),
+        total(is_soft & has).alias("sup_soft"),
+        total(is_soft & ~has, GAP_DISCOUNT).alias("gap_soft"),
+        total(~is_soft & ~has & ~out, GAP_DISCOUNT).alias("gap"),
+        labels(has).alias("supported"),
+        labels(~is_soft & ~has).alias("lacking"),
+        *[F.first(c).alias(c) for c in (unknown, soft_weight, lacked, unmet, authorization, senior, off_target)],
+        (F.first(in_region) if in_region in hits.columns else F.lit(True)).alias(in_region),
+    )
     w = F.col(soft_weight)
     whole = F.col("sup") + F.col("gap") + F.col(lacked) + 2 * F.col(unknown) + w * (F.col("sup_soft") + F.col("gap_soft"))
     num = F.col("sup") + w * F.col("sup_soft")
@@ -142,4 +198,25 @@ def fit_score(hits: DataFrame, key: str, profile: DataFrame, unknown: str, soft_
     raw = raw * F.when(F.col(senior), 0.85).otherwise(1.0) * F.when(F.col(off_target), 0.7).otherwise(1.0)
     fit = F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round(raw, 9))), 0).cast("int")
     cover = F.when(whole == 0, 0).otherwise(F.bround(F.round(100 * num / whole, 9), 0)).cast("int")
-    return sums.select(key, fit.alias("fit"), cover.alias("coverage_pct"), (whole >= 4).alias("enough"), F.when(fit >= STRONG, "strong").when(fit >= KEEP, "fair").otherwise("drop").alias("band"), F.array_join("supported", ", ").alias("supported"), F.array_join("lacking", ", ").alias("lacking"))
+    band = F.when(fit >= STRONG, "strong").when(fit >= KEEP, "fair").otherwise("drop")
+    return sums.select(
+        key, fit.alias("fit"), cover.alias("coverage_pct"), (F.col(in_region) & (whole >= 4)).alias("enough"), band.alias("band"),
+        F.array_join("supported", ", ").alias("supported"), F.array_join("lacking", ", ").alias("lacking"),
+    )
+
+
+def explained(band: Column, fit: Column, family: Column, supported: Column, lacking: Column, knockouts: Column, senior: Column, off_target: Column) -> Column:
+    """A score in words: what speaks for it, what is missing, what capped it, what to verify. Lists are arrays."""
+    details = lambda test: F.transform(F.filter(knockouts, test), lambda k: k["detail"])
+    unmet, verify = details(lambda k: k["status"] == "unmet"), details(lambda k: k["status"] == "unknown")
+    no_work = F.exists(knockouts, lambda k: (k["type"] == "work_authorization") & (k["status"] == "unmet"))
+    caps = F.array(
+        F.when(no_work, "work authorization required").when(F.size(unmet) > 0, F.concat(F.lit("auto-reject risk: "), F.array_join(unmet, "; "))),
+        F.when(senior, "senior/lead level"), F.when(off_target, "off-target role"),
+    )
+    caps = F.filter(caps, lambda c: c.isNotNull())
+    some = lambda a, lead: F.when(F.size(a) > 0, F.concat(F.lit(lead), F.array_join(a, ", "))).otherwise("")
+    evidence = F.when(F.size(supported) > 0, F.array_join(F.slice(supported, 1, 3), ", ")).otherwise("no evidenced must-haves")
+    risk = F.when(F.size(unmet) > 0, F.concat(F.lit("AUTO-REJECT RISK (needs "), F.array_join(unmet, ", "), F.lit("); "))).otherwise("")
+    head = F.concat(band, F.lit(" fit "), fit.cast("string"), F.lit("% - "), F.replace(family, F.lit("_"), F.lit(" ")), F.lit("; evidences "), evidence)
+    return F.concat(risk, head, some(F.slice(lacking, 1, 3), "; missing "), some(caps, "; capped: "), some(verify, "; verify: "))

@@ -61,6 +61,41 @@ def fill(df: DataFrame, keys: list[str], order: str, union: str, by: str = "|")
     return df.groupBy(*keys).agg(*[F.min_by(c, F.when(full(F.col(c)), F.col(order))).alias(c) for c in rest], parts.alias(union), F.min(order).alias(order))
 
 
+#: Suffixes that do not tell companies apart when postings are deduplicated.
+POSTING_SUFFIX = r"(?i)\s+(pty\s*ltd|pty|ltd|limited|inc|llc|p/l)\.?$"
+
+
+def postings(df: DataFrame, company: str, title: str, seq: str, iso: str = "posted_at_iso", relative: str = "posted_relative", url: str = "posting_url", source: str = "source") -> DataFrame:
+    """Postings of one company (without its suffix) and title merged: the first is the base; where it has no date, the
+    date comes with its relative text from the first that has one; a missing address likewise; sources are united."""
+    key = [F.lower(F.trim(F.regexp_replace(F.trim(F.coalesce(F.col(company), F.lit(""))), POSTING_SUFFIX, ""))).alias("company_key"), F.lower(F.coalesce(F.col(title), F.lit(""))).alias("title_key")]
+    rest = [c for c in df.columns if c not in (iso, relative, url, source, seq)]
+    own, dated = F.struct(iso, relative), F.when(full(F.col(iso)), F.col(seq))
+    out = df.groupBy(*key).agg(
+        F.min_by(F.struct(*rest), seq).alias("r"), F.coalesce(F.min_by(own, dated), F.min_by(own, seq)).alias("d"),
+        F.coalesce(F.min_by(url, F.when(full(F.col(url)), F.col(seq))), F.min_by(url, seq)).alias(url), F.array_join(F.array_sort(F.collect_set(source)), ",").alias(source), F.min(seq).alias(seq),
+    )
+    return out.select("company_key", "title_key", "r.*", "d.*", url, source, seq)
+
+
+def people(df: DataFrame, name: str, seq: str, source: str) -> DataFrame:
+    """People merged whose names have the same letters (k); names without any go. Columns take their first value that is
+    not blank; sources are united."""
+    keyed = df.withColumn("k", F.regexp_replace(F.lower(F.coalesce(F.col(name), F.lit(""))), "[^a-z]+", "")).where("k <> ''")
+    rest = [c for c in df.columns if c not in (seq, source)]
+    return keyed.groupBy("k").agg(*[F.min_by(c, F.when(full(F.col(c)), F.col(seq))).alias(c) for c in rest], F.array_join(F.array_sort(F.collect_set(F.when(full(F.col(source)), F.col(source)))), ",").alias(source), F.min(seq).alias(seq))
+
+
+def source_quality(score: Column, text: Column, domain: Column, url: Column) -> Column:
+    """How far a posting is to be preferred among its duplicates. score: its authenticity."""
+    from ..functions import urls as U
+
+    h, d = U.host(url), F.lower(F.coalesce(domain, F.lit("")))
+    own = (h != "") & (d != "") & ((h == d) | h.endswith(F.concat(F.lit("."), d)))
+    some = lambda c, n: F.when(F.coalesce(c, F.lit("")) != "", n).otherwise(0)
+    return F.coalesce(score, F.lit(0)) + F.least(F.floor(F.length(F.coalesce(text, F.lit(""))) / 300), F.lit(12)).cast("int") + some(domain, 10) + some(url, 8) + F.when(own, 12).otherwise(0)
+
+
 def best_by(df: DataFrame, key: str, confidence: str, order: str) -> DataFrame:
     """The row of highest confidence of each key, the first of equals."""
     rest = [c for c in df.columns if c != key]

@@ -69,6 +69,134 @@ def unpivot_people(df: DataFrame, keys: list[str], n: int = 3, fields: tuple[str
     return df.select(*keys, F.explode(F.array(*people)).alias("p")).select(*keys, "p.*").where(F.trim(F.coalesce(F.col(fields[0].lower()), F.lit(""))) != "")
 
 
+def flat_people(nested: DataFrame, keys: list[str], people: str, status: str, wanted: str = "accepted") -> DataFrame:
+    """People nested in rows of a wanted status (null counts as it) as a row each, with their place in the list; lists in
+    their fields become text."""
+    from pyspark.sql.types import ArrayType
+
+    fields = nested.schema[people].dataType.elementType.fields
+    p = nested.where(F.coalesce(status, F.lit(wanted)) == wanted).select(*keys, F.posexplode(people).alias("place", "p"))
+    return p.select(*keys, "place", *[(F.array_join(f"p.{f.name}", ";") if isinstance(f.dataType, ArrayType) else F.col(f"p.{f.name}")).alias(f.name) for f in fields])
+
+
+def import_text(df: DataFrame, text: str, columns: list[str], required: list[str], key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of pasted CSV text by its header in any case: (rows that have every required column, per key the number
+    taken and skipped). Quotes may hold commas, not newlines."""
+    lines = F.filter(F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\r\n?", "\n"), "\n"), lambda x: F.trim(x) != "")
+    cell = r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'
+    cells = lambda x: F.transform(F.regexp_extract_all(x, F.lit(cell), F.lit(1)), lambda v: F.trim(F.replace(F.regexp_replace(v, '^"|"$', ""), F.lit('""'), F.lit('"'))))
+    rows = df.select(key, cells(F.get(lines, F.lit(0))).alias("h"), F.posexplode(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))).alias("n", "line"))
+    names = F.transform("h", lambda x: F.lower(F.regexp_replace(x, "^\ufeff", "")))
+    got = rows.select(key, "n", cells(F.col("line")).alias("c"), names.alias("h"))
+    pick = lambda c: F.coalesce(F.get("c", F.array_position("h", F.lit(c)).cast("int") - 1), F.lit(""))
+    got = got.select(key, "n", *[pick(c).alias(c) for c in columns])
+    ok = F.lit(True)
+    for c in required:
+        ok = ok & (F.col(c) != "")
+    got = got.withColumn("ok", ok)
+    return got.where("ok").drop("ok"), got.groupBy(key).agg(F.count_if("ok").alias("taken"), F.count_if(~F.col("ok")).alias("skipped"))
+
+
+def keyed_last(side: DataFrame, key: str, seq: str) -> DataFrame:
+    """A side file's rows as a table by key: the last row of each counts."""
+    from ..operators.merge import last_by
+
+    return last_by(side.where(F.col(key).isNotNull()), [key], [F.col(seq)])
+
+
+def append_json(df: DataFrame, path: str) -> None:
+    """More rows of a JSON side table; rows there stay as they are."""
+    df.write.mode("append").json(path)
+
+
+def replaced(df: DataFrame, path: str) -> None:
+    """A Parquet table whole or not at all: written beside its place and moved there; a reader sees the old or the new."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place, made, old = (jvm.org.apache.hadoop.fs.Path(path + x) for x in ("", ".new", ".old"))
+    fs = place.getFileSystem(conf)
+    fs.delete(made, True)
+    df.write.parquet(path + ".new")
+    fs.delete(old, True)
+    if fs.exists(place):
+        fs.rename(place, old)
+    fs.rename(made, place)
+    fs.delete(old, True)
+
+
+def reports(spark: SparkSession, path: str, schema: str, lists: list[str]) -> DataFrame:
+    """Reports of a folder, a JSON object a file: their fields, lists as text, and the file's stem."""
+    r = spark.read.schema(schema).option("multiLine", True).json(path)
+    stem = F.regexp_extract(F.input_file_name(), r"([^/]+)_match_report\.json$", 1)
+    return r.withColumn("stem", stem).withColumns({c: F.array_join(F.coalesce(F.col(c), F.array().cast("array<string>")), ", ") for c in lists})
+
+
+def registry(df: DataFrame, fields: dict[str, list[str]], first: str) -> DataFrame:
+    """A registry's fields by the first of their possible headers that has a value, in any case; the field `first` falls
+    back to the first column. Rows without it go."""
+    have = {c.strip().lower(): c for c in df.columns}
+
+    def pick(names: list[str]) -> Column:
+        found = [T.blank_to_null(F.col(f"`{have[n.lower()]}`").cast("string")) for n in names if n.lower() in have]
+        return F.coalesce(*found) if found else F.lit(None).cast("string")
+
+    cols = {f: pick(names) for f, names in fields.items()}
+    cols[first] = F.coalesce(cols[first], T.blank_to_null(F.col(f"`{df.columns[0]}`").cast("string")))
+    return df.select(*[c.alias(f) for f, c in cols.items()]).where(F.col(first).isNotNull())
+
+
+def embedded_json(df: DataFrame, html: str, marker: str, schema: str, name: str = "data") -> DataFrame:
+    """Pages with the object that a script assigns to a marker, parsed; null where there is none or it does not parse."""
+    import re
+
+    blob = F.regexp_extract(F.coalesce(F.col(html), F.lit("")), r"(?s)" + re.escape(marker) + r"\s*=\s*(\{.*?\});\s*</script>", 1)
+    return df.withColumn(name, F.from_json(F.nullif(blob, F.lit("")), schema))
+
+
+#: Cards of a result page, and their fields.
+CARD = r'(?is)<article[^>]*data-automation="normalJob"[^>]*>(.*?)</article>'
+CARD_FIELDS = {"role_title": "jobTitle", "company_name": "jobCompany", "location": "jobLocation", "posted_relative": "jobListingDate"}
+
+
+def article_cards(df: DataFrame, html: str) -> DataFrame:
+    """Rows of a result page whose cards are articles; cards without a company go."""
+    card = F.explode(F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(CARD), F.lit(1))).alias("card")
+    keep = [c for c in df.columns if c != html]
+    c = df.select(*keep, card)
+    fields = [F.trim(F.regexp_extract("card", rf'data-automation="{mark}"[^>]*>([^<]+)<', 1)).alias(f) for f, mark in CARD_FIELDS.items()]
+    return c.select(*keep, *fields, F.regexp_extract("card", r'href="(/job/[^"]+)"', 1).alias("path")).where("company_name <> ''")
+
+
+def documents_text(spark: SparkSession, path: str) -> DataFrame:
+    """Texts of a folder's .txt, .md and .docx files: path and text; other files give null."""
+    import io
+    import re
+    import zipfile
+    from collections.abc import Iterator
+    from html import unescape
+
+    import pyarrow as pa
+
+    def text(name: str, raw: bytes) -> str | None:
+        if re.search(r"\.(txt|md)$", name, re.I):
+            return raw.decode("utf-8", "replace")
+        if not re.search(r"\.docx$", name, re.I):
+            return None
+        try:
+            xml = zipfile.ZipFile(io.BytesIO(raw)).read("word/document.xml").decode("utf-8", "replace")
+        except (zipfile.BadZipFile, KeyError):
+            return None
+        paragraphs = re.findall(r"<w:p[ >].*?</w:p>", xml, re.S)
+        return "\n".join(unescape("".join(re.findall(r"<w:t(?: [^>]*)?>(.*?)</w:t>", re.sub(r"<w:tab/>", "<w:t>\t</w:t>", p), re.S))) for p in paragraphs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([text(p, r) for p, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], pa.string())], names=["path", "text"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    return files.mapInArrow(run, "path string, text string")
+
+
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.input_file_name())
 
