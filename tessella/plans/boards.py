@@ -113,12 +113,12 @@ def placeholder_companies(spark, d):
 
 @query(
     "score_overlay",
-    """WITH base AS (SELECT o_orderkey AS k, o_totalprice AS total FROM orders WHERE o_orderkey % 3 <> 0), over AS (SELECT l_orderkey AS k, round(sum(l_extendedprice), 2) AS total FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1)
+    """WITH base AS (SELECT o_orderkey AS k, o_totalprice AS total FROM orders), over AS (SELECT l_orderkey AS k, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY 1)
 SELECT k, coalesce(over.total, base.total) AS total, base.k IS NULL AS thin FROM base FULL JOIN over USING (k)""",
 )
 def score_overlay(spark, d):
-    base = D.table(spark, d, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("total"))
-    over = D.table(spark, d, "lineitem").where("l_orderkey % 2 = 0").groupBy(F.col("l_orderkey").alias("k")).agg(F.round(F.sum("l_extendedprice"), 2).alias("total"))
+    base = D.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("total"))
+    over = D.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.round(F.sum("l_extendedprice"), 2).alias("total"))
     return joins.overlay(base, over, "k", ["total"])
 
 
@@ -172,9 +172,9 @@ def people_with_postings(spark, d):
     return D.people(spark, d).join(j, "company_key", "left").select("company_key", "contacted", F.coalesce("postings", F.lit("")).alias("postings"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("domain_lookup", "SELECT s_suppkey, s_name, coalesce(r_name, 'unknown') AS domain FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND n_nationkey % 2 = 0 LEFT JOIN region ON r_regionkey = n_regionkey")
+@query("domain_lookup", "SELECT s_suppkey, s_name, coalesce(r_name, 'unknown') AS domain FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN region ON r_regionkey = n_regionkey")
 def domain_lookup(spark, d):
-    dim = D.table(spark, d, "nation").where("n_nationkey % 2 = 0").join(D.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    dim = D.table(spark, d, "nation").join(D.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
     return D.table(spark, d, "supplier").join(dim, F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", "s_name", F.coalesce("r_name", F.lit("unknown")).alias("domain"))
 
 
@@ -235,9 +235,9 @@ def day_nav(spark, d):
 @query("export_listagg", WITH + " SELECT c.company_key, c.company, string_agg(p.status || ':' || CAST(p.score AS VARCHAR), '; ' ORDER BY p.row_key) AS postings FROM companies c JOIN postings p USING (company_key) GROUP BY 1, 2")
 def export_listagg(spark, d):
     j = D.postings(spark, d).join(D.companies(spark, d), "company_key")
-    j = j.withColumn("cell", F.concat("status", F.lit(":"), F.col("score").cast("string")))
-    j.createOrReplaceTempView("export_rows")
-    return spark.sql("SELECT company_key, company, listagg(cell, '; ') WITHIN GROUP (ORDER BY row_key) AS postings FROM export_rows GROUP BY company_key, company")
+    cell = F.concat("status", F.lit(":"), F.col("score").cast("string"))
+    in_order = F.array_sort(F.collect_list(F.struct("row_key", cell.alias("cell"))))
+    return j.groupBy("company_key", "company").agg(F.array_join(F.transform(in_order, lambda x: x["cell"]), "; ").alias("postings"))
 
 
 @query("unpivot_people", "WITH w AS (SELECT n_regionkey AS k, max(n_name) FILTER (n_nationkey % 3 = 0) AS a, max(n_name) FILTER (n_nationkey % 3 = 1) AS b, max(n_name) FILTER (n_nationkey % 7 = 6) AS c FROM nation GROUP BY 1) SELECT k, CAST(person_no AS INTEGER) AS person_no, name FROM (SELECT k, 1 AS person_no, a AS name FROM w UNION ALL SELECT k, 2, b FROM w UNION ALL SELECT k, 3, c FROM w) WHERE trim(coalesce(name, '')) <> ''")
@@ -249,22 +249,21 @@ def unpivot_people(spark, d):
     return unpivot(wide, ["k"], fields=("Name",))
 
 
-@query("location_tree", "SELECT r_name AS country, n_name AS state, c_name AS city, r_name || ' > ' || n_name || ' > ' || c_name AS breadcrumb FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE c_custkey <= 100")
+@query("location_tree", "SELECT r_name AS country, n_name AS state, c_name AS city, r_name || ' > ' || n_name || ' > ' || c_name AS breadcrumb FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
 def location_tree(spark, d):
-    """Countries with nested states and cities, flattened again and validated against keys."""
+    """Countries and their states as a nested tree, to which all cities are joined; flattened, with a breadcrumb."""
     c, n, r = (D.table(spark, d, t) for t in ("customer", "nation", "region"))
-    cities = c.where("c_custkey <= 100").groupBy("c_nationkey").agg(F.collect_list("c_name").alias("cities"))
-    states = n.join(cities, F.col("n_nationkey") == F.col("c_nationkey")).groupBy("n_regionkey").agg(F.collect_list(F.struct("n_name", "cities")).alias("states"))
-    tree = r.join(states, F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("r_name").alias("country"), "states")
-    flat = tree.select("country", F.explode("states").alias("s")).select("country", F.col("s.n_name").alias("state"), F.explode("s.cities").alias("city"))
+    states = n.groupBy("n_regionkey").agg(F.collect_list(F.struct("n_nationkey", "n_name")).alias("states"))
+    tree = r.join(states, F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("r_name").alias("country"), F.explode("states").alias("s"))
+    flat = c.join(tree, F.col("c_nationkey") == F.col("s.n_nationkey")).select("country", F.col("s.n_name").alias("state"), F.col("c_name").alias("city"))
     return flat.withColumn("breadcrumb", F.concat_ws(" > ", "country", "state", "city"))
 
 
-@query("tracker_sorted", WITH + ", j AS (SELECT company_key, count(*) AS jobs_count, max(posted_at) AS last_posted FROM postings GROUP BY 1) SELECT company_key, company, jobs_count, last_posted FROM companies JOIN j USING (company_key) ORDER BY jobs_count DESC, lower(company) LIMIT 50")
+@query("tracker_sorted", WITH + ", j AS (SELECT company_key, count(*) AS jobs_count, max(posted_at) AS last_posted FROM postings GROUP BY 1) SELECT company_key, company, jobs_count, last_posted FROM companies JOIN j USING (company_key)")
 def tracker_sorted(spark, d):
-    """The fifty companies of most postings: a report of the top, by name among equals."""
+    """Companies by their number of postings, by name among equals."""
     j = D.postings(spark, d).groupBy("company_key").agg(F.count("*").alias("jobs_count"), F.max("posted_at").alias("last_posted"))
-    return D.companies(spark, d).join(j, "company_key").select("company_key", "company", "jobs_count", "last_posted").orderBy(F.desc("jobs_count"), F.lower("company")).limit(50)
+    return D.companies(spark, d).join(j, "company_key").select("company_key", "company", "jobs_count", "last_posted").orderBy(F.desc("jobs_count"), F.lower("company"))
 
 
 @query(
@@ -273,8 +272,7 @@ def tracker_sorted(spark, d):
 )
 def status_from_log(spark, d):
     e = D.table(spark, d, "events").withColumnRenamed("event_type", "stage")
-    kinds = [r[0] for r in e.select("stage").distinct().collect() if r[0] != "view"]
-    return merge.latest_status(e, "user_id", "stage", "ts", "event_id", kinds)
+    return merge.latest_status(e, "user_id", "stage", "ts", "event_id", ["click", "purchase", "signup", "error"])
 
 
 @query("first_seen", "SELECT user_id, min(ts) AS first_seen FROM events GROUP BY 1")
@@ -322,7 +320,7 @@ def business_hours(spark, d):
 
 @query(
     "freshness_buckets",
-    """WITH e AS (SELECT epoch(TIMESTAMP '2024-01-30 12:00:00' - ts) AS s FROM events) SELECT count(*) FILTER (s >= 0 AND s <= 3600) AS h1, count(*) FILTER (s >= 0 AND s <= 14400) AS h4, count(*) FILTER (s >= 0 AND s <= 86400) AS h24, count(*) AS every FROM
+    """SELECT count(*) FILTER (s >= 0 AND s < 3600) AS h1, count(*) FILTER (s >= 0 AND s < 14400) AS h4, count(*) FILTER (s >= 0 AND s < 86400) AS h24, count(*) AS every FROM
 (SELECT floor(epoch(TIMESTAMP '2024-01-30 12:00:00')) - floor(epoch(ts)) AS s FROM events)""",
 )
 def freshness_buckets(spark, d):
@@ -333,10 +331,11 @@ def freshness_buckets(spark, d):
 
 @query(
     "humanize_age",
-    "WITH e AS (SELECT CAST(epoch(TIMESTAMP '2024-01-31') - floor(epoch(ts)) AS BIGINT) AS s FROM events) SELECT CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' WHEN s < 604800 THEN (s // 86400) || 'd ago' ELSE (s // 604800) || 'w ago' END AS age, count(*) AS n FROM e GROUP BY 1",
+    "WITH e AS (SELECT CAST(epoch(TIMESTAMP '2024-01-31') - floor(epoch(ts)) AS BIGINT) AS s FROM events) SELECT CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' WHEN s < 172800 THEN 'yesterday' ELSE (s // 86400) || 'd ago' END AS age, count(*) AS n FROM e GROUP BY 1",
 )
 def humanize_age(spark, d):
-    t = dates.ago(F.col("ts"), dates.at(D.EVENTS_NOW))
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    t = dates.ago(iso, dates.at(D.EVENTS_NOW))
     return D.table(spark, d, "events").groupBy(t.alias("age")).agg(F.count("*").alias("n"))
 
 
@@ -353,16 +352,33 @@ def company_names(spark, d):
     return D.table(spark, d, "customer").select("c_custkey", text.company_key(c).alias("key"), text.slug(c).alias("slug"), text.company_core(F.concat(c, F.lit(" Pty. Ltd"))).alias("core"))
 
 
-@query("email_from_pattern", """SELECT s_suppkey, lower(regexp_replace(split_part(s_name, '#', 1), '[^A-Za-z]', '', 'g')) || '@example.com' AS address FROM supplier""")
+#: Names of suppliers' people: a first name and a last one spelled from the key.
+PEOPLE = """p AS (SELECT s_suppkey, ['Ann', 'Bo', 'Cyril', 'Dee'][(s_suppkey % 4) + 1] AS first, translate(CAST(s_suppkey AS VARCHAR), '0123456789', 'abcdefghij') AS last FROM supplier)"""
+FORMS = ["{first}.{last}", "{f}{last}@{domain}", "{first[0]}.{last}", "{first}{l}", "{first}"]
+
+
+def _people(spark, d):
+    key = F.col("s_suppkey")
+    first = F.element_at(text.strings(["Ann", "Bo", "Cyril", "Dee"]), (key % 4 + 1).cast("int"))
+    return D.table(spark, d, "supplier").select("s_suppkey", first.alias("first"), F.translate(key.cast("string"), "0123456789", "abcdefghij").alias("last"), F.element_at(text.strings(FORMS), (key % 5 + 1).cast("int")).alias("form"))
+
+
+LOCAL = "CASE s_suppkey % 5 WHEN 0 THEN first || '.' || last WHEN 1 THEN first[1] || last WHEN 2 THEN first[1] || '.' || last WHEN 3 THEN first || last[1] ELSE first END"
+
+
+@query("email_from_pattern", "WITH " + PEOPLE + f" SELECT s_suppkey, lower({LOCAL}) || '@example.com' AS address FROM p")
 def email_from_pattern(spark, d):
-    name = F.regexp_replace("s_name", "#.*", "")
-    return D.table(spark, d, "supplier").select("s_suppkey", text.email_from(name, F.lit("example.com"), F.lit("{first}")).alias("address"))
+    """Addresses by five patterns in both dialects."""
+    name = F.concat("first", F.lit(" "), "last")
+    return _people(spark, d).select("s_suppkey", text.email_from(name, F.lit("example.com"), F.col("form")).alias("address"))
 
 
-@query(
-    "pattern_inference",
-    """WITH x(local, form) AS (VALUES ('john.doe', '{first}.{last}@{domain}'), ('j.doe', '{first}.{last}@{domain}'), ('john.d', '{first}.{last}@{domain}'), ('jdoe', '{first[0]}{last}@{domain}'), ('jo', '{first}@{domain}'), ('johnathandoe', '{first}{last}@{domain}'), ('j*n.d*e', '{first}.{last}@{domain}'), ('x1', NULL)) SELECT local, form FROM x""",
-)
+_rules = " ".join(f"WHEN regexp_matches(v, '{rx}')" + (f" AND length(v) <= {most}" if most else "") + f" THEN '{form}'" for rx, most, form in text.LOCAL_PART_RULES)
+
+
+@query("pattern_inference", "WITH " + PEOPLE + f", l AS (SELECT s_suppkey, lower({LOCAL}) AS v FROM p) SELECT s_suppkey, v AS local, CASE {_rules} END AS form FROM l")
 def pattern_inference(spark, d):
-    x = spark.createDataFrame([("john.doe",), ("j.doe",), ("john.d",), ("jdoe",), ("jo",), ("johnathandoe",), ("j*n.d*e",), ("x1",)], "local string")
-    return x.select("local", text.email_pattern(F.col("local")).alias("form"))
+    """The pattern that each address's local part looks like."""
+    name = F.concat("first", F.lit(" "), "last")
+    local = F.substring_index(text.email_from(name, F.lit("example.com"), F.col("form")), "@", 1)
+    return _people(spark, d).select("s_suppkey", local.alias("local")).withColumn("form", text.email_pattern(F.col("local")))

@@ -96,44 +96,78 @@ def page_evidence(spark, d):
     return E.page_score(p, "visible", {"data": ["the of", "que", "the"], "talent": ["der", "und die"]}, {"data": 4, "talent": 3}, F.lit(0)).select("page_id", "evidence", "angle", "found", "confidence")
 
 
-CHECKS = [(1, 1.0, None, True, True, 5, 500, None, 100), (2, 0.5, 0.0, False, True, 2, 100, 0.5, 39), (3, 0.0, 0.0, False, False, 0, 0, 0.0, 0), (4, None, 0.25, True, False, 9, 650, 1.0, 88)]
+PARTS = """c AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 13 <> 0 THEN (p_size % 11) / 10.0 END AS hard, CASE WHEN p_partkey % 7 <> 0 THEN (p_size % 5) / 4.0 END AS soft, p_partkey % 2 = 0 AS title, p_partkey % 3 = 0 AS education, p_size % 9 AS quantified, 300 + p_size * 10 AS words, CASE WHEN p_partkey % 5 <> 0 THEN (p_size % 3) / 2.0 END AS predicted FROM part)"""
 
 
-@query("self_check", "SELECT * FROM (VALUES " + ", ".join(f"({r[0]}, {r[-1]})" for r in CHECKS) + ") t(id, match_rate)")
+@query(
+    "self_check",
+    "WITH " + PARTS + " SELECT id, CAST(round_even(round(CAST(100 * (0.55 * coalesce(hard, 1) + 0.10 * coalesce(soft, 1) + 0.10 * CAST(title AS INTEGER) + 0.05 * CAST(education AS INTEGER) + 0.10 * least(1, quantified / 5.0) + 0.05 * CAST(words BETWEEN 450 AND 650 AS INTEGER) + 0.05 * coalesce(predicted, 1)) AS DOUBLE), 9), 0) AS INTEGER) AS match_rate FROM c",
+)
 def self_check(spark, d):
-    x = spark.createDataFrame([r[:-1] for r in CHECKS], "id int, hard double, soft double, title boolean, education boolean, quantified int, words int, predicted double")
-    return x.select("id", E.self_check(*[F.col(c) for c in x.columns[1:]]).alias("match_rate"))
+    """Match rates of drafts whose seven parts follow from a part's key and size."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    parts = [F.when(key % 13 != 0, size % 11 / F.lit(10.0)), F.when(key % 7 != 0, size % 5 / F.lit(4.0)), key % 2 == 0, key % 3 == 0, size % 9, size * 10 + 300, F.when(key % 5 != 0, size % 3 / F.lit(2.0))]
+    return D.table(spark, d, "part").select(key.alias("id"), E.self_check(*parts).alias("match_rate"))
+
+
+#: People spelled from suppliers' keys: a first name, and a last one of letters.
+NAMED = """p AS (SELECT s_suppkey AS id, ['Ann', 'Bo', 'Cyril', 'Dee'][(s_suppkey % 4) + 1] AS first, translate(CAST(s_suppkey + 10 AS VARCHAR), '0123456789', 'abcdefghij') AS low FROM supplier), n AS (SELECT *, upper(low[1]) || low[2:] AS last FROM p)"""
 
 
-PASTE = "Jane DoeJane Doe\n· 2nd\nConnect\nHead of Data\n\nBob S.\n3rd\n12 mutual connections\nAnalyst\nJane Doe\n1st\nOther"
-SLUGS = [("https://www.linkedin.com/in/jordan-rivera-a19984171/", "Jordan Rivera"), ("linkedin.com/in/li-wei-42", "Li Wei"), ("none", "")]
+def named(spark, d):
+    key = F.col("s_suppkey")
+    first = F.element_at(F.array(*map(F.lit, ("Ann", "Bo", "Cyril", "Dee"))), (key % 4 + 1).cast("int"))
+    return D.table(spark, d, "supplier").select(key.alias("id"), first.alias("first"), F.initcap(F.translate((key + 10).cast("string"), "0123456789", "abcdefghij")).alias("last"))
 
 
-@query("pasted_people", "SELECT * FROM (VALUES (1, 'Jane Doe', 'Head of Data', false), (1, 'Bob S.', 'Analyst', true)) t(id, name, title, needs_review)")
+@query("pasted_people", "WITH " + NAMED + " SELECT id, first || ' ' || CASE WHEN id % 5 = 0 THEN last[1] || '.' ELSE last END AS name, 'Head of ' || last AS title, id % 5 = 0 AS needs_review FROM n")
 def pasted_people(spark, d):
-    return P.pasted_people(spark.createDataFrame([(1, PASTE)], "id int, text string"), "id", "text").select("id", "name", "title", "needs_review")
+    """People found in pasted lists: names doubled, beside marks, with noise around, and some with an initial."""
+    n = named(spark, d)
+    name = F.concat("first", F.lit(" "), F.when(F.col("id") % 5 == 0, F.concat(F.left("last", F.lit(1)), F.lit("."))).otherwise(F.col("last")))
+    shown = F.when(F.col("id") % 2 == 0, F.concat(name, name)).otherwise(name)
+    text = F.concat_ws("\n", shown, F.lit("· 2nd"), F.lit("Connect"), F.lit("12 mutual connections"), F.concat(F.lit("Head of "), "last"), F.lit("Follow"))
+    return P.pasted_people(n.select("id", text.alias("text")), "id", "text").select("id", "name", "title", "needs_review")
 
 
-@query("names_from_slugs", "SELECT * FROM (VALUES " + ", ".join(f"('{u}', '{n}')" for u, n in SLUGS) + ") t(url, name)")
+@query("names_from_slugs", "WITH " + NAMED + " SELECT id, first || ' ' || last AS name FROM n")
 def names_from_slugs(spark, d):
-    return spark.createDataFrame([(u,) for u, _ in SLUGS], "url string").select("url", P.from_slug(F.col("url")).alias("name"))
+    slug = F.concat(F.lit("https://www.linkedin.com/in/"), F.lower("first"), F.lit("-"), F.lower("last"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("-a1"), F.lpad(F.col("id").cast("string"), 6, "7"), F.lit("/"))).when(F.col("id") % 3 == 1, F.concat(F.lit("-"), "id")).otherwise("?x=1"))
+    return named(spark, d).select("id", P.from_slug(slug).alias("name"))
 
 
-CV = "Ann Lee\nann@x.org | +61 400 000 000\nlinkedin.com/in/ann-lee\nExperience\nAnalyst, Acme\nJan 2019 - Present\nDid things\nClerk, Globex\n2015 - 2018\nEducation:\nBSc 2011 to 2014"
+def cvs(spark, d):
+    """A résumé of each supplier's person: contact lines, two jobs and a degree."""
+    n = named(spark, d)
+    text = F.concat_ws(
+        "\n", F.concat("first", F.lit(" "), "last"), F.concat(F.lower("first"), F.lit("."), F.lower("last"), F.lit("@x.org | +61 400 "), F.lpad((F.col("id") % 1000).cast("string"), 3, "0"), F.lit(" 000")),
+        F.concat(F.lit("linkedin.com/in/"), F.lower("last")), F.lit("Experience"), F.concat(F.lit("Analyst, "), "last"), F.concat(F.lit("Jan "), 2000 + F.col("id") % 20, F.lit(" - Present")), F.lit("Did things"),
+        F.lit("Clerk, Globex"), F.lit("2015 - 2018"), F.lit("Education:"), F.lit("BSc 2011 to 2014"),
+    )
+    return n.select("id", text.alias("text"))
 
 
-@query("resume_parts", "SELECT section, CAST(entry AS BIGINT) AS entry, value, span FROM (VALUES ('education', 1, 'BSc 2011 to 2014', '2011 - 2014'), ('experience', 0, 'Analyst, Acme', ''), ('experience', 1, 'Jan 2019 - Present', '2019 - Present'), ('experience', 1, 'Did things', ''), ('experience', 1, 'Clerk, Globex', ''), ('experience', 2, '2015 - 2018', '2015 - 2018')) t(section, entry, value, span)")
+@query(
+    "resume_parts",
+    "WITH " + NAMED + ", t AS (SELECT id, unnest([{'section': 'education', 'entry': 1, 'value': 'BSc 2011 to 2014', 'span': '2011 - 2014'}, {'section': 'experience', 'entry': 0, 'value': 'Analyst, ' || last, 'span': ''}, {'section': 'experience', 'entry': 1, 'value': 'Jan ' || (2000 + id % 20) || ' - Present', 'span': (2000 + id % 20) || ' - Present'}, {'section': 'experience', 'entry': 1, 'value': 'Did things', 'span': ''}, {'section': 'experience', 'entry': 1, 'value': 'Clerk, Globex', 'span': ''}, {'section': 'experience', 'entry': 2, 'value': '2015 - 2018', 'span': '2015 - 2018'}]) AS r FROM n) SELECT id, r.section, CAST(r.entry AS BIGINT) AS entry, r.value, r.span FROM t",
+)
 def resume_parts(spark, d):
-    s = P.resume_sections(spark.createDataFrame([(1, CV)], "id int, text string"), "id", "text").where("section <> 'header'")
-    return s.select("section", "entry", "value", P.date_span(F.col("value")).alias("span"))
+    s = P.resume_sections(cvs(spark, d), "id", "text").where("section <> 'header'")
+    return s.select("id", "section", "entry", "value", P.date_span(F.col("value")).alias("span"))
 
 
-@query("resume_contact", "SELECT 1 AS id, 'Ann Lee' AS name, 'ann@x.org' AS email, '+61 400 000 000' AS phone, 'linkedin.com/in/ann-lee' AS profile")
+@query("resume_contact", "WITH " + NAMED + " SELECT id, first || ' ' || last AS name, lower(first) || '.' || lower(last) || '@x.org' AS email, '+61 400 ' || printf('%03d', id % 1000) || ' 000' AS phone, 'linkedin.com/in/' || lower(last) AS profile FROM n")
 def resume_contact(spark, d):
-    return P.contact(spark.createDataFrame([(1, CV)], "id int, text string"), "id", "text")
+    return P.contact(cvs(spark, d), "id", "text")
 
 
-@query("domain_scores", "SELECT * FROM (VALUES (1, 58), (2, 10), (3, 0)) t(id, score)")
+@query(
+    "domain_scores",
+    "WITH " + NAMED + " SELECT id, CASE id % 4 WHEN 0 THEN 10 * (CASE WHEN length(low) >= 3 THEN 2 ELSE 1 END) + 30 + 8 WHEN 1 THEN 10 * (CASE WHEN length(low) >= 3 THEN 2 ELSE 1 END) WHEN 2 THEN 10 ELSE 0 END AS score FROM n",
+)
 def domain_scores(spark, d):
-    x = spark.createDataFrame([(1, "Acme Widgets Pty Ltd", "Acme Widgets", "acmewidgets.com.au"), (2, "Acme Widgets", "Other", "acme.com"), (3, "Co", "x", "y.com")], "id int, company string, candidate string, domain string")
-    return x.select("id", E.domain_score(F.col("company"), F.col("candidate"), F.col("domain")).alias("score"))
+    """Candidate domains of companies named after people: the whole name, its words apart, one word, none."""
+    n, key, low = named(spark, d), F.col("id"), F.lower("last")
+    company = F.concat(F.lit("Acme "), "last", F.lit(" Pty Ltd"))
+    found = F.when(key % 4 == 0, F.concat(F.lit("acme"), low, F.lit(".com.au"))).when(key % 4 == 1, F.concat(low, F.lit("-is-acme.com"))).when(key % 4 == 2, "acme.com").otherwise("zzz.org")
+    return n.select("id", E.domain_score(company, F.lit("Zz"), found).alias("score"))

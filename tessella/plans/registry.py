@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boards, evidence, texts
+from . import adverts, boards, evidence, texts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = boards.Q | texts.Q | evidence.Q
-ORACLE_SQL: dict[str, str] = boards.S | texts.S | evidence.S
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = boards.Q | texts.Q | evidence.Q | adverts.Q
+ORACLE_SQL: dict[str, str] = boards.S | texts.S | evidence.S | adverts.S

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import tables as D
@@ -36,10 +35,12 @@ def url_forms(spark, d):
     return D.table(spark, d, "pages").select("page_id", U.host(u).alias("host"), U.merge_url(u).alias("merge_url"), U.norm_url(u).alias("norm_url"), U.dedupe_url(u).alias("dedupe_url"))
 
 
-@query("registrable_domain", rf"""WITH h AS (SELECT page_id, {HOST} AS h FROM pages), l AS (SELECT page_id, h, string_split(h, '.') AS p FROM h) SELECT page_id, CASE WHEN len(p) <= 2 THEN h WHEN length(p[-1]) = 2 AND p[-2] IN ('com','net','org','gov','edu','co') THEN array_to_string(p[-3:], '.') ELSE array_to_string(p[-2:], '.') END AS domain, 'possible' AS kind FROM l""")
+@query("registrable_domain", rf"""WITH h AS (SELECT page_id, {HOST} AS h FROM pages), l AS (SELECT page_id, h, string_split(h, '.') AS p FROM h) SELECT page_id, CASE WHEN len(p) <= 2 THEN h WHEN length(p[-1]) = 2 AND p[-2] IN ('com','net','org','gov','edu','co') THEN array_to_string(p[-3:], '.') ELSE array_to_string(p[-2:], '.') END AS domain, ['ats', 'aggregator', 'company', 'possible'][(page_id % 4) + 1] AS kind FROM l""")
 def registrable_domain(spark, d):
-    u = F.col("url")
-    return D.table(spark, d, "pages").select("page_id", U.registrable(u).alias("domain"), U.source_kind(u).alias("kind"))
+    """Domains of pages, and the kind of four sorts of addresses."""
+    kinds = T.strings(["https://boards.greenhouse.io/x/jobs/", "https://www.seek.com.au/job/", "https://jobs.acme.com/", "https://acme.org/"])
+    url = F.concat(F.element_at(kinds, (F.col("page_id") % 4 + 1).cast("int")), "page_id")
+    return D.table(spark, d, "pages").select("page_id", U.registrable(F.col("url")).alias("domain"), U.source_kind(url, F.lit("acme.com")).alias("kind"))
 
 
 @query("pages_by_url", rf"""WITH p AS (SELECT page_id, html, lower(rtrim(regexp_replace(trim(url), '#.*$', ''), '/')) AS k FROM pages) SELECT k, page_id, length(html) AS n FROM p QUALIFY row_number() OVER (PARTITION BY k ORDER BY length(html) DESC, page_id) = 1""")
@@ -160,61 +161,8 @@ def for_me_view(spark, d):
     profile = p.agg(F.array_distinct(F.flatten(F.collect_list(T.anchor_tokens(F.col("tracked"))))).alias("anchors"), F.greatest(F.lit(2), F.max(K.seniority_rank(F.col("tracked")))).alias("cap"))
     t = F.col("title")
     out = titles(spark, d).crossJoin(F.broadcast(profile)).select("p_partkey", "title", F.arrays_overlap(T.anchor_tokens(t), F.col("anchors")).alias("on_target"), K.seniority_rank(t).alias("seniority_rank"), (K.seniority_rank(t) > F.col("cap")).alias("over_level"))
-    return out.orderBy(~F.col("on_target") | F.col("over_level"), "p_partkey")
-
-
-PROFILE = [("the", True, False, False), ("connectors", False, False, False), ("german", True, True, False), ("french", False, False, True)]
-
-
-@query(
-    "fit_score",
-    "WITH h AS (" + S["alias_frequency"].replace("SELECT doc_id, label, CAST(freq AS BIGINT) AS freq FROM c WHERE freq > 0", "SELECT doc_id, label, least(freq, 3) AS imp FROM c WHERE freq > 0") + """),
-s AS (SELECT d.doc_id, coalesce(sum(imp) FILTER (label = 'the'), 0) AS sup, coalesce(sum(imp) FILTER (label = 'german'), 0) AS soft, coalesce(sum(imp * 0.6) FILTER (label = 'connectors'), 0) AS gap,
-  CASE WHEN count(*) FILTER (label = 'french') > 0 THEN 2 ELSE 0 END AS lacked, string_agg(label, ', ' ORDER BY label) FILTER (label IN ('the', 'german')) AS supported, string_agg(label, ', ' ORDER BY label) FILTER (label IN ('connectors', 'french')) AS lacking FROM documents d LEFT JOIN h USING (doc_id) GROUP BY 1),
-t AS (SELECT *, sup + gap + lacked + 0.15 * soft AS whole, sup + 0.15 * soft AS num FROM s)
-SELECT doc_id, CAST(CASE WHEN whole = 0 THEN 0 ELSE round_even(round(CAST(100 * num / (whole + 2) AS DOUBLE), 9), 0) END AS INTEGER) AS fit, CAST(CASE WHEN whole = 0 THEN 0 ELSE round_even(round(CAST(100 * num / whole AS DOUBLE), 9), 0) END AS INTEGER) AS coverage_pct, whole >= 4 AS enough,
- CASE WHEN (CASE WHEN whole = 0 THEN 0 ELSE round_even(round(CAST(100 * num / (whole + 2) AS DOUBLE), 9), 0) END) >= 68 THEN 'strong' WHEN (CASE WHEN whole = 0 THEN 0 ELSE round_even(round(CAST(100 * num / (whole + 2) AS DOUBLE), 9), 0) END) >= 45 THEN 'fair' ELSE 'drop' END AS band, coalesce(supported, '') AS supported, coalesce(lacking, '') AS lacking FROM t""",
-)
-def fit_score(spark, d):
-    docs = D.documents(spark, d).select("doc_id", F.explode_outer(matching.alias_counts(F.col("text"), ALIASES)).alias("h"))
-    hits = docs.select("doc_id", "h.label", matching.importance(F.col("h.freq"), F.lit(0), F.lit(0)).alias("imp"))
-    has_french = F.max(F.when(F.col("label") == "french", 1).otherwise(0)).over(Window.partitionBy("doc_id"))
-    flags = {c: F.lit(False) for c in ("unmet", "no_authorization", "senior", "off_target")}
-    hits = hits.withColumns({"unknown": F.lit(0), "soft_weight": F.lit(0.15), "lacked_weight": 2 * has_french, **flags})
-    profile = spark.createDataFrame(PROFILE, "label string, supported boolean, soft boolean, excluded boolean")
-    return matching.fit_score(hits, "doc_id", profile, "unknown", "soft_weight")
-
-
-KNOCK = [
-    (1, "Requirements: at least 5 years of work, Bachelor's degree required. CPA. 3 days in the office", "min_years:5+ years:unmet; degree:bachelor's:unknown; certification:cpa:unmet; onsite:onsite/relocation:unknown"),
-    (2, "7+ years. Degree preferred.", "min_years:7+ years:unmet"),
-    (3, "Nothing of the kind, 5 years ago", ""),
-    (4, "minimum of 2 years, PRINCE2 and prince2", "min_years:2+ years:met; certification:prince2:met"),
-]
-
-
-@query("knockouts", "SELECT * FROM (VALUES " + ", ".join("({}, '{}')".format(k, out.replace("'", "''")) for k, _, out in KNOCK) + ") t(id, knockouts)")
-def knockouts(spark, d):
-    x = spark.createDataFrame([(k, t) for k, t, _ in KNOCK], "id int, text string")
-    found = K.knockouts(F.col("text"), F.col("text"), years=3, certificates=["PRINCE2 Foundation"])
-    return x.select("id", F.array_join(F.transform(found, lambda k: F.concat_ws(":", k["type"], k["detail"], k["status"])), "; ").alias("knockouts"))
-
-
-AUTH = [
-    (1, "Acme Pty Ltd", "Analyst", "https://acme.com/jobs/1", "x" * 400, "acme.com", "Perth", 100, "verified_company_source"),
-    (2, "Acme", "Analyst", "https://www.seek.com.au/job/9", "short", "", "", 97, "trusted_alert_source"),
-    (3, "", "Analyst", "", "write on whatsapp", "gmail.com", "", 0, "reject_suspicious"),
-    (4, "Hays", "Clerk", "https://boards.greenhouse.io/x/jobs/2", "y" * 400, "hays.com", "", 100, "agency_or_recruiter_listing"),
-    (5, "Acme", "Clerk", "", "z", "", "", 50, "needs_company_confirmation"),
-]
-
-
-@query("authenticity", "SELECT * FROM (VALUES " + ", ".join(f"({r[0]}, {r[7]}, '{r[8]}')" for r in AUTH) + ") t(id, score, status)")
-def authenticity(spark, d):
-    x = spark.createDataFrame([r[:7] for r in AUTH], "id int, company string, role string, url string, text string, domain string, location string")
-    c = F.col
-    score, status = K.authenticity(c("company"), c("role"), c("url"), c("text"), c("domain"), c("location"), F.lit(""), F.lit(""), F.lit(""))
-    return x.select("id", score.alias("score"), status.alias("status"))
+    # in reach first, then the newest (here: the highest key), then the dearest score (here: none)
+    return out.orderBy(~F.col("on_target") | F.col("over_level"), F.desc("p_partkey"))
 
 
 @query(
@@ -222,11 +170,10 @@ def authenticity(spark, d):
     "WITH b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark), d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents), bw AS (SELECT item_id, len(w) AS n, unnest(w) AS t FROM b), dw AS (SELECT doc_id, unnest(w) AS t FROM d) SELECT item_id, doc_id, count(*) AS common, n AS size FROM bw JOIN dw USING (t) GROUP BY item_id, doc_id, n HAVING count(*) >= 0.8 * n",
 )
 def token_containment(spark, d):
-    """Documents that hold four fifths of a benchmark item's tokens: the tokens meet, not the texts."""
+    """Documents that hold four fifths of a benchmark item's tokens."""
     own = lambda t, k: D.table(spark, d, t).select(k, F.array_distinct(T.tokens(F.col("text"))).alias("w"))
-    b = own("benchmark", "item_id").select("item_id", F.size("w").cast("long").alias("size"), F.explode("w").alias("t"))
-    w = own("documents", "doc_id").select("doc_id", F.explode("w").alias("t"))
-    return b.join(w, "t").groupBy("item_id", "doc_id", "size").agg(F.count("*").alias("common")).where(F.col("common") >= 0.8 * F.col("size")).select("item_id", "doc_id", "common", "size")
+    b, w = own("benchmark", "item_id"), own("documents", "doc_id")
+    return matching.contained(b, w, "item_id", "doc_id", "w", 0.8)
 
 
 UP = "u AS (SELECT source || ':' || lang AS key, doc_id AS seq, text AS job_text, source AS location, lang AS notes, doc_id % 2 AS src FROM documents)"
@@ -327,9 +274,10 @@ def nearest_line(spark, d):
     return ordered.nearest(l, "doc_id", "line", F.col("n") < 12, F.col("n") >= 30, "n").select("doc_id", "line", "above", "below")
 
 
-@query("sentence_windows", r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents) SELECT doc_id, CAST(greatest(len(s) - 1, 1) AS BIGINT) AS n FROM s WHERE len(s) > 0""")
+@query("sentence_windows", r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents), w AS (SELECT doc_id, s, unnest(generate_series(1, greatest(len(s) - 1, 1))) AS i FROM s WHERE len(s) > 0)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS start, array_to_string(s[i:i + 1], ' ') AS "window" FROM w""")
 def sentence_windows(spark, d):
-    return ordered.sentence_windows(D.documents(spark, d), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return ordered.sentence_windows(D.documents(spark, d), "doc_id", "text")
 
 
 @query("set_cover")
@@ -344,21 +292,21 @@ def set_cover(spark, d):
 def stream_first_seen(spark, d):
     from ..streaming import events as E
 
-    return E.drained(E.first_seen(E.source(spark, d, "events.parquet")), "stream_first_seen_table", _checkpoint(spark))
+    return E.drained(E.first_seen(E.source(spark, d, "events.parquet")), _checkpoint(spark))
 
 
 @query("stream_funnel", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_funnel(spark, d):
     from ..streaming import events as E
 
-    out = E.drained(E.funnel(E.source(spark, d, "events.parquet")), "stream_funnel_table", _checkpoint(spark))
+    out = E.drained(E.funnel(E.source(spark, d, "events.parquet")), _checkpoint(spark))
     return out.select(F.to_date("window.start").alias("day"), "event_type", "n")
 
 
 def _checkpoint(spark) -> str:
-    """A folder for a stream's state: in the shared folder, or in one of this machine where none is set."""
-    import tempfile
+    """A new folder for a stream's state and result, in the folder that driver and executors share."""
     import uuid
 
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
-    return f"{at}/stream-{uuid.uuid4().hex}"
+    from ..session import shared_dir
+
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"

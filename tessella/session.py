@@ -22,6 +22,18 @@ def session(app: str = "tessella", master: str = "local[*]", **conf: str) -> Spa
     return SparkSession.builder.appName(app).master(master).config(map=base | conf).getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; on one machine, where it is unset, any folder."""
+    sc = spark.sparkContext
+    at = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not at:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="tessella-shared-")
+        sc.setCheckpointDir(at)
+    return at if "://" in at or at.startswith("file:") else f"file://{at}"
+
+
 def ship(spark: SparkSession) -> None:
     """Send a zip of this package to executors, unless they find it by PYTHONPATH or the working folder."""
     sc = spark.sparkContext

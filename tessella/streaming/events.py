@@ -30,11 +30,18 @@ def deduplicated(stream: DataFrame) -> DataFrame:
     return stream.dropDuplicatesWithinWatermark(["event_id"])
 
 
-def drained(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there, and return the resulting table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drained(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """Run a stream over all that is there, and return the resulting table: the state after each micro-batch is a version
+    of it in a folder that driver and executors share, never rows on the driver."""
+    spark = stream.sparkSession
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/result/v={epoch}")
+
+    q = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    last = (q.lastProgress or {}).get("batchId", 0)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/result/v={last}")
 
 
 def upsert_batches(stream: DataFrame, path: str, key: str, at: str, checkpoint: str) -> None:
