@@ -1,10 +1,14 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Candidates are ordered by length and cut into buckets of consecutive vectors; a bucket is one packed row. Query
-blocks meet groups of buckets on a grid, so each task holds one group and one block whatever the input. A query's
-running k-th score and the lengths give its local cosine threshold in a bucket: below 0 bounds nothing can be
-pruned by angle and the bucket is cut by length alone; at a high threshold the feasible range of the query's
-largest coordinates cuts it. What is left is verified by exact integer products.
+Candidates are ordered by length and cut into buckets of consecutive vectors; a bucket is one packed row, and buckets
+of like length (a level) are dealt to cells of bounded size. Thresholds come first: the longest bucket of each common
+dimension, of fixed size, goes to all queries, and the k-th best score there is what a candidate must reach, so a
+query needs no bucket whose longest vector is shorter than that score over its own length. Queries are dealt to blocks
+by this need, and a block is sent to the levels that it needs and no others; a task holds one cell and one block.
+
+There a query's running k-th score and the lengths give its local cosine threshold in a bucket: below 0 nothing can be
+pruned by angle and the bucket is cut by length alone; at a high threshold the feasible range of the query's largest
+coordinates cuts it. What is left is verified by exact integer products.
 
 Defined results: vectors that are null, empty, hold null or non-finite components or have a null id take no part;
 only vectors of equal dimension meet; repeated ids are rows of their own, except that no row with the query's id is
@@ -27,7 +31,12 @@ BUCKET = 2048
 #: Local cosine threshold from which coordinates prune better than lengths.
 COORDINATE_FROM = 0.85
 FOCUS = 3
-PACKED = "ids binary, vectors binary, n int, dim int, longest double"
+#: Levels of length a doubling, vectors of a cell, and queries of a block.
+LEVELS, CELL, BLOCK = 8, 16384, 16384
+#: Dimensions of which the longest bucket goes to all queries.
+COMMON = 8
+NONE = -(2**62)
+PACKED = "ids binary, vectors binary, least binary, n int, dim int, level int, longest double"
 
 
 def scaled(scale: float):
@@ -58,25 +67,29 @@ def scaled(scale: float):
 
 
 def pack(size: int):
-    """Arrow function: consecutive rows of equal dimension as one packed row of at most size vectors."""
+    """Arrow function over (id, v, dim, norm, level, least): consecutive rows of equal dimension and level as one packed
+    row of at most size vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        held: dict[tuple[int, int], list] = {}
 
-        def packed(dim: int) -> pa.RecordBatch:
-            rows = held.pop(dim)
-            ids = np.array([r[0] for r in rows], np.int64).tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([ids], pa.binary()), pa.array([b"".join(r[1] for r in rows)], pa.binary()), pa.array([len(rows)], pa.int32()), pa.array([dim], pa.int32()), pa.array([max(r[2] for r in rows)])], names=["ids", "vectors", "n", "dim", "longest"])
+        def packed(at: tuple[int, int]) -> pa.RecordBatch:
+            rows = held.pop(at)
+            ids, least = (np.array([r[c] for r in rows], np.int64).tobytes() for c in (0, 3))
+            row = [[ids], [b"".join(r[1] for r in rows)], [least], [len(rows)], [at[0]], [at[1]], [max(r[2] for r in rows)]]
+            kinds = [pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds)], names=["ids", "vectors", "least", "n", "dim", "level", "longest"])
 
         for b in batches:
-            for i, v, dim, norm in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                held.setdefault(dim, []).append((i, v, norm))
-                if len(held[dim]) == size:
-                    yield packed(dim)
-        for dim in sorted(held):
-            yield packed(dim)
+            for i, v, dim, norm, level, least in zip(*[b.column(c).to_pylist() for c in range(6)]):
+                rows = held.setdefault((dim, level), [])
+                rows.append((i, v, norm, least))
+                if len(rows) == size:
+                    yield packed((dim, level))
+        for at in sorted(held):
+            yield packed(at)
 
-    return run
+    return C.lean(run)
 
 
 def unpacked(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,37 +104,44 @@ def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 class Best:
-    """The k best of each query so far."""
+    """The k best of each query so far. least: scores that are known to be reached."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, least: np.ndarray):
         self.ids, self.v, self.k = ids, vectors, k
         self.norm = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1))
         self.unit = vectors / np.maximum(self.norm, 1e-300)[:, None]
         self.focus = np.argsort(-np.abs(self.unit), axis=1, kind="stable")[:, :FOCUS]
-        self.top: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
-        self.least = np.full(len(ids), -np.inf)
-
-    def offer(self, q: int, ids: np.ndarray, score: np.ndarray, bound: bool = False) -> None:
-        near = (score >= self.least[q]) & (ids != self.ids[q])
-        if not near.any():
+        self.score = np.full((len(ids), k), NONE)
+        self.who = np.zeros((len(ids), k), np.int64)
+        self.least = least.copy()
+
+    def offer(self, rows: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        """Scores of some queries (rows) with some candidates (columns)."""
+        r, c = np.nonzero((score >= self.least[rows][:, None]) & (ids[None, :] != self.ids[rows][:, None]))
+        if not len(r):
             return
-        s, i = np.concatenate((self.top[q][0], score[near])), np.concatenate((self.top[q][1], ids[near]))
-        order = np.lexsort((i, -s))[: self.k]
-        if not bound:
-            self.top[q] = s[order], i[order]
-        if len(order) == self.k:
-            self.least[q] = max(self.least[q], s[order[-1]])
-
-    def search(self, ids: np.ndarray, c: np.ndarray, bound: bool = False) -> None:
-        """Offer a bucket's vectors, longest first. bound: only learn thresholds from them."""
+        touched = np.unique(rows[r])
+        q = np.concatenate((rows[r], np.repeat(touched, self.k)))
+        s = np.concatenate((score[r, c], self.score[touched].ravel()))
+        i = np.concatenate((ids[c], self.who[touched].ravel()))
+        by = np.lexsort((i, -s, q))
+        q, s, i = q[by], s[by], i[by]
+        start = np.searchsorted(q, touched)
+        at = start[:, None] + np.arange(self.k)
+        self.score[touched], self.who[touched] = s[at], i[at]
+        self.least[touched] = np.maximum(self.least[touched], self.score[touched, self.k - 1])
+
+    def search(self, ids: np.ndarray, c: np.ndarray) -> None:
+        """Offer a bucket's vectors, longest first."""
         norm = np.sqrt((c.astype(np.float64) ** 2).sum(axis=1))
         order = np.argsort(-norm, kind="stable")
         ids, c, norm = ids[order], c[order], norm[order]
         limit = self.norm * norm[0] * (1 + 1e-9) + 1e-6
+        least = np.where(self.least > NONE, self.least.astype(np.float64), -np.inf)
         with np.errstate(divide="ignore", invalid="ignore"):
-            cosine = np.where(limit > 0, self.least / limit, -np.inf)
-        live = np.flatnonzero(limit >= self.least)
-        by_angle = live[cosine[live] >= COORDINATE_FROM] if not bound else live[:0]
+            cosine = np.where(limit > 0, least / limit, -np.inf)
+        live = np.flatnonzero(limit >= least)
+        by_angle = live[cosine[live] >= COORDINATE_FROM]
         by_length = np.setdiff1d(live, by_angle, assume_unique=True)
         if len(by_angle):
             unit = c / np.maximum(norm, 1e-300)[:, None]
@@ -136,53 +156,81 @@ class Best:
                         keep &= unit[:, f] <= x * t + slack
                 at = np.flatnonzero(keep)
                 if len(at):
-                    self.offer(q, ids[at], products(self.v[q : q + 1], c[at])[0])
+                    self.offer(np.array([q]), ids[at], products(self.v[q : q + 1], c[at]))
         for lo in range(0, len(by_length), 256):
             some = by_length[lo : lo + 256]
-            most = int(np.searchsorted(-norm, -np.min(np.where(self.norm[some] > 0, (self.least[some] - 1e-6) / np.maximum(self.norm[some], 1e-300) * (1 - 1e-9), -np.inf)), "right"))
-            score = products(self.v[some], c[:most])
-            for row, q in enumerate(some):
-                self.offer(q, ids[:most], score[row], bound)
+            with np.errstate(invalid="ignore"):
+                need = np.where(self.norm[some] > 0, (least[some] - 1e-6) / np.maximum(self.norm[some], 1e-300) * (1 - 1e-9), -np.inf)
+            most = int(np.searchsorted(-norm, -np.min(need), "right"))
+            self.offer(some, ids[:most], products(self.v[some], c[:most]))
 
 
-def search(vectors: DataFrame, key: str, vector: str, query: Column, k: int = 10, scale: float = 1024.0, bucket: int = BUCKET, per_group: int = 4, query_block: int = 8192) -> DataFrame:
+def thresholds(longest, k: int):
+    """Arrow function over (id, v, dim, norm): the k-th best score of each query in the longest bucket of its dimension,
+    and the length that a candidate must have to reach it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {dim: unpacked(ids, vec, dim) for dim, ids, vec in longest.value}
+        for b in batches:
+            ids, dims, norm = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 2, 3))
+            least = np.full(len(ids), NONE)
+            for dim in np.unique(dims):
+                if dim not in known or len(known[dim][0]) < k:
+                    continue
+                who, vec = known[dim]
+                mine = np.flatnonzero(dims == dim)
+                for lo in range(0, len(mine), 256):
+                    at = mine[lo : lo + 256]
+                    q = np.frombuffer(b"".join(b.column(1).take(pa.array(at)).to_pylist()), np.int64).reshape(-1, dim)
+                    score = np.where(who[None, :] != ids[at][:, None], products(q, vec), NONE)
+                    least[at] = np.partition(score, len(who) - k, axis=1)[:, len(who) - k]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                need = np.where((least > 0) & (norm > 0), (least - 1e-6) / norm * (1 - 1e-9), 0.0)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.zeros(len(ids), np.int32)), pa.array(least), pa.array(need)], names=["id", "v", "dim", "norm", "level", "least", "need"])
+
+    return C.lean(run)
+
+
+def search(vectors: DataFrame, key: str, vector: str, query: Column, k: int = 10, scale: float = 1024.0, bucket: int = BUCKET, cell: int = CELL, block: int = BLOCK) -> DataFrame:
     """The k best candidates of every row for which query holds: query_id, rank, vec_id, score."""
     spark: SparkSession = vectors.sparkSession
     C.ship(spark)
-    ints = C.written(vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(query, F.lit(False)).alias("q")).mapInArrow(scaled(scale), "id long, v binary, dim int, norm double, query boolean"), "vectors")
+    ints = C.written(vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(query, F.lit(False)).alias("q")).mapInArrow(C.lean(scaled(scale)), "id long, v binary, dim int, norm double, query boolean"), "vectors")
     total, asked = ints.agg(F.count("*"), F.count_if("query")).first()
     n = max(1, min(C.parts(spark), -(-total // bucket)))
-    buckets = C.written(ints.select("id", "v", "dim", "norm").repartitionByRange(n, F.desc("norm"), "id").sortWithinPartitions(F.desc("norm"), "id").mapInArrow(pack(bucket), PACKED).withColumn("no", F.monotonically_increasing_id()), "buckets")
-    longest = [tuple(r) for r in buckets.orderBy(F.desc("longest"), "no").limit(1).select("ids", "vectors", "dim").collect()]
-    first = spark.sparkContext.broadcast(longest)
-    groups, blocks = max(1, -(-(total // bucket + n) // per_group)), max(1, -(-asked // query_block))
-    asks = ints.where("query").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).select("id", "v", "dim", "norm", "block")
-    # queries are few enough to pack by block: at most about query_block rows of one block meet in a task
-    asks = asks.repartition(blocks, "block").sortWithinPartitions("block", "id")
-    asks = asks.select("id", "v", "dim", "norm").mapInArrow(pack(1024), PACKED).withColumn("block", F.pmod(F.xxhash64("ids"), F.lit(blocks)).cast("int"))
+    level = F.coalesce(F.floor(F.log2(F.nullif("norm", F.lit(0.0))) * LEVELS).cast("int"), F.lit(-(2**30)))
+    ordered = ints.select("id", "v", "dim", "norm", level.alias("level"), F.lit(NONE).alias("least")).repartitionByRange(n, F.desc("norm"), "id").sortWithinPartitions(F.desc("norm"), "id")
+    buckets = C.written(ordered.mapInArrow(pack(bucket), PACKED).withColumn("no", F.monotonically_increasing_id()), "buckets")
+    levels = buckets.groupBy("dim", "level").agg(F.max("longest").alias("longest"), F.ceil(F.sum("n") / cell).cast("int").alias("cells"))
+    longest = buckets.groupBy("dim").agg(F.sum("n").alias("n"), F.max_by(F.struct("ids", "vectors"), F.struct("longest", -F.col("no"))).alias("b")).orderBy(F.desc("n"), "dim").limit(COMMON)
+    first = spark.sparkContext.broadcast([(r["dim"], bytes(r["b"]["ids"]), bytes(r["b"]["vectors"])) for r in longest.collect()])
+    blocks = max(1, -(-asked // block))
+    asks = ints.where("query").select("id", "v", "dim", "norm").mapInArrow(thresholds(first, k), "id long, v binary, dim int, norm double, level int, least long, need double")
+    asks = C.written(asks.repartitionByRange(blocks, "need", "id").withColumn("block", F.spark_partition_id()), "queries")
+    # the levels that hold a vector long enough for some query of a block
+    needs = asks.groupBy("dim", "block").agg(F.min("need").alias("need"))
+    meets = C.written(needs.join(levels, "dim").where(F.col("longest") >= F.col("need")).select("dim", "block", "level", "cells"), "meets")
+    packed = asks.repartition(blocks, "block").sortWithinPartitions("block", "need", "id").select("id", "v", "dim", "norm", F.col("block").alias("level"), "least").mapInArrow(pack(1024), PACKED).withColumnRenamed("level", "block")
+    columns = ["dim", "level", "cell", "block", "query", "ids", "vectors", "least", "longest"]
     grid = (
-        buckets.withColumn("g", F.pmod(F.col("no").bitwiseXOR(F.shiftright("no", 33)), F.lit(groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("g", "block", F.lit(False).alias("query"), "ids", "vectors", "dim", "longest")
-        .unionByName(asks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("g", "block", F.lit(True).alias("query"), "ids", "vectors", "dim", "longest"))
+        buckets.join(meets, ["dim", "level"]).withColumn("cell", F.pmod(F.xxhash64("no"), F.col("cells")).cast("int")).withColumn("query", F.lit(False)).select(*columns)
+        .unionByName(packed.join(meets, ["dim", "block"]).withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).withColumn("query", F.lit(True)).select(*columns))
     )
 
     def meet(t: pa.Table) -> pa.Table:
         rows = sorted(t.to_pylist(), key=lambda r: -r["longest"])
         out: list[list[np.ndarray]] = [[], [], []]
         for a in (r for r in rows if r["query"]):
-            best = Best(*unpacked(a["ids"], a["vectors"], a["dim"]), k)
-            for ids, vec, dim in first.value:
-                if dim == a["dim"]:
-                    best.search(*unpacked(ids, vec, dim), bound=True)
-            for c in (r for r in rows if not r["query"] and r["dim"] == a["dim"]):
+            best = Best(*unpacked(a["ids"], a["vectors"], a["dim"]), k, np.frombuffer(a["least"], np.int64))
+            for c in (r for r in rows if not r["query"]):
                 best.search(*unpacked(c["ids"], c["vectors"], c["dim"]))
-            for q, (s, i) in zip(best.ids, best.top):
-                out[0].append(np.full(len(i), q))
-                out[1].append(i)
-                out[2].append(s)
+            some = best.score > NONE
+            for o, v in zip(out, (np.repeat(best.ids, k).reshape(-1, k), best.who, best.score)):
+                o.append(v[some])
         cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
-        return pa.table({"query_id": cols[0].astype(np.int64), "vec_id": cols[1].astype(np.int64), "score": cols[2].astype(np.int64)})
+        return pa.table({"query_id": cols[0], "vec_id": cols[1], "score": cols[2]})
 
-    found = grid.groupBy("g", "block").applyInArrow(meet, "query_id long, vec_id long, score long")
+    found = grid.groupBy("dim", "level", "cell", "block").applyInArrow(meet, "query_id long, vec_id long, score long")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

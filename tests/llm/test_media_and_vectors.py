@@ -185,7 +185,7 @@ def test_topk(spark):
     rows += [(5000 + i, base[3].tolist()) for i in range(200)]
     rows += [(None, [1.0] * 8), (9001, None), (9100, [float("nan")] + [0.0] * 7), (9200, []), (9300, [0.0] * 8), (9400, [1.0, None]), (9500, [2.0, 3.0]), (9501, [1.0, 1.0])]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = topk_search.search(d, "vec_id", "embedding", F.col("vec_id") % 100 == 0, bucket=64, per_group=2, query_block=8)
+    got = topk_search.search(d, "vec_id", "embedding", F.col("vec_id") % 100 == 0, bucket=64, cell=128, block=8)
     assert sorted(map(tuple, got.collect())) == brute(rows)
     assert topk_search.search(d.limit(0), "vec_id", "embedding", F.col("vec_id") % 100 == 0).count() == 0
 
