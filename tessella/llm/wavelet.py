@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
@@ -29,6 +29,8 @@ MAGIC = b"TWM1"
 BLOCK = 1 << 18  # bits
 #: Ids of one shard at most, but for a single longer document.
 SHARD = 6_000_000
+#: Blocks of a shard that stay unpacked between lookups, 48 KB each.
+KEPT = 256
 END = 0
 
 
@@ -74,7 +76,7 @@ class Wavelet:
         self.head = json.loads(self.unpack.decompress(raw[12 : 12 + size]))
         self.raw, self.base = memoryview(raw), 12 + size
         self.n, self.levels = self.head["n"], self.head["levels"]
-        self.kept: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        self.kept: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}  # the last used last
 
     def _part(self, where: list[int]) -> bytes:
         return self.unpack.decompress(self.raw[self.base + where[0] : self.base + where[0] + where[1]])
@@ -86,36 +88,75 @@ class Wavelet:
         return np.frombuffer(self._part(self.head["ends"]), np.int64)
 
     def _block(self, level: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """A block's bits, and its ones before each position."""
+        """A block's bits as 64-bit words, and its ones before each word; the KEPT blocks last used stay unpacked."""
         if (level, b) not in self.kept:
-            n = min(BLOCK, self.n - b * BLOCK)
-            bits = np.unpackbits(np.frombuffer(self._part(self.head["planes"][level]["blocks"][b]), np.uint8), bitorder="little", count=n)
-            self.kept[level, b] = bits, np.concatenate(([0], np.cumsum(bits, dtype=np.int64)))
+            raw = self._part(self.head["planes"][level]["blocks"][b])
+            words = np.frombuffer(raw + bytes(-len(raw) % 8), "<u8")
+            before = np.zeros(len(words) + 1, np.uint32)
+            np.cumsum(np.bitwise_count(words), out=before[1:])
+            while len(self.kept) >= KEPT:
+                self.kept.pop(next(iter(self.kept)))
+            self.kept[level, b] = words, before
+        else:
+            self.kept[level, b] = self.kept.pop((level, b))
         return self.kept[level, b]
 
+    def _ranks(self, level: int, i: np.ndarray) -> np.ndarray:
+        """Ones among the first i bits of a plane, for each i."""
+        rank, size = self.head["planes"][level]["rank"], self.head["block"]
+        out = np.array(rank, np.int64)[i // size]
+        inner = np.flatnonzero(i % size)
+        if len(inner):
+            by = inner[np.argsort(i[inner] // size, kind="stable")]
+            cut = np.flatnonzero(np.diff(i[by] // size)) + 1
+            for at in np.split(by, cut):
+                words, before = self._block(level, int(i[at[0]] // size))
+                place = i[at] % size
+                w = np.minimum(place >> 6, len(words) - 1)
+                # place may be the end of the last word
+                mask = np.where(place >> 6 > w, ~np.uint64(0), (np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1))
+                out[at] += before[w] + np.bitwise_count(words[w] & mask)
+        return out
+
     def _rank(self, level: int, i: int) -> int:
-        """Ones among the first i bits of a plane."""
-        b = i // BLOCK
-        before = self.head["planes"][level]["rank"][b]
-        return before if i % BLOCK == 0 else before + int(self._block(level, b)[1][i % BLOCK])
+        return int(self._ranks(level, np.array([i]))[0])
 
     def _select(self, level: int, bit: int, k: int) -> int:
         """Position of the k-th (from 0) bit of this kind in a plane."""
+        size = self.head["block"]
         ones = np.array(self.head["planes"][level]["rank"])
-        have = ones if bit else np.minimum(np.arange(len(ones)) * BLOCK, self.n) - ones
+        have = ones if bit else np.minimum(np.arange(len(ones)) * size, self.n) - ones
         b = int(np.searchsorted(have, k, "right")) - 1
-        return b * BLOCK + int(np.flatnonzero(self._block(level, b)[0] == bit)[k - have[b]])
-
-    def access(self, i: int) -> int:
-        """The id at position i."""
-        x = 0
+        words, before = self._block(level, b)
+        inside = before if bit else np.arange(len(before)) * 64 - before.astype(np.int64)
+        w = int(np.searchsorted(inside, k - have[b], "right")) - 1
+        bits = np.unpackbits(words[w : w + 1].view(np.uint8), bitorder="little")
+        return b * size + w * 64 + int(np.flatnonzero(bits == bit)[k - have[b] - inside[w]])
+
+    def accesses(self, i: np.ndarray) -> np.ndarray:
+        """The ids at these positions."""
+        i, x = i.astype(np.int64), np.zeros(len(i), np.int64)
         for level in range(self.levels):
-            bit = int(self._block(level, i // BLOCK)[0][i % BLOCK])
-            ones = self._rank(level, i)
-            i = self.head["planes"][level]["zeros"] + ones if bit else i - ones
+            ones = self._ranks(level, i)
+            bit = self._ranks(level, i + 1) - ones
+            i = np.where(bit > 0, self.head["planes"][level]["zeros"] + ones, i - ones)
             x = x << 1 | bit
         return x
 
+    def counts(self, tokens: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """How often each token occurs among its positions lo to hi."""
+        lo, hi = lo.astype(np.int64), hi.astype(np.int64)
+        for level in range(self.levels):
+            a, b = self._ranks(level, lo), self._ranks(level, hi)
+            zeros = self.head["planes"][level]["zeros"]
+            one = tokens >> (self.levels - 1 - level) & 1 > 0
+            lo, hi = np.where(one, zeros + a, lo - a), np.where(one, zeros + b, hi - b)
+        return np.where(tokens >> self.levels > 0, 0, hi - lo)
+
+    def access(self, i: int) -> int:
+        """The id at position i."""
+        return int(self.accesses(np.array([i]))[0])
+
     def _range(self, token: int, lo: int, hi: int) -> tuple[int, int]:
         """Where the occurrences of a token among positions lo to hi end up below the last plane."""
         if token >> self.levels:
@@ -204,11 +245,14 @@ def writer(folder: str, tokenizer: str, name: str):
         if keys:
             yield flush()
 
-    return run
+    return C.lean(run)
+
+
+ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def reader(folder: str):
-    """Arrow function over (file, start): a row for each document of the shards."""
+def reader(folder: str, lookups: bool):
+    """Arrow function over (file, start): a row for each document of the shards. lookups: also by access and rank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = filesystem(folder)
@@ -219,9 +263,13 @@ def reader(folder: str):
                 ids, ends = w.ids().astype("<u4"), w.ends()
                 begin = np.concatenate(([0], ends[:-1]))
                 sums = [C.crc(ids[x:y]) for x, y in zip(begin.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(w.doc_ids()), pa.array(begin + start), pa.array(ends - begin), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                cols = {"doc_id": pa.array(w.doc_ids()), "start": pa.array(begin + start), "n_tokens": pa.array(ends - begin), "ids_crc32": pa.array(sums, pa.int64())}
+                if lookups:
+                    first = w.accesses(begin)
+                    cols |= {"first_id": pa.array(first), "n_first": pa.array(w.counts(first, begin, ends))}
+                yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-    return run
+    return C.lean(run)
 
 
 def write(docs: DataFrame, key: str, text: str, tokenizer: str | None = None, name: str = "byte_bpe_50k.json") -> tuple[str, DataFrame]:
@@ -235,21 +283,21 @@ def write(docs: DataFrame, key: str, text: str, tokenizer: str | None = None, na
     folder = f"{C.shared_dir(spark)}/wavelet-{uuid.uuid4().hex}"
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("k is not null")
     ordered = rows.repartitionByRange(C.parts(spark), "k").sortWithinPartitions("k")
-    meta = C.written(ordered.mapInArrow(writer(folder, tokenizer, name), "part long, shard long, file string, docs long, ids long, bytes long"), "shards").collect()
-    out, start = [], 0
-    for r in sorted(meta, key=lambda r: (r["part"], r["shard"])):
-        out.append((r["file"], start, r["docs"], r["ids"], r["bytes"]))
-        start += r["ids"]
-    return folder, spark.createDataFrame(out, "file string, start long, docs long, ids long, bytes long")
+    meta = C.written(ordered.mapInArrow(writer(folder, tokenizer, name), "part long, shard long, file string, docs long, ids long, bytes long"), "shards")
+    # ids before a shard: those of the parts before it, of which there are as many as tasks, and those before it in its part
+    parts = meta.groupBy("part").agg(F.sum("ids").alias("n"))
+    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    own = F.sum("ids").over(Window.partitionBy("part").orderBy("shard")) - F.col("ids")
+    return folder, meta.join(before, "part").select("file", (F.col("before") + own).alias("start"), "docs", "ids", "bytes")
 
 
-def read_back(folder: str, shards: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document in the shards' files."""
-    spark = shards.sparkSession
-    n = max(1, min(C.parts(spark), shards.count()))
-    return shards.select("file", "start").repartition(n).mapInArrow(reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+def read_back(folder: str, shards: DataFrame, lookups: bool = False) -> DataFrame:
+    """Of every document in the shards' files: doc_id, start, n_tokens and ids_crc32. lookups: also its first id, and how
+    often that occurs in it, by access and rank."""
+    n = C.parts(shards.sparkSession)
+    return shards.select("file", "start").repartition(n).mapInArrow(reader(folder, lookups), ROWS + (", first_id long, n_first long" if lookups else ""))
 
 
 def op10_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, from the shards' files."""
-    return read_back(*write(C.read(spark, sf_dir, "documents"), "doc_id", "text"))
+    return read_back(*write(C.read(spark, sf_dir, "documents"), "doc_id", "text"), lookups=True)
