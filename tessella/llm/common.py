@@ -7,6 +7,7 @@ hashes and n-grams are computed by numpy over that array, so no Python code runs
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -27,22 +28,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on executors where the caller has not, and keep Arrow batches of long texts small."""
+    """Make this package importable on executors where the caller has not, and keep Arrow batches of long texts small.
+
+    The batch setting is read when a plan runs, so it cannot be taken back here; a caller's own value is left alone.
+    """
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     session.ship(spark)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not at:
-        import tempfile
-
-        at = tempfile.mkdtemp(prefix="tessella-shared-")
-        sc.setCheckpointDir(at)
-    return at if "://" in at or at.startswith("file:") else f"file://{at}"
+shared_dir = session.shared_dir
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -52,6 +47,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(spark: SparkSession) -> None:
+    """Let go of what finished queries have left on disk: Spark deletes the shuffle files of plans that nobody holds."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -65,21 +66,24 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def fold(key: str = "doc_id", mod: int = 4) -> Column:
-    """crc32 of the key as text, modulo mod."""
+    """crc32 of the key as text, modulo mod; null for a null key, which is in no fold."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % mod
 
 
 def append_columns(df: DataFrame, fields: str, make: Callable[[pa.RecordBatch], list]) -> DataFrame:
-    """df with more columns: make returns the arrays of the new columns for a batch. fields: their DDL."""
+    """df with more columns: make returns the arrays of the new columns for a batch. fields: their DDL. As with
+    withColumn, columns of df with these names are replaced; make still sees them."""
     from pyspark.sql.types import StructType, _parse_datatype_string
 
     more = _parse_datatype_string(fields)
-    schema = StructType([*df.schema.fields, *more.fields])
+    names = {f.name.lower() for f in more.fields}
+    keep = [i for i, c in enumerate(df.columns) if c.lower() not in names]
+    schema = StructType([*[df.schema.fields[i] for i in keep], *more.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([*b.columns, *make(b)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], *make(b)], names=schema.names)
 
     return df.mapInArrow(lean(run), schema)
 
@@ -212,11 +216,15 @@ def labels(spark: SparkSession, n: int) -> np.ndarray:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of the links (a, b): root is the smallest node reachable.
 
-    Large-star and small-star turns until nothing changes; each turn is written to the shared folder.
+    Large-star and small-star turns until every node hangs on one root and no root on another; each turn is written to
+    the shared folder.
     """
     e = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    e, before = written(e, "links"), None
+    e = written(e, "links")
     while True:
+        ends = e.select(F.col("u").alias("n"), F.lit(1).alias("up")).unionByName(e.select(F.col("v").alias("n"), F.lit(0).alias("up")))
+        if not ends.groupBy("n").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where("ups > 1 or (ups = 1 and least = 0)").limit(1).count():
+            break
         sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -224,8 +232,4 @@ def components(links: DataFrame) -> DataFrame:
         both = large.join(low, "u")
         small = both.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         e = written(small, "links")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if now == before:
-            break
-        before = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

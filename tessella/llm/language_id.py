@@ -24,6 +24,8 @@ from . import common as C
 BUCKETS = 1 << 16
 DIM = 12
 UNDETERMINED = "und"
+#: Characters of the longest text that is learned from.
+SAMPLE_CHARS = 200_000
 
 _FOLD = np.full(256, 32, np.uint32)
 _FOLD[97:123] = np.arange(97, 123)
@@ -148,14 +150,18 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 4.
 
 
 def sample(docs: DataFrame, text: str, lang: str, key: str, where: Column, per_lang: int) -> tuple[list[str], list[str]]:
-    """About per_lang labelled rows of each language at most, picked by a hash of the key; the bound is the parameter."""
-    labelled = docs.where(where & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    """About per_lang labelled rows of each language at most, picked by a hash of the key; the bound is the parameter.
+
+    Texts of over SAMPLE_CHARS characters are not learned from, and where one key has many rows, twice the bound are
+    taken: what the driver holds follows from these bounds alone.
+    """
+    labelled = docs.where(where & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.char_length(text) <= SAMPLE_CHARS))
     counts = {r[0]: r[1] for r in labelled.groupBy(F.col(lang)).count().collect()}
     if not counts:
         return [], []
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_lang / n))])
     luck = F.pmod(F.xxhash64(F.col(key), F.lit("language sample")), F.lit(1_000_003)) / 1_000_003
-    rows = labelled.where(luck < share[F.col(lang)]).select(F.col(key), F.col(text), F.col(lang)).collect()
+    rows = labelled.where(luck < share[F.col(lang)]).select(F.col(key), F.col(text), F.col(lang)).orderBy(luck, F.xxhash64(text)).limit(2 * per_lang * len(counts)).collect()
     rows.sort(key=lambda r: (str(r[0]), r[2], r[1]))
     return [r[1] for r in rows], [r[2] for r in rows]
 
@@ -193,7 +199,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language; learned from the folds other than 1 of crc32(doc_id) mod 3."""
     docs = C.read(spark, sf_dir, "documents")
     model = fit(docs, where=C.fold("doc_id", 3) != 1)
-    return identify(docs.select("doc_id", (C.fold("doc_id", 3) == 1).alias("held_out"), "text"), model).drop("text")
+    return identify(docs.select("doc_id", F.coalesce(C.fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "text"), model).drop("text")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

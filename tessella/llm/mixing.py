@@ -44,6 +44,7 @@ def sized(docs: DataFrame, text: str, name: str) -> DataFrame:
                 n[i:j] = np.diff(at)
             yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in kept], pa.array(n)], names=[*kept, name])
 
+    run = C.lean(run)
     from pyspark.sql.types import LongType, StructField, StructType
 
     return docs.mapInArrow(run, StructType([*[docs.schema[c] for c in kept], StructField(name, LongType())]))
@@ -122,15 +123,35 @@ def route(patterns: dict[tuple, int], target: dict, repeat: int = 2) -> dict[tup
     return flows
 
 
-def mix(docs: DataFrame, key: str, size: str, member: str, weights=(5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: int = 17) -> tuple[DataFrame, dict, dict]:
-    """docs with `taken` words each, and the sizes and targets of the sources.
+def patterned(docs: DataFrame, key: str, member: str, seed: int, names: dict[str, str]) -> DataFrame:
+    """docs with their membership pattern, their place in the seeded order, and the cell of the order it is in."""
+    source = lambda s: F.coalesce(F.concat(F.lit("v"), s), F.lit("~"))
+    docs = docs.withColumn(names["pattern"], F.array_sort(F.array_distinct(F.transform(member, source))))
+    docs = docs.withColumn(names["luck"], F.xxhash64(F.lit(seed), F.col(key).cast("string")))
+    return docs.withColumn(names["cell"], F.shiftrightunsigned(names["luck"], 52).cast("int"))
+
+
+def cut_cells(docs: DataFrame, size: str, plans: DataFrame, pattern: str, cell: str) -> DataFrame:
+    """Of each pattern: the cell of the order in which its last pass is cut short, and the words before that cell.
+    plans: pattern, whole, rest."""
+    cells = docs.where(F.col(pattern).isNotNull()).groupBy(F.col(pattern).alias("p"), F.col(cell).alias("c")).agg(F.sum(size).alias("mass"))
+    before = Window.partitionBy("p").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
+    run = cells.withColumn("before", F.coalesce(F.sum("mass").over(before), F.lit(0))).join(plans, "p")
+    at = run.where("before <= rest and before + mass > rest")
+    return at.groupBy("p").agg(F.min(F.struct("c", "before")).alias("x"), F.first("whole").alias("whole"), F.first("rest").alias("rest")).select("p", "x.c", "x.before", "whole", "rest")
+
+
+def mix(docs: DataFrame, key: str, size: str, member: str, weights=(5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: int = 17, taken: str = "taken") -> tuple[DataFrame, dict, dict]:
+    """docs with the words taken of each (a column of that name is replaced), and the sizes and targets of the sources.
 
     member: an array of sources (may hold null). weights: of the sources in code point order, null last, repeating.
     """
     spark = docs.sparkSession
-    pattern, cell, luck = (C.fresh(docs, x) for x in ("mix_pattern", "mix_cell", "mix_luck"))
-    docs = docs.withColumn(pattern, F.array_sort(F.array_distinct(F.transform(member, lambda s: F.coalesce(F.concat(F.lit("v"), s), F.lit("~")))))).withColumn(luck, F.xxhash64(F.lit(seed), F.col(key).cast("string")))
-    docs = docs.withColumn(cell, F.shiftrightunsigned(luck, 52).cast("int"))
+    docs = docs.drop(taken) if taken not in (key, size, member) else docs
+    names = {x: C.fresh(docs, f"mix_{x}") for x in ("pattern", "cell", "luck", "cut", "before", "whole", "rest", "start")}
+    pattern, cell, luck, cut, before, whole, rest, start = names.values()
+    kept = docs.columns
+    docs = patterned(docs, key, member, seed, names)
     mass = {tuple(r[0]): int(r[1]) for r in docs.where(F.col(pattern).isNotNull()).groupBy(pattern).agg(F.sum(size)).collect()}
     sizes: dict = {}
     for p, n in mass.items():
@@ -140,28 +161,26 @@ def mix(docs: DataFrame, key: str, size: str, member: str, weights=(5.0, 2.0, 1.
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
     target = quotas(sizes, weight, share * sum(mass.values()), most)
     flow = route({p: n for p, n in mass.items() if p}, target, int(np.ceil(most)))
-    sent = {p: sum(f.values()) for p, f in flow.items()}
     # whole passes over the pattern, and the words of the last pass that is cut short
-    plan = [(list(p), t // mass[p] if mass[p] else 0, t % mass[p] if mass[p] else 0) for p, t in sent.items()]
-    plans = spark.createDataFrame(plan, f"`{pattern}` array<string>, mix_whole long, mix_rest long")
-    cells = docs.where(F.col(pattern).isNotNull()).groupBy(pattern, cell).agg(F.sum(size).alias("mix_mass"))
-    before = Window.partitionBy(pattern).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-    cuts = cells.withColumn("mix_before", F.coalesce(F.sum("mix_mass").over(before), F.lit(0))).join(F.broadcast(plans), pattern)
-    cut = F.col("mix_before") + F.col("mix_mass") > F.col("mix_rest")
-    # one row a pattern: the first cell that the rest does not fill; patterns are what the driver has already seen
-    cuts = cuts.where(cut & (F.col("mix_before") <= F.col("mix_rest"))).groupBy(pattern).agg(F.min(F.struct(cell, "mix_before")).alias("c"), F.first("mix_whole").alias("mix_whole"), F.first("mix_rest").alias("mix_rest"))
-    cuts = cuts.select(pattern, F.col(f"c.{cell}").alias("mix_cut"), F.col("c.mix_before").alias("mix_before"), "mix_whole", "mix_rest")
-    rows = cuts.collect()
-    cuts = spark.createDataFrame(rows, cuts.schema) if rows else cuts.limit(0)
-    joined = docs.join(F.broadcast(cuts), pattern, "left")
-    whole = F.coalesce(F.col("mix_whole"), F.lit(0)) * F.col(size)
-    outside = joined.where(F.col("mix_cut").isNull() | (F.col(cell) != F.col("mix_cut"))).withColumn("taken", whole + F.when(F.col(cell) < F.col("mix_cut"), F.col(size)).otherwise(F.lit(0)))
-    run = Window.partitionBy(pattern).orderBy(luck, F.col(key), size)
-    start = F.col("mix_before") + F.sum(size).over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(size)
-    inside = joined.where(F.col(cell) == F.col("mix_cut")).withColumn("mix_start", start)
-    inside = inside.withColumn("taken", whole + F.greatest(F.lit(0), F.least(F.col(size), F.col("mix_rest") - F.col("mix_start")))).drop("mix_start")
-    out = outside.unionByName(inside).withColumn("taken", F.col("taken").cast("long"))
-    return out.drop(pattern, cell, luck, "mix_cut", "mix_before", "mix_whole", "mix_rest"), {s: sizes[s] for s in order}, target
+    plan = []
+    for p, f in flow.items():
+        sent = sum(f.values())
+        plan.append((list(p), sent // mass[p] if mass[p] else 0, sent % mass[p] if mass[p] else 0))
+    plans = spark.createDataFrame(plan, "p array<string>, whole long, rest long")
+    # a row for each pattern, as the driver has seen them: small enough to be sent to all tasks, if Spark finds so
+    cuts = cut_cells(docs, size, plans, pattern, cell)
+    rows = [tuple(r) for r in cuts.collect()]
+    cuts = spark.createDataFrame(rows, f"`{pattern}` array<string>, `{cut}` int, `{before}` long, `{whole}` long, `{rest}` long")
+    joined = docs.join(cuts, pattern, "left")
+    passes = F.coalesce(F.col(whole), F.lit(0)) * F.col(size)
+    outside = joined.where(F.col(cut).isNull() | (F.col(cell) != F.col(cut)))
+    outside = outside.withColumn(taken, passes + F.when(F.col(cell) < F.col(cut), F.col(size)).otherwise(F.lit(0)))
+    # of one cell alone is the order needed
+    by = Window.partitionBy(pattern).orderBy(luck, F.col(key), size).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = joined.where(F.col(cell) == F.col(cut)).withColumn(start, F.col(before) + F.sum(size).over(by) - F.col(size))
+    last = F.greatest(F.lit(0), F.least(F.col(size), F.col(rest) - F.col(start)))
+    out = outside.select(*kept, F.col(taken).cast("long").alias(taken)).unionByName(inside.select(*kept, (passes + last).cast("long").alias(taken)))
+    return out, {s: sizes[s] for s in order}, target
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +189,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, sizes, target = mix(docs.withColumn("member", F.array("source")), "doc_id", "size", "member")
     per = spark.createDataFrame([(s, int(n), float(target[s])) for s, n in sizes.items()], "s string, source_size long, target double")
     named = out.withColumn("s", F.coalesce(F.concat(F.lit("v"), F.col("source")), F.lit("~")))
-    return named.join(F.broadcast(per), "s").select("doc_id", "source", "size", "source_size", "target", "taken")
+    return named.join(per, "s").select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -178,15 +197,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts are joined back only through the rows' own columns: sizes travel with the documents.
     """
-    size, member = C.fresh(docs, "mix_size"), C.fresh(docs, "mix_member")
-    text = C.fresh(docs, "mix_text")
+    size, member, text, taken = (C.fresh(docs, f"mix_{x}") for x in ("size", "member", "text", "taken"))
     whole = sized(docs.withColumn(text, F.col("text")), text, size).withColumn(member, F.array("source"))
-    clash = C.fresh(docs, "taken")
-    keep = docs.columns
-    base = C.written(whole, "sizes")
-    if clash != "taken":
-        base = base.withColumnRenamed("taken", clash)
-    out, _, _ = mix(base, "doc_id", size, member)
-    times = F.ceil(F.col("taken") / F.greatest(F.col(size), F.lit(1))).cast("int")
-    out = out.withColumn(member, times).where(F.col(member) > 0).withColumn(member, F.explode(F.sequence(F.lit(1), F.col(member)))).drop("taken")
-    return (out.withColumnRenamed(clash, "taken") if clash != "taken" else out).select(*keep)
+    out, _, _ = mix(C.written(whole, "sizes"), "doc_id", size, member, taken=taken)
+    times = F.ceil(F.col(taken) / F.greatest(F.col(size), F.lit(1))).cast("int")
+    return out.where(F.col(taken) > 0).withColumn(member, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)

@@ -23,6 +23,8 @@ from . import common as C
 WORDS, GRAMS, DIM, HIDDEN = 1 << 15, 1 << 15, 8, 8
 WINDOW, STRIDE = 32, 16
 THRESHOLD = 0.3
+#: Characters of the longest text that is learned from.
+SAMPLE_CHARS = 200_000
 #: Standard errors from which log-odds count.
 LEAST = 2.0
 
@@ -298,15 +300,20 @@ def train(texts: list[str], labels: list[int], weight: tuple[float, float] = (1.
 
 
 def sample(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str, where: Column, per_class: int) -> tuple[list[str], list[int], tuple[float, float]]:
-    """About per_class labelled rows of each kind at most, picked by a hash of the key; the bound is the parameter."""
+    """About per_class labelled rows of each kind at most, picked by a hash of the key; the bound is the parameter.
+
+    Texts of over SAMPLE_CHARS characters are not learned from, and where one key has many rows, twice the bound are
+    taken: what the driver holds follows from these bounds alone.
+    """
     known = labels.where(where & F.col(label).isNotNull()).select(F.col(key), (F.col(label) > 0).cast("int").alias("y"))
     counts = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
     if not counts:
         return [], [], (1.0, 1.0)
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_class / n))])
     luck = F.pmod(F.xxhash64(F.col(key), F.lit("toxicity sample")), F.lit(1_000_003)) / 1_000_003
-    picked = known.where(luck < share[F.col("y")])
-    rows = docs.select(F.col(key), F.col(text)).where(F.col(text).isNotNull()).join(F.broadcast(picked), key).select(F.col(key), F.col(text), "y").collect()
+    picked = known.where(luck < share[F.col("y")]).orderBy(luck, "y").limit(4 * per_class)
+    texts = docs.select(F.col(key), F.col(text)).where(F.col(text).isNotNull() & (F.char_length(text) <= SAMPLE_CHARS))
+    rows = texts.join(F.broadcast(picked), key).select(F.col(key), F.col(text), "y").orderBy(luck, F.xxhash64(text)).limit(4 * per_class).collect()
     rows.sort(key=lambda r: (str(r[0]), r[2], r[1]))
     y = [r[2] for r in rows]
     return [r[1] for r in rows], y, tuple(counts.get(k, 0) / max(1, y.count(k)) for k in (0, 1))
@@ -335,4 +342,4 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity; learned from the labels outside fold 2 of crc32(doc_id) mod 4."""
     docs, labels = C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "labels")
     model = fit(docs, labels, where=C.fold("doc_id", 4) != 2)
-    return score(docs.select("doc_id", (C.fold("doc_id", 4) == 2).alias("held_out"), "text"), model).drop("text")
+    return score(docs.select("doc_id", F.coalesce(C.fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "text"), model).drop("text")
