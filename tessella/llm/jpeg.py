@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import struct
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -232,7 +233,17 @@ def refine_tokens(v: np.ndarray, al: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
+@lru_cache(maxsize=1024)
+def _few_places(wide: int, high: int) -> np.ndarray:
+    return _places(wide, high)
+
+
 def block_places(wide: int, high: int) -> np.ndarray:
+    """As below, kept for the sizes that most payloads have."""
+    return _few_places(wide, high) if wide * high <= 1024 else _places(wide, high)
+
+
+def _places(wide: int, high: int) -> np.ndarray:
     """For each block of a payload in order: its place among all blocks, component by component in raster order."""
     unit = np.arange(wide * high)
     r, c = unit // wide, unit % wide
@@ -588,29 +599,60 @@ def decoded(media: DataFrame, column: str, names: tuple[str, str, str] = ("heigh
 
 
 def feature(rgb: np.ndarray) -> str:
-    """Mean of each channel, and their spread, to two places."""
-    flat = rgb.reshape(-1, 3).astype(np.float64)
-    return ",".join(f"{x:.2f}" for x in (*flat.mean(axis=0), *flat.std(axis=0)))
+    """Mean of each channel, and their spread, to two places, from counts of the samples' values."""
+    flat, v = rgb.reshape(-1, 3), np.arange(256)
+    n = np.stack([np.bincount(flat[:, c], minlength=256) for c in range(3)])
+    mean = (n * v).sum(axis=1) / len(flat)
+    spread = np.sqrt(np.maximum((n * v * v).sum(axis=1) / len(flat) - mean**2, 0))
+    return ",".join(f"{x:.2f}" for x in (*mean, *spread))
 
 
-def op2_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a progressive JPEG, read back."""
-    docs = C.read(spark, sf_dir, "documents").select("doc_id", "text")
-    C.ship(spark)
+#: Bytes of payload or of files that are coded together.
+TOGETHER = 1_000_000
+
+
+def stored(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, n_bytes and media of every text: the payload as a progressive JPEG, written to the shared folder and read
+    from there. A text's payload is its UTF-8 with zero bytes up to a positive multiple of 64; null is the empty text."""
+    C.ship(docs.sparkSession)
+    rows = docs.select(key, text)
 
     def make(b: pa.RecordBatch) -> list:
         data, off = C.text_bytes(b.column(1))
-        out: list[list] = [[] for _ in range(7)]
-        for i, j in C.chunks(off, 1_000_000):
+        files: list[bytes] = []
+        for i, j in C.chunks(off, TOGETHER):
             texts = [data[off[r] : off[r + 1]].tobytes() for r in range(i, j)]
-            files = encode([t + bytes(max(1, -(-len(t) // UNIT)) * UNIT - len(t)) for t in texts])
+            files += encode([t + bytes(max(1, -(-len(t) // UNIT)) * UNIT - len(t)) for t in texts])
+        return [pa.array(np.diff(off)), pa.array(files, pa.binary())]
+
+    return C.written(C.append_columns(rows, "n_bytes long, media binary", make).drop(text), "media")
+
+
+def read_back(media: DataFrame) -> DataFrame:
+    """media (with a column media) and what its files hold: payload_bytes, payload_sha256, tail_crc32, media_bytes,
+    media_sha256, height, width and the feature of the RGB tensor; null where a file is none of ours."""
+    C.ship(media.sparkSession)
+    i = media.columns.index("media")
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+
+    def make(b: pa.RecordBatch) -> list:
+        out: list[list] = [[] for _ in kinds]
+        raw, off = C.text_bytes(b.column(i))
+        for lo, hi in C.chunks(off, TOGETHER):
+            files = [raw[off[r] : off[r + 1]].tobytes() for r in range(lo, hi)]
             images, coef, base = accumulate(files)
-            for t, f, im, a, z in zip(texts, files, images, base, base[1:]):
-                p = payload_of(im, coef[a:z])
-                row = (len(t), len(p), hashlib.sha256(p).hexdigest(), C.crc(p[-UNIT:]), len(f), hashlib.sha256(f).hexdigest(), feature(tensor(im, coef[a:z])))
+            for f, im, a, z in zip(files, images, base, base[1:]):
+                row = [None] * len(kinds)
+                if im is not None:
+                    p, t = payload_of(im, coef[a:z]), tensor(im, coef[a:z])
+                    row = [len(p), hashlib.sha256(p).hexdigest(), C.crc(p[-UNIT:]), len(f), hashlib.sha256(f).hexdigest(), t.shape[0], t.shape[1], feature(t)]
                 for o, v in zip(out, row):
                     o.append(v)
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         return [pa.array(o, k) for o, k in zip(out, kinds)]
 
-    return C.append_columns(docs, "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", make).drop("text")
+    return C.append_columns(media, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, height int, width int, feature string", make)
+
+
+def op2_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a progressive JPEG in a stored media column, read back from there."""
+    return read_back(stored(C.read(spark, sf_dir, "documents"), "doc_id", "text")).drop("media")
