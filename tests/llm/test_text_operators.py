@@ -76,6 +76,8 @@ def test_shingle_join_odd(odd, none):
 def test_tree_bound_holds():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 400, rng.integers(5, 90), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(60)]
+    x, at = shingle_join.from_gaps(np.frombuffer(b"".join(map(shingle_join.gaps, sets)), np.uint16), np.cumsum([0, *[len(shingle_join.gaps(s)) // 2 for s in sets]]))
+    assert all((x[at[i] : at[i + 1]] == np.unique(s >> np.uint64(64 - shingle_join.width_of(len(s))))).all() for i, s in enumerate(sets))
     tree = shingle_join.Tree(np.array([len(s) for s in sets]), np.stack([np.frombuffer(shingle_join.signature(s), np.uint64) for s in sets]))
     kept = {(min(a, b), max(a, b)) for i, j, _ in tree.pairs() for a, b in zip(i.tolist(), j.tolist())}
     for a in range(60):
