@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Columns of which an existing value that is not blank stays.
@@ -35,11 +35,12 @@ def upsert(existing: DataFrame, new: DataFrame, key: str, seq: str, longest: str
     cols = [c for c in existing.columns if c not in (key, seq)]
     e = existing.select(key, F.lit(0).alias("src"), F.col(seq).alias("n"), *cols)
     both = e.unionByName(new.select(key, F.lit(1).alias("src"), F.col(seq).alias("n"), *cols))
-    lead = Window.partitionBy(key)
-    # rows that count: the last existing one, and all new ones
     at = F.struct("src", "n")
-    rank = F.max(F.when(F.col("src") == 0, F.col("n"))).over(lead)
-    both = both.withColumns({"first": F.min(at).over(lead), "last_old": rank}).where((F.col("src") == 1) | (F.col("n") == F.col("last_old"))).drop("last_old")
+    # a row a key: where it first appears, and the last existing row; only that one and new rows count
+    per = both.groupBy(F.col(key).alias("upsert_key")).agg(F.min(at).alias("first"), F.max(F.when(F.col("src") == 0, F.col("n"))).alias("last_old"))
+    low = F.when(F.col("last_old").isNotNull(), F.struct(F.lit(0).alias("src"), F.col("last_old").alias("n"))).otherwise(F.col("first"))
+    both = both.join(per.withColumn("low", low), F.col(key).eqNullSafe(F.col("upsert_key")))
+    both = both.where((F.col("src") == 1) | (F.col("n") == F.col("last_old"))).drop("upsert_key", "last_old")
     aggs = []
     for c in cols:
         value = F.col(c)
@@ -50,7 +51,7 @@ def upsert(existing: DataFrame, new: DataFrame, key: str, seq: str, longest: str
             aggs.append(F.coalesce(F.min_by(value, F.when(full(value), at)), F.max_by(value, at)).alias(c))
         else:
             aggs.append(F.max_by(value, at).alias(c))
-    out = both.withColumn("low", F.min(at).over(lead)).groupBy(key).agg(*aggs, F.min("first").alias("first"))
+    out = both.groupBy(key).agg(*aggs, F.min("first").alias("first"))
     return out.select(key, *cols, F.col("first.src").alias("is_new"), F.col("first.n").alias("first_seq"))
 
 
