@@ -40,9 +40,14 @@ def ship(spark: SparkSession) -> None:
 shared_dir = session.shared_dir
 
 
+def shared(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df to a new table in the shared folder and read it back: lineage ends here, and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = shared(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jpeg, language_id, line_dedup, mixing, segmentation, shingle_join, token_counts, topk_search, toxicity, wavelet
+from . import jpeg, language_id, license_scan, line_dedup, mixing, periodic_runs, segmentation, shingle_join, target_encoding, token_counts, topk_search, toxicity, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -19,8 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": language_id.op8_language_id,
     "op9_topk_search": topk_search.op9_topk_search,
     "op10_wavelet": wavelet.op10_wavelet,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_target_encoding": target_encoding.op12_target_encoding,
+    "op13_license_scan": license_scan.op13_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op9_topk_search": topk_search.ORACLE,
+    "op12_target_encoding": target_encoding.ORACLE,
 }
