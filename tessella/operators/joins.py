@@ -56,11 +56,3 @@ def precedence(sources: list[DataFrame], key: list[str], seq: str) -> DataFrame:
 def flagged(left: DataFrame, right: DataFrame, key: str, name: str) -> DataFrame:
     """left with whether right has the key."""
     return left.join(right.select(key).distinct().withColumn(name, F.lit(True)), key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
-
-
-def first_contained(people: DataFrame, drafts: DataFrame, name: str, slug: str, block: str, seq: str) -> DataFrame:
-    """Each person with the first draft of the same block whose slug holds the first name, or the other way round."""
-    first = F.lower(F.regexp_extract(name, r"^\s*(\S+)", 1))
-    pairs = people.withColumn("person_first", first).join(drafts, block).where((F.col("person_first") != "") & (F.col(slug).contains(F.col("person_first")) | F.col("person_first").contains(F.col(slug))))
-    hit = first_by(pairs.select(*people.columns, slug, seq), people.columns, [F.col(seq)])
-    return people.join(hit.select(*people.columns, slug), people.columns, "left")

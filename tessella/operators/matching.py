@@ -8,15 +8,14 @@ alias must stand between separators.
 from __future__ import annotations
 
 import re
-from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What may stand beside a strict alias.
-SEPARATORS = ' ",/|\n\t;•'
+from .automaton import SEPARATORS, Automaton
 
 
 def alias_pattern(alias: str, strict: bool = False) -> str:
@@ -40,74 +39,82 @@ def alias_counts(text: Column, aliases: dict[str, list[str]], strict: tuple[str,
     return F.filter(F.array(*one), lambda x: x["freq"] > 0)
 
 
-class Automaton:
-    """All aliases at once: a trie whose failure links lead to the longest suffix that is a prefix of an alias."""
-
-    def __init__(self, aliases: dict[str, str], strict: tuple[str, ...] = ()):
-        self.next: list[dict[str, int]] = [{}]
-        self.fail, self.out = [0], [[]]
-        for alias, label in aliases.items():
-            node = 0
-            for ch in alias.lower():
-                if ch not in self.next[node]:
-                    self.next[node][ch] = len(self.next)
-                    self.next.append({})
-                    self.fail.append(0)
-                    self.out.append([])
-                node = self.next[node][ch]
-            self.out[node].append((len(alias), label, alias in strict))
-        queue = deque(self.next[0].values())
-        while queue:
-            node = queue.popleft()
-            for ch, child in self.next[node].items():
-                queue.append(child)
-                f = self.fail[node]
-                while f and ch not in self.next[f]:
-                    f = self.fail[f]
-                self.fail[child] = self.next[f].get(ch, 0) if self.next[f].get(ch, 0) != child else 0
-                self.out[child] = self.out[child] + self.out[self.fail[child]]
-
-    def find(self, text: str) -> dict[str, tuple[int, int]]:
-        """label: (hits, place of the first), overlapping hits included."""
-        t, node, found = text.lower(), 0, {}
-        for i, ch in enumerate(t):
-            while node and ch not in self.next[node]:
-                node = self.fail[node]
-            node = self.next[node].get(ch, 0)
-            for size, label, strict in self.out[node]:
-                a, z = i - size + 1, i + 1
-                left, right = t[a - 1 : a] if a else "", t[z : z + 1]
-                if strict:
-                    ok = (not left or left in SEPARATORS) and (not right or right in SEPARATORS)
-                else:
-                    ok = not (left and (left.isascii() and left.isalnum())) and not (right and (right.isascii() and right.isalnum()))
-                if ok:
-                    n, first = found.get(label, (0, a))
-                    found[label] = (n + 1, min(first, a))
-        return found
-
-
-HITS = "array<struct<label:string,freq:int,first_pos:int>>"
-
-
-def automaton_hits(df: DataFrame, text: str, aliases: dict[str, str], name: str = "hits", strict: tuple[str, ...] = ()) -> DataFrame:
-    """df with all labels found in the text column; one scan a text whatever the dictionary's size."""
+def alias_frequencies(text: Column, aliases: dict[str, list[str]], strict: tuple[str, ...] = ()) -> Column:
+    """Array of (label, freq) of labels that occur: alias_counts without places, for half of its scans."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    one = [F.struct(F.lit(label).alias("label"), sum((F.regexp_count(t, F.lit(alias_pattern(a, a in strict))) for a in names), F.lit(0)).alias("freq")) for label, names in aliases.items()]
+    return F.filter(F.array(*one), lambda x: x["freq"] > 0)
+
+
+HITS = "array<struct<label:string,freq:int,first_pos:int,last_pos:int,alias:string>>"
+
+
+def machine_of(df: DataFrame, aliases: dict[str, str] | list[tuple[str, str]], strict: tuple[str, ...] = ()):
+    """The dictionary as arrays, sent to tasks once: as large as the dictionary is, not the data."""
+    return df.sparkSession.sparkContext.broadcast(Automaton(aliases, strict))
+
+
+def automaton_hits(df: DataFrame, text: str, aliases: dict[str, str] | list[tuple[str, str]], name: str = "hits", strict: tuple[str, ...] = (), apart: bool = False) -> DataFrame:
+    """df with all labels found in the text column, by label: hits of its aliases, places of the first and the last hit, and
+    the first of its aliases, in the dictionary's order, that is met. One scan a text whatever the dictionary's size.
+    apart: hits of one alias that overlap count once."""
     from pyspark.sql.types import StructType, _parse_datatype_string
 
     at = df.columns.index(text)
-    machine = df.sparkSession.sparkContext.broadcast(Automaton(aliases, strict))
+    machine = machine_of(df, aliases, strict)
     schema = StructType([*df.schema.fields, *_parse_datatype_string(f"`{name}` {HITS}").fields])
-    kind = pa.list_(pa.struct([("label", pa.string()), ("freq", pa.int32()), ("first_pos", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = machine.value
         for b in batches:
-            found = [sorted(machine.value.find(t or "").items()) for t in b.column(at).to_pylist()]
-            hits = pa.array([[{"label": k, "freq": n, "first_pos": p} for k, (n, p) in f] for f in found], kind)
+            row, alias, place = m.occurrences(b.column(at).to_pylist(), apart)
+            key, first, freq = np.unique(row * len(m.labels) + m.label_of[alias], return_index=True, return_counts=True)
+            by = np.lexsort((place, m.label_of[alias], row)) if len(row) else row
+            last = place[by[np.cumsum(freq) - 1]] if len(row) else row
+            least = np.minimum.reduceat(alias[by], np.cumsum(freq) - freq) if len(row) else row
+            ends = np.searchsorted(key // max(len(m.labels), 1), np.arange(b.num_rows + 1))
+            ints = [pa.array(x.astype(np.int32)) for x in (freq, place[first], last)]
+            named = lambda texts, k: pa.array(texts, pa.string()).take(pa.array(k.astype(np.int64)))
+            fields = [named(m.labels, key % max(len(m.labels), 1)), *ints, named(m.aliases, least)]
+            hits = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["label", "freq", "first_pos", "last_pos", "alias"]))
             yield pa.RecordBatch.from_arrays([*b.columns, hits], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
+def occurrences(df: DataFrame, key: str, text: str, aliases: dict[str, str] | list[tuple[str, str]], strict: tuple[str, ...] = ()) -> DataFrame:
+    """Every hit as a row: key, label, alias, place from 0."""
+    from pyspark.sql.types import StringType, IntegerType, StructField, StructType
+
+    machine = machine_of(df, aliases, strict)
+    schema = StructType([df.schema[key], StructField("label", StringType()), StructField("alias", StringType()), StructField("place", IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = machine.value
+        for b in batches:
+            row, alias, place = m.occurrences(b.column(1).to_pylist())
+            named = lambda texts, k: pa.array(texts, pa.string()).take(pa.array(k.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), named(m.labels, m.label_of[alias]), named(m.aliases, alias), pa.array(place.astype(np.int32))], names=schema.names)
+
+    return df.select(key, text).mapInArrow(run, schema)
+
+
+def term_weights(df: DataFrame, text: str, terms: dict[str, list[str]], unsupported: dict[str, list[str]], region: Column) -> DataFrame:
+    """df with terms: of each label that is met its weight, hits and alias (label, weight, freq, alias), and unsupported: the
+    labels of that dictionary that are met, sorted.
+
+    A label weighs 2 if any hit of any of its aliases starts in the requirements, else 1; its alias is the first of the
+    dictionary's that is met anywhere. region: place of the requirements from 1, 0 for none. One scan serves both.
+    """
+    pairs = [(a, f"{sign}{label}") for sign, d in (("+", terms), ("-", unsupported)) for label, names in d.items() for a in names]
+    found = automaton_hits(df, text, pairs, "term_hits", apart=True).withColumn("term_region", region)
+    of = lambda sign: F.filter("term_hits", lambda h: h["label"].startswith(sign))
+    bare = lambda h: F.substring(h["label"], 2, 1 << 30)
+    weight = lambda h: F.when((F.col("term_region") > 0) & (h["last_pos"] >= F.col("term_region") - 1), 2).otherwise(1)
+    own = F.transform(of("+"), lambda h: F.struct(bare(h).alias("label"), weight(h).alias("weight"), h["freq"].alias("freq"), h["alias"].alias("alias")))
+    return found.withColumns({"terms": own, "unsupported": F.array_sort(F.transform(of("-"), bare))}).drop("term_hits", "term_region")
+
+
 def overlay_aliases(curated: DataFrame, wider: DataFrame) -> DataFrame:
     """(alias, label) of both; the curated one counts where both know an alias."""
     from .joins import precedence

@@ -8,7 +8,7 @@ from .. import tables as D
 from ..functions import classify as K
 from ..functions import dates, extract, phrases
 from ..functions import text as T
-from ..operators import matching, merge, state
+from ..operators import matching, merge, state, substrings
 from ..operators import resume as R
 
 Q: dict = {}
@@ -136,6 +136,44 @@ def fit_score(spark, d):
     return both.select("id", "fit", "coverage_pct", "enough", "band", "supported", "lacking", why.alias("why"))
 
 
+TERMS = {"working life": ["work", "role"], "experience": ["years of work", "years"], "spreadsheets": ["excel"], "planning": ["sap erp", "erp"]}
+UNSUPPORTED = {"accounting papers": ["cpa"], "project papers": ["prince2"], "teams": ["teamwork", "team work"]}
+
+
+def _hits(alias: str, text: str) -> str:
+    # separators are doubled, so that hits beside each other both count
+    return rf"len(regexp_extract_all(regexp_replace(lower({text}), '([^a-z0-9])', '\1\1', 'g'), '(^|[^a-z0-9]){alias.replace(' ', '  ')}([^a-z0-9]|$)'))"
+
+
+def _term(label: str, names: list[str]) -> str:
+    whole, below = ([_hits(a, t) for a in names] for t in ("text", "region"))
+    alias = " ".join(f"WHEN {n} > 0 THEN '{a}'" for a, n in zip(names, whole))
+    return f"SELECT id, '{label}' AS label, CASE WHEN rp > 0 AND {' + '.join(below)} > 0 THEN 2 ELSE 1 END AS weight, {' + '.join(whole)} AS freq, CASE {alias} END AS alias, unsupported FROM u"
+
+
+@query(
+    "term_weights",
+    "WITH " + D.ADVERTS + ", " + REGION + ", u AS (SELECT *, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {' + '.join(_hits(a, 'text') for a in names)} > 0 THEN '{label}' END" for label, names in sorted(UNSUPPORTED.items())) + "], lambda x: x IS NOT NULL), ', ') AS unsupported FROM r), t AS ("
+    + " UNION ALL ".join(_term(*x) for x in TERMS.items()) + ") SELECT id, label, CAST(weight AS INTEGER) AS weight, CAST(freq AS INTEGER) AS freq, alias, unsupported FROM t WHERE freq > 0",
+)
+def term_weights(spark, d):
+    """Each posting's terms: a term weighs two if any of its hits stands in the requirements; and labels nobody supports."""
+    it = matching.term_weights(D.adverts(spark, d), "text", TERMS, UNSUPPORTED, K.region_start(F.col("text")))
+    return it.select("id", F.explode("terms").alias("t"), "unsupported").select("id", "t.label", "t.weight", "t.freq", "t.alias", F.array_join("unsupported", ", ").alias("unsupported"))
+
+
+@query(
+    "person_drafts",
+    r"""WITH p AS (SELECT vendor_id, coalesce(name, '') AS name, lower(coalesce(name, '')) AS nm, lower(regexp_extract(coalesce(name, ''), '^\s*(\S+)', 1)) AS first FROM vendors), d AS (SELECT client_id AS seq, replace(name, ' ', '-') AS slug FROM clients WHERE name IS NOT NULL)
+SELECT vendor_id, name, arg_min(slug, seq) AS draft, min(seq) AS seq FROM p LEFT JOIN d ON (first <> '' AND contains(lower(slug), first)) OR contains(nm, replace(lower(slug), '-', ' ')) GROUP BY 1, 2""",
+)
+def person_drafts(spark, d):
+    """Each vendor's person with the first client draft that names them."""
+    people = D.table(spark, d, "vendors").select("vendor_id", F.coalesce("name", F.lit("")).alias("name"))
+    drafts = D.table(spark, d, "clients").where("name is not null").select(F.col("client_id").alias("seq"), F.replace("name", F.lit(" "), F.lit("-")).alias("draft"))
+    return substrings.first_contained(people, drafts, "name", "draft", "seq")
+
+
 AUTH = """a AS (SELECT id, company, title, text, CASE id % 6 WHEN 0 THEN 'https://boards.greenhouse.io/x/jobs/' || id WHEN 1 THEN 'https://www.seek.com.au/job/' || id WHEN 2 THEN 'https://careers.acme.com/' || id WHEN 3 THEN 'https://acme.com/' || id WHEN 4 THEN '' ELSE 'https://gmail.com/x' END AS url,
  CASE WHEN id % 6 = 2 THEN 'acme.com' WHEN id % 6 = 4 AND id % 4 = 0 THEN 'gmail.com' ELSE '' END AS domain, CASE WHEN id % 9 = 0 THEN '' ELSE 'Perth' END AS location FROM adverts)"""
 

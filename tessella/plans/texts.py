@@ -73,7 +73,7 @@ def _count(a: str) -> str:
 
 @query("alias_frequency", "WITH c AS (SELECT doc_id, u.label, u.freq FROM documents, LATERAL (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {' + '.join(_count(a) for a in v)})" for k, v in ALIASES.items()) + ") t(label, freq)) u) SELECT doc_id, label, CAST(freq AS BIGINT) AS freq FROM c WHERE freq > 0")
 def alias_frequency(spark, d):
-    hits = matching.alias_counts(F.col("text"), ALIASES)
+    hits = matching.alias_frequencies(F.col("text"), ALIASES)
     return D.documents(spark, d).select("doc_id", F.explode(hits).alias("h")).select("doc_id", "h.label", F.col("h.freq").cast("long").alias("freq"))
 
 
