@@ -303,6 +303,22 @@ def stream_funnel(spark, d):
     return out.select(F.to_date("window.start").alias("day"), "event_type", "n")
 
 
+@query(
+    "stream_followups",
+    """WITH log AS (SELECT user_id, min(ts) FILTER (event_type = 'view') AS sent_at, min(ts) FILTER (event_type = 'purchase' AND value > 95) AS replied_at, max(ts) FILTER (event_type = 'click' AND value > 90) AS fu1_at, max(ts) FILTER (event_type = 'click' AND value > 99) AS fu2_at FROM events WHERE user_id IS NOT NULL GROUP BY 1),
+a AS (SELECT *, epoch(TIMESTAMP '2024-01-31' - sent_at) / 86400 AS s, epoch(TIMESTAMP '2024-01-31' - fu1_at) / 86400 AS f FROM log WHERE sent_at IS NOT NULL AND replied_at IS NULL)
+SELECT user_id, CASE WHEN fu1_at IS NULL THEN 'fu1' ELSE 'fu2' END AS due FROM a WHERE (fu1_at IS NULL AND s >= 4) OR (fu1_at IS NOT NULL AND fu2_at IS NULL AND f >= 6)""",
+)
+def stream_followups(spark, d):
+    """What is due of each user once a stream's timers have run to the end of the month."""
+    from ..streaming import events as E
+    from ..streaming import followups as U
+
+    folder = _checkpoint(spark)
+    log = U.due(U.kinds(U.clocked(spark, E.files(spark, d, "events.parquet"), folder, D.EVENTS_NOW)), "user_id")
+    return U.latest(U.drained(log, folder), "user_id")
+
+
 def _checkpoint(spark) -> str:
     """A new folder for a stream's state and result, in the folder that driver and executors share."""
     import uuid

@@ -8,10 +8,17 @@ from pyspark.sql import functions as F
 SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def source(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Parquet files of events as a stream, in event time with a day's tolerance. glob: which files of a folder."""
+def files(spark: SparkSession, path: str, glob: str | None = None, each: int | None = None) -> DataFrame:
+    """Parquet files of events as a stream. glob: which files of a folder; each: how many files a micro-batch takes."""
     r = spark.readStream.schema(SCHEMA)
-    s = (r.option("pathGlobFilter", glob) if glob else r).parquet(path)
+    for name, value in (("pathGlobFilter", glob), ("maxFilesPerTrigger", each)):
+        r = r.option(name, value) if value else r
+    return r.parquet(path)
+
+
+def source(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """Events as a stream in event time with a day's tolerance."""
+    s = files(spark, path, glob)
     return s.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 day")
 
 
