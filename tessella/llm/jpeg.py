@@ -305,13 +305,20 @@ class Image:
         self.comps: list[tuple[int, int, int, int]] = []  # identifier, sampling, sampling, quantisation
         self.scans: list[tuple] = []
 
-    def frame(self, body: bytes) -> None:
-        _, self.height, self.width, n = struct.unpack(">BHHB", body[:6])
+    def frame(self, body: bytes, size: int) -> None:
+        """size: the file's bytes. Each block takes a bit at least, so a frame of more blocks is none."""
+        bits, self.height, self.width, n = struct.unpack(">BHHB", body[:6])
+        if self.comps or bits != 8 or n not in (1, 3) or not self.height or not self.width or len(body) < 6 + 3 * n:
+            raise ValueError("frame")
         self.comps = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
+        if len({c[0] for c in self.comps}) < n or not all(c[1] in (1, 2) and c[2] in (1, 2) for c in self.comps):
+            raise ValueError("components")
         self.h, self.v = max(c[1] for c in self.comps), max(c[2] for c in self.comps)
         self.units = -(-self.width // (8 * self.h)), -(-self.height // (8 * self.v))
         self.shape = [(self.units[1] * c[2], self.units[0] * c[1]) for c in self.comps]
         self.first = np.cumsum([0, *[a * b for a, b in self.shape]])
+        if self.first[-1] > 8 * size:
+            raise ValueError("more blocks than bits")
 
     def order(self, comps: list[int]) -> tuple[np.ndarray, np.ndarray, int]:
         """Blocks of a scan in order, their components' places in the scan, and blocks of a unit."""
@@ -365,15 +372,19 @@ def parse(files: list[bytes]) -> tuple[np.ndarray, list[Image | None]]:
                 elif m == 0xDB:
                     while body:
                         wide = body[0] >> 4
+                        if wide > 1 or len(body) < 65 + 64 * wide:
+                            raise ValueError("quantisation")
                         im.quant[body[0] & 15] = np.frombuffer(body[1 : 65 + 64 * wide], ">u2" if wide else np.uint8).astype(np.int32)
                         body = body[65 + 64 * wide :]
                 elif m == 0xC4:
                     while body:
                         n = sum(body[1:17])
+                        if len(body) < 17 + n or sum(c << (16 - k) for k, c in enumerate(body[1:17], 1)) > 1 << 16:
+                            raise ValueError("Huffman table")
                         tables[body[0]] = body[1 : 17 + n]
                         body = body[17 + n :]
                 elif m == 0xC2:
-                    im.frame(body)
+                    im.frame(body, len(f))
                 elif m in (0xC0, 0xC1, *range(0xC3, 0xC4), *range(0xC5, 0xC8), *range(0xC9, 0xCC), *range(0xCD, 0xD0)):
                     raise ValueError("not progressive")
                 elif m == 0xDD:
@@ -383,7 +394,14 @@ def parse(files: list[bytes]) -> tuple[np.ndarray, list[Image | None]]:
                     ids = [c[0] for c in im.comps]
                     comps = [ids.index(body[1 + 2 * i]) for i in range(n)]
                     lo, hi, a = body[1 + 2 * n : 4 + 2 * n]
+                    ah, al = a >> 4, a & 15
+                    if not 1 <= n <= 3 or len(set(comps)) < n or not lo <= hi <= 63 or (lo == 0) != (hi == 0) or (lo and n > 1) or al > 13 or ah not in (0, al + 1):
+                        raise ValueError("scan")
                     chosen = tuple(tables.get((0x10 if lo else 0) | (body[2 + 2 * i] >> (0 if lo else 4) & 15), b"") for i in range(n))
+                    if not all(chosen) and not (lo == 0 and ah):
+                        raise ValueError("no Huffman table")
+                    if len(body) != 4 + 2 * n or at >= end:
+                        raise ValueError("scan's end")
                     k = int(np.searchsorted(marks, at))
                     j = int(ends[np.searchsorted(ends, k)])  # lanes are cut at the restart markers before it
                     starts = np.concatenate(([at], marks[k:j] + 2))
@@ -423,6 +441,23 @@ def after(w: np.ndarray, n: np.ndarray, more: np.ndarray) -> np.ndarray:
     return (((w << n.astype(np.uint32)) >> np.uint32(1)) >> (31 - more).astype(np.uint32)).astype(np.int32)
 
 
+#: What damaged entropy-coded bytes may raise: codes and sizes that no table has.
+DAMAGE = (IndexError, ValueError, AttributeError, KeyError, ZeroDivisionError, OverflowError, struct.error)
+
+
+def read(files: list[bytes]) -> list[tuple[Image, np.ndarray] | None]:
+    """Headers and coefficients of each file, None for what is no readable progressive JPEG. Files decode together; where
+    one is damaged so that this fails, halves of them do, down to the damaged one."""
+    try:
+        images, coef, base = accumulate(files)
+    except DAMAGE:
+        if len(files) == 1:
+            return [None]
+        half = len(files) // 2
+        return read(files[:half]) + read(files[half:])
+    return [(im, coef[a:z]) if im else None for im, a, z in zip(images, base, base[1:])]
+
+
 def accumulate(files: list[bytes]) -> tuple[list[Image | None], np.ndarray, np.ndarray]:
     """Headers, coefficients of all files' blocks in zigzag order, and where each file's blocks start."""
     data, images = parse(files)
@@ -558,9 +593,13 @@ def refine_scan(window, flat, lanes, lo, hi, ah, al, tables) -> None:
         pos[on] = p
 
 
-def payload_of(im: Image, coef: np.ndarray) -> bytes:
-    """The payload that a file's coefficients hold."""
+def payload_of(im: Image, coef: np.ndarray) -> bytes | None:
+    """The payload that a file's coefficients hold; None for a file that says nothing of one, or is not of our shape."""
+    if len(im.comment) < 8 or [c[1:3] for c in im.comps] != [(2, 2), (1, 1), (1, 1)]:
+        return None
     size = struct.unpack(">Q", im.comment[:8])[0]
+    if size > coef.size:
+        return None
     order = coef[block_places(*im.units)]
     return (order.ravel()[:size] + SHIFT).astype(np.uint8).tobytes()
 
@@ -581,8 +620,7 @@ def tensor(im: Image, coef: np.ndarray) -> np.ndarray:
 
 def decode(files: list[bytes]) -> list[np.ndarray | None]:
     """RGB tensors of progressive JPEG files; None for what is none."""
-    images, coef, base = accumulate(files)
-    return [tensor(im, coef[base[f] : base[f + 1]]) if im else None for f, im in enumerate(images)]
+    return [tensor(*x) if x else None for x in read(files)]
 
 
 def decoded(media: DataFrame, column: str, names: tuple[str, str, str] = ("height", "width", "rgb")) -> DataFrame:
@@ -630,27 +668,27 @@ def stored(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def read_back(media: DataFrame) -> DataFrame:
     """media (with a column media) and what its files hold: payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, height, width and the feature of the RGB tensor; null where a file is none of ours."""
+    media_sha256, the feature of the RGB tensor, height and width; null where a file is none of ours."""
     C.ship(media.sparkSession)
     i = media.columns.index("media")
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()]
 
     def make(b: pa.RecordBatch) -> list:
         out: list[list] = [[] for _ in kinds]
         raw, off = C.text_bytes(b.column(i))
         for lo, hi in C.chunks(off, TOGETHER):
             files = [raw[off[r] : off[r + 1]].tobytes() for r in range(lo, hi)]
-            images, coef, base = accumulate(files)
-            for f, im, a, z in zip(files, images, base, base[1:]):
+            for f, found in zip(files, read(files)):
                 row = [None] * len(kinds)
-                if im is not None:
-                    p, t = payload_of(im, coef[a:z]), tensor(im, coef[a:z])
-                    row = [len(p), hashlib.sha256(p).hexdigest(), C.crc(p[-UNIT:]), len(f), hashlib.sha256(f).hexdigest(), t.shape[0], t.shape[1], feature(t)]
+                p = payload_of(*found) if found else None
+                if p is not None:
+                    t = tensor(*found)
+                    row = [len(p), hashlib.sha256(p).hexdigest(), C.crc(p[-UNIT:]), len(f), hashlib.sha256(f).hexdigest(), feature(t), t.shape[0], t.shape[1]]
                 for o, v in zip(out, row):
                     o.append(v)
         return [pa.array(o, k) for o, k in zip(out, kinds)]
 
-    return C.append_columns(media, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, height int, width int, feature string", make)
+    return C.append_columns(media, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, height int, width int", make)
 
 
 def op2_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
