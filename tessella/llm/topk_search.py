@@ -39,8 +39,12 @@ NONE = -(2**62)
 PACKED = "ids binary, vectors binary, least binary, n int, dim int, level int, longest double"
 
 
+#: Length from which products may leave 64 bits: such vectors are whole numbers in floats, and multiplied as such.
+GIANT = 2.0**31
+
+
 def scaled(scale: float):
-    """Arrow function: floor(scale * component) of valid vectors, with squared length."""
+    """Arrow function: floor(scale * component) of valid vectors, with their length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -56,12 +60,16 @@ def scaled(scale: float):
             bad |= ~np.isfinite(x)
             x = np.floor(np.where(bad, 0, x) * scale)
             off = np.concatenate(([0], np.cumsum(lens)))
-            bads, sq = np.concatenate(([0], np.cumsum(bad))), np.concatenate(([0.0], np.cumsum(x * x)))
+            bads = np.concatenate(([0], np.cumsum(bad)))
             good = np.flatnonzero((bads[off[1:]] == bads[off[:-1]]) & (lens > 0))
-            ints = x.astype(np.int64)
-            rows = [ints[off[i] : off[i + 1]].tobytes() for i in good]
-            norm = [float(np.sqrt((x[off[i] : off[i + 1]] ** 2).sum())) for i in good]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(good)), pa.array(rows, pa.binary()), pa.array(lens[good].astype(np.int32)), pa.array(norm, pa.float64()), query.take(pa.array(good))], names=["id", "v", "dim", "norm", "query"])
+            with np.errstate(over="ignore"):
+                norm = np.array([float(np.sqrt((x[off[i] : off[i + 1]] ** 2).sum())) for i in good])
+            giant = norm > GIANT
+            rows = [x[off[i] : off[i + 1]].astype(np.float64 if big else np.int64).tobytes() for i, big in zip(good, giant)] if giant.any() else None
+            if rows is None:
+                ints = x.astype(np.int64)
+                rows = [ints[off[i] : off[i + 1]].tobytes() for i in good]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(good)), pa.array(rows, pa.binary()), pa.array(lens[good].astype(np.int32)), pa.array(norm, pa.float64()), query.take(pa.array(good)), pa.array(giant)], names=["id", "v", "dim", "norm", "query", "giant"])
 
     return run
 
@@ -195,8 +203,9 @@ def search(vectors: DataFrame, key: str, vector: str, query: Column, k: int = 10
     """The k best candidates of every row for which query holds: query_id, rank, vec_id, score."""
     spark: SparkSession = vectors.sparkSession
     C.ship(spark)
-    ints = C.written(vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(query, F.lit(False)).alias("q")).mapInArrow(C.lean(scaled(scale)), "id long, v binary, dim int, norm double, query boolean"), "vectors")
-    total, asked = ints.agg(F.count("*"), F.count_if("query")).first()
+    ints = C.written(vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(query, F.lit(False)).alias("q")).mapInArrow(C.lean(scaled(scale)), "id long, v binary, dim int, norm double, query boolean, giant boolean"), "vectors")
+    every, total, asked = ints.agg(F.count("*"), F.count_if(~F.col("giant")), F.count_if(F.col("query") & ~F.col("giant"))).first()
+    whole, ints = ints, ints.where("not giant").drop("giant")
     n = max(1, min(C.parts(spark), -(-total // bucket)))
     level = F.coalesce(F.floor(F.log2(F.nullif("norm", F.lit(0.0))) * LEVELS).cast("int"), F.lit(-(2**30)))
     ordered = ints.select("id", "v", "dim", "norm", level.alias("level"), F.lit(NONE).alias("least")).repartitionByRange(n, F.desc("norm"), "id").sortWithinPartitions(F.desc("norm"), "id")
@@ -231,10 +240,45 @@ def search(vectors: DataFrame, key: str, vector: str, query: Column, k: int = 10
         return pa.table({"query_id": cols[0], "vec_id": cols[1], "score": cols[2]})
 
     found = grid.groupBy("dim", "level", "cell", "block").applyInArrow(meet, "query_id long, vec_id long, score long")
+    if every > total:
+        found = found.unionByName(with_giants(whole, k))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def with_giants(vectors: DataFrame, k: int, cell: int = 2048) -> DataFrame:
+    """The k best pairs of each query and cell in which one vector is a giant: exact products in whole numbers of any size, a
+    block of queries against a cell of candidates. A score beyond 64 bits is given as the last number that they hold."""
+    n = max(1, -(-vectors.count() // cell))
+    where = lambda name: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(name)
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    big, columns = F.col("giant"), ["id", "v", "dim", "giant"]
+    asks, cands = vectors.where("query"), vectors
+    grid = None
+    for q, c in ((asks, cands.where(big)), (asks.where(big), cands.where(~big))):
+        if c.limit(1).count() and q.limit(1).count():
+            one = q.select(*columns, F.lit(True).alias("ask"), where("block"), every.alias("cell")).unionByName(c.select(*columns, F.lit(False).alias("ask"), every.alias("block"), where("cell")))
+            one = one.withColumn("side", F.lit(0 if grid is None else 1))
+            grid = one if grid is None else grid.unionByName(one)
+    if grid is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
+    most = 2**63 - 1
+
+    def meet(t: pa.Table) -> pa.Table:
+        out: list[tuple[int, int, int]] = []
+        rows = t.to_pylist()
+        whole = lambda r: np.array([int(x) for x in np.frombuffer(r["v"], np.float64 if r["giant"] else np.int64)], object)
+        found = [(r["id"], whole(r)) for r in rows if not r["ask"]]
+        for r in rows:
+            if r["ask"]:
+                v = whole(r)
+                best = sorted((-max(-most - 1, min(most, int(np.dot(v, c)))), i) for i, c in found if i != r["id"])[:k]
+                out += [(r["id"], i, -s) for s, i in best]
+        return pa.table({name: pa.array([o[j] for o in out], pa.int64()) for j, name in enumerate(("query_id", "vec_id", "score"))})
+
+    return grid.groupBy("dim", "side", "block", "cell").applyInArrow(meet, "query_id long, vec_id long, score long")
+
+
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best other rows of every hundredth embedding."""
     return search(C.read(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0)
