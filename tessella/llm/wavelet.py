@@ -34,8 +34,8 @@ KEPT = 256
 END = 0
 
 
-def dump(ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray, start: int = 0) -> bytes:
-    """A shard's file. ends: offset of the end of each document's ids."""
+def dump(ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray, nulls: int = 0) -> bytes:
+    """A shard's file. ends: offset of the end of each document's ids; nulls: documents at its head that have no id."""
     n, levels = len(ids), max(1, int(ids.max(initial=0)).bit_length())
     a = ids.astype(np.uint16 if levels <= 16 else np.uint32)
     pack = zstandard.ZstdCompressor(level=1)
@@ -48,7 +48,7 @@ def dump(ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray, start: int = 0)
         at += len(raw)
         return at - len(raw), len(raw)
 
-    head: dict = {"n": n, "levels": levels, "docs": len(doc_ids), "block": BLOCK}
+    head: dict = {"n": n, "levels": levels, "docs": len(doc_ids), "nulls": nulls, "block": BLOCK}
     head["doc_ids"] = put(pack.compress(np.diff(doc_ids.astype(np.int64), prepend=0).tobytes()))
     head["ends"] = put(pack.compress(ends.astype(np.int64).tobytes()))
     head["planes"] = []
@@ -81,6 +81,10 @@ class Wavelet:
     def _part(self, where: list[int]) -> bytes:
         return self.unpack.decompress(self.raw[self.base + where[0] : self.base + where[0] + where[1]])
 
+    def nulls(self) -> int:
+        """Documents at the head that have no id; doc_ids has 0 for them."""
+        return self.head["nulls"]
+
     def doc_ids(self) -> np.ndarray:
         return np.cumsum(np.frombuffer(self._part(self.head["doc_ids"]), np.int64))
 
@@ -212,12 +216,13 @@ def writer(folder: str, tokenizer: str, name: str):
         keys: list[np.ndarray] = []
         parts: list[np.ndarray] = []
         lens: list[np.ndarray] = []
+        none: list[int] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal held, shard
             key, size = np.concatenate(keys), np.concatenate(lens)
-            raw = dump(np.concatenate(parts), key, np.cumsum(size))
+            raw = dump(np.concatenate(parts), key, np.cumsum(size), sum(none))
             store, path = filesystem(folder)
             store.create_dir(path, recursive=True)
             file, tmp = f"{path}/shard-{part:06d}-{shard:04d}.wm", f"{path}/.tmp-{uuid.uuid4().hex}"
@@ -228,16 +233,19 @@ def writer(folder: str, tokenizer: str, name: str):
             keys.clear()
             parts.clear()
             lens.clear()
+            none.clear()
             held, shard = 0, shard + 1
             return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["part", "shard", "file", "docs", "ids", "bytes"])
 
         for b in batches:
             data, off = C.text_bytes(b.column(1))
-            key = b.column(0).to_numpy(zero_copy_only=False)
+            known = np.asarray(b.column(0).is_valid())
+            key = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             for i, j in C.chunks(off):
                 ids, at = enc.chunk(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 keys.append(key[i:j])
                 lens.append(np.diff(at) + 1)
+                none.append(int((~known[i:j]).sum()))
                 parts.append(np.insert(ids, at[1:], END).astype(np.int32))
                 held += len(parts[-1])
                 if held >= SHARD:
@@ -263,7 +271,7 @@ def reader(folder: str, lookups: bool):
                 ids, ends = w.ids().astype("<u4"), w.ends()
                 begin = np.concatenate(([0], ends[:-1]))
                 sums = [C.crc(ids[x:y]) for x, y in zip(begin.tolist(), ends.tolist())]
-                cols = {"doc_id": pa.array(w.doc_ids()), "start": pa.array(begin + start), "n_tokens": pa.array(ends - begin), "ids_crc32": pa.array(sums, pa.int64())}
+                cols = {"doc_id": pa.array(w.doc_ids(), mask=np.arange(len(ends)) < w.nulls()), "start": pa.array(begin + start), "n_tokens": pa.array(ends - begin), "ids_crc32": pa.array(sums, pa.int64())}
                 if lookups:
                     first = w.accesses(begin)
                     cols |= {"first_id": pa.array(first), "n_first": pa.array(w.counts(first, begin, ends))}
@@ -276,12 +284,12 @@ def write(docs: DataFrame, key: str, text: str, tokenizer: str | None = None, na
     """Write all ids in ascending order of key: the folder, and a row for each shard with the ids before it.
 
     Null texts are empty; every document ends with id 0; rows with equal keys stay next to each other, in any order
-    among themselves; rows with a null key are left out; an empty table gives no shard and no rows.
+    among themselves; rows with a null key come first and are returned with a null key; an empty table gives no shard and no rows.
     """
     spark: SparkSession = docs.sparkSession
     C.ship(spark)
     folder = f"{C.shared_dir(spark)}/wavelet-{uuid.uuid4().hex}"
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("k is not null")
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     ordered = rows.repartitionByRange(C.parts(spark), "k").sortWithinPartitions("k")
     meta = C.written(ordered.mapInArrow(writer(folder, tokenizer, name), "part long, shard long, file string, docs long, ids long, bytes long"), "shards")
     # ids before a shard: those of the parts before it, of which there are as many as tasks, and those before it in its part
