@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -24,8 +24,8 @@ from . import common as C
 BUCKETS = 1 << 16
 DIM = 12
 UNDETERMINED = "und"
-#: Characters of the longest text that is learned from.
-SAMPLE_CHARS = 200_000
+#: Characters of texts that a sample may hold in all; the bound is a parameter of `sample`.
+SAMPLE_CHARS = 60_000_000
 
 _FOLD = np.full(256, 32, np.uint32)
 _FOLD[97:123] = np.arange(97, 123)
@@ -149,19 +149,22 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 4.
     return model
 
 
-def sample(docs: DataFrame, text: str, lang: str, key: str, where: Column, per_lang: int) -> tuple[list[str], list[str]]:
+def sample(docs: DataFrame, text: str, lang: str, key: str, where: Column, per_lang: int, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[str]]:
     """About per_lang labelled rows of each language at most, picked by a hash of the key; the bound is the parameter.
 
-    Texts of over SAMPLE_CHARS characters are not learned from, and where one key has many rows, twice the bound are
-    taken: what the driver holds follows from these bounds alone.
+    Texts of any length are learned from. Where one key has many rows, twice the bound are taken, and of each language
+    rows are taken in that order until they hold its part of `chars`, one at least: what the driver holds follows from these bounds alone.
     """
-    labelled = docs.where(where & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.char_length(text) <= SAMPLE_CHARS))
+    labelled = docs.where(where & F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in labelled.groupBy(F.col(lang)).count().collect()}
     if not counts:
         return [], []
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_lang / n))])
     luck = F.pmod(F.xxhash64(F.col(key), F.lit("language sample")), F.lit(1_000_003)) / 1_000_003
-    rows = labelled.where(luck < share[F.col(lang)]).select(F.col(key), F.col(text), F.col(lang)).orderBy(luck, F.xxhash64(text)).limit(2 * per_lang * len(counts)).collect()
+    few = labelled.where(luck < share[F.col(lang)]).select(F.col(key), F.col(text), F.col(lang), luck.alias("luck"), F.xxhash64(text).alias("tie"), F.char_length(text).alias("long")).orderBy("luck", "tie").limit(2 * per_lang * len(counts))
+    by = Window.partitionBy(lang).orderBy("luck", "tie")  # of each language an equal part of the characters
+    held = few.withColumns({"held": F.sum("long").over(by), "place": F.row_number().over(by)}).where((F.col("held") <= chars // len(counts)) | (F.col("place") == 1))
+    rows = held.select(F.col(key), F.col(text), F.col(lang)).collect()
     rows.sort(key=lambda r: (str(r[0]), r[2], r[1]))
     return [r[1] for r in rows], [r[2] for r in rows]
 

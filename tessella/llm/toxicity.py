@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -23,8 +23,8 @@ from . import common as C
 WORDS, GRAMS, DIM, HIDDEN = 1 << 15, 1 << 15, 8, 8
 WINDOW, STRIDE = 32, 16
 THRESHOLD = 0.3
-#: Characters of the longest text that is learned from.
-SAMPLE_CHARS = 200_000
+#: Characters of texts that a sample may hold in all; the bound is a parameter of `sample`.
+SAMPLE_CHARS = 60_000_000
 #: Standard errors from which log-odds count.
 LEAST = 2.0
 
@@ -299,11 +299,11 @@ def train(texts: list[str], labels: list[int], weight: tuple[float, float] = (1.
     return Model(net, [table @ net.p["x" + d] + net.p["g" + d] for d in "fb"], [grams @ net.p["x" + d] for d in "fb"], tables[2][1], [net.p["x" + d][2][None, :] for d in "fb"], slope, shift)
 
 
-def sample(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str, where: Column, per_class: int) -> tuple[list[str], list[int], tuple[float, float]]:
+def sample(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str, where: Column, per_class: int, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int], tuple[float, float]]:
     """About per_class labelled rows of each kind at most, picked by a hash of the key; the bound is the parameter.
 
-    Texts of over SAMPLE_CHARS characters are not learned from, and where one key has many rows, twice the bound are
-    taken: what the driver holds follows from these bounds alone.
+    Texts of any length are learned from. Where one key has many rows, twice the bound are taken, and of each kind rows are
+    taken in that order until they hold half of `chars`, one at least: what the driver holds follows from these bounds alone.
     """
     known = labels.where(where & F.col(label).isNotNull()).select(F.col(key), (F.col(label) > 0).cast("int").alias("y"))
     counts = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
@@ -312,8 +312,11 @@ def sample(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str,
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_class / n))])
     luck = F.pmod(F.xxhash64(F.col(key), F.lit("toxicity sample")), F.lit(1_000_003)) / 1_000_003
     picked = known.where(luck < share[F.col("y")]).orderBy(luck, "y").limit(4 * per_class)
-    texts = docs.select(F.col(key), F.col(text)).where(F.col(text).isNotNull() & (F.char_length(text) <= SAMPLE_CHARS))
-    rows = texts.join(F.broadcast(picked), key).select(F.col(key), F.col(text), "y").orderBy(luck, F.xxhash64(text)).limit(4 * per_class).collect()
+    texts = docs.select(F.col(key), F.col(text)).where(F.col(text).isNotNull())
+    few = texts.join(F.broadcast(picked), key).select(F.col(key), F.col(text), "y", luck.alias("luck"), F.xxhash64(text).alias("tie"), F.char_length(text).alias("long")).orderBy("luck", "tie").limit(4 * per_class)
+    by = Window.partitionBy("y").orderBy("luck", "tie")
+    held = few.withColumns({"held": F.sum("long").over(by), "place": F.row_number().over(by)}).where((F.col("held") <= chars // 2) | (F.col("place") == 1))
+    rows = held.select(F.col(key), F.col(text), "y").collect()
     rows.sort(key=lambda r: (str(r[0]), r[2], r[1]))
     y = [r[2] for r in rows]
     return [r[1] for r in rows], y, tuple(counts.get(k, 0) / max(1, y.count(k)) for k in (0, 1))
