@@ -26,8 +26,11 @@ from pyspark.sql import functions as F
 from . import common as C
 
 CELLS = 4096
-#: Cost of a word's first, second, third ... use.
-COSTS = tuple(k * k for k in range(16))
+
+
+def cost(use: int) -> int:
+    """Of a word's first, second, third ... use."""
+    return use * use
 
 
 def sized(docs: DataFrame, text: str, name: str) -> DataFrame:
@@ -90,7 +93,7 @@ def route(patterns: dict[tuple, int], target: dict, repeat: int = 2) -> dict[tup
     sends = {}
     for p, size in sorted(patterns.items(), key=repr):
         for k in range(repeat):
-            arc(0, at["p", p], size, COSTS[k])
+            arc(0, at["p", p], size, cost(k))
         for s in p:
             sends[p, s] = arc(at["p", p], at["s", s], size * repeat, 0)
     for s, t in sorted(target.items(), key=repr):
@@ -189,7 +192,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, sizes, target = mix(docs.withColumn("member", F.array("source")), "doc_id", "size", "member")
     per = spark.createDataFrame([(s, int(n), float(target[s])) for s, n in sizes.items()], "s string, source_size long, target double")
     named = out.withColumn("s", F.coalesce(F.concat(F.lit("v"), F.col("source")), F.lit("~")))
-    return named.join(per, "s").select("doc_id", "source", "size", "source_size", "target", "taken")
+    return named.join(per, "s").select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
