@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -210,42 +210,49 @@ def _rated(company: Column, role: Column, url: Column, text: Column, domain: Col
     }
 
 
-def authenticity(*posting: Column) -> tuple[Column, Column]:
-    """Score from 0 to 100 and status of a posting: company, role, url, text, domain, location, skills, notes, platform."""
-    x = _rated(*posting)
+POSTING = ("company", "role", "url", "text", "domain", "location", "skills", "notes", "platform")
+
+
+def authenticity(df: DataFrame, posting: dict[str, Column], score: str = "score", status: str = "status", notes: str = "notes") -> DataFrame:
+    """df with a posting's score from 0 to 100, its status, and what spoke for or against it in the order of the rating.
+
+    posting: columns of POSTING; a missing one is blank. What it is rated by is computed in a projection of its own, the
+    score in a second and status and notes in a third, so that no test is inlined again and again.
+    """
+    lead = "rated_"
+    while any(c.lower().startswith(lead) for c in df.columns):
+        lead += "_"
+    facts = _rated(*[posting.get(c, F.lit("")) for c in POSTING])
+    words, own = facts.pop("words"), posting.get("domain", F.lit(""))
+    hits = F.filter(F.array(*[F.when(words.rlike("(?s)" + rx), F.lit(rx)) for rx in SCAM]), lambda r: r.isNotNull())
+    df = df.withColumns({f"{lead}{k}": v for k, v in facts.items()} | {f"{lead}own": F.lower(F.coalesce(own, F.lit(""))), f"{lead}hits": hits})
+    x = {k: F.col(f"{lead}{k}") for k in (*facts, "own", "hits")}
     h, board, ats, match = x["host"], x["board"], x["ats"], x["match"]
     pick = lambda test, yes, no: F.when(test, yes).otherwise(no)
-    score = (
+    sum_ = (
         F.lit(50) + pick(x["company"], 10, -25) + pick(x["role"], 10, -25) + pick(x["url"], 10, -15) + pick(x["long"], 10, 0) + pick(x["location"], 5, 0)
         + F.when(x["free"], -35).when(x["domain"], 8).when((h != "") & ~board & ~ats, pick(x["inferred"] != "", 5, 0)).otherwise(-5)
         + F.when(match, 20).when(board, 22).when(ats, 18).when(h != "", -8).otherwise(0) + pick(x["agency"], -12, 0) + pick(x["scam"], -55, 0)
     )
-    score = F.greatest(F.lit(0), F.least(F.lit(100), score))
-    status = (
-        F.when(x["scam"] | (score < 30) | ~x["company"] | ~x["role"], "reject_suspicious")
+    df = df.withColumn(f"{lead}score", F.greatest(F.lit(0), F.least(F.lit(100), sum_)))
+    n = F.col(f"{lead}score")
+    found = (
+        F.when(x["scam"] | (n < 30) | ~x["company"] | ~x["role"], "reject_suspicious")
         .when(x["agency"], "agency_or_recruiter_listing")
-        .when(match & (score >= 80), "verified_company_source")
-        .when((board | ats) & (score >= 70), "trusted_alert_source")
-        .when(score >= 45, "needs_company_confirmation")
+        .when(match & (n >= 80), "verified_company_source")
+        .when((board | ats) & (n >= 70), "trusted_alert_source")
+        .when(n >= 45, "needs_company_confirmation")
         .otherwise("reject_low_authenticity")
     )
-    return score, status
-
-
-def authenticity_notes(*posting: Column) -> Column:
-    """What spoke for or against a posting, in the order of the rating."""
-    x = _rated(*posting)
-    h, board, ats = x["host"], x["board"], x["ats"]
     kind = F.when(U.under(h, ["linkedin.com"]), "linkedin").when(U.under(h, ["seek.com.au"]), "seek").otherwise("trusted job board")
-    own = F.lower(F.coalesce(posting[4], F.lit("")))
-    hits = F.filter(F.array(*[F.when(x["words"].rlike("(?s)" + rx), F.lit(rx)) for rx in SCAM]), lambda r: r.isNotNull())
     said = F.array(
         F.when(~x["company"], "missing company name"), F.when(~x["role"], "missing role title"), F.when(~x["url"], "missing job URL"), F.when(~x["long"], "short or missing JD text"),
-        F.when(x["free"], F.concat(F.lit("company_domain is a free email domain ("), own, F.lit(")"))).when(x["domain"], None)
+        F.when(x["free"], F.concat(F.lit("company_domain is a free email domain ("), x["own"], F.lit(")"))).when(x["domain"], None)
         .when((h != "") & ~board & ~ats, F.when(x["inferred"] != "", F.concat(F.lit("inferred company_domain from job URL ("), x["inferred"], F.lit(")")))).otherwise("company domain not provided"),
-        F.when(x["match"], "job URL host matches company domain").when(board, F.concat(F.lit("trusted job-board source ("), kind, F.lit(")"))).when(ats, "trusted ATS source").when(h != "", F.concat(F.lit("unrecognized job URL host ("), h, F.lit(")"))),
+        F.when(match, "job URL host matches company domain").when(board, F.concat(F.lit("trusted job-board source ("), kind, F.lit(")"))).when(ats, "trusted ATS source").when(h != "", F.concat(F.lit("unrecognized job URL host ("), h, F.lit(")"))),
         F.when(x["agency"], "agency/recruiter or end-employer-unclear listing"),
-        F.when(F.size(hits) > 0, F.concat(F.lit("suspicious wording: "), F.array_join(F.slice(hits, 1, 3), ", "))),
+        F.when(F.size(x["hits"]) > 0, F.concat(F.lit("suspicious wording: "), F.array_join(F.slice(x["hits"], 1, 3), ", "))),
     )
-    said = F.filter(said, lambda n: n.isNotNull())
-    return F.when(F.size(said) == 0, F.array(F.lit("no authenticity issues found"))).otherwise(said)
+    df = df.withColumns({score: n, status: found, notes: F.array_compact(said)})
+    fine = F.array(F.lit("no authenticity issues found"))
+    return df.withColumn(notes, F.when(F.size(notes) == 0, fine).otherwise(F.col(notes))).drop(*[c for c in df.columns if c.startswith(lead)])

@@ -139,14 +139,16 @@ def migrated(target: DataFrame, people: DataFrame, state: DataFrame, companies:
 
 
 def rebuilt(spark, sources: dict[str, DataFrame], folder: str, kept: tuple[str, ...] = ()) -> dict[str, int]:
-    """Rewrite the derived tables of a folder from their sources; tables that users write to (kept) are never touched.
+    """The next versions of a folder's derived tables, from their sources; readers never find one absent; tables that users write to (kept) are never touched.
     Rows of each table written."""
+    from ..sources.files import current, replaced
+
     counts = {}
     for name, df in sources.items():
         if name in kept:
             raise ValueError(f"{name} belongs to the users' zone")
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
-        counts[name] = spark.read.parquet(f"{folder}/{name}").count()
+        replaced(df, f"{folder}/{name}")
+        counts[name] = current(spark, f"{folder}/{name}").count()
     return counts
 
 

@@ -195,10 +195,9 @@ def authenticity(spark, d):
         .when(key == 3, F.concat(F.lit("https://acme.com/"), "id")).when(key == 4, "").otherwise("https://gmail.com/x")
     )
     domain = F.when(key == 2, "acme.com").when((key == 4) & (F.col("id") % 4 == 0), "gmail.com").otherwise("")
-    none = F.lit("")
-    posting = (F.col("company"), F.col("title"), url, F.col("text"), domain, F.when(F.col("id") % 9 == 0, "").otherwise("Perth"), none, none, none)
-    score, status = K.authenticity(*posting)
-    return D.adverts(spark, d).select("id", score.alias("score"), status.alias("status"), F.array_join(K.authenticity_notes(*posting), "; ").alias("notes"))
+    posting = {"company": F.col("company"), "role": F.col("title"), "url": url, "text": F.col("text"), "domain": domain, "location": F.when(F.col("id") % 9 == 0, "").otherwise("Perth")}
+    rated = K.authenticity(D.adverts(spark, d), posting)
+    return rated.select("id", "score", "status", F.array_join("notes", "; ").alias("notes"))
 
 
 PHRASES = "p AS (SELECT p_partkey AS id, ['manage', 'providing', 'carry out', 'use of the', 'paint', 'Monitoring', 'building'][(p_partkey % 7) + 1] || ' ' || p_name || ['', ' records', ' services', ' data'][(p_partkey % 4) + 1] AS phrase FROM part)"
@@ -221,16 +220,17 @@ def bare_nouns(spark, d):
 
 @query(
     "page_dates",
-    """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') WHEN 1 THEN strftime(o_orderdate, '%-d %B %Y') WHEN 2 THEN strftime(o_orderdate, '%b %-d, %Y') ELSE '' END AS page_date, 'Order ' || o_orderkey AS og_title
-FROM orders WHERE o_orderdate >= DATE '2000-01-01'""",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') WHEN o_orderdate < DATE '2000-01-01' THEN '' WHEN o_orderkey % 4 = 1 THEN strftime(o_orderdate, '%-d %B %Y') WHEN o_orderkey % 4 = 2 THEN strftime(o_orderdate, '%b %-d, %Y') ELSE '' END AS page_date, 'Order ' || o_orderkey AS og_title
+FROM orders""",
 )
 def page_dates(spark, d):
-    """Dates of this century found again in pages that state them as a property, in words, shortly, or not at all."""
+    """Dates found again in pages that state them as a property, in words, shortly, or not at all; in words only dates of this
+    century are known."""
     key, day = F.col("o_orderkey"), F.col("o_orderdate")
     head = F.when(key % 4 == 0, F.concat(F.lit('<meta property="article:published_time" content="'), F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss"), F.lit('">'))).otherwise("")
     said = F.when(key % 4 == 1, F.concat(F.lit("posted on "), F.date_format(day, "d MMMM yyyy"))).when(key % 4 == 2, F.concat(F.lit("since "), F.date_format(day, "MMM d, yyyy"))).otherwise("undated")
     page = F.concat(F.lit("<html><head>"), head, F.lit('<meta property="og:title" content="Order '), key.cast("string"), F.lit('"></head><body>'), said, F.lit("</body></html>"))
-    rows = D.table(spark, d, "orders").where("o_orderdate >= DATE '2000-01-01'").select("o_orderkey", page.alias("html"))
+    rows = D.table(spark, d, "orders").select("o_orderkey", page.alias("html"))
     return rows.select("o_orderkey", extract.page_date(F.col("html"), T.strip_tags(F.col("html"))).alias("page_date"), extract.open_graph(F.col("html"))["title"].alias("og_title"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import tables as D
@@ -124,13 +125,13 @@ def score_overlay(spark, d):
 
 @query(
     "fallback_key_lookup",
-    """WITH l AS (SELECT p_partkey, p_name, p_brand FROM part), r1 AS (SELECT l_partkey AS k, min(l_orderkey) AS v FROM lineitem WHERE l_quantity > 45 GROUP BY 1),
-r2 AS (SELECT p_name AS k, p_brand AS b, min(l_orderkey) AS v FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 45 GROUP BY 1, 2)
+    """WITH l AS (SELECT p_partkey, p_name, p_brand FROM part), r1 AS (SELECT l_partkey AS k, min(l_orderkey) AS v FROM lineitem GROUP BY 1),
+r2 AS (SELECT p_name AS k, p_brand AS b, min(l_orderkey) AS v FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2)
 SELECT p_partkey, CASE WHEN r1.k IS NOT NULL THEN 1 WHEN r2.k IS NOT NULL THEN 2 END AS tier, coalesce(r1.v, r2.v) AS v FROM l LEFT JOIN r1 ON r1.k = p_partkey LEFT JOIN r2 ON r2.k = p_name AND r2.b = p_brand""",
 )
 def fallback_key_lookup(spark, d):
     part = D.table(spark, d, "part").select("p_partkey", "p_name", "p_brand")
-    big = D.table(spark, d, "lineitem").where("l_quantity > 45").select("l_partkey", "l_orderkey").join(part.withColumnsRenamed({"p_name": "r_name", "p_brand": "r_brand"}), F.col("l_partkey") == F.col("p_partkey")).withColumn("v", F.col("l_orderkey"))
+    big = D.table(spark, d, "lineitem").select("l_partkey", "l_orderkey").join(part.withColumnsRenamed({"p_name": "r_name", "p_brand": "r_brand"}), F.col("l_partkey") == F.col("p_partkey")).withColumn("v", F.col("l_orderkey"))
     rules = [(F.col("p_partkey"), F.col("l_partkey")), (F.struct("p_name", "p_brand"), F.struct("r_name", "r_brand"))]
     return joins.tiers(part, big.drop("p_partkey"), rules, "l_orderkey", "v").select("p_partkey", "tier", "v")
 
@@ -240,13 +241,18 @@ def export_listagg(spark, d):
     return j.groupBy("company_key", "company").agg(F.array_join(F.transform(in_order, lambda x: x["cell"]), "; ").alias("postings"))
 
 
-@query("unpivot_people", "WITH w AS (SELECT n_regionkey AS k, max(n_name) FILTER (n_nationkey % 3 = 0) AS a, max(n_name) FILTER (n_nationkey % 3 = 1) AS b, max(n_name) FILTER (n_nationkey % 7 = 6) AS c FROM nation GROUP BY 1) SELECT k, CAST(person_no AS INTEGER) AS person_no, name FROM (SELECT k, 1 AS person_no, a AS name FROM w UNION ALL SELECT k, 2, b FROM w UNION ALL SELECT k, 3, c FROM w) WHERE trim(coalesce(name, '')) <> ''")
+@query(
+    "unpivot_people",
+    "SELECT n_regionkey AS region, CAST((rn - 1) // 3 AS INTEGER) AS sheet_row, CAST((rn - 1) % 3 + 1 AS INTEGER) AS person_no, n_name AS name FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rn FROM nation) WHERE trim(coalesce(n_name, '')) <> ''",
+)
 def unpivot_people(spark, d):
+    """All nations as the persons of rows of three, and back."""
     from ..sources.files import unpivot_people as unpivot
 
-    name = lambda m, r: F.max(F.when(F.col("n_nationkey") % m == r, F.col("n_name")))
-    wide = D.table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("k")).agg(name(3, 0).alias("Person 1 Name"), name(3, 1).alias("Person 2 Name"), name(7, 6).alias("Person 3 Name"))
-    return unpivot(wide, ["k"], fields=("Name",))
+    n = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1
+    placed = D.table(spark, d, "nation").select(F.col("n_regionkey").alias("region"), F.floor(n / 3).cast("int").alias("sheet_row"), (n % 3 + 1).alias("no"), "n_name")
+    name = lambda k: F.max(F.when(F.col("no") == k, F.col("n_name"))).alias(f"Person {k} Name")
+    return unpivot(placed.groupBy("region", "sheet_row").agg(*map(name, (1, 2, 3))), ["region", "sheet_row"], fields=("Name",))
 
 
 @query("location_tree", "SELECT r_name AS country, n_name AS state, c_name AS city, r_name || ' > ' || n_name || ' > ' || c_name AS breadcrumb FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")

@@ -8,7 +8,7 @@ from .. import tables as D
 from ..functions import classify as K
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import entity, joins, matching, merge, ordered, rollups
+from ..operators import entity, grouping, joins, matching, merge, ordered, rollups
 
 Q: dict = {}
 S: dict[str, str] = {}
@@ -219,31 +219,54 @@ def labels_rollup(spark, d):
 
 
 def rows_of_titles(spark, d):
-    """Postings for duplicate rules: suppliers' parts by brand, titled by name and type."""
-    p = D.table(spark, d, "part")
-    return p.select(F.col("p_partkey").alias("seq"), F.lit("").alias("url"), F.col("p_brand").alias("owner"), F.lower(F.concat("p_name", F.lit(" "), "p_type")).alias("title"), F.lit("").alias("location"), T.tokens(F.concat("p_name", F.lit(" "), "p_type")).alias("sig"), F.col("p_retailprice").alias("price"))
+    """Postings for duplicate rules: parts by brand, titled by name and type, some at a place, some with a link that others
+    share, a brand's or another's; the signature is the title's words and the size's."""
+    p, key = D.table(spark, d, "part"), F.col("p_partkey")
+    title = F.concat("p_name", F.lit(" "), "p_type")
+    url = F.when(key % 5 == 0, F.concat(F.lit("https://parts.example/"), (key / 15).cast("long").cast("string"))).otherwise("")
+    place = F.when(key % 3 == 0, "").otherwise(F.concat(F.lit("hall "), (F.col("p_size") % 4).cast("string")))
+    sig = F.concat(T.tokens(title), F.array(F.concat(F.lit("size"), (F.col("p_size") % 10).cast("string"))))
+    return p.select(key.alias("seq"), url.alias("url"), F.col("p_brand").alias("owner"), F.lower(title).alias("title"), place.alias("location"), sig.alias("sig"), F.col("p_retailprice").alias("price"))
 
 
 @query("duplicate_groups")
 def duplicate_groups(spark, d):
-    """First-fit groups, a brand at a time."""
-    r = rows_of_titles(spark, d).drop("price")
-    return entity.first_fit(r, F.col("owner"))
+    """First-fit groups over all parts, by all three rules."""
+    return grouping.first_fit(rows_of_titles(spark, d).drop("price"))
 
 
 @query("survivor_merge")
 def survivor_merge(spark, d):
     r = rows_of_titles(spark, d)
-    g = entity.first_fit(r.drop("price"), F.col("owner"))
+    g = grouping.first_fit(r.drop("price"))
     rows = r.select("seq", "owner", "title", "price").join(g, "seq")
     return merge.survivors(rows.drop("reason"), "group_seq", "seq", F.col("price"), "title", [], ["owner"]).select("group_seq", "primary_seq", "title", "owner", "n")
 
 
+@query("duplicate_review")
+def duplicate_review(spark, d):
+    """Every part with its group, and whether it is the group's primary or a duplicate, and why."""
+    r = rows_of_titles(spark, d)
+    g = grouping.first_fit(r.drop("price"))
+    primary = r.select("seq", "price").join(g, "seq").groupBy("group_seq").agg(F.max_by("seq", F.struct("price", -F.col("seq"))).alias("primary_seq"))
+    return entity.review(r.select("seq", "owner", "title"), g, primary).select("seq", "owner", "title", "group_seq", "primary_seq", "role", "reason")
+
+
 @query("similar_titles")
 def similar_titles(spark, d):
+    """Pairs of classes of parts with near-identical titles."""
     return entity.similar_pairs(rows_of_titles(spark, d), "seq", "owner", "title", "location")
 
 
+@query(
+    "title_classes",
+    "WITH r AS (SELECT p_partkey AS seq, p_brand AS owner, lower(p_name || ' ' || p_type) AS title, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'hall ' || (p_size % 4) END AS location FROM part) SELECT seq, min(seq) OVER w AS class_key, count(*) OVER w AS n FROM r WINDOW w AS (PARTITION BY owner, title, location)",
+)
+def title_classes(spark, d):
+    """The class of each part: rows of equal owner, title and place."""
+    return entity.title_classes(rows_of_titles(spark, d), "seq", "owner", "title", "location").drop("among")
+
+
 @query("company_resolution")
 def company_resolution(spark, d):
     """Suppliers' names resolved against companies."""

@@ -110,18 +110,17 @@ def append_json(df: DataFrame, path: str) -> None:
 
 
 def replaced(df: DataFrame, path: str) -> None:
-    """A Parquet table whole or not at all: written beside its place and moved there; a reader sees the old or the new."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    place, made, old = (jvm.org.apache.hadoop.fs.Path(path + x) for x in ("", ".new", ".old"))
-    fs = place.getFileSystem(conf)
-    fs.delete(made, True)
-    df.write.parquet(path + ".new")
-    fs.delete(old, True)
-    if fs.exists(place):
-        fs.rename(place, old)
-    fs.rename(made, place)
-    fs.delete(old, True)
+    """The next version of a table, whole or not at all: `current` gives the old one until it is there, then the new."""
+    from .versions import Versions
+
+    Versions(df.sparkSession, path).update(lambda _: df)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table's latest version; None before there is one."""
+    from .versions import Versions
+
+    return Versions(spark, path).read()
 
 
 def reports(spark: SparkSession, path: str, schema: str, lists: list[str]) -> DataFrame:

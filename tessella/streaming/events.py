@@ -52,16 +52,14 @@ def drained(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame
 
 
 def upsert_batches(stream: DataFrame, path: str, key: str, at: str, checkpoint: str) -> None:
-    """Latest row of each key kept in a table of versions: each micro-batch writes the next version from the last."""
-    spark = stream.sparkSession
+    """Latest row of each key kept in a table of versions: each micro-batch makes the next from the last, and one that is
+    run again changes nothing."""
+    from ..operators.merge import last_by
+    from ..sources.versions import Versions
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        from ..operators.merge import last_by
+    table = Versions(stream.sparkSession, path)
 
-        old = [] if epoch == 0 else [spark.read.parquet(f"{path}/v={epoch - 1}")]
-        both = batch
-        for o in old:
-            both = both.unionByName(o)
-        last_by(both, [key], [F.col(at)]).write.mode("overwrite").parquet(f"{path}/v={epoch}")
+    def merge(batch: DataFrame, epoch: int) -> None:
+        table.update(lambda old: last_by(batch if old is None else batch.unionByName(old), [key], [F.col(at)]), token=f"epoch {epoch}")
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

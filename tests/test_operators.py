@@ -1,9 +1,11 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tessella.functions.text import company_core
-from tessella.operators import entity, joins, matching, merge, ordered
+from tessella.operators import alike, entity, grouping, joins, matching, merge, ordered
 from tessella.sources import files
 
 
@@ -58,12 +60,25 @@ def test_tiers_and_sidecar(spark):
     assert collect(joins.sidecar(raw, side, "k", "t", "n").select("k", "t", "outcome"), "k") == [("a", "long text", "kept"), ("b", "replaced", "replaced"), ("c", "y", "unmatched")]
 
 
+def duplicate(c, p):
+    """Why a candidate is a duplicate of an earlier row, or ''."""
+    if c["url"] and c["url"] == p["url"]:
+        return "same url"
+    if not c["owner"] or c["owner"] != p["owner"]:
+        return ""
+    alike = entity.similarity(c["title"], p["title"])
+    if (not c["location"] or not p["location"] or c["location"] == p["location"]) and alike >= 0.92:
+        return "same company and location, near-identical title"
+    a, b = set(c["sig"]), set(p["sig"])
+    return "same company and title, overlapping text" if alike >= 0.86 and a and b and len(a & b) / len(a | b) >= 0.45 else ""
+
+
 def first_fit_by_hand(rows):
     groups, out = [], []
     for r in rows:
         hit, why = None, ""
         for g in groups:
-            why = next((w for m in g if (w := entity.duplicate(r, m))), "")
+            why = next((w for m in g if (w := duplicate(r, m))), "")
             if why:
                 hit = g
                 break
@@ -75,25 +90,40 @@ def first_fit_by_hand(rows):
     return out
 
 
-def test_first_fit_by_brute_force():
-    rng = random.Random(1)
+FIT = "seq long, url string, owner string, title string, location string, sig array<string>"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_first_fit_by_brute_force(spark, seed):
+    rng = random.Random(seed)
     pick = lambda xs, n: [rng.choice(xs) for _ in range(n)]
-    for _ in range(12):
-        words = ["senior", "data", "analyst", "engineer", "date", "analysts", "sr", "lead", ""]
-        rows = [dict(seq=i, url=rng.choice(["", "", "u1", "u2"]), owner=rng.choice(["a", "a", "b", ""]), title=" ".join(pick(words, rng.randint(0, 4))), location=rng.choice(["", "x", "y"]), sig=pick("abcdef", rng.randint(0, 4))) for i in range(120)]
-        assert entity.fitted(rows) == first_fit_by_hand(rows)
-        rng.shuffle(rows)
-        assert entity.fitted(rows) == first_fit_by_hand(rows)
+    words = ["senior", "data", "analyst", "engineer", "date", "analysts", "sr", "lead", ""]
+    urls = (["", "", "u1", "u2"], [""], [""] * 9 + ["u1"])[seed]
+    rows = [dict(seq=3 * i + 1, url=rng.choice(urls), owner=rng.choice(["a", "a", "b", ""]), title=" ".join(pick(words, rng.randint(0, 4))), location=rng.choice(["", "x", "y"]), sig=pick("abcdef", rng.randint(0, 4))) for i in range(220)]
+    df = spark.createDataFrame([tuple(r.values()) for r in rng.sample(rows, len(rows))], FIT).repartition(3)
+    got = collect(grouping.first_fit(df), "seq")
+    assert got == first_fit_by_hand(rows)
+    if seed == 0:
+        assert {x[2] for x in got} == {"", *grouping.REASONS}  # every rule is met
 
 
 def test_first_fit_is_not_transitive(spark):
-    # b resembles a, c resembles b but not a: c joins through b; groups never merge
-    rows = [(1, "", "o", "senior data analyst melbourne", "", []), (2, "", "o", "senior data analyst melbourn", "", []), (3, "u", "o", "other", "", []), (4, "u", "p", "unlike", "", [])]
-    df = spark.createDataFrame(rows, "seq long, url string, owner string, title string, location string, sig array<string>")
-    got = collect(entity.first_fit(df, F.lit(0)).select("seq", "group_seq"), "seq")
-    assert got == [(1, 1), (2, 1), (3, 3), (4, 3)]
-    shuffled = spark.createDataFrame(random.Random(1).sample(rows, 4), df.schema).repartition(3)
-    assert collect(entity.first_fit(shuffled, F.lit(0)).select("seq", "group_seq"), "seq") == got
+    # b resembles a, c resembles b but not a: c joins through b; rows of one URL meet whoever owns them; groups never merge
+    rows = [(1, "", "o", "senior data analyst melbourne", "", []), (2, "", "o", "senior data analyst melbourn", "", []), (3, "u", "o", "other", "", []), (4, "u", "p", "unlike", "", []), (5, None, None, None, None, None), (6, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, FIT)
+    assert collect(grouping.first_fit(df).select("seq", "group_seq"), "seq") == [(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 6)]
+    assert grouping.first_fit(df.limit(0)).count() == 0
+
+
+def test_groups_of_parts(spark, sf):
+    from tessella.plans import texts
+
+    rows = [r.asDict() for r in texts.rows_of_titles(spark, sf).drop("price").orderBy("seq").collect()]
+    want = first_fit_by_hand(rows)
+    assert collect(texts.duplicate_groups(spark, sf), "seq") == want and {w[2] for w in want} <= {"", *grouping.REASONS}
+    told = {r["seq"]: (r["group_seq"], r["role"]) for r in texts.duplicate_review(spark, sf).collect()}
+    assert {k: v[0] for k, v in told.items()} == {w[0]: w[1] for w in want}
+    assert sum(v[1] == "primary" for v in told.values()) == len({w[1] for w in want})
 
 
 def test_resolution(spark):
@@ -114,24 +144,56 @@ def near_names(rng, n):
     return out
 
 
+def expanded(pairs, members, least):
+    """All pairs of rows that pairs of classes and their membership stand for, with their ratios."""
+    rows, out = {}, []
+    for key, cls, _, among in members:
+        rows.setdefault((cls, among), []).append(key)
+    of = {cls: keys for (cls, _), keys in rows.items()}
+    for (_, among), keys in rows.items():
+        out += [(a, b, 1.0) for a in keys for b in keys if a < b and among]
+    for a, b, forward, back, a_n, b_n in pairs:
+        assert (len(of[a]), len(of[b])) == (a_n, b_n)
+        both = [(x, y, forward) if x < y else (y, x, back) for x in of[a] for y in of[b]]
+        out += [x for x in both if x[2] >= least]
+    return sorted(out)
+
+
 def test_similar_pairs_are_all_pairs(spark):
     rng = random.Random(3)
-    names = ["cold anvil promo", "old anvil promo", "a", "a", "", None, "x" * 230, "y" + "x" * 229, *near_names(rng, 150)]
+    names = ["cold anvil promo", "old anvil promo", "a", "a", "", None, "x" * 230, "y" + "x" * 229, "x" * 231, "aaaa", "aaaab", "baaaa", *near_names(rng, 150)]
+    names += rng.choices(names, k=40)
     rows = [(i, rng.choice("op"), t, rng.choice(["", "here", "there", None])) for i, t in enumerate(names)]
     df = spark.createDataFrame(rows, "seq long, owner string, title string, location string")
     near = lambda x, y: x == "" or y == "" or (x is not None and x == y)
     want = [(a[0], b[0], entity.similarity(b[2], a[2])) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and near(a[3], b[3])]
-    for least in (0.92, 0.6):
-        got = collect(entity.similar_pairs(df, "seq", "owner", "title", "location", least), "a", "b")
-        assert got == [x for x in want if x[2] >= least] and len({x[0] for x in got}) > 20
+    args = ("seq", "owner", "title", "location")
+    members = list(map(tuple, entity.title_classes(df, *args).collect()))
+    for least in (0.92, 0.86, 0.6):
+        got = expanded(map(tuple, entity.similar_pairs(df, *args, least).collect()), members, least)
+        assert got == sorted(x for x in want if x[2] >= least) and len({x[0] for x in got}) > 20
 
 
 def test_similar_titles(spark, sf):
     from tessella.plans import texts
 
-    rows = texts.rows_of_titles(spark, sf).select("seq", "owner", "title").collect()
-    want = [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and entity.similarity(b[2], a[2]) >= 0.92]
-    assert collect(texts.similar_titles(spark, sf).select("a", "b"), "a", "b") == sorted(want)
+    df = texts.rows_of_titles(spark, sf)
+    rows = df.select("seq", "owner", "title", "location").collect()
+    near = lambda x, y: x == "" or y == "" or x == y
+    want = [(a[0], b[0], entity.similarity(b[2], a[2])) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and near(a[3], b[3])]
+    members = list(map(tuple, entity.title_classes(df, "seq", "owner", "title", "location").collect()))
+    assert expanded(map(tuple, texts.similar_titles(spark, sf).collect()), members, 0.92) == sorted(x for x in want if x[2] >= 0.92)
+
+
+def test_few_candidates_are_measured(spark):
+    """Of random titles hardly any pair that is not near-identical is measured."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(4, 9))) for _ in range(400)]
+    titles = {" ".join(rng.sample(words, 3)) for _ in range(1500)}
+    titles |= {t.replace("a", "e", 1) for t in titles}
+    df = spark.createDataFrame([("o", t) for t in titles], "o string, t string")
+    found, met = alike.pairs(df, "o", "t", 0.92).count(), alike.met(df, "o", "t", 0.92).count()
+    assert 500 < found <= met <= 3 * found
 
 
 def test_suggestions_rank_every_candidate(spark, monkeypatch):
@@ -223,6 +285,13 @@ def test_streams_equal_batch(spark, sf, tmp_path):
 
     s = E.source(spark, sf, "events.parquet")
     E.upsert_batches(s.select("user_id", "ts", "event_id"), str(tmp_path / "t"), "user_id", "ts", str(tmp_path / "c"))
-    last = spark.read.parquet(str(tmp_path / "t" / "v=0"))
+    last = files.current(spark, str(tmp_path / "t"))
     want = spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").agg(F.max("ts").alias("ts"))
     assert collect(last.select("user_id", "ts"), "user_id") == collect(want, "user_id")
+
+
+def test_parts_meet_every_rule(spark):
+    from tessella.plans import texts
+
+    got = texts.duplicate_groups(spark, "/root/testdata/sf0.01").groupBy("reason").count().collect()
+    assert {r["reason"] for r in got} == {"", *grouping.REASONS}
