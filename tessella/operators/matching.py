@@ -212,6 +212,20 @@ def fit_score(hits: DataFrame, key: str, profile: DataFrame, unknown: str, soft_
     )
 
 
+def rescored(stored: DataFrame, hits: DataFrame, key: str, old: DataFrame, new: DataFrame, unknown: str, soft_weight: str, lacked: str = "lacked_weight", flags: tuple[str, ...] = FLAGS) -> DataFrame:
+    """Scores after a change of profile: stored (what fit_score gave by the old profile) with the rows anew that hit a label
+    whose entry changed, came or went; all others are carried over by key. recomputed says which. hits by label are the
+    index: only keys of changed labels are looked up and scored.
+    """
+    entry = lambda p, name: p.select("label", F.struct(*[F.coalesce(c, F.lit(False)).alias(c) for c in ("supported", "soft", "excluded")]).alias(name))
+    plain = F.struct(*[F.lit(False).alias(c) for c in ("supported", "soft", "excluded")])  # what a label without an entry counts as
+    both = entry(old, "was").join(entry(new, "now"), "label", "full")
+    changed = both.where(F.coalesce("was", plain) != F.coalesce("now", plain)).select("label")
+    touched = hits.select(key, "label").join(changed, "label", "left_semi").select(key).distinct()
+    again = fit_score(hits.join(touched, key, "left_semi"), key, new, unknown, soft_weight, lacked, flags).withColumn("recomputed", F.lit(True))
+    return stored.join(touched, key, "left_anti").withColumn("recomputed", F.lit(False)).unionByName(again)
+
+
 def explained(band: Column, fit: Column, family: Column, supported: Column, lacking: Column, knockouts: Column, senior: Column, off_target: Column) -> Column:
     """A score in words: what speaks for it, what is missing, what capped it, what to verify. Lists are arrays."""
     details = lambda test: F.transform(F.filter(knockouts, test), lambda k: k["detail"])

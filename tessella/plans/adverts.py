@@ -93,22 +93,8 @@ def _sap(out: str) -> str:
     return f"CASE WHEN rp > 0 THEN {out} * 2 ELSE {out} END"
 
 
-@query(
-    "fit_score",
-    "WITH " + D.ADVERTS + ", " + REGION + ", " + NEEDS + rf""", i AS (SELECT *, {_imp("sql")} AS sql_, {_imp("excel")} AS excel_, {_imp("team")} AS team_, {_imp("widget")} AS widget_, {_imp("anvil")} AS anvil_,
-  {_sap("2")} AS lacked, len(list_filter(list_distinct(regexp_extract_all(region, '\b([A-Z]{{2,5}})\b', 1)), lambda x: x NOT IN ({quoted([*K.ACRONYM_STOP, "SQL", "SAP"])}))) AS unknown,
-  NOT regexp_matches(title, '\b(steel|widget|anvil|maker)\b') AS off FROM k),
-w AS (SELECT *, sql_ + widget_ + 0.6 * (excel_ + anvil_) + lacked + 2 * unknown + 0.15 * team_ AS whole, sql_ + widget_ + 0.15 * team_ AS num FROM i),
-f AS (SELECT *, (CASE WHEN contains(text, 'must be a citizen') THEN least(100 * num / (whole + 2), 25) WHEN len(unmet) > 0 THEN least(100 * num / (whole + 2), 35) ELSE 100 * num / (whole + 2) END) * CASE WHEN off THEN 0.7 ELSE 1 END AS raw FROM w),
-g AS (SELECT *, CAST(round_even(round(CAST(raw AS DOUBLE), 9), 0) AS INTEGER) AS fit, list_filter([CASE WHEN sql_ > 0 THEN 'sql' END, CASE WHEN team_ > 0 THEN 'teamwork' END, CASE WHEN widget_ > 0 THEN 'widgets' END], lambda x: x IS NOT NULL) AS sup,
-  list_filter([CASE WHEN anvil_ > 0 THEN 'anvils' END, CASE WHEN excel_ > 0 THEN 'excel' END, 'sap'], lambda x: x IS NOT NULL) AS lack FROM f),
-c AS (SELECT *, CASE WHEN fit >= 68 THEN 'strong' WHEN fit >= 45 THEN 'fair' ELSE 'drop' END AS band, list_filter([CASE WHEN contains(text, 'must be a citizen') THEN 'work authorization required' WHEN len(unmet) > 0 THEN 'auto-reject risk: ' || array_to_string(unmet, '; ') END, CASE WHEN off THEN 'off-target role' END], lambda x: x IS NOT NULL) AS caps FROM g)
-SELECT id, fit, CAST(round_even(round(CAST(100 * num / whole AS DOUBLE), 9), 0) AS INTEGER) AS coverage_pct, rp > 0 AND whole >= 4 AS enough, band, array_to_string(sup, ', ') AS supported, array_to_string(lack, ', ') AS lacking,
- CASE WHEN len(unmet) > 0 THEN 'AUTO-REJECT RISK (needs ' || array_to_string(unmet, ', ') || '); ' ELSE '' END || band || ' fit ' || fit || '% - data analyst; evidences ' || array_to_string(sup[1:3], ', ') || '; missing ' || array_to_string(lack[1:3], ', ')
-  || CASE WHEN len(caps) > 0 THEN '; capped: ' || array_to_string(caps, ', ') ELSE '' END || CASE WHEN len(verify) > 0 THEN '; verify: ' || array_to_string(verify, ', ') ELSE '' END AS why FROM c""",
-)
-def fit_score(spark, d):
-    """Every posting's score with its words: hits count twice from the requirements on; knockouts and titles cap it."""
+def _fit_hits(spark, d):
+    """Postings with all that a score reads, and their label hits."""
     t, title = F.col("text"), F.col("title")
     a = D.adverts(spark, d).withColumns({"start": K.region_start(t), "region": _region(t), "k": _knockouts(), "hits": matching.alias_counts(t, SKILL_ALIASES)})
     open_ = lambda test: F.exists("k", lambda k: (k["status"] == "unmet") & test(k["type"]))
@@ -128,14 +114,53 @@ def fit_score(spark, d):
     per = ["unknown", "soft_weight", "lacked_weight", "unmet", "no_authorization", "senior", "off_target", "in_region"]
     hits = a.select("id", F.explode_outer("hits").alias("h"), "start", *per)
     hits = hits.select("id", "h.label", matching.importance(F.col("h.freq"), F.col("h.first_pos"), F.col("start")).alias("imp"), *per)
+    return a, hits
+
+
+@query(
+    "fit_score",
+    "WITH " + D.ADVERTS + ", " + REGION + ", " + NEEDS + rf""", i AS (SELECT *, {_imp("sql")} AS sql_, {_imp("excel")} AS excel_, {_imp("team")} AS team_, {_imp("widget")} AS widget_, {_imp("anvil")} AS anvil_,
+  {_sap("2")} AS lacked, len(list_filter(list_distinct(regexp_extract_all(region, '\b([A-Z]{{2,5}})\b', 1)), lambda x: x NOT IN ({quoted([*K.ACRONYM_STOP, "SQL", "SAP"])}))) AS unknown,
+  NOT regexp_matches(title, '\b(steel|widget|anvil|maker)\b') AS off FROM k),
+w AS (SELECT *, sql_ + widget_ + 0.6 * (excel_ + anvil_) + lacked + 2 * unknown + 0.15 * team_ AS whole, sql_ + widget_ + 0.15 * team_ AS num FROM i),
+f AS (SELECT *, (CASE WHEN contains(text, 'must be a citizen') THEN least(100 * num / (whole + 2), 25) WHEN len(unmet) > 0 THEN least(100 * num / (whole + 2), 35) ELSE 100 * num / (whole + 2) END) * CASE WHEN off THEN 0.7 ELSE 1 END AS raw FROM w),
+g AS (SELECT *, CAST(round_even(round(CAST(raw AS DOUBLE), 9), 0) AS INTEGER) AS fit, list_filter([CASE WHEN sql_ > 0 THEN 'sql' END, CASE WHEN team_ > 0 THEN 'teamwork' END, CASE WHEN widget_ > 0 THEN 'widgets' END], lambda x: x IS NOT NULL) AS sup,
+  list_filter([CASE WHEN anvil_ > 0 THEN 'anvils' END, CASE WHEN excel_ > 0 THEN 'excel' END, 'sap'], lambda x: x IS NOT NULL) AS lack FROM f),
+c AS (SELECT *, CASE WHEN fit >= 68 THEN 'strong' WHEN fit >= 45 THEN 'fair' ELSE 'drop' END AS band, list_filter([CASE WHEN contains(text, 'must be a citizen') THEN 'work authorization required' WHEN len(unmet) > 0 THEN 'auto-reject risk: ' || array_to_string(unmet, '; ') END, CASE WHEN off THEN 'off-target role' END], lambda x: x IS NOT NULL) AS caps FROM g)
+SELECT id, fit, CAST(round_even(round(CAST(100 * num / whole AS DOUBLE), 9), 0) AS INTEGER) AS coverage_pct, rp > 0 AND whole >= 4 AS enough, band, array_to_string(sup, ', ') AS supported, array_to_string(lack, ', ') AS lacking,
+ CASE WHEN len(unmet) > 0 THEN 'AUTO-REJECT RISK (needs ' || array_to_string(unmet, ', ') || '); ' ELSE '' END || band || ' fit ' || fit || '% - data analyst; evidences ' || array_to_string(sup[1:3], ', ') || '; missing ' || array_to_string(lack[1:3], ', ')
+  || CASE WHEN len(caps) > 0 THEN '; capped: ' || array_to_string(caps, ', ') ELSE '' END || CASE WHEN len(verify) > 0 THEN '; verify: ' || array_to_string(verify, ', ') ELSE '' END AS why FROM c""",
+)
+def fit_score(spark, d):
+    """Every posting's score with its words: hits count twice from the requirements on; knockouts and titles cap it."""
+    a, hits = _fit_hits(spark, d)
     profile = spark.createDataFrame(SKILL_PROFILE, "label string, supported boolean, soft boolean, excluded boolean")
     scored = matching.fit_score(hits, "id", profile, "unknown", "soft_weight")
     both = scored.join(a.select("id", "title", "text", "k", "senior", "off_target"), "id")
     listed = lambda c: F.filter(F.split(c, ", "), lambda x: x != "")
-    why = matching.explained(F.col("band"), F.col("fit"), K.role_family(title, t), listed("supported"), listed("lacking"), F.col("k"), F.col("senior"), F.col("off_target"))
+    why = matching.explained(F.col("band"), F.col("fit"), K.role_family(F.col("title"), F.col("text")), listed("supported"), listed("lacking"), F.col("k"), F.col("senior"), F.col("off_target"))
     return both.select("id", "fit", "coverage_pct", "enough", "band", "supported", "lacking", why.alias("why"))
 
 
+NEW_PROFILE = [(label, True, False, False) if label == "anvils" else (label, *rest) for label, *rest in SKILL_PROFILE]
+_AFTER = S["fit_score"]
+for _was, _now in (
+    ("0.6 * (excel_ + anvil_)", "0.6 * excel_ + anvil_"), ("sql_ + widget_ + 0.15 * team_ AS num", "sql_ + widget_ + anvil_ + 0.15 * team_ AS num"),
+    ("list_filter([CASE WHEN sql_ > 0", "list_filter([CASE WHEN anvil_ > 0 THEN 'anvils' END, CASE WHEN sql_ > 0"), ("AS sup,\n  list_filter([CASE WHEN anvil_ > 0 THEN 'anvils' END, ", "AS sup,\n  list_filter(["),
+):
+    assert _was in _AFTER, _was
+    _AFTER = _AFTER.replace(_was, _now)
+
+
+@query("rescored_fit", f"SELECT f.id, fit, coverage_pct, enough, band, supported, lacking, contains(lower(text), 'anvil') AS recomputed FROM ({_AFTER}) f JOIN (WITH {D.ADVERTS} SELECT id, text FROM adverts) t ON t.id = f.id")
+def rescored_fit(spark, d):
+    """Scores once the profile has learned of anvils: only postings that name them are scored again."""
+    _, hits = _fit_hits(spark, d)
+    old, new = (spark.createDataFrame(p, "label string, supported boolean, soft boolean, excluded boolean") for p in (SKILL_PROFILE, NEW_PROFILE))
+    stored = matching.fit_score(hits, "id", old, "unknown", "soft_weight")
+    return matching.rescored(stored, hits, "id", old, new, "unknown", "soft_weight")
+
+
 TERMS = {"working life": ["work", "role"], "experience": ["years of work", "years"], "spreadsheets": ["excel"], "planning": ["sap erp", "erp"]}
 UNSUPPORTED = {"accounting papers": ["cpa"], "project papers": ["prince2"], "teams": ["teamwork", "team work"]}
 

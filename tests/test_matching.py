@@ -107,3 +107,21 @@ def test_first_contained(spark):
 def test_queries_on_more_rows(spark, name):
     sf = "/root/testdata/sf0.01"
     oracle.check(registry.QUERIES[name](spark, sf).toPandas(), sf, registry.ORACLE_SQL[name])
+
+
+def test_rescoring_is_scoring_anew(spark, sf):
+    from tessella.plans import adverts
+
+    _, hits = adverts._fit_hits(spark, sf)
+    make = lambda p: spark.createDataFrame(p, "label string, supported boolean, soft boolean, excluded boolean")
+    old = make(adverts.SKILL_PROFILE)
+    stored = matching.fit_score(hits, "id", old, "unknown", "soft_weight")
+    # one label learned, one gone, one new without effect, one unlike before in what does not count
+    new = make([x for x in adverts.NEW_PROFILE if x[0] != "widgets"] + [("unheard of", True, False, False)])
+    got = {r["id"]: r for r in matching.rescored(stored, hits, "id", old, new, "unknown", "soft_weight").collect()}
+    want = {r["id"]: r for r in matching.fit_score(hits, "id", new, "unknown", "soft_weight").collect()}
+    touched = {r["id"] for r in hits.where("label in ('anvils', 'widgets')").select("id").collect()}
+    assert sorted(got) == sorted(want) and all(got[i][c] == want[i][c] for i in want for c in want[i].asDict())
+    assert {i for i, r in got.items() if r["recomputed"]} == touched and 0 < len(touched) < len(want)
+    same = matching.rescored(stored, hits, "id", old, old, "unknown", "soft_weight")
+    assert same.where("recomputed").count() == 0 and same.count() == len(want)
