@@ -187,15 +187,31 @@ def highlight(c: Column, terms: list[str]) -> Column:
     import re
 
     longest = sorted((t for t in terms if len(t) >= 2), key=lambda t: (-len(t), t))
-    safe = F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    marked = safe if not longest else _marked(safe, longest)
-    return F.replace(marked, F.lit("\n"), F.lit("<br>"))
+    return _broken(_safe(c) if not longest else F.regexp_replace(_safe(c), _WHOLE[0] + "|".join(map(re.escape, longest)) + _WHOLE[1], "<mark>$1</mark>"))
 
 
-def _marked(c: Column, longest: list[str]) -> Column:
-    import re
+def highlight_evidence(c: Column, evidence: Column) -> Column:
+    """A text as HTML with the terms of its own row's evidence marked: what stands between semicolons, and the parts of that
+    between slashes, ampersands and commas, of two characters or more, the longest first."""
+    chunks = F.transform(F.split(F.coalesce(evidence, F.lit("")), ";"), lambda x: F.trim(x))
+    parts = F.transform(F.flatten(F.transform(chunks, lambda x: F.split(x, "[/&,]"))), lambda x: F.trim(x))
+    terms = F.filter(F.array_distinct(F.concat(chunks, parts)), lambda t: F.char_length(t) >= 2)
+    by_length = F.transform(F.array_sort(F.transform(terms, lambda t: F.struct((-F.char_length(t)).alias("n"), t.alias("t")))), lambda x: x["t"])
+    literal = F.transform(by_length, lambda t: F.regexp_replace(t, r"([^\p{L}\p{N}_])", r"\\$1"))
+    pattern = F.concat(F.lit(_WHOLE[0]), F.array_join(literal, "|"), F.lit(_WHOLE[1]))
+    return _broken(F.when(F.size(terms) == 0, _safe(c)).otherwise(F.regexp_replace(_safe(c), pattern, F.lit("<mark>$1</mark>"))))
+
+
+#: Around alternatives that stand as whole words, in any case of letters.
+_WHOLE = r"(?iu)(?<!\w)(", r")(?!\w)"
+
+
+def _safe(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
 
-    return F.regexp_replace(c, r"(?i)(?<!\w)(" + "|".join(map(re.escape, longest)) + r")(?!\w)", "<mark>$1</mark>")
+def _broken(c: Column) -> Column:
+    return F.replace(c, F.lit("\n"), F.lit("<br>"))
 
 
 def and_list(c: Column) -> Column:

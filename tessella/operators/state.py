@@ -169,3 +169,13 @@ def named_universe(sources: list[DataFrame], key: str, name: str, seq: str) -> D
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.groupBy(key).agg(F.min_by("name", F.when(T.blank_to_null(F.col("name")).isNotNull(), F.struct("rank", "seq"))).alias("name"), F.min("rank").alias("source_rank"))
+
+
+def prospect_groups(companies: DataFrame, prospects: DataFrame, key: str, name: str, priority: str) -> DataFrame:
+    """Companies with their prospects as a list by name and their number: those of priority first, then by name in any case.
+    A company of prospects alone is named by its key and has no priority; one without prospects has an empty list.
+    prospects: key, prospect, name."""
+    people = prospects.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.lower(F.coalesce("name", F.lit(""))).alias("by"), "prospect", "name"))).alias("people"))
+    both = companies.select(key, F.col(name).alias("company_name"), F.col(priority).cast("int").alias("priority")).join(people, key, "full")
+    out = both.select(key, F.coalesce(F.nullif("company_name", F.lit("")), F.col(key).cast("string")).alias("company_name"), F.coalesce("priority", F.lit(0)).alias("priority"), F.filter(F.transform(F.coalesce("people", F.array(F.lit(None))), lambda p: F.struct(p["prospect"].alias("prospect"), p["name"].alias("name"))), lambda p: p["prospect"].isNotNull()).alias("prospects"))
+    return out.withColumn("prospect_count", F.size("prospects")).orderBy(F.desc("priority"), F.lower("company_name"), key)

@@ -15,9 +15,11 @@ Q: dict = {}
 S: dict[str, str] = {}
 
 
-def query(name: str, sql: str):
+def query(name: str, sql: str | None = None):
     def add(f):
-        Q[name], S[name] = f, sql
+        Q[name] = f
+        if sql is not None:
+            S[name] = sql
         return f
 
     return add
@@ -564,3 +566,22 @@ def profile_groups(spark, d):
     parents = spark.createDataFrame([("de", "germanic"), ("en", "germanic"), ("fr", "romance"), ("es", "romance")], "label string, parent string")
     groups = spark.createDataFrame([("de", "one"), ("en", "one"), ("fr", "two"), ("es", "two"), ("germanic", "family"), ("romance", "family"), ("slavic", "family")], "label string, group string")
     return R.profile(D.documents(spark, d), "source", "lang", parents, groups)
+
+
+@query(
+    "prospect_groups",
+    "WITH p AS (SELECT c_nationkey AS k, count(*) AS n, list(c_custkey ORDER BY lower(c_name), c_custkey) AS l FROM customer GROUP BY 1) SELECT n_nationkey AS company_key, n_name AS company_name, CAST(n_regionkey = 1 AS INTEGER) AS priority, CAST(coalesce(n, 0) AS INTEGER) AS prospect_count, array_to_string(coalesce(l, []), ',') AS prospects FROM nation LEFT JOIN p ON k = n_nationkey",
+)
+def prospect_groups(spark, d):
+    """Nations as companies, those of one region first, each with its customers as prospects."""
+    companies = D.table(spark, d, "nation").select(F.col("n_nationkey").alias("company_key"), "n_name", (F.col("n_regionkey") == 1).alias("first"))
+    prospects = D.table(spark, d, "customer").select(F.col("c_nationkey").alias("company_key"), F.col("c_custkey").alias("prospect"), F.col("c_name").alias("name"))
+    out = state.prospect_groups(companies, prospects, "company_key", "n_name", "first")
+    return out.select("company_key", "company_name", "priority", "prospect_count", F.array_join(F.transform("prospects", lambda p: p["prospect"].cast("string")), ",").alias("prospects"))
+
+
+@query("marked_adverts")
+def marked_adverts(spark, d):
+    """Posting texts as HTML, with the terms of their own evidence marked."""
+    kind = F.regexp_extract("text", r"skills, (\w+)", 1)
+    return D.adverts(spark, d).select("id", T.highlight_evidence(F.col("text"), F.concat(F.lit("SQL/Excel; "), kind, F.lit("; c++ & r, "), F.col("title"))).alias("html"))

@@ -81,8 +81,9 @@ def flat_people(nested: DataFrame, keys: list[str], people: str, status: str, wa
 
 def import_text(df: DataFrame, text: str, columns: list[str], required: list[str], key: str) -> tuple[DataFrame, DataFrame]:
     """Rows of pasted CSV text by its header in any case: (rows that have every required column, per key the number
-    taken and skipped). Quotes may hold commas, not newlines."""
-    lines = F.filter(F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\r\n?", "\n"), "\n"), lambda x: F.trim(x) != "")
+    taken and skipped). Quotes may hold commas, quotes and newlines; a quote that is never closed ends with its line."""
+    record = r'((?:[^"\n]++|"(?:[^"]++|"")*+"|")++)'
+    lines = F.filter(F.regexp_extract_all(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\r\n?", "\n"), F.lit(record), F.lit(1)), lambda x: F.trim(x) != "")
     cell = r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'
     cells = lambda x: F.transform(F.regexp_extract_all(x, F.lit(cell), F.lit(1)), lambda v: F.trim(F.replace(F.regexp_replace(v, '^"|"$', ""), F.lit('""'), F.lit('"'))))
     rows = df.select(key, cells(F.get(lines, F.lit(0))).alias("h"), F.posexplode(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))).alias("n", "line"))

@@ -39,7 +39,7 @@ def deduplicated(stream: DataFrame) -> DataFrame:
 
 def drained(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
     """Run a stream over all that is there, and return the resulting table: the state after each micro-batch is a version
-    of it in a folder that driver and executors share, never rows on the driver."""
+    of it in a folder that driver and executors share, never rows on the driver. In append mode the batches add up."""
     spark = stream.sparkSession
 
     def keep(batch: DataFrame, epoch: int) -> None:
@@ -47,6 +47,8 @@ def drained(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame
 
     q = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(f"{folder}/result/v=*")
     last = (q.lastProgress or {}).get("batchId", 0)
     return spark.read.schema(stream.schema).parquet(f"{folder}/result/v={last}")
 
