@@ -64,30 +64,45 @@ def pairs(texts: DataFrame, owner: str, text: str, least: float) -> DataFrame:
     return out.where((F.col("forward") >= least) | (F.col("back") >= least))
 
 
-def met(texts: DataFrame, owner: str, text: str, least: float) -> DataFrame:
-    """owner, a, b: the pairs a < b that are measured."""
+def between(texts: DataFrame, others: DataFrame, owner: str, text: str, least: float) -> DataFrame:
+    """owner, a, b, similarity: texts (a) and different others (b) of one owner, of which the ratio of a against b reaches least."""
+    out = met(texts, owner, text, least, others).select(owner, "a", "b", ratio(F.col("a"), F.col("b")).alias("similarity"))
+    return out.where(F.col("similarity") >= least)
+
+
+def met(texts: DataFrame, owner: str, text: str, least: float, others: DataFrame | None = None) -> DataFrame:
+    """owner, a, b: the pairs a < b that are measured; with others, the pairs of a text and a different other."""
     q, share = gram_size(least), least / (2 - least)
-    t = texts.select(F.col(owner).alias("o"), F.col(text).alias("t")).where("o is not null and t <> ''").distinct().withColumn("size", F.char_length("t"))
+    plain = lambda df: df.select(F.col(owner).alias("o"), F.col(text).alias("t")).where("o is not null and t <> ''").distinct()
+    t = plain(texts).withColumn("side", F.lit(0))
+    if others is not None:
+        t = t.unionByName(plain(others).withColumn("side", F.lit(1)))
+    t = t.withColumn("size", F.char_length("t"))
     places = F.when(F.col("size") >= q, F.transform(F.sequence(F.lit(0), F.col("size") - q), lambda i: F.struct(F.substr("t", i + 1, F.lit(q)).alias("g"), i.alias("p"))))
-    same = Window.partitionBy("o", "t", "g")
-    grams = t.select("o", "t", "size", F.inline(places)).select("*", F.row_number().over(same.orderBy("p")).alias("no"), F.count("*").over(same).alias("times"))
+    same = Window.partitionBy("o", "side", "t", "g")
+    grams = t.select("o", "side", "t", "size", F.inline(places)).select("*", F.row_number().over(same.orderBy("p")).alias("no"), F.count("*").over(same).alias("times"))
     seen = grams.groupBy("o", "g", "no").agg(F.count("*").alias("seen"))
-    rank = F.row_number().over(Window.partitionBy("o", "t").orderBy("seen", "g", "no"))
+    rank = F.row_number().over(Window.partitionBy("o", "side", "t").orderBy("seen", "g", "no"))
     head = grams.join(seen, ["o", "g", "no"]).withColumn("rank", rank).where(F.col("rank") <= F.col("size") - (q - 1) - _least_common(F.col("size"), q, least) + 1)
     # the longer text stays in its length's cell, the shorter one goes to those of all lengths that it can be like
     cells = F.explode(F.sequence("size", F.greatest(F.col("size"), F.floor(F.col("size") / share + 1e-9).cast("int"))))
-    long = head.select("o", "g", "no", F.col("size").alias("cell"), F.col("t").alias("x"), F.col("p").alias("x_p"), F.col("times").alias("x_times"))
-    short = head.select("o", "g", "no", cells.alias("cell"), F.col("t").alias("y"), F.col("p").alias("y_p"), F.col("times").alias("y_times"), F.col("size").alias("y_size"))
+    long = head.select("o", "g", "no", F.col("size").alias("cell"), F.col("t").alias("x"), F.col("side").alias("x_side"), F.col("p").alias("x_p"), F.col("times").alias("x_times"))
+    short = head.select("o", "g", "no", cells.alias("cell"), F.col("t").alias("y"), F.col("side").alias("y_side"), F.col("p").alias("y_p"), F.col("times").alias("y_times"), F.col("size").alias("y_size"))
     # a gram's place moves by what is unmatched; where it repeats, its places cannot be told apart
     loose = F.col("cell") - F.ceil(least * (F.col("cell") + F.col("y_size")) / 2 - 1e-9)
     near = (F.abs(F.col("x_p") - F.col("y_p")) <= loose) | (F.col("x_times") > 1) | (F.col("y_times") > 1)
-    once = (F.col("cell") > F.col("y_size")) | (F.col("x") < F.col("y"))
-    both = long.join(short, ["o", "g", "no", "cell"]).where(once & (F.col("x") != F.col("y")) & near)
-    found = both.select("o", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    if others is None:
+        once = (F.col("cell") > F.col("y_size")) | (F.col("x") < F.col("y"))
+        both = long.join(short, ["o", "g", "no", "cell"]).where(once & (F.col("x") != F.col("y")) & near)
+        found = both.select("o", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    else:  # a text meets others alone, as the longer or as the shorter one
+        cross = lambda x: long.where(F.col("x_side") == x).join(short.where(F.col("y_side") == 1 - x), ["o", "g", "no", "cell"]).where((F.col("x") != F.col("y")) & near)
+        found = cross(0).select("o", F.col("x").alias("a"), F.col("y").alias("b")).unionByName(cross(1).select("o", F.col("y").alias("a"), F.col("x").alias("b"))).distinct()
     # what meets must have as many grams in common as the bound says
-    bag = grams.groupBy("o", "t").agg(F.collect_list(F.concat("g", F.lit(" "), F.col("no").cast("string"))).alias("bag"))
-    for c in "ab":
-        found = found.join(bag.withColumnsRenamed({"t": c, "bag": f"{c}_bag"}), ["o", c])
+    bag = grams.groupBy("o", "side", "t").agg(F.collect_list(F.concat("g", F.lit(" "), F.col("no").cast("string"))).alias("bag"))
+    for k, c in enumerate("ab"):
+        own = bag.where(F.col("side") == (k if others is not None else 0)).drop("side")
+        found = found.join(own.withColumnsRenamed({"t": c, "bag": f"{c}_bag"}), ["o", c])
     total = F.char_length("a") + F.char_length("b")
     m = F.ceil(least * total / 2 - 1e-9)
     enough = F.size(F.array_intersect("a_bag", "b_bag")) >= m - (total - 2 * m + 1) * (q - 1)

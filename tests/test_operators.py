@@ -295,3 +295,18 @@ def test_parts_meet_every_rule(spark):
 
     got = texts.duplicate_groups(spark, "/root/testdata/sf0.01").groupBy("reason").count().collect()
     assert {r["reason"] for r in got} == {"", *grouping.REASONS}
+
+
+def test_resolution_by_brute_force(spark):
+    rng = random.Random(9)
+    names = near_names(rng, 60)
+    typed, cand = [(i, n) for i, n in enumerate(names[:30])], [(i, f"k{i}", n) for i, n in enumerate(names[30:] + names[:3])]
+    df, c = spark.createDataFrame(typed, "seq int, name string"), spark.createDataFrame(cand, "seq int, company_key string, company string")
+    core = lambda rows: dict(spark.createDataFrame(rows, "i int, n string").select("i", company_core(F.col("n"))).collect())
+    own, other = core(typed), core([(i, n) for i, _, n in cand])
+    got = {r["seq"]: (r["match_type"], r["company_key"]) for r in entity.resolve(df, c).collect()}
+    for i, _ in typed:
+        if got[i][0] in ("fuzzy", "new"):
+            best = max(((entity.similarity(own[i], other[k]), -k) for k, *_ in cand if other[k]), default=(0, 0))
+            assert got[i] == ("fuzzy", f"k{-best[1]}") if own[i] and best[0] >= 0.9 else got[i][0] == "new"
+    assert {x[0] for x in got.values()} >= {"exact", "fuzzy"}
