@@ -103,3 +103,15 @@ def page_date(html: Column, text: Column) -> Column:
     said = [F.left(T.squeeze(F.nullif(meta(html, p), F.lit(""))), F.lit(40)) for p in DATE_PROPERTIES]
     seen = [F.regexp_extract(F.coalesce(text, F.lit("")), "(?i)" + rx, 0) for rx in DATE_FORMS]
     return F.coalesce(*[F.nullif(x, F.lit("")) for x in said], *[F.nullif(T.squeeze(x), F.lit("")) for x in seen], F.lit(""))
+
+
+def custom_rules(text: Column, rules: dict[str, str]) -> Column:
+    """Map of the first match of each named pattern that a text has, in any case of letters: the whole match, or a pattern's
+    one group, or its groups as a tuple is written. Patterns are Java's; null is an empty text."""
+    t, pairs = F.coalesce(text, F.lit("")), []
+    for name, pattern in rules.items():
+        rx, n = f"(?i){pattern}", re.compile(pattern).groups
+        groups = [F.regexp_extract(t, rx, k) for k in range(1, n + 1)]
+        one = F.regexp_extract(t, rx, 0) if n == 0 else groups[0] if n == 1 else F.concat(F.lit("('"), F.concat_ws("', '", *groups), F.lit("')"))
+        pairs.append(F.when(F.regexp_instr(t, F.lit(rx)) > 0, F.struct(F.lit(name).alias("name"), one.alias("found"))))
+    return F.map_from_entries(F.array_compact(F.array(*pairs)))

@@ -1,11 +1,11 @@
-"""The engine's scalar functions under SQL names."""
+"""The engine's functions under SQL names."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
 from ..operators import entity
-from . import text, urls
+from . import tables, text, urls
 
 #: SQL bodies of functions of one text, as Spark runs them natively.
 BODIES = {
@@ -24,4 +24,4 @@ def register_functions(spark: SparkSession) -> list[str]:
     spark.udf.register("text_similarity", entity.ratio)
     spark.udf.register("compat_form", text.compat_form)
     spark.udf.register("ascii_lower", text.ascii_lower)
-    return [*BODIES, "text_similarity", "compat_form", "ascii_lower"]
+    return [*BODIES, "text_similarity", "compat_form", "ascii_lower", *tables.register(spark)]

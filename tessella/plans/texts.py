@@ -342,6 +342,33 @@ def stream_followups(spark, d):
     return U.latest(U.drained(log, folder), "user_id")
 
 
+RULES = {"number": r"[0-9]+", "that one": r"that ([a-z]+)", "pair": r"([a-z]+), ([a-z]+)"}
+
+
+@query(
+    "custom_rules",
+    r"""SELECT doc_id, u.rule, u.found FROM documents, LATERAL (SELECT * FROM (VALUES ('number', regexp_extract(text, '(?i)[0-9]+', 0), regexp_matches(text, '(?i)[0-9]+')),
+('that one', regexp_extract(text, '(?i)that ([a-z]+)', 1), regexp_matches(text, '(?i)that ([a-z]+)')),
+('pair', '(''' || regexp_extract(text, '(?i)([a-z]+), ([a-z]+)', 1) || ''', ''' || regexp_extract(text, '(?i)([a-z]+), ([a-z]+)', 2) || ''')', regexp_matches(text, '(?i)([a-z]+), ([a-z]+)'))) v(rule, found, met)) u WHERE u.met""",
+)
+def custom_rules(spark, d):
+    """The first match of each of a user's rules in every text."""
+    from ..functions.extract import custom_rules as found
+
+    return D.documents(spark, d).select("doc_id", F.explode(found(F.col("text"), RULES)).alias("rule", "found"))
+
+
+@query("section_lines", S["line_sections"].replace("CAST(section_no AS BIGINT)", "CAST(section_no AS INTEGER)"))
+def section_lines(spark, d):
+    """line_sections as SQL writes it: by a table function over lines that a lateral one makes."""
+    from ..functions import tables
+
+    tables.register(spark)
+    D.documents(spark, d).createOrReplaceTempView("tessella_documents")
+    lines = "SELECT CAST(doc_id AS STRING) AS key, l.line, l.value FROM tessella_documents, LATERAL text_lines(text) l"
+    return spark.sql(f"SELECT CAST(key AS BIGINT) AS doc_id, line, section, section_no FROM line_sections(TABLE({lines}) PARTITION BY key ORDER BY line)")
+
+
 def _checkpoint(spark) -> str:
     """A new folder for a stream's state and result, in the folder that driver and executors share."""
     import uuid

@@ -119,3 +119,31 @@ def test_deduplicated_stream(spark, tmp_path):
     rows.withColumn("ts", F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'")).coalesce(1).write.parquet(str(tmp_path / "in"))
     out = E.drained(E.deduplicated(E.source(spark, str(tmp_path / "in"))), str(tmp_path / "out"), mode="append")
     assert sorted(r["event_id"] for r in out.collect()) == [1, 2]
+
+
+def test_table_functions_equal_the_frames(spark, sf):
+    from tessella.functions.register import register_functions
+
+    assert {"text_lines", "line_sections", "pasted_rows"} <= set(register_functions(spark))
+    texts = [(1, "Clerk | Acme | Perth\n\n Analyst \nGlobex\n3 days ago\nLead\nInitech\nposted today\nyesterday"), (2, None), (3, "ago"), (4, "a | b\nA short head\n" + "x" * 30)]
+    df = spark.createDataFrame(texts, "key int, t string")
+    df.selectExpr("cast(key as string) as key", "t").createOrReplaceTempView("pasted_texts")
+    lines = "SELECT key, l.line, l.value FROM pasted_texts, LATERAL text_lines(t) l"
+    sort = lambda rows: sorted(map(tuple, rows), key=repr)
+    assert sort(spark.sql(lines).selectExpr("cast(key as int)", "line", "value").collect()) == sort(ordered.lines(df, "key", "t").collect())
+    got = spark.sql(f"SELECT cast(key as int), line, role_title, company, location FROM pasted_rows(TABLE({lines}) PARTITION BY key ORDER BY line)")
+    assert sort(got.collect()) == sort(files.pasted_rows(df, "key", "t").collect())
+    got = spark.sql(f"SELECT cast(key as int), line, value, section, section_no FROM line_sections(TABLE({lines}) PARTITION BY key ORDER BY line)")
+    want = ordered.sections(ordered.lines(df, "key", "t"), "key", "line", F.length("value") < 20, "value").select("key", "line", "value", "section", F.col("section_no").cast("int"))
+    assert sort(got.collect()) == sort(want.collect())
+
+
+def test_custom_rules(spark):
+    rules = {"year": r"\b(?:19|20)\d\d\b", "name": r"by (\w+)", "both": r"(\w+)=(\d+)", "none": "zzz"}
+    said = ["By Ann, 1999 and 2001, a=1 b=2", None, "by ", "x=5"]
+    got = column(spark, said, lambda c: extract.custom_rules(c, rules))
+    want = []
+    for s in said:
+        found = {k: re.findall(p, s or "", flags=re.I) for k, p in rules.items()}
+        want.append({k: m[0] if isinstance(m[0], str) else str(m[0]) for k, m in found.items() if m})
+    assert got == want
