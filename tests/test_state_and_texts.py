@@ -295,7 +295,7 @@ def test_registered_functions(spark):
     got = spark.sql("SELECT i, company_key(v), slugify(v), company_core(v), url_host(v) FROM registered_values ORDER BY i").collect()
     c = F.col("v")
     want = df.orderBy("i").select("i", text.company_key(c), text.slug(c), text.company_core(c), urls.host(c)).collect()
-    assert [tuple(r) for r in got] == [tuple(r) for r in want] and len(names) == 8
+    assert [tuple(r) for r in got] == [tuple(r) for r in want] and len(names) == 11
     assert spark.sql("SELECT is_job_board('https://au.indeed.com/x'), round(text_similarity('abcd', 'abce'), 2)").first()[:] == (True, 0.75)
 
 
