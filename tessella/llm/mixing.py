@@ -28,7 +28,7 @@ from . import common as C
 CELLS = 4096
 
 
-def cost(use: int) -> int:
+def use_cost(use: int) -> int:
     """Of a word's first, second, third ... use."""
     return use * use
 
@@ -93,7 +93,7 @@ def route(patterns: dict[tuple, int], target: dict, repeat: int = 2) -> dict[tup
     sends = {}
     for p, size in sorted(patterns.items(), key=repr):
         for k in range(repeat):
-            arc(0, at["p", p], size, cost(k))
+            arc(0, at["p", p], size, use_cost(k))
         for s in p:
             sends[p, s] = arc(at["p", p], at["s", s], size * repeat, 0)
     for s, t in sorted(target.items(), key=repr):
