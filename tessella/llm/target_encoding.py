@@ -29,7 +29,9 @@ from . import common as C
 
 FOLDS = 5
 #: Events of a key a bin, about: what a probe is compared with.
-CELL = 32
+CELL = 64
+#: Groups of lines from which a moment counts as heavy: its events are combined before they are shuffled.
+HEAVY = 4096
 #: Rates are in millionths; a prior weighs as so many rows.
 SCALE, WEIGHT, PRIOR = 1_000_000, 50, 500_000
 #: What rows are counted by; in tables a level is its place here.
@@ -65,13 +67,15 @@ def cell_of(level: Column, key: Column, bin: Column) -> Column:
 
 
 def steps(events: DataFrame, sizes: DataFrame, lo: int, bits: int, gap: int = 0, folds: int = FOLDS) -> DataFrame:
-    """The validity table of events (level, key, shift, at, fold, n, s): cell, level, key, bin, after, until, n0.., s0.. .
+    """The validity table of events (level, key, shift, at, fold, n, s, heavy): level, key, bin, after, until, n0.., s0.. .
 
+    heavy: events of which very many may share a key and a moment.
     sizes: level, key, shift of every key. A step holds for times over `after` up to `until`. Times, with the gap added,
     lie in lo .. lo + 2^bits.
     """
     at, each = F.col("at") + F.lit(gap), [f"{c}{f}" for c in ("n", "s") for f in range(folds)]
-    own = events.groupBy("level", "key", "shift", at.alias("after"), "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).withColumn("bin", bin_of(F.col("after"), lo, F.col("shift")))
+    many = events.where("heavy").groupBy("level", "key", "shift", at.alias("after"), "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    own = events.where("not heavy").select("level", "key", "shift", at.alias("after"), "fold", "n", "s").unionByName(many).withColumn("bin", bin_of(F.col("after"), lo, F.col("shift")))
     # what came before each bin: sums over the bins of its group and over the groups before that
     made = events.where(F.col("shift") < bits).groupBy("level", "key", bin_of(at, lo, F.col("shift")).alias("bin"), "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     made = made.groupBy("level", "key", "bin").agg(*wide("n", folds), *wide("s", folds))
@@ -88,20 +92,20 @@ def steps(events: DataFrame, sizes: DataFrame, lo: int, bits: int, gap: int = 0,
     alone = sizes.where(F.col("shift") >= bits).select("level", "key", "shift", zero.alias("bin"), F.lit(lo - 1).alias("after"), F.lit(0).alias("fold"), zero.alias("n"), zero.alias("s"))
     cells = own.unionByName(before).unionByName(alone).withColumn("cell", cell_of(F.col("level"), F.col("key"), F.col("bin")))
     cells = cells.select("cell", "level", "key", "bin", "after", "shift", "fold", "n", "s").repartition("cell", "level", "key", "bin").sortWithinPartitions("cell", "level", "key", "bin", "after")
-    schema = "cell long, level int, key long, bin long, after long, until long, " + ", ".join(f"{c} long" for c in each)
+    schema = "level int, key long, bin long, after long, until long, " + ", ".join(f"{c} long" for c in each)
     return cells.mapInArrow(C.lean(lambda batches: accumulated(batches, lo, folds)), schema)
 
 
 def accumulated(batches: Iterator[pa.RecordBatch], lo: int, folds: int) -> Iterator[pa.RecordBatch]:
     """Rows of cells in order of time, as steps: running sums of each fold, and how long they hold. A cell may lie in many
     batches: what goes from one to the next is its last row and its sums."""
-    names = ["cell", "level", "key", "bin", "after", "until", *[f"{c}{f}" for c in ("n", "s") for f in range(folds)]]
+    names = ["level", "key", "bin", "after", "until", *[f"{c}{f}" for c in ("n", "s") for f in range(folds)]]
     kept: tuple | None = None  # the last row: cell, level, key, bin, after, shift; its sums
 
     def batch(rows: np.ndarray, until: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
         ok = rows[4] < until
-        columns = [pa.array(c[ok]) for c in (*rows[:5], until, *sums)]
-        columns[1] = columns[1].cast(pa.int32())
+        columns = [pa.array(c[ok]) for c in (*rows[1:5], until, *sums)]
+        columns[0] = columns[0].cast(pa.int32())
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     end = lambda r: lo - 1 + ((r[3] + 1) << r[5])
@@ -132,10 +136,12 @@ def probed(df: DataFrame, table: DataFrame, level: str, lo: int, folds: int = FO
     """df (with <level>_key, <level>_shift, at, fold) and <level>_n, <level>_s: counts that hold at its time in folds not
     its own. The level's key and shift go."""
     own = lambda c: reduce(lambda x, f: x + F.when(F.col("fold") != f, F.col(f"{c}{f}")).otherwise(0), range(folds), F.lit(0).cast("long"))
-    t = table.where(F.col("level") == LEVELS.index(level)).withColumnsRenamed({"bin": "step_bin", "cell": "step_cell"}).drop("level")
+    t = table.where(F.col("level") == LEVELS.index(level)).withColumn("step_cell", cell_of(F.col("level"), F.col("key"), F.col("bin"))).withColumnRenamed("bin", "step_bin").drop("level")
     p = df.withColumn("bin", bin_of(F.col("at"), lo, F.col(f"{level}_shift")))
     p = p.withColumn("cell", cell_of(F.lit(LEVELS.index(level)), F.col(f"{level}_key"), F.col("bin")))
-    on = (F.col("cell") == F.col("step_cell")) & (F.col(f"{level}_key") == F.col("key")) & (F.col("bin") == F.col("step_bin")) & (F.col("at") > F.col("after")) & (F.col("at") <= F.col("until"))
+    # the cell alone is the join's key, so that sorting takes one number; key and bin are compared where cells meet
+    same = lambda x, y: (F.col(x) <= F.col(y)) & (F.col(x) >= F.col(y))
+    on = (F.col("cell") == F.col("step_cell")) & same(f"{level}_key", "key") & same("bin", "step_bin") & (F.col("at") > F.col("after")) & (F.col("at") <= F.col("until"))
     kept = [c for c in df.columns if c not in (f"{level}_key", f"{level}_shift")]
     return p.join(t, on, "left").select(*kept, *[F.coalesce(own(c), F.lit(0).cast("long")).alias(f"{level}_{c}") for c in ("n", "s")])
 
@@ -163,9 +169,9 @@ def keys(df: DataFrame, *levels: str) -> DataFrame:
 
 
 def unpivoted(df: DataFrame, *levels: str) -> DataFrame:
-    """A row for each level: level, key, shift, at, fold, n, s."""
-    each = F.array(*[F.struct(F.lit(LEVELS.index(x)).alias("level"), F.col(f"{x}_key").alias("key"), F.col(f"{x}_shift").alias("shift")) for x in levels])
-    return df.select(F.explode(each).alias("x"), "at", "fold", "n", "s").select("x.*", "at", "fold", "n", "s")
+    """A row for each level: level, key, shift, at, fold, n, s, heavy."""
+    one = lambda x: df.select(F.lit(LEVELS.index(x)).alias("level"), F.col(f"{x}_key").alias("key"), F.col(f"{x}_shift").alias("shift"), "at", "fold", "n", "s", "heavy")
+    return reduce(DataFrame.unionByName, map(one, levels))
 
 
 def encoded(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: DataFrame, clients: DataFrame, gap: int = 0, folds: int = FOLDS) -> DataFrame:
@@ -178,26 +184,37 @@ def encoded(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: DataF
     fold = (F.crc32(F.col("sale_id").cast("string").cast("binary")) % folds).cast("int")
     sold = sales.where("sale_id is not null and sold_at is not null").select("sale_id", own("client_id"), F.unix_micros(F.col("sold_at").cast("timestamp")).alias("at"), fold.alias("fold"))
     pairs = C.written(groups.join(sold, "sale_id"), "encode-pairs")
+    C.free(spark)
     lo, hi = pairs.agg(F.min("at"), F.max("at")).first()
     if lo is None:
         lo = hi = 0
     bits = max(1, int(hi - lo + gap).bit_length())
 
     per_sale = pairs.groupBy("sale_id", "client_id", "at", "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    client = sized(pairs, clients, "client_id", "segment", "client", "segment", bits)
+    # written, so that Spark knows its size and broadcasts it only where it is small
+    busy = C.written(pairs.groupBy("at").agg(F.count("*").alias("c")).where(F.col("c") > HEAVY).select("at"), "encode-busy")
+    client = C.written(sized(pairs, clients, "client_id", "segment", "client", "segment", bits), "encode-client")
     per_sale = per_sale.join(client, "client_id").withColumns({"all_key": F.lit(0).cast("long")})
-    per_sale = C.written(per_sale.crossJoin(per_sale_shift(pairs, bits)), "encode-sales")
-    item, vendor = (sized(pairs, d, f"{x}_id", p, x, up, bits) for d, x, p, up in ((items, "item", "kind", "kind"), (vendors, "vendor", "nation_id", "nation")))
-    rows = C.written(pairs.drop("client_id").join(item, "item_id").join(vendor, "vendor_id"), "encode-rows")
+    per_sale = C.written(marked(per_sale, busy).crossJoin(per_sale_shift(pairs, bits)), "encode-sales")
+    item, vendor = (C.written(sized(pairs, d, f"{x}_id", p, x, up, bits), f"encode-{x}") for d, x, p, up in ((items, "item", "kind", "kind"), (vendors, "vendor", "nation_id", "nation")))
+    rows = C.written(marked(pairs.drop("client_id"), busy).join(item, "item_id").join(vendor, "vendor_id"), "encode-rows")
 
+    C.free(spark)
     low, high = ("item", "kind", "vendor", "nation"), ("client", "segment", "all")
     events = unpivoted(rows, *low).unionByName(unpivoted(per_sale, *high))
     table = C.written(steps(events, keys(rows, *low).unionByName(keys(per_sale, *high)), lo, bits, gap, folds), "encode-steps")
+    C.free(spark)  # what one step has shuffled is let go before the next
+    rows, per_sale = rows.drop("heavy"), per_sale.drop("heavy")
     for x in high:
         per_sale = probed(per_sale, table, x, lo, folds)
-    for x in low:
+    top = C.written(per_sale.select("sale_id", "at", "client_id", *[f"{x}_{c}" for x in high for c in ("n", "s")]), "encode-top")
+    C.free(spark)
+    for x in low[:2]:
+        rows = probed(rows, table, x, lo, folds)
+    rows = C.written(rows, "encode-half")
+    C.free(spark)
+    for x in low[2:]:
         rows = probed(rows, table, x, lo, folds)
-    top = per_sale.select("sale_id", "at", "client_id", *[f"{x}_{c}" for x in high for c in ("n", "s")])
     out = rows.join(top, ["sale_id", "at"])
     out = out.withColumn("all_rate", rate("all", F.lit(PRIOR).cast("long")))
     out = out.withColumns({f"{x}_rate": rate(x, F.col("all_rate")) for x in ("kind", "nation", "segment")})
@@ -205,6 +222,11 @@ def encoded(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: DataF
     return out.select("sale_id", "item_id", "vendor_id", F.col("n").alias("n_lines"), F.col("s").alias("n_returned"), *[f"{x}_{c}" for x in ("item", "vendor", "client") for c in ("n", "rate")])
 
 
+def marked(df: DataFrame, busy: DataFrame) -> DataFrame:
+    """df with heavy: whether its moment is one of the busy ones."""
+    return df.join(busy.withColumn("heavy", F.lit(True)), "at", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
+
+
 def per_sale_shift(pairs: DataFrame, bits: int) -> DataFrame:
     """One row: the shift of the key that all sales share."""
     return F.broadcast(pairs.agg(F.count("*").alias("c")).select(shift_of(F.col("c"), bits).alias("all_shift")))
