@@ -73,13 +73,11 @@ def first_fit(rows: DataFrame) -> DataFrame:
     looks = _written(looks.groupBy("cls", "node").agg(F.min("rule").alias("rule")), "fit-looks")
 
     steps = _written(cls.select((F.col("cls") * 4).alias("node"), F.col("cls").alias("at"), F.col("cls").alias("held")), "fit-steps")
-    while True:
-        more = _round(steps, member, belongs, looks)
-        after = _written(_falling(steps.unionByName(more)), "fit-steps")
-        grown = after.join(steps, ["node", "at", "held"], "left_anti").limit(1).count()
+    new = steps
+    while new.limit(1).count():
+        after = _written(_falling(steps.unionByName(_round(steps, new, member, belongs, looks))), "fit-steps")
+        new = _written(after.join(steps, ["node", "at", "held"], "left_anti"), "fit-new")  # only these have more to hand on
         steps = after
-        if not grown:
-            break
     # a class's group from each of its steps on, and the first member of that group which it looks at
     own = steps.where("node % 4 = 0").select((F.col("node") / 4).cast("long").alias("cls"), "at", "held")
     seen = looks.join(steps, "node").select("cls", "held", F.col("at").alias("member_at"), "rule")
@@ -100,12 +98,13 @@ def _falling(steps: DataFrame) -> DataFrame:
     return least.withColumn("before", before).where("before is null or held < before").select("node", "at", "held")
 
 
-def _round(steps: DataFrame, member: DataFrame, belongs: DataFrame, looks: DataFrame) -> DataFrame:
-    """Steps that follow from these: to the nodes a class belongs to, to the classes that look at a node, and jumps."""
-    of_class = steps.where("node % 4 = 0").select((F.col("node") / 4).cast("long").alias("cls"), "at", "held")
-    up = belongs.join(of_class, "cls").select("node", "at", "held")
+def _round(steps: DataFrame, new: DataFrame, member: DataFrame, belongs: DataFrame, looks: DataFrame) -> DataFrame:
+    """Steps that follow from new ones, to the nodes a class belongs to and to the classes that look at a node; and jumps."""
+    classes = lambda df: df.where("node % 4 = 0").select((F.col("node") / 4).cast("long").alias("cls"), "at", "held")
+    of_class = classes(steps)
+    up = belongs.join(classes(new), "cls").select("node", "at", "held")
     sets = of_class.groupBy("cls").agg(F.collect_list(F.struct("at", "held")).alias("own"))
-    asked = looks.join(steps, "node").select("cls", "at", "held").distinct().join(sets, "cls")
+    asked = looks.join(new, "node").select("cls", "at", "held").distinct().join(sets, "cls")
     asked = asked.where(~F.exists("own", lambda s: (s["at"] <= F.col("at") + 1) & (s["held"] <= F.col("held")))).select("cls", "at", "held")
     later = asked.join(member, (asked["cls"] == member["cls"]) & (member["seq"] > asked["at"])).groupBy(asked["cls"], asked["at"], asked["held"]).agg(F.min("seq").alias("next"))
     down = later.select((F.col("cls") * 4).alias("node"), F.col("next").alias("at"), "held")

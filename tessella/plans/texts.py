@@ -225,7 +225,7 @@ def rows_of_titles(spark, d):
     title = F.concat("p_name", F.lit(" "), "p_type")
     url = F.when(key % 5 == 0, F.concat(F.lit("https://parts.example/"), (key / 15).cast("long").cast("string"))).otherwise("")
     place = F.when(key % 3 == 0, "").otherwise(F.concat(F.lit("hall "), (F.col("p_size") % 4).cast("string")))
-    sig = F.concat(T.tokens(title), F.array(F.concat(F.lit("size"), (F.col("p_size") % 10).cast("string"))))
+    sig = F.concat(T.tokens(title), F.array(F.concat(F.lit("size"), (F.col("p_size") % 2).cast("string"))))
     return p.select(key.alias("seq"), url.alias("url"), F.col("p_brand").alias("owner"), F.lower(title).alias("title"), place.alias("location"), sig.alias("sig"), F.col("p_retailprice").alias("price"))
 
 
