@@ -9,11 +9,12 @@ SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
 
 
 def files(spark: SparkSession, path: str, glob: str | None = None, each: int | None = None) -> DataFrame:
-    """Parquet files of events as a stream. glob: which files of a folder; each: how many files a micro-batch takes."""
+    """Parquet files of events as a stream. glob: which tables of a folder, each a file or a folder of files; each: how many
+    files a micro-batch takes."""
     r = spark.readStream.schema(SCHEMA)
-    for name, value in (("pathGlobFilter", glob), ("maxFilesPerTrigger", each)):
-        r = r.option(name, value) if value else r
-    return r.parquet(path)
+    r = r.option("maxFilesPerTrigger", each) if each else r
+    # a filter of names would be asked of the files in a table's folder; a pattern in the path is asked of the table
+    return r.parquet(f"{path}/{{{glob}}}" if glob else path)
 
 
 def source(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:

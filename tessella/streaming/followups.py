@@ -92,7 +92,11 @@ def due(stream: DataFrame, key: str, first_days: float = 4, second_days: float =
     The session's state store must be RocksDB's; `drained` sees to that.
     """
     out = StructType([stream.schema[key], StructField("due", StringType()), StructField("changed_at", LongType())])
-    rows = stream.where(F.col(key).isNotNull()).select(key, "kind", F.unix_millis(F.col("at")).alias("at"), F.col("at").alias("event_time"))
+    # a test of the key alone would be asked before the watermark, which then would not see rows without a key: a clock's
+    nobody = F.greatest(F.col(key).isNull(), F.col("at").isNull())
+    # parts of a millisecond count as a whole one: nothing is due before its moment
+    at = F.ceil(F.unix_micros(F.col("at")) / 1000).alias("at")
+    rows = stream.where(~nobody).select(key, "kind", at, F.col("at").alias("event_time"))
     return rows.groupBy(key).transformWithStateInPandas(Followups(key, first_days, second_days, keep_days), outputStructType=out, outputMode="Update", timeMode="EventTime")
 
 

@@ -64,3 +64,15 @@ def test_slices_and_restarts_equal_the_batch(spark, tmp_path):
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
 def test_query(spark, sf):
     oracle.check(registry.QUERIES["stream_followups"](spark, sf).toPandas(), sf, registry.ORACLE_SQL["stream_followups"])
+
+
+def test_query_over_a_folder_of_files_and_at_the_very_moment(spark, tmp_path):
+    """The table is a folder of files, as Spark writes it; messages are due at the moment itself, not a part of a millisecond before."""
+    now, us = datetime.datetime(2024, 1, 31), datetime.timedelta(microseconds=1)
+    said = [(1, "view", 1.0, now - 4 * DAY), (2, "view", 1.0, now - 4 * DAY + us), (3, "view", 1.0, now - 5 * DAY), (4, "view", 1.0, now - 9 * DAY), (4, "click", 95.0, now - 6 * DAY), (5, "view", 1.0, now - 9 * DAY), (5, "click", 95.0, now - 6 * DAY + 300 * us)]
+    rows = [(i, at, user, kind, value, "") for i, (user, kind, value, at) in enumerate(said)]
+    spark.createDataFrame(rows, E.SCHEMA).repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    got = registry.QUERIES["stream_followups"](spark, str(tmp_path)).toPandas()
+    assert dict(zip(got["user_id"], got["due"])) == {1: "fu1", 3: "fu1", 4: "fu2"}
+    oracle.check(got, str(tmp_path), registry.ORACLE_SQL["stream_followups"])
+    assert registry.QUERIES["stream_first_seen"](spark, str(tmp_path)).count() == 5
