@@ -177,7 +177,8 @@ def fit_score(hits: DataFrame, key: str, profile: DataFrame, unknown: str, soft_
     with a null label. Soft labels are tested before excluded ones.
     """
     unmet, authorization, senior, off_target, in_region = flags
-    rows = hits.join(profile, "label", "left")
+    # a profile is small, and labels are few: by a shuffle each would be one task
+    rows = hits.join(F.broadcast(profile), "label", "left")
     is_soft, has, out = (F.coalesce(F.col(c), F.lit(False)) for c in ("soft", "supported", "excluded"))
     live = F.col("label").isNotNull()
 
@@ -221,7 +222,7 @@ def rescored(stored: DataFrame, hits: DataFrame, key: str, old: DataFrame, new:
     plain = F.struct(*[F.lit(False).alias(c) for c in ("supported", "soft", "excluded")])  # what a label without an entry counts as
     both = entry(old, "was").join(entry(new, "now"), "label", "full")
     changed = both.where(F.coalesce("was", plain) != F.coalesce("now", plain)).select("label")
-    touched = hits.select(key, "label").join(changed, "label", "left_semi").select(key).distinct()
+    touched = hits.select(key, "label").join(F.broadcast(changed), "label", "left_semi").select(key).distinct()
     again = fit_score(hits.join(touched, key, "left_semi"), key, new, unknown, soft_weight, lacked, flags).withColumn("recomputed", F.lit(True))
     return stored.join(touched, key, "left_anti").withColumn("recomputed", F.lit(False)).unionByName(again)
 

@@ -15,3 +15,12 @@ def test_suggestions_compare_a_name_once(spark, monkeypatch):
     for i in range(40):
         best = sorted((-entity.similarity(["acme", "acme", "globex", ""][i % 4], core[j % 5]), j) for j in range(50))[:12]
         assert [got[i, k + 1] for k in range(12)] == [f"k{j}" for _, j in best]
+
+
+def test_postings_spread_over_tasks_and_labels_do_not_gather_them(spark, sf):
+    from tessella import tables as D
+    from tessella.plans import registry
+
+    assert D.adverts(spark, sf).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    plan = registry.QUERIES["fit_score"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(label" not in plan and "hashpartitioning(id" not in plan
