@@ -24,3 +24,13 @@ def test_postings_spread_over_tasks_and_labels_do_not_gather_them(spark, sf):
     assert D.adverts(spark, sf).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
     plan = registry.QUERIES["fit_score"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(label" not in plan and "hashpartitioning(id" not in plan
+
+
+def test_set_cover_takes_keys_in_batches(spark):
+    facts = spark.createDataFrame([("one", 2, 0, ["a"]), ("one", 2, 1, ["b", "a"]), ("one", 2, 2, ["c"]), ("two", 1, 0, ["d"])], "slot string, budget int, fact int, evidences array<string>")
+    rows = [(1, "a", 3), (1, "c", 1), (2, "b", 2), (2, "other", 9), (3, "other", 9), (None, "d", 4)]
+    out = entity.set_cover(facts, spark.createDataFrame(rows, "k long, label string, imp int"), "k")
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, out.collect()), key=repr)
+    want = {1: [(0, 3), (2, 1), 0], 2: [(1, 2), (0, 0), 0], 3: [(0, 0), (1, 0), 0], None: [(0, 0), (1, 0), 4]}
+    assert got == sorted([(k, *x) for k, (p, q, two) in want.items() for x in (("one", *p), ("one", *q), ("two", 0, two))], key=repr)
