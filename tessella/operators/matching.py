@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..batches import slices
 from .automaton import SEPARATORS, Automaton
 
 
@@ -66,7 +67,7 @@ def automaton_hits(df: DataFrame, text: str, aliases: dict[str, str] | list[tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = machine.value
-        for b in batches:
+        for b in (s for whole in batches for s in slices(whole, at)):
             row, alias, place = m.occurrences(b.column(at).to_pylist(), apart)
             key, first, freq = np.unique(row * len(m.labels) + m.label_of[alias], return_index=True, return_counts=True)
             by = np.lexsort((place, m.label_of[alias], row)) if len(row) else row
@@ -91,7 +92,7 @@ def occurrences(df: DataFrame, key: str, text: str, aliases: dict[str, str] | li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = machine.value
-        for b in batches:
+        for b in (s for whole in batches for s in slices(whole, 1)):
             row, alias, place = m.occurrences(b.column(1).to_pylist())
             named = lambda texts, k: pa.array(texts, pa.string()).take(pa.array(k.astype(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), named(m.labels, m.label_of[alias]), named(m.aliases, alias), pa.array(place.astype(np.int32))], names=schema.names)

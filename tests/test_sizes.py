@@ -34,3 +34,20 @@ def test_set_cover_takes_keys_in_batches(spark):
     got = sorted(map(tuple, out.collect()), key=repr)
     want = {1: [(0, 3), (2, 1), 0], 2: [(1, 2), (0, 0), 0], 3: [(0, 0), (1, 0), 0], None: [(0, 0), (1, 0), 4]}
     assert got == sorted([(k, *x) for k, (p, q, two) in want.items() for x in (("one", *p), ("one", *q), ("two", 0, two))], key=repr)
+
+
+def test_batches_are_worked_on_by_bytes_of_text(spark):
+    import pyarrow as pa
+
+    from tessella.batches import slices
+    from tessella.operators import matching
+
+    texts = ["ab", None, "c" * 30, "", "dé", "e" * 9, None]
+    b = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], names=["k", "t"])
+    got = [s.column(1).to_pylist() for s in slices(b, 1, 10)]
+    assert got == [["ab", None], ["c" * 30], ["", "dé"], ["e" * 9, None]] and sum(got, []) == texts
+    assert list(slices(b.slice(0, 0), 1)) == [] and [s.column(0).to_pylist() for s in slices(b.slice(4), 1, 10)] == [[4], [5, 6]]
+    long = "x " * 300_000  # each is a slice with its neighbour or alone
+    df = spark.createDataFrame([(i, f"sql {long}sql" if i % 2 else "a sql") for i in range(8)], "k int, t string").coalesce(1)
+    hits = {r["k"]: r["hits"][0]["freq"] for r in matching.automaton_hits(df, "t", {"sql": "SQL"}).select("k", "hits").collect()}
+    assert hits == {i: 2 if i % 2 else 1 for i in range(8)}
