@@ -30,6 +30,8 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Weights: (rank + OFFSET) ** -POWER.
 OFFSET, POWER = 10.0, 1.0
+#: Bytes of text worked on at once: the lattice and the paths take about 250 times as much.
+MOST = 400_000
 
 
 class Vocabulary:
@@ -340,14 +342,8 @@ def sample(v: Vocabulary, data: np.ndarray, off: np.ndarray, seeds: np.ndarray,
 SAMPLES = "sample int, ids array<int>, log_prob double, inclusion double"
 
 
-def segment(docs: DataFrame, key: str, text: str, k: int = 2, seed: int = 5, model: str | None = None, digest: bool = False) -> DataFrame:
-    """key and, for each of up to k distinct segmentations, its number from 1, ids, log-probability and inclusion.
-
-    digest: instead of ids, their number and CRC-32, and whether decoding them gives the text back.
-    """
-    C.ship(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
-    rest = "sample int, n_pieces long, ids_crc32 long, log_prob double, inclusion double, decoded boolean" if digest else SAMPLES
+def runner(key: str, k: int, seed: int, model: str | None, digest: bool):
+    """The Arrow function of segment: batches of key and text, MOST bytes of text at once."""
 
     def run(batches):
         v = vocabulary(model or bpe.public(MODEL))
@@ -360,7 +356,7 @@ def segment(docs: DataFrame, key: str, text: str, k: int = 2, seed: int = 5, mod
             if some.any():
                 keyed[some] = C.span_hashes(salt[0], salt[1][:-1][some], salt[1][1:][some])
             seeds = C.mix(keyed + times(seed, 15))
-            for i, j in C.chunks(off, 1_500_000):
+            for i, j in C.chunks(off, MOST):
                 d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
                 for nth, (rows, ids, at, lp, inc) in enumerate(sample(v, d, o, seeds[i:j], k), 1):
                     if not len(rows):
@@ -379,7 +375,19 @@ def segment(docs: DataFrame, key: str, text: str, k: int = 2, seed: int = 5, mod
                         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(mine))
                         yield pa.RecordBatch.from_arrays([keys, number, lists, pa.array(lp), pa.array(inc)], names=[key, "sample", "ids", "log_prob", "inclusion"])
 
-    return docs.select(F.col(key), F.col(text).alias("t")).mapInArrow(run, f"`{key}` {kind}, {rest}")
+    return run
+
+
+def segment(docs: DataFrame, key: str, text: str, k: int = 2, seed: int = 5, model: str | None = None, digest: bool = False) -> DataFrame:
+    """key and, for each of up to k distinct segmentations, its number from 1, ids, log-probability and inclusion.
+
+    digest: instead of ids, their number and CRC-32, and whether decoding them gives the text back.
+    """
+    C.ship(docs.sparkSession)
+    kind = docs.schema[key].dataType.simpleString()
+    rest = "sample int, n_pieces long, ids_crc32 long, log_prob double, inclusion double, decoded boolean" if digest else SAMPLES
+
+    return docs.select(F.col(key), F.col(text).alias("t")).mapInArrow(C.lean(runner(key, k, seed, model, digest)), f"`{key}` {kind}, {rest}")
 
 
 def decoded(samples: DataFrame, ids: str = "ids", name: str = "text", model: str | None = None) -> DataFrame:

@@ -51,3 +51,21 @@ def test_batches_are_worked_on_by_bytes_of_text(spark):
     df = spark.createDataFrame([(i, f"sql {long}sql" if i % 2 else "a sql") for i in range(8)], "k int, t string").coalesce(1)
     hits = {r["k"]: r["hits"][0]["freq"] for r in matching.automaton_hits(df, "t", {"sql": "SQL"}).select("k", "hits").collect()}
     assert hits == {i: 2 if i % 2 else 1 for i in range(8)}
+
+
+def test_segmentation_memory_is_bounded():
+    """Many short texts in one batch, of 1.5 MB in all: what is held at once follows from a stretch of them."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tessella.llm import bpe, common, segmentation
+
+    segmentation.vocabulary(bpe.public(segmentation.MODEL))
+    common.powers(common.CHUNK)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array([f"the number {i} opens text {i * 7919} of many words " * 9 for i in range(3000)])], names=["k", "t"])
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in segmentation.runner("k", 2, 5, None, True)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 6000 and peak < 100_000_000
