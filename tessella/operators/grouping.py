@@ -32,6 +32,12 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _joined(a: DataFrame, b: DataFrame, on, how: str = "inner") -> DataFrame:
+    """a joined with b by sorting. Tables here are few bytes as files, where equal texts are stored once, and many as rows:
+    Spark, which goes by the file's size, would gather them on the driver to broadcast them, again in each round."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def _plain(rows: DataFrame) -> DataFrame:
     """The columns that rules read, blank for null, signatures as sorted sets."""
     w = [F.coalesce(c, F.lit("")).alias(c) for c in ("url", "owner", "title", "location")]
@@ -47,14 +53,14 @@ def first_fit(rows: DataFrame) -> DataFrame:
     each = ["url", "owner", "title", "location", "sig"]
     clean = _plain(rows)
     cls = _written(clean.groupBy(*each).agg(F.min("seq").alias("cls")), "fit-classes")
-    member = _written(clean.join(cls, each).select("seq", "cls"), "fit-members")
+    member = _written(_joined(clean, cls, each).select("seq", "cls"), "fit-members")
 
     titled = cls.where("owner <> '' and title <> ''")
     node = lambda df, kind, *by: df.groupBy(*by).agg(F.min("cls").alias("first")).select(*by, (F.col("first") * 4 + kind).alias("node"))
     urls, places, texts = node(cls.where("url <> ''"), 1, "url"), node(titled, 2, "owner", "title", "location"), node(titled.where(F.size("sig") > 0), 3, "owner", "title", "sig")
-    in_url = cls.join(urls, "url").select("cls", "node")
-    in_place = titled.join(places, ["owner", "title", "location"]).select("cls", "node")
-    in_text = titled.join(texts, ["owner", "title", "sig"]).select("cls", "node")
+    in_url = _joined(cls, urls, "url").select("cls", "node")
+    in_place = _joined(titled, places, ["owner", "title", "location"]).select("cls", "node")
+    in_text = _joined(titled, texts, ["owner", "title", "sig"]).select("cls", "node")
     belongs = _written(in_url.unionByName(in_place).unionByName(in_text), "fit-belongs")
 
     found = _written(alike.pairs(titled, "owner", "title", LIKE), "fit-titles")
@@ -62,30 +68,30 @@ def first_fit(rows: DataFrame) -> DataFrame:
     near = lambda least: alike.directed(found, "owner", least).select("owner", "text", "other").unionByName(equal)
     own, other = (places.select("owner", F.col("title").alias(t), F.col("location").alias(f"{t}_at"), F.col("node").alias(f"{t}_node")) for t in ("text", "other"))
     fits = (F.col("text_at") == "") | (F.col("other_at") == "") | (F.col("text_at") == F.col("other_at"))
-    by_place = own.join(near(TITLE), ["owner", "text"]).join(other, ["owner", "other"]).where(fits).select("text_node", "other_node")
+    by_place = _joined(_joined(own, near(TITLE), ["owner", "text"]), other, ["owner", "other"]).where(fits).select("text_node", "other_node")
     sets = alike.overlapping(texts, "owner", "sig", OVERLAP)
     sets = sets.select("owner", F.col("x").alias("a_sig"), F.col("y").alias("b_sig")).unionByName(sets.select("owner", F.col("y").alias("a_sig"), F.col("x").alias("b_sig"))).unionByName(texts.select("owner", F.col("sig").alias("a_sig"), F.col("sig").alias("b_sig")).distinct())
     own, other = (texts.select("owner", F.col("title").alias(t), F.col("sig").alias(f"{s}_sig"), F.col("node").alias(f"{t}_node")) for t, s in (("text", "a"), ("other", "b")))
-    by_text = own.join(sets, ["owner", "a_sig"]).join(other, ["owner", "b_sig"]).join(near(LIKE), ["owner", "text", "other"]).select("text_node", "other_node")
+    by_text = _joined(_joined(_joined(own, sets, ["owner", "a_sig"]), other, ["owner", "b_sig"]), near(LIKE), ["owner", "text", "other"]).select("text_node", "other_node")
     looks = in_url.select("cls", "node", F.lit(0).alias("rule"))
     for k, (inside, to) in enumerate(((in_place, by_place), (in_text, by_text))):
-        looks = looks.unionByName(inside.join(to, F.col("node") == F.col("text_node")).select("cls", F.col("other_node").alias("node"), F.lit(k + 1).alias("rule")))
+        looks = looks.unionByName(_joined(inside, to, F.col("node") == F.col("text_node")).select("cls", F.col("other_node").alias("node"), F.lit(k + 1).alias("rule")))
     looks = _written(looks.groupBy("cls", "node").agg(F.min("rule").alias("rule")), "fit-looks")
 
     steps = _written(cls.select((F.col("cls") * 4).alias("node"), F.col("cls").alias("at"), F.col("cls").alias("held")), "fit-steps")
     new = steps
     while new.limit(1).count():
         after = _written(_falling(steps.unionByName(_round(steps, new, member, belongs, looks))), "fit-steps")
-        new = _written(after.join(steps, ["node", "at", "held"], "left_anti"), "fit-new")  # only these have more to hand on
+        new = _written(_joined(after, steps, ["node", "at", "held"], "left_anti"), "fit-new")  # only these have more to hand on
         steps = after
     # a class's group from each of its steps on, and the first member of that group which it looks at
     own = steps.where("node % 4 = 0").select((F.col("node") / 4).cast("long").alias("cls"), "at", "held")
-    seen = looks.join(steps, "node").select("cls", "held", F.col("at").alias("member_at"), "rule")
-    why = own.select("cls", "held").distinct().join(seen, ["cls", "held"]).groupBy("cls", "held").agg(F.min(F.struct("member_at", "rule")).alias("w")).select("cls", "held", "w.rule")
-    told = own.join(why, ["cls", "held"], "left").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("at", "held", "rule"))).alias("steps"))
+    seen = _joined(looks, steps, "node").select("cls", "held", F.col("at").alias("member_at"), "rule")
+    why = _joined(own.select("cls", "held").distinct(), seen, ["cls", "held"]).groupBy("cls", "held").agg(F.min(F.struct("member_at", "rule")).alias("w")).select("cls", "held", "w.rule")
+    told = _joined(own, why, ["cls", "held"], "left").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("at", "held", "rule"))).alias("steps"))
     step = F.element_at(F.filter("steps", lambda s: s["at"] <= F.col("seq")), -1)
     reason = F.element_at(F.array(*map(F.lit, REASONS)), F.col("s.rule") + 1)
-    out = member.join(told, "cls").join(belongs.select("cls").distinct().withColumn("met", F.lit(True)), "cls", "left")
+    out = _joined(_joined(member, told, "cls"), belongs.select("cls").distinct().withColumn("met", F.lit(True)), "cls", "left")
     # rows that no rule can reach do not meet their equals either
     out = out.select("seq", F.when(F.col("met"), step).otherwise(F.struct(F.col("seq").alias("at"), F.col("seq").alias("held"), F.lit(None).cast("int").alias("rule"))).alias("s"))
     return out.select("seq", F.col("s.held").alias("group_seq"), F.when(F.col("s.held") == F.col("seq"), "").otherwise(reason).alias("reason"))
@@ -102,12 +108,12 @@ def _round(steps: DataFrame, new: DataFrame, member: DataFrame, belongs: DataFra
     """Steps that follow from new ones, to the nodes a class belongs to and to the classes that look at a node; and jumps."""
     classes = lambda df: df.where("node % 4 = 0").select((F.col("node") / 4).cast("long").alias("cls"), "at", "held")
     of_class = classes(steps)
-    up = belongs.join(classes(new), "cls").select("node", "at", "held")
+    up = _joined(belongs, classes(new), "cls").select("node", "at", "held")
     sets = of_class.groupBy("cls").agg(F.collect_list(F.struct("at", "held")).alias("own"))
-    asked = looks.join(new, "node").select("cls", "at", "held").distinct().join(sets, "cls")
+    asked = _joined(_joined(looks, new, "node").select("cls", "at", "held").distinct(), sets, "cls")
     asked = asked.where(~F.exists("own", lambda s: (s["at"] <= F.col("at") + 1) & (s["held"] <= F.col("held")))).select("cls", "at", "held")
-    later = asked.join(member, (asked["cls"] == member["cls"]) & (member["seq"] > asked["at"])).groupBy(asked["cls"], asked["at"], asked["held"]).agg(F.min("seq").alias("next"))
+    later = _joined(asked, member, (asked["cls"] == member["cls"]) & (member["seq"] > asked["at"])).groupBy(asked["cls"], asked["at"], asked["held"]).agg(F.min("seq").alias("next"))
     down = later.select((F.col("cls") * 4).alias("node"), F.col("next").alias("at"), "held")
     better = of_class.where("held < at").groupBy(F.col("at").alias("row")).agg(F.min("held").alias("to"))
-    jump = steps.join(better, F.col("held") == F.col("row")).select("node", "at", F.col("to").alias("held"))
+    jump = _joined(steps, better, F.col("held") == F.col("row")).select("node", "at", F.col("to").alias("held"))
     return up.unionByName(down).unionByName(jump)

@@ -53,6 +53,19 @@ def test_batches_are_worked_on_by_bytes_of_text(spark):
     assert hits == {i: 2 if i % 2 else 1 for i in range(8)}
 
 
+def test_first_fit_gathers_no_table_on_the_driver(spark):
+    from tessella.operators import grouping
+
+    two = lambda *c: spark.range(1, 3).selectExpr(*c)
+    steps, member = two("4 * id as node", "id as at", "id - id % 2 as held"), two("id as seq", "id as cls")
+    belongs, looks = two("id as cls", "id + 4 as node"), two("id as cls", "id + 4 as node", "0 as rule")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    got = plan(grouping._round(steps, steps, member, belongs, looks))
+    assert "SortMergeJoin" in got and "Broadcast" not in got
+    rows, groups, primary = two("id as seq"), two("id as seq", "id as group_seq", "'' as reason"), two("id as group_seq", "id as primary_seq")
+    assert "Broadcast" not in plan(entity.review(rows, groups, primary))
+
+
 def test_segmentation_memory_is_bounded():
     """Many short texts in one batch, of 1.5 MB in all: what is held at once follows from a stretch of them."""
     import tracemalloc
