@@ -6,6 +6,8 @@ aggregate an entry. Input rows: key, line (order) and value, of one section; bla
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,38 +55,60 @@ def trimmed(c: Column, chars: str) -> Column:
     return F.trim(c, F.lit(chars))
 
 
-def titleish(c: Column) -> Column:
-    """Whether half of a phrase's words open with a capital or no letter."""
-    w = words(c)
+def bound(c: Column, body: Callable[[Column], Column]) -> Column:
+    """body of c, evaluated once: what stands in a higher-order function Spark evaluates anew wherever it is named."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
+def capitals(w: Column) -> Column:
+    """Whether half of the words open with a capital or no letter."""
     caps = F.size(F.filter(w, lambda x: F.left(x, F.lit(1)).rlike(r"^(\p{Lu}|\P{L})")))
     return (F.size(w) > 0) & (caps >= F.greatest(F.lit(1), F.floor(F.size(w) / 2)))
 
 
+def titleish(c: Column) -> Column:
+    """Whether half of a phrase's words open with a capital or no letter."""
+    return bound(words(c), capitals)
+
+
 def only_dates(c: Column) -> Column:
     return c.rlike(SPAN) & (F.length(trimmed(F.regexp_replace(c, SPAN, ""), " |–-,•")) < 8)
 
 
 def opens_entry(c: Column) -> Column:
     """Whether a line is shaped like the head of an entry: a date span alone, or role and company with a joint."""
-    dated = c.rlike(SPAN)
-    core = trimmed(F.regexp_replace(c, SPAN, ""), " -–|,")
-    parts = F.split(core, HEADER_JOINT, 2)
-    left, right = F.trim(F.get(parts, F.lit(0))), F.trim(F.coalesce(F.get(parts, F.lit(1)), F.lit("")))
-    first = trimmed(F.lower(F.coalesce(F.get(words(right), F.lit(0)), F.lit(""))), ".,")
-    commas = F.length(c) - F.length(F.replace(c, F.lit(","), F.lit("")))
-    shaped = ~c.rlike(r"[.:;]$") & (commas < 2) & (F.size(words(c)) <= 14) & c.rlike(HEADER_JOINT)
-    two = (F.size(words(left)) <= 6) & (F.size(words(right)) <= 6) & ~first.isin(BULLET_VERBS) & (dated | (titleish(left) & titleish(right)))
-    return ~c.rlike(BULLET) & (only_dates(c) | (shaped & F.when((left == "") | (right == ""), dated).otherwise(two)))
-
-
-def head_parts(c: Column) -> tuple[Column, Column, Column]:
-    """Role, company and dates of an entry's head; a year alone is a date."""
-    span, year = F.regexp_extract(c, SPAN, 1), F.regexp_extract(c, r"\b\d{4}\b", 0)
-    dates = F.when(span != "", F.trim(span)).otherwise(year)
-    at = F.when(span != "", span).otherwise(year)
-    rest = F.when(at == "", c).otherwise(F.trim(F.concat(F.left(c, F.position(at, c) - 1), F.lit(" "), F.substr(c, F.position(at, c) + F.length(at)))))
-    parts = F.split(trimmed(rest, " |–-,"), ROLE_JOINT, 2)
-    return F.trim(F.get(parts, F.lit(0))), F.trim(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))), dates
+
+    def two(w: Column, dated: Column) -> Column:
+        first = trimmed(F.lower(F.coalesce(F.get(w["right"], F.lit(0)), F.lit(""))), ".,")
+        return (F.size(w["left"]) <= 6) & (F.size(w["right"]) <= 6) & ~first.isin(BULLET_VERBS) & (dated | (capitals(w["left"]) & capitals(w["right"])))
+
+    def halves(p: Column, dated: Column) -> Column:
+        both = bound(F.struct(words(p["left"]).alias("left"), words(p["right"]).alias("right")), lambda w: two(w, dated))
+        return F.when((p["left"] == "") | (p["right"] == ""), dated).otherwise(both)
+
+    def judged(s: Column) -> Column:
+        sides = lambda x: F.struct(F.trim(F.get(x, F.lit(0))).alias("left"), F.trim(F.coalesce(F.get(x, F.lit(1)), F.lit(""))).alias("right"))
+        named = bound(F.split(trimmed(s["plain"], " -–|,"), HEADER_JOINT, 2), lambda x: bound(sides(x), lambda p: halves(p, s["dated"])))
+        commas = F.length(c) - F.length(F.replace(c, F.lit(","), F.lit("")))
+        shaped = ~c.rlike(r"[.:;]$") & (commas < 2) & c.rlike(HEADER_JOINT) & (F.size(words(c)) <= 14)
+        return (s["dated"] & (F.length(trimmed(s["plain"], " |–-,•")) < 8)) | (shaped & named)
+
+    return ~c.rlike(BULLET) & bound(F.struct(c.rlike(SPAN).alias("dated"), F.regexp_replace(c, SPAN, "").alias("plain")), judged)
+
+
+def head_parts(c: Column) -> Column:
+    """Role, company and dates of an entry's head, a struct; a year alone is a date."""
+
+    def rest(s: Column) -> Column:
+        at = F.when(s["span"] != "", s["span"]).otherwise(s["year"])
+        return bound(at, lambda a: F.when(a == "", c).otherwise(F.trim(F.concat(F.left(c, F.position(a, c) - 1), F.lit(" "), F.substr(c, F.position(a, c) + F.length(a))))))
+
+    def named(s: Column) -> Column:
+        dates = F.when(s["span"] != "", F.trim(s["span"])).otherwise(s["year"])
+        sides = lambda x: F.struct(F.trim(F.get(x, F.lit(0))).alias("role"), F.trim(F.coalesce(F.get(x, F.lit(1)), F.lit(""))).alias("company"), dates.alias("dates"))
+        return bound(F.split(trimmed(rest(s), " |–-,"), ROLE_JOINT, 2), sides)
+
+    return bound(F.struct(F.regexp_extract(c, SPAN, 1).alias("span"), F.regexp_extract(c, r"\b\d{4}\b", 0).alias("year")), named)
 
 
 def company_line(c: Column) -> Column:
@@ -99,8 +123,9 @@ def experiences(lines: DataFrame, key: str, line: str = "line", value: str = "va
     A line of dates under a head without any belongs to it. A dated title without company takes the company from the
     next line: an undated entry, whose bullets become its own, or the first of its bullets where that names one.
     """
-    role, company, dates = head_parts(F.col(value))
-    l = lines.select(key, line, value, opens_entry(F.col(value)).alias("opens"), only_dates(F.col(value)).alias("dated"), role.alias("role"), company.alias("company"), dates.alias("dates"))
+    l = lines.select(key, line, value, opens_entry(F.col(value)).alias("opens"))
+    l = l.select("*", F.when(F.col("opens"), only_dates(F.col(value))).alias("dated"), F.when(F.col("opens"), head_parts(F.col(value))).alias("head"))
+    l = l.select(key, line, value, "opens", "dated", "head.role", "head.company", "head.dates")
     before = Window.partitionBy(key).orderBy(line).rowsBetween(Window.unboundedPreceding, -1)
     last = F.last(F.when(F.col("opens"), F.struct("dated", "dates")), True).over(before)
     joins = F.col("opens") & F.col("dated") & last.isNotNull() & ~last["dated"] & (last["dates"] == "")

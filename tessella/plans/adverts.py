@@ -500,7 +500,8 @@ def resume_experience(spark, d):
     from pyspark.sql import Window
 
     n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    o = D.table(spark, d, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey", n.alias("n"), F.year("o_orderdate").cast("string").alias("y"))
+    orders = D.spread(D.table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey")
+    o = orders.select(F.col("o_custkey").alias("k"), "o_orderkey", n.alias("n"), F.year("o_orderdate").cast("string").alias("y"))
     role, span = F.concat(F.lit("Clerk "), "n"), F.concat("y", F.lit(" - Present"))
     one = F.array(F.concat(role, F.lit(" | Acme "), "n", F.lit("   "), span))
     two = F.array(F.concat(role, F.lit(" - Acme "), "n"), span)

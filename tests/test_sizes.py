@@ -66,6 +66,20 @@ def test_first_fit_gathers_no_table_on_the_driver(spark):
     assert "Broadcast" not in plan(entity.review(rows, groups, primary))
 
 
+def test_resume_lines_are_spread_and_matched_once(spark, sf):
+    from pyspark.sql import functions as F
+
+    from tessella.operators import resume
+    from tessella.plans import registry
+
+    plan = registry.QUERIES["resume_experience"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning") == 1
+    lines = spark.createDataFrame([("Clerk | Acme 2001 - Present",), ("- built tools 2001 - 2002",), ("2001 - Present",), ("Plain words, no head.",), (None,)], "v string")
+    rule = lines.select(resume.opens_entry(F.col("v")).alias("o"))
+    assert [r["o"] for r in rule.collect()] == [True, False, True, False, None]
+    assert rule._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+
+
 def test_segmentation_memory_is_bounded():
     """Many short texts in one batch, of 1.5 MB in all: what is held at once follows from a stretch of them."""
     import tracemalloc
