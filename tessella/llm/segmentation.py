@@ -30,7 +30,7 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Weights: (rank + OFFSET) ** -POWER.
 OFFSET, POWER = 10.0, 1.0
-#: Bytes of text worked on at once: the lattice and the paths take about 250 times as much.
+#: Bytes of text worked on at once: the lattice and the paths take about 200 times as much.
 MOST = 400_000
 
 
