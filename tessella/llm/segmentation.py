@@ -30,8 +30,9 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Weights: (rank + OFFSET) ** -POWER.
 OFFSET, POWER = 10.0, 1.0
-#: Bytes of text worked on at once: the lattice and the paths take about 200 times as much.
-MOST = 400_000
+#: Bytes of text worked on at once: the lattice and the paths take about 200 times as much. Short stretches
+#: spare memory and take more CPU.
+MOST, SHORT = 1_500_000, 400_000
 
 
 class Vocabulary:
@@ -342,8 +343,8 @@ def sample(v: Vocabulary, data: np.ndarray, off: np.ndarray, seeds: np.ndarray,
 SAMPLES = "sample int, ids array<int>, log_prob double, inclusion double"
 
 
-def runner(key: str, k: int, seed: int, model: str | None, digest: bool):
-    """The Arrow function of segment: batches of key and text, MOST bytes of text at once."""
+def runner(key: str, k: int, seed: int, model: str | None, digest: bool, most: int):
+    """The Arrow function of segment: batches of key and text, so many bytes of text at once."""
 
     def run(batches):
         v = vocabulary(model or bpe.public(MODEL))
@@ -356,7 +357,7 @@ def runner(key: str, k: int, seed: int, model: str | None, digest: bool):
             if some.any():
                 keyed[some] = C.span_hashes(salt[0], salt[1][:-1][some], salt[1][1:][some])
             seeds = C.mix(keyed + times(seed, 15))
-            for i, j in C.chunks(off, MOST):
+            for i, j in C.chunks(off, most):
                 d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
                 for nth, (rows, ids, at, lp, inc) in enumerate(sample(v, d, o, seeds[i:j], k), 1):
                     if not len(rows):
@@ -378,16 +379,16 @@ def runner(key: str, k: int, seed: int, model: str | None, digest: bool):
     return run
 
 
-def segment(docs: DataFrame, key: str, text: str, k: int = 2, seed: int = 5, model: str | None = None, digest: bool = False) -> DataFrame:
+def segment(docs: DataFrame, key: str, text: str, k: int = 2, seed: int = 5, model: str | None = None, digest: bool = False, spare: bool = False) -> DataFrame:
     """key and, for each of up to k distinct segmentations, its number from 1, ids, log-probability and inclusion.
 
-    digest: instead of ids, their number and CRC-32, and whether decoding them gives the text back.
+    digest: instead of ids, their number and CRC-32, and whether decoding them gives the text back. spare: with less memory.
     """
     C.ship(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     rest = "sample int, n_pieces long, ids_crc32 long, log_prob double, inclusion double, decoded boolean" if digest else SAMPLES
-
-    return docs.select(F.col(key), F.col(text).alias("t")).mapInArrow(C.lean(runner(key, k, seed, model, digest)), f"`{key}` {kind}, {rest}")
+    run = C.lean(runner(key, k, seed, model, digest, SHORT)) if spare else runner(key, k, seed, model, digest, MOST)
+    return docs.select(F.col(key), F.col(text).alias("t")).mapInArrow(run, f"`{key}` {kind}, {rest}")
 
 
 def decoded(samples: DataFrame, ids: str = "ids", name: str = "text", model: str | None = None) -> DataFrame:
@@ -409,4 +410,4 @@ def op5_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: two segmentations of every document that the mix took, as often as it took it."""
-    return segment(docs, "doc_id", "text")
+    return segment(docs, "doc_id", "text", spare=True)

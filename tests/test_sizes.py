@@ -92,7 +92,7 @@ def test_segmentation_memory_is_bounded():
     common.powers(common.CHUNK)
     batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array([f"the number {i} opens text {i * 7919} of many words " * 9 for i in range(3000)])], names=["k", "t"])
     tracemalloc.start()
-    rows = sum(b.num_rows for b in segmentation.runner("k", 2, 5, None, True)(iter([batch])))
+    rows = sum(b.num_rows for b in segmentation.runner("k", 2, 5, None, True, segmentation.SHORT)(iter([batch])))
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert rows == 6000 and peak < 100_000_000
