@@ -33,6 +33,8 @@ OFFSET, POWER = 10.0, 1.0
 #: Bytes of text worked on at once: the lattice and the paths take about 200 times as much. Short stretches
 #: spare memory and take more CPU.
 MOST, SHORT = 1_500_000, 400_000
+#: In place of a piece's id: bytes that only open pieces, and bytes that do not.
+PREFIX, NONE = -2, -1
 
 
 class Vocabulary:
@@ -56,30 +58,34 @@ class Vocabulary:
         self.weight = np.log(w / w[[*ids, *self.byte_id]].sum())
         self.length = np.array([len(b) for b in self.bytes], np.int64)
         self.longest = int(self.length.max())
-        raw = np.frombuffer(b"".join(self.bytes[i] for i in ids), np.uint8)
-        ends = np.cumsum(self.length[ids])
-        h = C.span_hashes(raw, ends - self.length[ids], ends)
+        # pieces, and what only opens pieces
+        known = {self.bytes[i]: i for i in ids}
+        for i in ids:
+            for n in range(len(self.bytes[i]) - 1, 0, -1):
+                known.setdefault(self.bytes[i][:n], PREFIX)
+        raw = np.frombuffer(b"".join(known), np.uint8)
+        ends = np.cumsum([len(x) for x in known])
+        h = C.span_hashes(raw, np.concatenate(([0], ends[:-1])), ends)
         self.size = 1 << 19
-        self.keys, self.ids = np.zeros(self.size, np.uint64), np.full(self.size, -1, np.int32)
-        for x, i in zip(h, ids):
-            at = int(x >> np.uint64(45))
-            while self.ids[at] >= 0:
+        self.keys, self.ids = np.zeros(self.size, np.uint64), np.full(self.size, NONE, np.int32)
+        for x, at, i in zip(h, (h >> np.uint64(45)).tolist(), known.values()):
+            while self.ids[at] != NONE:
                 at = (at + 1) % self.size
             self.keys[at], self.ids[at] = x, i
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.at = np.concatenate(([0], np.cumsum(self.length)))
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Piece ids of hashes, -1 for those of no piece."""
+        """Piece ids of hashes; PREFIX for those of no piece that open one, NONE for others."""
         at = (h >> np.uint64(45)).astype(np.int64)
-        out = np.where(self.keys[at] == h, self.ids[at], -1)
-        open_ = np.flatnonzero((out < 0) & (self.ids[at] >= 0))
-        at = at[open_]
+        out = self.ids[at]
+        open_ = np.flatnonzero((out != NONE) & (self.keys[at] != h))
+        out[open_], at = NONE, at[open_]
         while len(open_):
             at = (at + 1) % self.size
-            hit = self.keys[at] == h[open_]
-            out[open_[hit]] = self.ids[at][hit]
-            go = ~hit & (self.ids[at] >= 0)
+            found, hit = self.ids[at], self.keys[at] == h[open_]
+            out[open_[hit]] = found[hit]
+            go = ~hit & (found != NONE)
             open_, at = open_[go], at[go]
         return out
 
@@ -104,115 +110,157 @@ class Lattice:
 
     def __init__(self, v: Vocabulary, data: np.ndarray, end: np.ndarray):
         """data: the units' bytes one after another; end: of each byte's unit."""
-        n = len(data)
+        n, self.longest = len(data), np.uint16(v.longest)
         up, down = C.powers(n + 1)
         s = np.concatenate((np.zeros(1, np.uint64), np.cumsum(C.BYTE_EXACT[data] * up[:n])))
         head = (data & 0xC0) != 0x80
-        p_all, l_all, i_all = [], [], []
+        found = []  # positions, length and pieces of edges, shorter ones first
         p = np.flatnonzero(head)
+        before, scale, left = s[p], down[p], end[p] - p
         for size in range(1, v.longest + 1):
-            p = p[p + size <= end[p]]
             if not len(p):
                 break
-            i = v.find(C.mix((s[p + size] - s[p]) * down[p] + np.uint64(size)))
+            i = v.find(C.mix((s[p + size] - before) * scale + np.uint64(size)))
             hit = i >= 0
-            p_all.append(p[hit])
-            l_all.append(np.full(int(hit.sum()), size))
-            i_all.append(i[hit])
-        p, size, i = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (p_all, l_all, i_all))
+            found.append((p[hit], size, i[hit]))
+            go = np.flatnonzero((i != NONE) & (left > size))
+            p, before, scale, left = p[go], before[go], scale[go], left[go]
         # characters that are no piece go byte by byte
         heads = np.flatnonzero(head)
         width = np.diff(np.append(heads, n))
         known = np.zeros(n, bool)
         wide = np.zeros(n, np.int64)
         wide[heads] = width
-        known[p[size == wide[p]]] = True
+        for p, size, _ in found:
+            known[p[wide[p] == size]] = True
         alone = np.flatnonzero(~np.repeat(known[heads], width))
-        p, size, i = np.concatenate((p, alone)), np.concatenate((size, np.ones(len(alone), np.int64))), np.concatenate((i, v.byte_id[data[alone]]))
-        by = np.argsort(p, kind="stable")  # lengths rise already
-        p, self.length, self.piece = p[by], size[by], i[by]
-        self.count = np.bincount(p, minlength=n)
-        self.start = np.cumsum(self.count) - self.count
+        found.append((alone, 1, v.byte_id[data[alone]]))
+        # edges lie by how far their positions are from their unit's end, so that the backward pass takes stretches
+        far = end - np.arange(n)
+        order = np.argsort(far.astype(np.uint16) if far.max(initial=0) < 1 << 16 else far, kind="stable")
+        cut = np.searchsorted(far[order], np.arange(1, int(far.max(initial=0)) + 2))
+        self.count = np.zeros(n, np.int64)
+        for p, _, _ in found:
+            self.count[p] += 1
+        count = self.count[order]
+        start = np.cumsum(count) - count
+        self.start = np.empty(n, np.int64)
+        self.start[order] = start
+        free = self.start.copy()
+        self.length, self.piece, then = (np.empty(int(count.sum()), x) for x in (np.int64, np.int32, np.int64))
+        for p, size, i in found:
+            at = free[p]
+            free[p] += 1
+            self.length[at], self.piece[at] = size, i
+            then[at] = np.where(p + size == end[p], n, p + size)
         w = v.weight[self.piece]
         # backward pass: all positions as far from their unit's end at once
         mass = np.full(n + 1, -np.inf)
         mass[n] = 0.0  # stands for the end of every unit
-        far = end - np.arange(n)
-        order = np.argsort(far.astype(np.uint16) if far.max(initial=0) < 1 << 16 else far, kind="stable")
-        cut = np.searchsorted(far[order], np.arange(1, int(far.max(initial=0)) + 2))
-        then = p + self.length
-        then[then == end[p]] = n
-        self.share = np.zeros(len(p))
+        self.share = np.zeros(len(then))
         for d in range(len(cut) - 1):
-            at = order[cut[d] : cut[d + 1]]
-            at = at[self.count[at] > 0]
+            own = slice(cut[d], cut[d + 1])
+            some = count[own] > 0
+            at, c, lead = order[own][some], count[own][some], start[own][some]
             if not len(at):
                 continue
-            c = self.count[at]
-            tot = np.cumsum(c)
-            e = np.repeat(self.start[at] - tot + c, c) + np.arange(tot[-1])
+            e = slice(lead[0], lead[-1] + c[-1])
+            lead -= lead[0]
             x = w[e] + mass[then[e]]
-            top = np.maximum.reduceat(x, tot - c)
+            top = np.maximum.reduceat(x, lead)
             top = np.where(np.isfinite(top), top, 0.0)
             with np.errstate(divide="ignore"):
-                mass[at] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, c)), tot - c))
+                mass[at] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, c)), lead))
             with np.errstate(invalid="ignore"):
                 self.share[e] = x - np.repeat(mass[at], c)
+        # what noise is mixed with, and what its exponential is multiplied by
+        self.noise = self.length.astype(np.uint64) * C.STEP[12]
+        self.inverse = np.exp(np.minimum(-self.share, 700.0))
 
 
 def times(n: int, step: int) -> np.uint64:
     return np.uint64(n * int(C.STEP[step]) % 2**64)
 
 
+def exponential(x: np.ndarray) -> np.ndarray:
+    return -np.log(((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
+
+
 def gumbel(x: np.ndarray) -> np.ndarray:
-    u = ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
-    return -np.log(-np.log(u))
+    return -np.log(exponential(x))
 
 
-def walk(lat: Lattice, pos: np.ndarray, begin: np.ndarray, end: np.ndarray, salt: np.ndarray, alts: int):
-    """One path through each unit from pos on: nodes in order of units, each with its edge, the edge's share, its
-    perturbed value, and the values and edges of its best alternatives."""
-    p, on, steps, nth = pos.copy(), np.flatnonzero(pos < end), [], 0
+def walk(lat: Lattice, pos: np.ndarray, begin: np.ndarray, end: np.ndarray, salt: np.ndarray):
+    """One path through each unit from pos on: nodes in order of units, each with its edge and how far the second of its
+    edges lies behind.
+
+    An edge's perturbed value share + gumbel is -log(exponential / exp(share)), so the least quotient is the best edge,
+    and a node's value needs no logarithm. Nodes go by falling number of edges, so that those with a j-th edge lie first.
+    """
+    p, on, steps = pos.copy(), np.flatnonzero(pos < end), []
     count = np.zeros(len(pos), np.int64)
     while len(on):
+        c = lat.count[p[on]]
+        on = on[np.argsort(lat.longest - c.astype(np.uint16), kind="stable")]
         at = p[on]
-        # a node with one edge needs no noise: its edge has the node's value
-        chosen, best = lat.start[at], np.zeros(len(on))
-        other_h, other_e = np.full((len(on), alts), -np.inf), np.zeros((len(on), alts), np.int64)
-        many = np.flatnonzero(lat.count[at] > 1)
-        if len(many):
-            c = lat.count[at[many]]
-            tot = np.cumsum(c)
-            lead = tot - c
-            e = np.repeat(chosen[many] - lead, c) + np.arange(tot[-1])
-            seed = C.mix(salt[on[many]] + (at[many] - begin[on[many]]).astype(np.uint64) * C.STEP[11])
-            h = lat.share[e] + gumbel(C.mix(np.repeat(seed, c) + lat.length[e].astype(np.uint64) * C.STEP[12]))
-            lane = np.repeat(np.arange(len(many)), c)
-            top = np.maximum.reduceat(h, lead)
-            hit = np.flatnonzero(h == top[lane])
-            took = np.empty(len(many), np.int64)
-            took[lane[hit]] = hit
-            chosen[many], best[many] = e[took], top
-            h[took] = -np.inf
-            for a in range(alts):
-                m = np.maximum.reduceat(h, lead)
-                hit = np.flatnonzero((h == m[lane]) & np.isfinite(h))
-                i = many[lane[hit]]
-                other_h[i, a], other_e[i, a] = h[hit], e[hit]
-                h[hit] = -np.inf
-        steps.append((on, at, chosen, best, other_h, other_e))
+        chosen, behind = lat.start[at], np.full(len(on), np.inf)
+        more = len(on) - np.cumsum(np.bincount(c))  # how many have over j edges
+        # a node with one edge needs no noise
+        many = int(more[1]) if len(more) > 1 else 0
+        if many:
+            lead = chosen[:many].copy()
+            seed = C.mix(salt[on[:many]] + (at[:many] - begin[on[:many]]).astype(np.uint64) * C.STEP[11])
+            best, second, nth = np.full(many, np.inf), np.full(many, np.inf), np.zeros(many, np.uint16)
+            for j in range(len(more) - 1):
+                n = min(many, int(more[j]))
+                e = lead[:n] + j
+                x = exponential(C.mix(seed[:n] + lat.noise[e]))
+                x *= lat.inverse[e]
+                np.copyto(nth[:n], j, where=x < best[:n])
+                np.minimum(second[:n], np.maximum(best[:n], x), out=second[:n])
+                np.minimum(best[:n], x, out=best[:n])
+            chosen[:many] += nth
+            np.subtract(second, best, out=behind[:many])
+        steps.append((on, at, chosen, behind))
         count[on] += 1
         p[on] = at + lat.length[chosen]
         on = on[p[on] < end[on]]
-        nth += 1
     total = int(count.sum())
     first = np.cumsum(count) - count
-    unit, place, edge = np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total, np.int64)
-    value, oh, oe = np.empty(total), np.empty((total, alts)), np.empty((total, alts), np.int64)
-    for k, (on, at, chosen, best, other_h, other_e) in enumerate(steps):
+    place, edge, gap = np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total)
+    for k, (on, at, chosen, behind) in enumerate(steps):
         w = first[on] + k
-        unit[w], place[w], edge[w], value[w], oh[w], oe[w] = on, at, chosen, best, other_h, other_e
-    return unit, place, edge, value, oh, oe
+        place[w], edge[w], gap[w] = at, chosen, behind
+    return np.repeat(np.arange(len(pos)), count), place, edge, gap
+
+
+def others(lat: Lattice, at: np.ndarray, seed: np.ndarray, alts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The perturbed value of each node's best edge, and the values and edges of its best alternatives."""
+    c = lat.count[at]
+    lead = np.cumsum(c) - c
+    e = per_row(lat.start[at], c)
+    h = lat.share[e] + gumbel(C.mix(np.repeat(seed, c) + lat.noise[e]))
+    lane = np.repeat(np.arange(len(at)), c)
+    value, edge = np.full((len(at), alts + 1), -np.inf), np.zeros((len(at), alts + 1), np.int64)
+    for a in range(alts + 1 if len(at) else 0):
+        m = np.maximum.reduceat(h, lead)
+        hit = np.flatnonzero((h == m[lane]) & np.isfinite(h))
+        value[lane[hit], a], edge[lane[hit], a] = h[hit], e[hit]
+        h[hit] = -np.inf
+    return value[:, 0], value[:, 1:], edge[:, 1:]
+
+
+def least(x: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k least finite values of each row; x goes. at: where rows start, and the end."""
+    some = np.flatnonzero(at[1:] > at[:-1])
+    out = [np.zeros(0, np.int64)]
+    for _ in range(k if len(some) else 0):
+        low = np.minimum.reduceat(x, at[some])
+        hit = np.flatnonzero((x == np.repeat(low, (at[1:] - at[:-1])[some])) & np.isfinite(x))
+        hit = hit[np.unique(np.searchsorted(at, hit, "right"), return_index=True)[1]]
+        out.append(hit)
+        x[hit] = np.inf
+    return np.sort(np.concatenate(out))
 
 
 def highest(x: np.ndarray) -> np.ndarray:
@@ -291,7 +339,8 @@ def sample(v: Vocabulary, data: np.ndarray, off: np.ndarray, seeds: np.ndarray,
             lead = np.cumsum(rest) - rest
             pos[lead] = f_place[node] + lat.length[edge]
             rows = row_of[units]
-        unit, place, edge, value, oh, oe = walk(lat, pos, begin[units], stop[units], C.mix(salt[units] + times(draw, 14)), k)
+        salts = C.mix(salt[units] + times(draw, 14))
+        unit, place, edge, behind = walk(lat, pos, begin[units], stop[units], salts)
         row = rows[unit]
         lp = lat.share[edge]
         node_at = np.searchsorted(row, np.arange(n + 1))
@@ -306,13 +355,15 @@ def sample(v: Vocabulary, data: np.ndarray, off: np.ndarray, seeds: np.ndarray,
         lead = np.zeros(len(lp), bool)
         lead[node_at[:-1][some]] = True
         before = np.where(lead, done[row], np.concatenate(([0.0], run[:-1])) if len(run) else run)
-        m = top[row]
+        # what further draws and kappa can ask for: the nodes whose second edges have a row's highest values
+        with np.errstate(divide="ignore"):
+            open_ = least(np.log(behind) - before, node_at, k - draw)
+        u, m, before = unit[open_], top[row[open_], None], before[open_, None]
+        value, oh, oe = others(lat, place[open_], C.mix(salts[u] + (place[open_] - begin[units[u]]).astype(np.uint64) * C.STEP[11]), k)
         # values of the edges not taken, given that the taken one has the node's
-        open_ = np.flatnonzero(np.isfinite(oh[:, 0]))
-        oh = oh[open_]
         with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
-            gap = (m - before)[open_, None] - oh + np.log1p(-np.exp(np.minimum(oh - value[open_, None], -1e-12)))
-            val = m[open_, None] - np.maximum(gap, 0) - np.log1p(np.exp(-np.abs(gap)))
+            gap = m - before - oh + np.log1p(-np.exp(np.minimum(oh - value[:, None], -1e-12)))
+            val = m - np.maximum(gap, 0) - np.log1p(np.exp(-np.abs(gap)))
         val = np.where(np.isfinite(oh), val, -np.inf)
         pre = np.diff(pre_off)
         own = np.diff(node_at)
@@ -323,7 +374,7 @@ def sample(v: Vocabulary, data: np.ndarray, off: np.ndarray, seeds: np.ndarray,
         pe[per_row(po[:-1], pre)] = pre_edges
         pe[per_row(po[:-1] + pre, own)] = edge
         index = np.arange(len(row)) - node_at[row] + pre[row]
-        for f, x in zip(front, (row[open_], np.full(len(open_), draw), index[open_], units[unit[open_]], place[open_], before[open_], val, oe[open_])):
+        for f, x in zip(front, (row[open_], np.full(len(open_), draw), index[open_], units[u], place[open_], before[:, 0], val, oe)):
             f.append(x)
         paths.append((pe, po))
         draws.append((todo, lat.piece[pe], po, logp[todo], top[todo]))

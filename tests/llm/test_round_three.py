@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import jpeg, license_scan, periodic_runs, target_encoding, topk_search, wavelet
+from tessella.llm import bpe, common, jpeg, license_scan, periodic_runs, segmentation, target_encoding, topk_search, wavelet
 from tessella.llm import queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -232,3 +232,47 @@ def test_documents_without_an_id(spark):
     df = spark.createDataFrame([(None, "nobody's text"), (3, "three"), (None, None), (-2, "minus two")], "doc_id long, text string")
     got = [(r["doc_id"], r["start"], r["n_tokens"]) for r in wavelet.read_back(*wavelet.write(df, "doc_id", "text")).orderBy("start").collect()]
     assert [g[0] for g in got] == [None, None, -2, 3] and [g[1] for g in got] == [0, *np.cumsum([g[2] for g in got])[:-1]]
+
+
+def texts_of(k):
+    words = "the of segmentation unbelievable naïve 日本語 a b internationalisation ▁x \n\n  tabs\there café".split(" ")
+    texts = [" ".join(words[(7 * i * j + j) % len(words)] for j in range(3 + 11 * i)).encode() for i in range(k)] + [b"", b" ", b"\n"]
+    off = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    return np.frombuffer(b"".join(texts), np.uint8), off, common.mix(np.arange(len(texts)).astype(np.uint64))
+
+
+@pytest.mark.parametrize("k", [1, 2, 4])
+def test_segmentation_asks_the_frontier_for_what_draws_can_take(k, monkeypatch):
+    """Edges get a Gumbel value of their own only where a path may branch, and draws are as with all nodes kept."""
+    v, (data, off, seeds) = segmentation.vocabulary(bpe.public(segmentation.MODEL)), texts_of(12)
+    seen, gumbel = [], segmentation.gumbel
+    monkeypatch.setattr(segmentation, "gumbel", lambda x: seen.append(len(x)) or gumbel(x))
+    few = segmentation.sample(v, data, off, seeds, k)
+    assert sum(seen) <= (len(off) - 1) * (1 + k * k * 16) and sum(seen) < len(data) * k
+    monkeypatch.setattr(segmentation, "least", lambda x, at, k: np.flatnonzero(np.isfinite(x)))
+    for a, b in zip(few, segmentation.sample(v, data, off, seeds, k), strict=True):
+        assert all(np.array_equal(x, y) for x, y in zip(a, b, strict=True))
+
+
+def test_segmentation_takes_the_best_edges():
+    """The first draw's edges are the best of each node by share and Gumbel noise, and pieces are found by their prefixes."""
+    v, (data, off, seeds) = segmentation.vocabulary(bpe.public(segmentation.MODEL)), texts_of(6)
+    units = [b" the", b" internationalisation", " 日本語".encode(), b"\n", " naïve▁".encode()]
+    data, end = np.frombuffer(b"".join(units), np.uint8), np.repeat(np.cumsum([len(u) for u in units]), [len(u) for u in units])
+    lat = segmentation.Lattice(v, data, end)
+    pieces = {b: i for i, b in enumerate(v.bytes) if b and i not in set(v.byte_id.tolist())}
+    for p in range(len(data)):
+        e = lat.start[p] + np.arange(lat.count[p])
+        if (data[p] & 0xC0) != 0x80:
+            want = {n: pieces[x] for n in range(1, end[p] - p + 1) if (x := data[p : p + n].tobytes()) in pieces}
+            assert {int(lat.length[x]): int(lat.piece[x]) for x in e if lat.piece[x] not in v.byte_id} == want
+            assert np.isclose(np.exp(lat.share[e]).sum(), 1)
+    begin, stop = np.r_[0, np.unique(end)[:-1]], np.unique(end)
+    salt = common.mix(np.arange(len(units)).astype(np.uint64))
+    unit, place, edge, behind = segmentation.walk(lat, begin.copy(), begin, stop, salt)
+    for u, p, x, far in zip(unit, place, edge, behind):
+        e = lat.start[p] + np.arange(lat.count[p])
+        seed = common.mix(salt[u : u + 1] + np.array([p - begin[u]]).astype(np.uint64) * common.STEP[11])
+        h = lat.share[e] + segmentation.gumbel(common.mix(seed + lat.noise[e]))
+        assert x == e[np.argmax(h)]
+        assert np.isinf(far) if len(e) == 1 else np.isclose(far, np.diff(np.exp(-np.sort(h)[::-1][:2]))[0])
