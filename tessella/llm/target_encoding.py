@@ -34,8 +34,9 @@ CELL = 64
 HEAVY = 4096
 #: Rates are in millionths; a prior weighs as so many rows.
 SCALE, WEIGHT, PRIOR = 1_000_000, 50, 500_000
-#: What rows are counted by; in tables a level is its place here.
-LEVELS = ("all", "kind", "nation", "segment", "item", "vendor", "client")
+#: Lines from which n and s are summed in columns of their own; fewer travel as one number, n * ONE + s.
+MANY = 1 << 31
+ONE = 1 << 32
 
 
 def bin_of(at: Column, lo: int, shift: Column) -> Column:
@@ -48,102 +49,106 @@ def shift_of(events: Column, bits: int) -> Column:
     return (F.lit(bits) - F.least(finer, F.lit(bits))).cast("int")
 
 
-def wide(c: str, folds: int) -> list[Column]:
-    return [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for f in range(folds)]
+def wide(sums: list[str], folds: int) -> list[Column]:
+    return [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for c in sums for f in range(folds)]
+
+
+def summed(sums: list[str]) -> list[Column]:
+    return [F.sum(c).alias(c) for c in sums]
 
 
 def grid(sizes: DataFrame, bits: int) -> DataFrame:
-    """Every bin of every key, in groups of about the square root of their number: level, key, shift, group, bin."""
+    """Every bin of every key, in groups of about the square root of their number: key, shift, group, bin."""
     half = ((F.lit(bits) - F.col("shift") + 1) / 2).cast("int")
     top = F.call_function("shiftright", F.lit((1 << bits) - 1).cast("long"), F.col("shift"))
-    groups = sizes.select("level", "key", "shift", half.alias("half"), top.alias("top"), F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("shiftright", top, half))).alias("group"))
+    groups = sizes.select("key", "shift", half.alias("half"), top.alias("top"), F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("shiftright", top, half))).alias("group"))
     first = F.expr("shiftleft(`group`, half)")
-    return groups.repartition("level", "key", "group").select("level", "key", "shift", "group", F.explode(F.sequence(first, F.least(first + F.expr("shiftleft(1L, half)") - 1, F.col("top")))).alias("bin"))
+    return groups.repartition("key", "group").select("key", "shift", "group", F.explode(F.sequence(first, F.least(first + F.expr("shiftleft(1L, half)") - 1, F.col("top")))).alias("bin"))
 
 
-def cell_of(level: Column, key: Column, bin: Column) -> Column:
-    """What cells are sorted by first; level, key and bin decide where it is equal."""
-    return F.xxhash64(level, key, bin)
+def cell_of(key: Column, bin: Column) -> Column:
+    """What cells are sorted by first; key and bin decide where it is equal."""
+    return F.xxhash64(key, bin)
 
 
-def steps(events: DataFrame, sizes: DataFrame, lo: int, bits: int, gap: int = 0, folds: int = FOLDS) -> DataFrame:
-    """The validity table of events (level, key, shift, at, fold, n, s, heavy): level, key, bin, after, until, n0.., s0.. .
+def steps(events: DataFrame, sizes: DataFrame, sums: list[str], lo: int, bits: int, gap: int = 0, folds: int = FOLDS) -> DataFrame:
+    """The validity table of events (key, shift, at, fold, heavy and sums): key, bin, after, until, and each sum by fold.
 
     heavy: events of which very many may share a key and a moment.
-    sizes: level, key, shift of every key. A step holds for times over `after` up to `until`. Times, with the gap added,
+    sizes: key, shift of every key. A step holds for times over `after` up to `until`. Times, with the gap added,
     lie in lo .. lo + 2^bits.
     """
-    at, each = F.col("at") + F.lit(gap), [f"{c}{f}" for c in ("n", "s") for f in range(folds)]
-    many = events.where("heavy").groupBy("level", "key", "shift", at.alias("after"), "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    own = events.where("not heavy").select("level", "key", "shift", at.alias("after"), "fold", "n", "s").unionByName(many).withColumn("bin", bin_of(F.col("after"), lo, F.col("shift")))
+    at, each = F.col("at") + F.lit(gap), [f"{c}{f}" for c in sums for f in range(folds)]
+    many = events.where("heavy").groupBy("key", "shift", at.alias("after"), "fold").agg(*summed(sums))
+    own = events.where("not heavy").select("key", "shift", at.alias("after"), "fold", *sums).unionByName(many).withColumn("bin", bin_of(F.col("after"), lo, F.col("shift")))
     # what came before each bin: sums over the bins of its group and over the groups before that
-    made = events.where(F.col("shift") < bits).groupBy("level", "key", bin_of(at, lo, F.col("shift")).alias("bin"), "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    made = made.groupBy("level", "key", "bin").agg(*wide("n", folds), *wide("s", folds))
-    made = grid(sizes.where(F.col("shift") < bits), bits).join(made, ["level", "key", "bin"], "left").na.fill(0, each)
-    inner = Window.partitionBy("level", "key", "group").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.partitionBy("level", "key").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
-    tops = made.groupBy("level", "key", "group").agg(*[F.sum(c).alias(c) for c in each])
-    tops = tops.select("level", "key", "group", *[F.coalesce(F.sum(c).over(outer), F.lit(0)).alias(f"{c}_before") for c in each])
-    made = made.select("level", "key", "shift", "group", "bin", *[F.coalesce(F.sum(c).over(inner), F.lit(0)).alias(c) for c in each])
+    made = events.where(F.col("shift") < bits).groupBy("key", bin_of(at, lo, F.col("shift")).alias("bin"), "fold").agg(*summed(sums))
+    made = made.groupBy("key", "bin").agg(*wide(sums, folds))
+    made = grid(sizes.where(F.col("shift") < bits), bits).join(made, ["key", "bin"], "left").na.fill(0, each)
+    inner = Window.partitionBy("key", "group").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy("key").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    tops = made.groupBy("key", "group").agg(*summed(each))
+    tops = tops.select("key", "group", *[F.coalesce(F.sum(c).over(outer), F.lit(0)).alias(f"{c}_before") for c in each])
+    made = made.select("key", "shift", "group", "bin", *[F.coalesce(F.sum(c).over(inner), F.lit(0)).alias(c) for c in each])
     start = F.lit(lo - 1) + F.expr("shiftleft(bin, shift)")
-    rows = F.explode(F.array(*[F.struct(F.lit(f).alias("fold"), *[(F.col(f"{c}{f}") + F.col(f"{c}{f}_before")).alias(c) for c in ("n", "s")]) for f in range(folds)]))
-    before = made.join(tops, ["level", "key", "group"]).select("level", "key", "shift", "bin", start.alias("after"), rows.alias("row")).select("level", "key", "shift", "bin", "after", "row.*")
+    rows = F.explode(F.array(*[F.struct(F.lit(f).alias("fold"), *[(F.col(f"{c}{f}") + F.col(f"{c}{f}_before")).alias(c) for c in sums]) for f in range(folds)]))
+    before = made.join(tops, ["key", "group"]).select("key", "shift", "bin", start.alias("after"), rows.alias("row")).select("key", "shift", "bin", "after", "row.*")
     zero = F.lit(0).cast("long")
-    alone = sizes.where(F.col("shift") >= bits).select("level", "key", "shift", zero.alias("bin"), F.lit(lo - 1).alias("after"), F.lit(0).alias("fold"), zero.alias("n"), zero.alias("s"))
-    cells = own.unionByName(before).unionByName(alone).withColumn("cell", cell_of(F.col("level"), F.col("key"), F.col("bin")))
-    cells = cells.select("cell", "level", "key", "bin", "after", "shift", "fold", "n", "s").repartition("cell", "level", "key", "bin").sortWithinPartitions("cell", "level", "key", "bin", "after")
-    schema = "level int, key long, bin long, after long, until long, " + ", ".join(f"{c} long" for c in each)
-    return cells.mapInArrow(C.lean(lambda batches: accumulated(batches, lo, folds)), schema)
+    alone = sizes.where(F.col("shift") >= bits).select("key", "shift", zero.alias("bin"), F.lit(lo - 1).alias("after"), F.lit(0).alias("fold"), *[zero.alias(c) for c in sums])
+    cells = own.unionByName(before).unionByName(alone).withColumn("cell", cell_of(F.col("key"), F.col("bin")))
+    cells = cells.select("cell", "key", "bin", "after", "shift", "fold", *sums).repartition("cell", "key", "bin").sortWithinPartitions("cell", "key", "bin", "after")
+    schema = "key long, bin long, after long, until long, " + ", ".join(f"{c} long" for c in each)
+    return cells.mapInArrow(C.lean(lambda batches: accumulated(batches, sums, lo, folds)), schema)
 
 
-def accumulated(batches: Iterator[pa.RecordBatch], lo: int, folds: int) -> Iterator[pa.RecordBatch]:
+def accumulated(batches: Iterator[pa.RecordBatch], sums_of: list[str], lo: int, folds: int) -> Iterator[pa.RecordBatch]:
     """Rows of cells in order of time, as steps: running sums of each fold, and how long they hold. A cell may lie in many
     batches: what goes from one to the next is its last row and its sums."""
-    names = ["level", "key", "bin", "after", "until", *[f"{c}{f}" for c in ("n", "s") for f in range(folds)]]
-    kept: tuple | None = None  # the last row: cell, level, key, bin, after, shift; its sums
+    names = ["key", "bin", "after", "until", *[f"{c}{f}" for c in sums_of for f in range(folds)]]
+    kept: tuple | None = None  # the last row: cell, key, bin, after, shift; its sums
 
     def batch(rows: np.ndarray, until: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-        ok = rows[4] < until
-        columns = [pa.array(c[ok]) for c in (*rows[1:5], until, *sums)]
-        columns[0] = columns[0].cast(pa.int32())
-        return pa.RecordBatch.from_arrays(columns, names=names)
+        ok = rows[3] < until
+        return pa.RecordBatch.from_arrays([pa.array(c[ok]) for c in (*rows[1:4], until, *sums)], names=names)
 
-    end = lambda r: lo - 1 + ((r[3] + 1) << r[5])
+    end = lambda r: lo - 1 + ((r[2] + 1) << r[4])
     for b in batches:
         if not b.num_rows:
             continue
-        rows = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(6)])
-        fold, m = b.column(6).to_numpy(), b.num_rows
-        own = np.zeros((2 * folds, m), np.int64)
-        own[fold, np.arange(m)] = b.column(7).to_numpy()
-        own[folds + fold, np.arange(m)] = b.column(8).to_numpy()
+        rows = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)])
+        fold, m = b.column(5).to_numpy(), b.num_rows
+        own = np.zeros((len(sums_of) * folds, m), np.int64)
+        for k in range(len(sums_of)):
+            own[k * folds + fold, np.arange(m)] = b.column(6 + k).to_numpy()
         if kept is not None:
             rows, own = np.concatenate([kept[0], rows], axis=1), np.concatenate([kept[1], own], axis=1)
-        new = (rows[1:4, 1:] != rows[1:4, :-1]).any(axis=0)
+        new = (rows[1:3, 1:] != rows[1:3, :-1]).any(axis=0)
         sums = np.cumsum(own, axis=1)
         first = np.r_[0, np.flatnonzero(new) + 1]
-        base = np.zeros((2 * folds, len(first)), np.int64)
+        base = np.zeros((len(own), len(first)), np.int64)
         base[:, 1:] = sums[:, first[1:] - 1]
         sums -= np.repeat(base, np.diff(np.r_[first, rows.shape[1]]), axis=1)
-        until = np.where(new, end(rows[:, :-1]), rows[4, 1:])
+        until = np.where(new, end(rows[:, :-1]), rows[3, 1:])
         yield batch(rows[:, :-1], until, sums[:, :-1])
         kept = rows[:, -1:], sums[:, -1:]
     if kept is not None:
         yield batch(kept[0], end(kept[0]), kept[1])
 
 
-def probed(df: DataFrame, table: DataFrame, level: str, lo: int, folds: int = FOLDS) -> DataFrame:
+def probed(df: DataFrame, table: DataFrame, level: str, sums: list[str], lo: int, folds: int = FOLDS) -> DataFrame:
     """df (with <level>_key, <level>_shift, at, fold) and <level>_n, <level>_s: counts that hold at its time in folds not
     its own. The level's key and shift go."""
     own = lambda c: reduce(lambda x, f: x + F.when(F.col("fold") != f, F.col(f"{c}{f}")).otherwise(0), range(folds), F.lit(0).cast("long"))
-    t = table.where(F.col("level") == LEVELS.index(level)).withColumn("step_cell", cell_of(F.col("level"), F.col("key"), F.col("bin"))).withColumnRenamed("bin", "step_bin").drop("level")
+    t = table.withColumn("step_cell", cell_of(F.col("key"), F.col("bin"))).withColumnRenamed("bin", "step_bin")
     p = df.withColumn("bin", bin_of(F.col("at"), lo, F.col(f"{level}_shift")))
-    p = p.withColumn("cell", cell_of(F.lit(LEVELS.index(level)), F.col(f"{level}_key"), F.col("bin")))
+    p = p.withColumn("cell", cell_of(F.col(f"{level}_key"), F.col("bin")))
     # the cell alone is the join's key, so that sorting takes one number; key and bin are compared where cells meet
     same = lambda x, y: (F.col(x) <= F.col(y)) & (F.col(x) >= F.col(y))
     on = (F.col("cell") == F.col("step_cell")) & same(f"{level}_key", "key") & same("bin", "step_bin") & (F.col("at") > F.col("after")) & (F.col("at") <= F.col("until"))
     kept = [c for c in df.columns if c not in (f"{level}_key", f"{level}_shift")]
-    return p.join(t, on, "left").select(*kept, *[F.coalesce(own(c), F.lit(0).cast("long")).alias(f"{level}_{c}") for c in ("n", "s")])
+    got = p.join(t, on, "left").select(*kept, *[F.coalesce(own(c), F.lit(0).cast("long")).alias(f"{level}_{c}") for c in sums])
+    both = F.col(f"{level}_{sums[0]}")
+    return got if len(sums) > 1 else got.select(*kept, F.call_function("div", both, F.lit(ONE)).alias(f"{level}_n"), (both % ONE).alias(f"{level}_s"))
 
 
 def rate(level: str, prior: Column) -> Column:
@@ -163,15 +168,10 @@ def sized(rows: DataFrame, dim: DataFrame, key: str, parent: str, at: str, above
     return own.join(tops, F.col("up").eqNullSafe(F.col("top"))).select(F.col("id").alias(key), F.col("id").alias(f"{at}_key"), shift_of(F.col("c"), bits).alias(f"{at}_shift"), f"{above}_key", f"{above}_shift")
 
 
-def keys(df: DataFrame, *levels: str) -> DataFrame:
-    """The keys and shifts of these levels, one row each."""
-    return reduce(DataFrame.unionByName, [df.groupBy(F.lit(LEVELS.index(x)).alias("level"), F.col(f"{x}_key").alias("key")).agg(F.min(f"{x}_shift").alias("shift")) for x in levels])
-
-
-def unpivoted(df: DataFrame, *levels: str) -> DataFrame:
-    """A row for each level: level, key, shift, at, fold, n, s, heavy."""
-    one = lambda x: df.select(F.lit(LEVELS.index(x)).alias("level"), F.col(f"{x}_key").alias("key"), F.col(f"{x}_shift").alias("shift"), "at", "fold", "n", "s", "heavy")
-    return reduce(DataFrame.unionByName, map(one, levels))
+def events_of(df: DataFrame, level: str, sums: list[str]) -> DataFrame:
+    """The level's events: key, shift, at, fold, heavy and sums."""
+    both = (F.col("n") * F.lit(ONE) + F.col("s")).alias(sums[0])
+    return df.select(F.col(f"{level}_key").alias("key"), F.col(f"{level}_shift").alias("shift"), "at", "fold", "heavy", *(sums if len(sums) > 1 else [both]))
 
 
 def encoded(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: DataFrame, clients: DataFrame, gap: int = 0, folds: int = FOLDS) -> DataFrame:
@@ -185,36 +185,42 @@ def encoded(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: DataF
     sold = sales.where("sale_id is not null and sold_at is not null").select("sale_id", own("client_id"), F.unix_micros(F.col("sold_at").cast("timestamp")).alias("at"), fold.alias("fold"))
     pairs = C.written(groups.join(sold, "sale_id"), "encode-pairs")
     C.free(spark)
-    lo, hi = pairs.agg(F.min("at"), F.max("at")).first()
+    lo, hi, count = pairs.agg(F.min("at"), F.max("at"), F.sum("n")).first()
     if lo is None:
-        lo = hi = 0
+        lo = hi = count = 0
+    sums = ["n", "s"] if count >= MANY else ["ns"]
     bits = max(1, int(hi - lo + gap).bit_length())
 
     per_sale = pairs.groupBy("sale_id", "client_id", "at", "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     # written, so that Spark knows its size and broadcasts it only where it is small
     busy = C.written(pairs.groupBy("at").agg(F.count("*").alias("c")).where(F.col("c") > HEAVY).select("at"), "encode-busy")
     client = C.written(sized(pairs, clients, "client_id", "segment", "client", "segment", bits), "encode-client")
-    per_sale = per_sale.join(client, "client_id").withColumns({"all_key": F.lit(0).cast("long")})
-    per_sale = C.written(marked(per_sale, busy).crossJoin(per_sale_shift(pairs, bits)), "encode-sales")
+    per_sale = per_sale.join(client, "client_id")
+    whole = C.written(pairs.agg(F.count("*").alias("c")).select(F.lit(0).cast("long").alias("all_key"), shift_of(F.col("c"), bits).alias("all_shift")), "encode-all")
+    per_sale = C.written(marked(per_sale, busy).crossJoin(F.broadcast(whole)), "encode-sales")
     item, vendor = (C.written(sized(pairs, d, f"{x}_id", p, x, up, bits), f"encode-{x}") for d, x, p, up in ((items, "item", "kind", "kind"), (vendors, "vendor", "nation_id", "nation")))
     rows = C.written(marked(pairs.drop("client_id"), busy).join(item, "item_id").join(vendor, "vendor_id"), "encode-rows")
 
     C.free(spark)
-    low, high = ("item", "kind", "vendor", "nation"), ("client", "segment", "all")
-    events = unpivoted(rows, *low).unionByName(unpivoted(per_sale, *high))
-    table = C.written(steps(events, keys(rows, *low).unionByName(keys(per_sale, *high)), lo, bits, gap, folds), "encode-steps")
-    C.free(spark)  # what one step has shuffled is let go before the next
+    low, high = {"item": item, "kind": item, "vendor": vendor, "nation": vendor}, {"client": client, "segment": client, "all": whole}
+    tables = {}
+    # a table a level, so that probes read their own level's steps only; its keys are those of the small tables
+    for df, levels in ((rows, low), (per_sale, high)):
+        for x, ids in levels.items():
+            sizes = ids.groupBy(F.col(f"{x}_key").alias("key")).agg(F.min(f"{x}_shift").alias("shift"))
+            tables[x] = C.written(steps(events_of(df, x, sums), sizes, sums, lo, bits, gap, folds), f"encode-steps-{x}")
+            C.free(spark)  # what one step has shuffled is let go before the next
     rows, per_sale = rows.drop("heavy"), per_sale.drop("heavy")
     for x in high:
-        per_sale = probed(per_sale, table, x, lo, folds)
+        per_sale = probed(per_sale, tables[x], x, sums, lo, folds)
     top = C.written(per_sale.select("sale_id", "at", "client_id", *[f"{x}_{c}" for x in high for c in ("n", "s")]), "encode-top")
     C.free(spark)
-    for x in low[:2]:
-        rows = probed(rows, table, x, lo, folds)
+    for x in list(low)[:2]:
+        rows = probed(rows, tables[x], x, sums, lo, folds)
     rows = C.written(rows, "encode-half")
     C.free(spark)
-    for x in low[2:]:
-        rows = probed(rows, table, x, lo, folds)
+    for x in list(low)[2:]:
+        rows = probed(rows, tables[x], x, sums, lo, folds)
     out = rows.join(top, ["sale_id", "at"])
     out = out.withColumn("all_rate", rate("all", F.lit(PRIOR).cast("long")))
     out = out.withColumns({f"{x}_rate": rate(x, F.col("all_rate")) for x in ("kind", "nation", "segment")})
@@ -227,11 +233,6 @@ def marked(df: DataFrame, busy: DataFrame) -> DataFrame:
     return df.join(busy.withColumn("heavy", F.lit(True)), "at", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
 
 
-def per_sale_shift(pairs: DataFrame, bits: int) -> DataFrame:
-    """One row: the shift of the key that all sales share."""
-    return F.broadcast(pairs.agg(F.count("*").alias("c")).select(shift_of(F.col("c"), bits).alias("all_shift")))
-
-
 def op12_target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     C.ship(spark)
     return encoded(*(C.read(spark, sf_dir, t) for t in ("sale_lines", "sales", "items", "vendors", "clients")))

@@ -276,3 +276,23 @@ def test_segmentation_takes_the_best_edges():
         h = lat.share[e] + segmentation.gumbel(common.mix(seed + lat.noise[e]))
         assert x == e[np.argmax(h)]
         assert np.isinf(far) if len(e) == 1 else np.isclose(far, np.diff(np.exp(-np.sort(h)[::-1][:2]))[0])
+
+
+@pytest.mark.parametrize("many", [0, 1 << 31])
+def test_target_encoding_probes_a_level_in_its_own_steps(spark, many, monkeypatch):
+    """A table of steps a level, counts as one number where lines are few: narrow tables, each read once."""
+    import datetime
+
+    rng, tables, written = random.Random(5), {}, common.written
+    day = lambda: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=rng.randrange(40))
+    lines = [(rng.randrange(60), rng.choice([None, 1, 2, 3]), rng.choice([None, 7, 8]), rng.choice(["returned", "kept", None])) for _ in range(300)]
+    sales = [(i, rng.choice([None, 4, 5, 6]), day()) for i in range(60)]
+    dims = [(1, "x"), (2, "y")], [(7, 1), (8, 2)], [(4, "a"), (5, "b")]
+    monkeypatch.setattr(target_encoding, "CELL", 2)
+    monkeypatch.setattr(target_encoding, "MANY", many)
+    monkeypatch.setattr(common, "written", lambda df, name, *a: tables.setdefault(name, written(df, name, *a)))
+    got = {tuple(x)[:3]: tuple(x)[3:] for x in target_encoding.encoded(*shop(spark, lines, sales, *dims)).collect()}
+    assert got == encoded_by_hand(lines, sales, *dims)
+    made = {k: t for k, t in tables.items() if k.startswith("encode-steps")}
+    assert sorted(made) == [f"encode-steps-{x}" for x in ("all", "client", "item", "kind", "nation", "segment", "vendor")]
+    assert all(len(t.columns) == 4 + (5 if many else 10) for t in made.values())
