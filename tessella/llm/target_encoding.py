@@ -1,10 +1,12 @@
 """Time-ordered target encoding: a row's key is rated by the earlier rows of other folds that share it.
 
 A step-function validity table holds, for each key, cumulative counts that hold from an event's time plus a gap
-(exclusive) to the next change (inclusive), with one component for each fold. Every key has time bins of its own, finer
-the more events it has, so that a cell (key, bin) has few changes however hot the key is; steps are split at bins. Counts
-before a bin come from prefix sums in two levels (bins in a group of bins, groups in a key). Probes join the table on
-key and bin with the range condition, and what holds is the key's count less the component of the probe's own fold.
+(exclusive) to the next change (inclusive), with one component for each fold. Every key has time cells of its own, finer
+the more events it has, so that a cell has few changes however hot the key is; a step is in each cell that it reaches
+into. Cells of all keys of a level are numbered through, so that a cell's number alone says key and time. Counts before
+a bin of some cells come from prefix sums in two levels (bins in a group of bins, groups in a key); within a bin they are
+accumulated. Probes join the table on the cell with the range condition, and what holds is the key's count less the
+component of the probe's own fold.
 
 Nothing that grows goes through one task or the driver: events of one key and moment are combined before they are
 shuffled, cells are small, and the step table is written, so that Spark can split a cell that very many probes ask for.
@@ -18,6 +20,7 @@ least parent; any flag but `returned`, null too, is no return; empty tables give
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -25,13 +28,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import session
 from . import common as C
 
 FOLDS = 5
-#: Events of a key a bin, about: what a probe is compared with.
-CELL = 64
+#: Events of a key a cell, about: what a probe is compared with.
+CELL = 16
+#: A bin has 2^BIN cells: for each bin of a key there is a prefix sum.
+BIN = 3
 #: Groups of lines from which a moment counts as heavy: its events are combined before they are shuffled.
 HEAVY = 4096
+#: Parts in which the cells of keys are numbered.
+SLOTS = 512
 #: Rates are in millionths; a prior weighs as so many rows.
 SCALE, WEIGHT, PRIOR = 1_000_000, 50, 500_000
 #: Lines from which n and s are summed in columns of their own; fewer travel as one number, n * ONE + s.
@@ -39,14 +47,49 @@ MANY = 1 << 31
 ONE = 1 << 32
 
 
-def bin_of(at: Column, lo: int, shift: Column) -> Column:
-    return F.call_function("shiftright", at - F.lit(lo), shift)
+@dataclass(frozen=True)
+class Span:
+    """Times lo .. lo + length, the gap added. A key of fineness f has cells of 2^(bits - f) microseconds.
+
+    A key's number is 64 times the number of its first cell, plus its fineness.
+    """
+
+    lo: int
+    length: int
+
+    @property
+    def bits(self) -> int:
+        return max(1, self.length.bit_length())
+
+    def cells(self, fine: Column) -> Column:
+        """Number of the last cell of a key, its first cell being 0."""
+        return F.call_function("shiftright", F.lit(self.length).cast("long"), F.lit(self.bits) - fine)
+
+    def cell(self, key: Column, at: Column) -> Column:
+        return first_of(key) + F.call_function("shiftright", at - F.lit(self.lo), F.lit(self.bits) - fine_of(key))
+
+
+def first_of(key: Column) -> Column:
+    return F.call_function("shiftright", key, F.lit(6))
+
+
+def fine_of(key: Column) -> Column:
+    return key.bitwiseAND(F.lit(63)).cast("int")
+
+
+def fineness(events: Column, bits: int) -> Column:
+    """The fineness at which a key of so many events has about CELL a cell."""
+    return F.least(F.ceil(F.log2(F.greatest(events / CELL, F.lit(1.0)))), F.lit(bits)).cast("int")
 
 
-def shift_of(events: Column, bits: int) -> Column:
-    """How far a time offset of `bits` bits is shifted right, so that a key of so many events has about CELL a bin."""
-    finer = F.ceil(F.log2(F.greatest(events / CELL, F.lit(1.0))))
-    return (F.lit(bits) - F.least(finer, F.lit(bits))).cast("int")
+def numbered(counts: DataFrame, span: Span) -> DataFrame:
+    """Numbers of keys (id, c events): id, key. Cells are numbered in slots of keys, and slots one after the other."""
+    inner = Window.partitionBy("slot").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # over SLOTS rows at most
+    own = counts.withColumn("fine", fineness(F.col("c"), span.bits)).withColumn("cells", span.cells(F.col("fine")) + 1).withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(SLOTS)))
+    slots = own.groupBy("slot").agg(F.sum("cells").alias("cells")).select("slot", F.coalesce(F.sum("cells").over(outer), F.lit(0)).alias("before"))
+    own = own.select("slot", "id", "fine", F.coalesce(F.sum("cells").over(inner), F.lit(0)).alias("first"))
+    return own.join(slots, "slot").select("id", ((F.col("before") + F.col("first")) * 64 + F.col("fine")).alias("key"))
 
 
 def wide(sums: list[str], folds: int) -> list[Column]:
@@ -57,98 +100,114 @@ def summed(sums: list[str]) -> list[Column]:
     return [F.sum(c).alias(c) for c in sums]
 
 
-def grid(sizes: DataFrame, bits: int) -> DataFrame:
-    """Every bin of every key, in groups of about the square root of their number: key, shift, group, bin."""
-    half = ((F.lit(bits) - F.col("shift") + 1) / 2).cast("int")
-    top = F.call_function("shiftright", F.lit((1 << bits) - 1).cast("long"), F.col("shift"))
-    groups = sizes.select("key", "shift", half.alias("half"), top.alias("top"), F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("shiftright", top, half))).alias("group"))
-    first = F.expr("shiftleft(`group`, half)")
-    return groups.repartition("key", "group").select("key", "shift", "group", F.explode(F.sequence(first, F.least(first + F.expr("shiftleft(1L, half)") - 1, F.col("top")))).alias("bin"))
+def bin_of(key: Column, cell: Column) -> Column:
+    """The first cell of a cell's bin."""
+    first = first_of(key)
+    return first + F.call_function("shiftleft", F.call_function("shiftright", cell - first, F.lit(BIN)), F.lit(BIN))
 
 
-def cell_of(key: Column, bin: Column) -> Column:
-    """What cells are sorted by first; key and bin decide where it is equal."""
-    return F.xxhash64(key, bin)
+def grid(keys: DataFrame, span: Span) -> DataFrame:
+    """Every bin of every key that has several, in groups of about the square root of their number: key, group, number in
+    the key, bin."""
+    fine, top = fine_of(F.col("key")), F.call_function("shiftright", span.cells(fine_of(F.col("key"))), F.lit(BIN))
+    own = keys.where(fine > BIN).select("key", top.alias("top"), ((fine - BIN + 1) / 2).cast("int").alias("half"))
+    groups = own.select("key", "top", "half", F.explode(F.expr("sequence(0L, shiftright(top, half))")).alias("group"))
+    first = F.expr("shiftleft(`group`, half)")
+    bins = groups.repartition("key", "group").select("key", "group", F.explode(F.sequence(first, F.least(first + F.expr("shiftleft(1L, half)") - 1, F.col("top")))).alias("number"))
+    return bins.withColumn("bin", first_of(F.col("key")) + F.call_function("shiftleft", F.col("number"), F.lit(BIN)))
 
 
-def steps(events: DataFrame, sizes: DataFrame, sums: list[str], lo: int, bits: int, gap: int = 0, folds: int = FOLDS) -> DataFrame:
-    """The validity table of events (key, shift, at, fold, heavy and sums): key, bin, after, until, and each sum by fold.
+def steps(events: DataFrame, keys: DataFrame, sums: list[str], span: Span, gap: int = 0, folds: int = FOLDS) -> DataFrame:
+    """The validity table of events (key, at, fold, heavy and sums): key, cell, after, until, and each sum by fold.
 
     heavy: events of which very many may share a key and a moment.
-    sizes: key, shift of every key. A step holds for times over `after` up to `until`. Times, with the gap added,
-    lie in lo .. lo + 2^bits.
+    keys: the key of every key. A step holds for times over `after` up to `until`.
     """
-    at, each = F.col("at") + F.lit(gap), [f"{c}{f}" for c in sums for f in range(folds)]
-    many = events.where("heavy").groupBy("key", "shift", at.alias("after"), "fold").agg(*summed(sums))
-    own = events.where("not heavy").select("key", "shift", at.alias("after"), "fold", *sums).unionByName(many).withColumn("bin", bin_of(F.col("after"), lo, F.col("shift")))
+    each = [f"{c}{f}" for c in sums for f in range(folds)]
+    events = events.withColumn("after", F.col("at") + F.lit(gap)).withColumn("bin", bin_of(F.col("key"), span.cell(F.col("key"), F.col("after"))))
+    many = events.where("heavy").groupBy("bin", "key", "after", "fold").agg(*summed(sums))
+    own = events.where("not heavy").select("bin", "key", "after", "fold", *sums).unionByName(many)
     # what came before each bin: sums over the bins of its group and over the groups before that
-    made = events.where(F.col("shift") < bits).groupBy("key", bin_of(at, lo, F.col("shift")).alias("bin"), "fold").agg(*summed(sums))
-    made = made.groupBy("key", "bin").agg(*wide(sums, folds))
-    made = grid(sizes.where(F.col("shift") < bits), bits).join(made, ["key", "bin"], "left").na.fill(0, each)
+    made = events.where(fine_of(F.col("key")) > BIN).groupBy("bin").agg(*wide(sums, folds))
+    made = grid(keys, span).join(made, "bin", "left").na.fill(0, each)
     inner = Window.partitionBy("key", "group").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy("key").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
     tops = made.groupBy("key", "group").agg(*summed(each))
     tops = tops.select("key", "group", *[F.coalesce(F.sum(c).over(outer), F.lit(0)).alias(f"{c}_before") for c in each])
-    made = made.select("key", "shift", "group", "bin", *[F.coalesce(F.sum(c).over(inner), F.lit(0)).alias(c) for c in each])
-    start = F.lit(lo - 1) + F.expr("shiftleft(bin, shift)")
-    rows = F.explode(F.array(*[F.struct(F.lit(f).alias("fold"), *[(F.col(f"{c}{f}") + F.col(f"{c}{f}_before")).alias(c) for c in sums]) for f in range(folds)]))
-    before = made.join(tops, ["key", "group"]).select("key", "shift", "bin", start.alias("after"), rows.alias("row")).select("key", "shift", "bin", "after", "row.*")
-    zero = F.lit(0).cast("long")
-    alone = sizes.where(F.col("shift") >= bits).select("key", "shift", zero.alias("bin"), F.lit(lo - 1).alias("after"), F.lit(0).alias("fold"), *[zero.alias(c) for c in sums])
-    cells = own.unionByName(before).unionByName(alone).withColumn("cell", cell_of(F.col("key"), F.col("bin")))
-    cells = cells.select("cell", "key", "bin", "after", "shift", "fold", *sums).repartition("cell", "key", "bin").sortWithinPartitions("cell", "key", "bin", "after")
-    schema = "key long, bin long, after long, until long, " + ", ".join(f"{c} long" for c in each)
-    return cells.mapInArrow(C.lean(lambda batches: accumulated(batches, sums, lo, folds)), schema)
-
-
-def accumulated(batches: Iterator[pa.RecordBatch], sums_of: list[str], lo: int, folds: int) -> Iterator[pa.RecordBatch]:
-    """Rows of cells in order of time, as steps: running sums of each fold, and how long they hold. A cell may lie in many
-    batches: what goes from one to the next is its last row and its sums."""
-    names = ["key", "bin", "after", "until", *[f"{c}{f}" for c in sums_of for f in range(folds)]]
-    kept: tuple | None = None  # the last row: cell, key, bin, after, shift; its sums
-
-    def batch(rows: np.ndarray, until: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-        ok = rows[3] < until
-        return pa.RecordBatch.from_arrays([pa.array(c[ok]) for c in (*rows[1:4], until, *sums)], names=names)
-
-    end = lambda r: lo - 1 + ((r[2] + 1) << r[4])
+    made = made.select("key", "group", "number", "bin", *[F.coalesce(F.sum(c).over(inner), F.lit(0)).alias(c) for c in each])
+    start = F.lit(span.lo) + F.call_function("shiftleft", F.col("number"), F.lit(span.bits + BIN) - fine_of(F.col("key")))
+    # these hold from the bin's first moment on; their folds are numbered after the events'
+    rows = F.explode(F.array(*[F.struct(F.lit(folds + f).alias("fold"), *[(F.col(f"{c}{f}") + F.col(f"{c}{f}_before")).alias(c) for c in sums]) for f in range(folds)]))
+    before = made.where("number > 0").join(tops, ["key", "group"]).select("bin", "key", (start - 1).alias("after"), rows.alias("row")).select("bin", "key", "after", "row.*")
+    rows = own.unionByName(before).repartition("bin").sortWithinPartitions("bin", "after").select("key", "after", "fold", *sums)
+    schema = "key long, cell long, after long, until long, " + ", ".join(f"{c} long" for c in each)
+    return rows.mapInArrow(C.lean(lambda batches: accumulated(batches, sums, span, folds)), schema)
+
+
+def accumulated(batches: Iterator[pa.RecordBatch], sums_of: list[str], span: Span, folds: int) -> Iterator[pa.RecordBatch]:
+    """Rows of bins in order of time, as steps: running sums of each fold, how long they hold, and the cells in which they
+    do. A bin may lie in many batches: what goes from one to the next is its last row and its sums."""
+    names = ["key", "cell", "after", "until", *[f"{c}{f}" for c in sums_of for f in range(folds)]]
+    kept: tuple | None = None  # the last row: key, cell, after; its sums
+    last = span.lo + span.length
+
+    def bins(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last cells of the rows' bins."""
+        first = rows[0] >> 6
+        start = first + ((rows[1] - first) >> BIN << BIN)
+        return start, np.minimum(start + (1 << BIN) - 1, first + (np.int64(span.length) >> (span.bits - (rows[0] & 63))))
+
+    def batch(rows: np.ndarray, until: np.ndarray, to: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        ok = np.flatnonzero(rows[2] < until)
+        times = to[ok] - rows[1, ok] + 1
+        at = np.repeat(ok, times)
+        cell = rows[1, at] + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (rows[0, at], cell, rows[2, at], until[at], *sums[:, at])], names=names)
+
     for b in batches:
         if not b.num_rows:
             continue
-        rows = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)])
-        fold, m = b.column(5).to_numpy(), b.num_rows
+        key, after, fold = (b.column(k).to_numpy().astype(np.int64) for k in range(3))
+        m, before = b.num_rows, fold >= folds
+        rows = np.stack([key, (key >> 6) + ((after + before - span.lo) >> (span.bits - (key & 63))), after])
         own = np.zeros((len(sums_of) * folds, m), np.int64)
         for k in range(len(sums_of)):
-            own[k * folds + fold, np.arange(m)] = b.column(6 + k).to_numpy()
+            own[k * folds + fold - folds * before, np.arange(m)] = b.column(3 + k).to_numpy()
         if kept is not None:
             rows, own = np.concatenate([kept[0], rows], axis=1), np.concatenate([kept[1], own], axis=1)
-        new = (rows[1:3, 1:] != rows[1:3, :-1]).any(axis=0)
+        start, end = bins(rows)
+        new = start[1:] != start[:-1]
         sums = np.cumsum(own, axis=1)
         first = np.r_[0, np.flatnonzero(new) + 1]
         base = np.zeros((len(own), len(first)), np.int64)
         base[:, 1:] = sums[:, first[1:] - 1]
         sums -= np.repeat(base, np.diff(np.r_[first, rows.shape[1]]), axis=1)
-        until = np.where(new, end(rows[:, :-1]), rows[3, 1:])
-        yield batch(rows[:, :-1], until, sums[:, :-1])
+        yield batch(rows[:, :-1], np.where(new, last, rows[2, 1:]), np.where(new, end[:-1], rows[1, 1:]), sums[:, :-1])
         kept = rows[:, -1:], sums[:, -1:]
     if kept is not None:
-        yield batch(kept[0], end(kept[0]), kept[1])
+        yield batch(kept[0], np.array([last]), bins(kept[0])[1], kept[1])
 
 
-def probed(df: DataFrame, table: DataFrame, level: str, sums: list[str], lo: int, folds: int = FOLDS) -> DataFrame:
-    """df (with <level>_key, <level>_shift, at, fold) and <level>_n, <level>_s: counts that hold at its time in folds not
-    its own. The level's key and shift go."""
+def probed(df: DataFrame, table: DataFrame, level: str, sums: list[str], span: Span, folds: int = FOLDS) -> DataFrame:
+    """df (with <level>_key, at, fold), its key replaced by <level>_<sum>: what holds at its time in folds not its own."""
     own = lambda c: reduce(lambda x, f: x + F.when(F.col("fold") != f, F.col(f"{c}{f}")).otherwise(0), range(folds), F.lit(0).cast("long"))
-    t = table.withColumn("step_cell", cell_of(F.col("key"), F.col("bin"))).withColumnRenamed("bin", "step_bin")
-    p = df.withColumn("bin", bin_of(F.col("at"), lo, F.col(f"{level}_shift")))
-    p = p.withColumn("cell", cell_of(F.col(f"{level}_key"), F.col("bin")))
-    # the cell alone is the join's key, so that sorting takes one number; key and bin are compared where cells meet
-    same = lambda x, y: (F.col(x) <= F.col(y)) & (F.col(x) >= F.col(y))
-    on = (F.col("cell") == F.col("step_cell")) & same(f"{level}_key", "key") & same("bin", "step_bin") & (F.col("at") > F.col("after")) & (F.col("at") <= F.col("until"))
-    kept = [c for c in df.columns if c not in (f"{level}_key", f"{level}_shift")]
-    got = p.join(t, on, "left").select(*kept, *[F.coalesce(own(c), F.lit(0).cast("long")).alias(f"{level}_{c}") for c in sums])
-    both = F.col(f"{level}_{sums[0]}")
-    return got if len(sums) > 1 else got.select(*kept, F.call_function("div", both, F.lit(ONE)).alias(f"{level}_n"), (both % ONE).alias(f"{level}_s"))
+    t = table.withColumnRenamed("cell", "step_cell").drop("key")
+    p = df.withColumn("cell", span.cell(F.col(f"{level}_key"), F.col("at")))
+    on = (F.col("cell") == F.col("step_cell")) & (F.col("at") > F.col("after")) & (F.col("at") <= F.col("until"))
+    kept = [c for c in df.columns if c != f"{level}_key"]
+    return p.join(t, on, "left").select(*kept, *[F.coalesce(own(c), F.lit(0).cast("long")).alias(f"{level}_{c}") for c in sums])
+
+
+def packed(sums: list[str]) -> list[Column]:
+    """Columns n and s as sums has them."""
+    return [F.col(c) for c in sums] if len(sums) > 1 else [(F.col("n") * F.lit(ONE) + F.col("s")).alias(sums[0])]
+
+
+def part(both: str, c: str, sums: list[str]) -> Column:
+    """n or s of the columns <both>_<sum>."""
+    if len(sums) > 1:
+        return F.col(f"{both}_{c}")
+    return F.call_function("div", F.col(f"{both}_{sums[0]}"), F.lit(ONE)) if c == "n" else F.col(f"{both}_{sums[0]}") % ONE
 
 
 def rate(level: str, prior: Column) -> Column:
@@ -156,22 +215,19 @@ def rate(level: str, prior: Column) -> Column:
     return F.when(n < 1, prior).otherwise(F.call_function("div", F.lit(SCALE).cast("long") * s + F.lit(WEIGHT).cast("long") * prior, n + F.lit(WEIGHT).cast("long")))
 
 
-def sized(rows: DataFrame, dim: DataFrame, key: str, parent: str, at: str, above: str, bits: int) -> DataFrame:
-    """A row for each key of rows: its count, its parent, and the keys and shifts of both: columns <at>_key and so on.
+def keyed(rows: DataFrame, dim: DataFrame, key: str, parent: str, at: str, above: str, span: Span) -> DataFrame:
+    """For each key of rows its number and its parent's: key, <at>_key, <above>_key.
 
     A parent is named by the least id that has it; ids without one share a parent. A repeated id has its least parent.
     """
     own = rows.groupBy(F.col(key).alias("id")).agg(F.count("*").alias("c"))
     up = dim.groupBy(F.col(key).cast("long").alias("id")).agg(F.min(parent).alias("up")).where("id is not null")
-    own = own.join(up, "id", "left")
-    tops = own.groupBy("up").agg(shift_of(F.sum("c"), bits).alias(f"{above}_shift"), F.min("id").alias(f"{above}_key")).withColumnRenamed("up", "top")
-    return own.join(tops, F.col("up").eqNullSafe(F.col("top"))).select(F.col("id").alias(key), F.col("id").alias(f"{at}_key"), shift_of(F.col("c"), bits).alias(f"{at}_shift"), f"{above}_key", f"{above}_shift")
-
-
-def events_of(df: DataFrame, level: str, sums: list[str]) -> DataFrame:
-    """The level's events: key, shift, at, fold, heavy and sums."""
-    both = (F.col("n") * F.lit(ONE) + F.col("s")).alias(sums[0])
-    return df.select(F.col(f"{level}_key").alias("key"), F.col(f"{level}_shift").alias("shift"), "at", "fold", "heavy", *(sums if len(sums) > 1 else [both]))
+    own = C.written(own.join(up, "id", "left"), f"encode-ids-{at}")
+    tops = own.groupBy("up").agg(F.sum("c").alias("c"), F.min("id").alias("id"))
+    tops = tops.join(numbered(tops.select("id", "c"), span), "id").select(F.col("up").alias("top"), F.col("key").alias(f"{above}_key"))
+    ids = numbered(own.select("id", "c"), span).withColumnRenamed("key", f"{at}_key")
+    own = own.join(ids, "id").join(tops, F.col("up").eqNullSafe(F.col("top")))
+    return C.written(own.select(F.col("id").alias(key), f"{at}_key", f"{above}_key"), f"encode-{at}")
 
 
 def encoded(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: DataFrame, clients: DataFrame, gap: int = 0, folds: int = FOLDS) -> DataFrame:
@@ -185,47 +241,54 @@ def encoded(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: DataF
     sold = sales.where("sale_id is not null and sold_at is not null").select("sale_id", own("client_id"), F.unix_micros(F.col("sold_at").cast("timestamp")).alias("at"), fold.alias("fold"))
     pairs = C.written(groups.join(sold, "sale_id"), "encode-pairs")
     C.free(spark)
-    lo, hi, count = pairs.agg(F.min("at"), F.max("at"), F.sum("n")).first()
+    # what asks for no item or vendor is taken from the sales
+    per_sale = C.written(pairs.groupBy("sale_id", "client_id", "at", "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("groups")), "encode-per-sale")
+    lo, hi, lines_of, sales_of = per_sale.agg(F.min("at"), F.max("at"), F.sum("n"), F.count("*")).first()
     if lo is None:
-        lo = hi = count = 0
-    sums = ["n", "s"] if count >= MANY else ["ns"]
-    bits = max(1, int(hi - lo + gap).bit_length())
-
-    per_sale = pairs.groupBy("sale_id", "client_id", "at", "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+        lo = hi = lines_of = 0
+    sums = ["n", "s"] if lines_of >= MANY else ["ns"]
+    span = Span(lo, hi - lo + gap)
     # written, so that Spark knows its size and broadcasts it only where it is small
-    busy = C.written(pairs.groupBy("at").agg(F.count("*").alias("c")).where(F.col("c") > HEAVY).select("at"), "encode-busy")
-    client = C.written(sized(pairs, clients, "client_id", "segment", "client", "segment", bits), "encode-client")
-    per_sale = per_sale.join(client, "client_id")
-    whole = C.written(pairs.agg(F.count("*").alias("c")).select(F.lit(0).cast("long").alias("all_key"), shift_of(F.col("c"), bits).alias("all_shift")), "encode-all")
-    per_sale = C.written(marked(per_sale, busy).crossJoin(F.broadcast(whole)), "encode-sales")
-    item, vendor = (C.written(sized(pairs, d, f"{x}_id", p, x, up, bits), f"encode-{x}") for d, x, p, up in ((items, "item", "kind", "kind"), (vendors, "vendor", "nation_id", "nation")))
-    rows = C.written(marked(pairs.drop("client_id"), busy).join(item, "item_id").join(vendor, "vendor_id"), "encode-rows")
-
+    busy = C.written(per_sale.groupBy("at").agg(F.sum("groups").alias("c")).where(F.col("c") > HEAVY).select("at"), "encode-busy")
+    whole = spark.range(1).select(fineness(F.lit(sales_of), span.bits).cast("long").alias("all_key"))  # one key, whose first cell is 0
+
+    client = keyed(per_sale, clients, "client_id", "segment", "client", "segment", span)
+    item, vendor = (keyed(pairs, d, f"{x}_id", p, x, up, span) for d, x, p, up in ((items, "item", "kind", "kind"), (vendors, "vendor", "nation_id", "nation")))
+    per_sale = marked(per_sale, busy).join(client, "client_id").crossJoin(F.broadcast(whole))
+    per_sale = C.written(per_sale.select("sale_id", "client_id", "at", "fold", "heavy", "client_key", "segment_key", "all_key", *packed(sums)), "encode-sales")
+    rows = marked(pairs, busy).join(item, "item_id").join(vendor, "vendor_id")
+    rows = C.written(rows.select("sale_id", "item_id", "vendor_id", "client_id", "at", "fold", "heavy", "item_key", "kind_key", "vendor_key", "nation_key", *packed(sums)), "encode-rows")
     C.free(spark)
+
     low, high = {"item": item, "kind": item, "vendor": vendor, "nation": vendor}, {"client": client, "segment": client, "all": whole}
     tables = {}
     # a table a level, so that probes read their own level's steps only; its keys are those of the small tables
     for df, levels in ((rows, low), (per_sale, high)):
         for x, ids in levels.items():
-            sizes = ids.groupBy(F.col(f"{x}_key").alias("key")).agg(F.min(f"{x}_shift").alias("shift"))
-            tables[x] = C.written(steps(events_of(df, x, sums), sizes, sums, lo, bits, gap, folds), f"encode-steps-{x}")
+            events = df.select(F.col(f"{x}_key").alias("key"), "at", "fold", "heavy", *sums)
+            tables[x] = C.written(steps(events, ids.select(F.col(f"{x}_key").alias("key")).distinct(), sums, span, gap, folds), f"encode-steps-{x}", "snappy", False)
             C.free(spark)  # what one step has shuffled is let go before the next
-    rows, per_sale = rows.drop("heavy"), per_sale.drop("heavy")
+    rows, per_sale = rows.drop("heavy"), per_sale.drop("heavy", *sums)
     for x in high:
-        per_sale = probed(per_sale, tables[x], x, sums, lo, folds)
-    top = C.written(per_sale.select("sale_id", "at", "client_id", *[f"{x}_{c}" for x in high for c in ("n", "s")]), "encode-top")
+        per_sale = probed(per_sale, tables[x], x, sums, span, folds)
+    top = C.written(per_sale.drop("fold"), "encode-top")
     C.free(spark)
     for x in list(low)[:2]:
-        rows = probed(rows, tables[x], x, sums, lo, folds)
+        rows = probed(rows, tables[x], x, sums, span, folds)
     rows = C.written(rows, "encode-half")
     C.free(spark)
     for x in list(low)[2:]:
-        rows = probed(rows, tables[x], x, sums, lo, folds)
-    out = rows.join(top, ["sale_id", "at"])
+        rows = probed(rows, tables[x], x, sums, span, folds)
+    rows = rows.withColumnsRenamed({c: f"own_{c}" for c in sums})
+    # the sale alone is the join's key, so that sorting takes one number; time and client are compared where sales meet
+    same = lambda c: (F.col(c) <= F.col(f"top_{c}")) & (F.col(c) >= F.col(f"top_{c}"))
+    top = top.withColumnsRenamed({c: f"top_{c}" for c in ("sale_id", "at", "client_id")})
+    out = rows.join(top, (F.col("sale_id") == F.col("top_sale_id")) & same("at") & same("client_id"))
+    out = out.select("sale_id", "item_id", "vendor_id", *[part(x, c, sums).alias(f"{x}_{c}") for x in ("own", *low, *high) for c in ("n", "s")])
     out = out.withColumn("all_rate", rate("all", F.lit(PRIOR).cast("long")))
     out = out.withColumns({f"{x}_rate": rate(x, F.col("all_rate")) for x in ("kind", "nation", "segment")})
     out = out.withColumns({f"{x}_rate": rate(x, F.col(f"{up}_rate")) for x, up in (("item", "kind"), ("vendor", "nation"), ("client", "segment"))})
-    return out.select("sale_id", "item_id", "vendor_id", F.col("n").alias("n_lines"), F.col("s").alias("n_returned"), *[f"{x}_{c}" for x in ("item", "vendor", "client") for c in ("n", "rate")])
+    return out.select("sale_id", "item_id", "vendor_id", F.col("own_n").alias("n_lines"), F.col("own_s").alias("n_returned"), *[f"{x}_{c}" for x in ("item", "vendor", "client") for c in ("n", "rate")])
 
 
 def marked(df: DataFrame, busy: DataFrame) -> DataFrame:
@@ -234,7 +297,7 @@ def marked(df: DataFrame, busy: DataFrame) -> DataFrame:
 
 
 def op12_target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    C.ship(spark)
+    session.ship(spark)  # batches of numbers may be as long as Spark has them
     return encoded(*(C.read(spark, sf_dir, t) for t in ("sale_lines", "sales", "items", "vendors", "clients")))
 
 

@@ -296,3 +296,25 @@ def test_target_encoding_probes_a_level_in_its_own_steps(spark, many, monkeypatc
     made = {k: t for k, t in tables.items() if k.startswith("encode-steps")}
     assert sorted(made) == [f"encode-steps-{x}" for x in ("all", "client", "item", "kind", "nation", "segment", "vendor")]
     assert all(len(t.columns) == 4 + (5 if many else 10) for t in made.values())
+
+
+def test_target_encoding_of_a_sale_with_two_clients_at_once(spark):
+    import datetime
+
+    day = datetime.datetime(2024, 1, 1)
+    got = target_encoding.encoded(*shop(spark, [(1, 2, 3, "returned")], [(1, 4, day), (1, 5, day)])).collect()
+    assert [tuple(x) for x in got] == [(1, 2, 3, 1, 1, 0, 500000, 0, 500000, 0, 500000)] * 2
+
+
+def test_target_encoding_compares_a_probe_with_few_steps(spark, monkeypatch):
+    """Probes meet the steps of one cell: these are few, though prefix sums are made for coarser bins."""
+    import datetime
+
+    tables, written, n = {}, common.written, 3000
+    day = lambda i: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=i)
+    monkeypatch.setattr(common, "written", lambda df, name, *a: tables.setdefault(name, written(df, name, *a)))
+    target_encoding.encoded(*shop(spark, [(i, 1, 1, "returned" if i % 3 else None) for i in range(n)], [(i, 1, day(i)) for i in range(n)]))
+    for x in ("item", "kind", "all"):
+        t = tables[f"encode-steps-{x}"]
+        sizes = [r["count"] for r in t.groupBy([c for c in t.columns if c in ("key", "bin", "cell")]).count().collect()]
+        assert sum(sizes) < 1.25 * n and max(sizes) <= 34
