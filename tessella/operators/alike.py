@@ -15,6 +15,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import spread
 from .entity import ratio
 
 #: Lengths for which bounds are tabled; beyond them they grow with the length.
@@ -57,11 +58,27 @@ def _least_common(size: Column, q: int, least: float) -> Column:
     return F.when(size < LENGTHS, F.get(F.array(*map(F.lit, table)), size - 1)).otherwise(grown)
 
 
+def _plain(df: DataFrame, owner: str, text: str) -> DataFrame:
+    return df.select(F.col(owner).alias("o"), F.col(text).alias("t")).where("o is not null and t <> ''").distinct()
+
+
+def _scoped(own: DataFrame) -> DataFrame:
+    """own (o, t) with the scope in which texts meet: their owner, or one for all where owners share so many texts that all
+    distinct texts make fewer pairs than the owners' texts do. Owners that share a hash share a scope, which costs pairs alone."""
+    sizes = own.groupBy("o").agg(F.count("*").alias("n")).agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("apart"))
+    once = sizes.crossJoin(own.select("t").distinct().agg(F.count("*").cast("double").alias("n"))).select((F.col("n") * F.col("n") < F.col("apart")).alias("once"))
+    return own.crossJoin(F.broadcast(once)).select("o", "t", F.when(F.col("once"), F.lit(0)).otherwise(F.xxhash64("o")).alias("scope"))
+
+
 def pairs(texts: DataFrame, owner: str, text: str, least: float) -> DataFrame:
     """owner, a, b, forward, back: pairs a < b of different texts of one owner of which a ratio reaches least. forward is the
     ratio of b against a, back that of a against b. Null and empty texts are like nothing; a null owner owns nothing."""
-    out = met(texts, owner, text, least).select(owner, "a", "b", ratio(F.col("b"), F.col("a")).alias("forward"), ratio(F.col("a"), F.col("b")).alias("back"))
-    return out.where((F.col("forward") >= least) | (F.col("back") >= least))
+    own = _scoped(_plain(texts, owner, text))
+    found = spread(met(own, "scope", "t", least), "a", "b").select("scope", "a", "b", ratio(F.col("b"), F.col("a")).alias("forward"), ratio(F.col("a"), F.col("b")).alias("back"))
+    found = found.where((F.col("forward") >= least) | (F.col("back") >= least))
+    # those who own both texts
+    found = found.join(own.select("scope", F.col("t").alias("a"), "o").hint("merge"), ["scope", "a"]).join(own.select("o", F.col("t").alias("b")).hint("merge"), ["o", "b"])
+    return found.select(F.col("o").alias(owner), "a", "b", "forward", "back")
 
 
 def between(texts: DataFrame, others: DataFrame, owner: str, text: str, least: float) -> DataFrame:
@@ -73,10 +90,9 @@ def between(texts: DataFrame, others: DataFrame, owner: str, text: str, least: f
 def met(texts: DataFrame, owner: str, text: str, least: float, others: DataFrame | None = None) -> DataFrame:
     """owner, a, b: the pairs a < b that are measured; with others, the pairs of a text and a different other."""
     q, share = gram_size(least), least / (2 - least)
-    plain = lambda df: df.select(F.col(owner).alias("o"), F.col(text).alias("t")).where("o is not null and t <> ''").distinct()
-    t = plain(texts).withColumn("side", F.lit(0))
+    t = _plain(texts, owner, text).withColumn("side", F.lit(0))
     if others is not None:
-        t = t.unionByName(plain(others).withColumn("side", F.lit(1)))
+        t = t.unionByName(_plain(others, owner, text).withColumn("side", F.lit(1)))
     t = t.withColumn("size", F.char_length("t"))
     places = F.when(F.col("size") >= q, F.transform(F.sequence(F.lit(0), F.col("size") - q), lambda i: F.struct(F.substr("t", i + 1, F.lit(q)).alias("g"), i.alias("p"))))
     same = Window.partitionBy("o", "side", "t", "g")
@@ -115,16 +131,16 @@ def directed(found: DataFrame, owner: str, least: float) -> DataFrame:
     return one("b", "a", "forward").unionByName(one("a", "b", "back")).where(F.col("similarity") >= least)
 
 
-def overlapping(sets: DataFrame, owner: str, tokens: str, least: float) -> DataFrame:
-    """owner, x, y, jaccard: pairs x < y of one owner's distinct token sets (sorted arrays) whose Jaccard similarity reaches
-    least. Sets meet at one of the tokens by which, rarest first, they would have too few others in common."""
-    s = sets.select(F.col(owner).alias("o"), F.col(tokens).alias("s")).where(F.size(tokens) > 0).distinct()
-    one = s.select("o", "s", F.explode("s").alias("w"))
-    seen = one.groupBy("o", "w").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("o", "s").orderBy("n", "w"))
-    size = F.size("s")
-    head = one.join(seen, ["o", "w"]).withColumn("rank", rank).where(F.col("rank") <= size - F.ceil(least * size - 1e-9) + 1).select("o", "w", "s", size.alias("size"))
-    a, b = head.alias("a"), head.alias("b")
-    both = a.join(b, (F.col("a.o") == F.col("b.o")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.s") < F.col("b.s")) & (F.least("a.size", "b.size") >= least * F.greatest("a.size", "b.size") - 1e-9))
-    met = both.select(F.col("a.o").alias(owner), F.col("a.s").alias("x"), F.col("b.s").alias("y")).distinct()
-    return met.withColumn("jaccard", F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))).where(F.col("jaccard") >= least)
+def rare_tokens(sets: DataFrame, owner: str, tokens: str, least: float) -> DataFrame:
+    """owner, tokens, w: of an owner's distinct token sets (sorted arrays) the tokens by which, rarest first, a set would have too
+    few others in common: two sets whose Jaccard similarity reaches least share one of them."""
+    s = sets.select(owner, tokens).where(F.size(tokens) > 0).distinct()
+    one = s.select(owner, tokens, F.explode(tokens).alias("w"))
+    seen = one.groupBy(owner, "w").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy(owner, tokens).orderBy("n", "w"))
+    size = F.size(tokens)
+    return one.join(seen, [owner, "w"]).withColumn("rank", rank).where(F.col("rank") <= size - F.ceil(least * size - 1e-9) + 1).select(owner, tokens, "w")
+
+
+def jaccard(x: str, y: str) -> Column:
+    return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))

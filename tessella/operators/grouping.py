@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
@@ -69,21 +69,22 @@ def first_fit(rows: DataFrame) -> DataFrame:
     own, other = (places.select("owner", F.col("title").alias(t), F.col("location").alias(f"{t}_at"), F.col("node").alias(f"{t}_node")) for t in ("text", "other"))
     fits = (F.col("text_at") == "") | (F.col("other_at") == "") | (F.col("text_at") == F.col("other_at"))
     by_place = _joined(_joined(own, near(TITLE), ["owner", "text"]), other, ["owner", "other"]).where(fits).select("text_node", "other_node")
-    sets = alike.overlapping(texts, "owner", "sig", OVERLAP)
-    sets = sets.select("owner", F.col("x").alias("a_sig"), F.col("y").alias("b_sig")).unionByName(sets.select("owner", F.col("y").alias("a_sig"), F.col("x").alias("b_sig"))).unionByName(texts.select("owner", F.col("sig").alias("a_sig"), F.col("sig").alias("b_sig")).distinct())
-    own, other = (texts.select("owner", F.col("title").alias(t), F.col("sig").alias(f"{s}_sig"), F.col("node").alias(f"{t}_node")) for t, s in (("text", "a"), ("other", "b")))
-    by_text = _joined(_joined(_joined(own, sets, ["owner", "a_sig"]), other, ["owner", "b_sig"]), near(LIKE), ["owner", "text", "other"]).select("text_node", "other_node")
+    # signatures meet at a rare token, but only those of like titles
+    rare = _joined(texts, alike.rare_tokens(texts, "owner", "sig", OVERLAP), ["owner", "sig"])
+    own, other = (rare.select("owner", F.col("title").alias(t), "w", F.col("sig").alias(f"{t}_sig"), F.col("node").alias(f"{t}_node")) for t in ("text", "other"))
+    by_text = _joined(_joined(own, near(LIKE), ["owner", "text"]), other, ["owner", "other", "w"]).where(alike.jaccard("text_sig", "other_sig") >= OVERLAP).select("text_node", "other_node").distinct()
     looks = in_url.select("cls", "node", F.lit(0).alias("rule"))
     for k, (inside, to) in enumerate(((in_place, by_place), (in_text, by_text))):
         looks = looks.unionByName(_joined(inside, to, F.col("node") == F.col("text_node")).select("cls", F.col("other_node").alias("node"), F.lit(k + 1).alias("rule")))
     looks = _written(looks.groupBy("cls", "node").agg(F.min("rule").alias("rule")), "fit-looks")
 
-    steps = _written(cls.select((F.col("cls") * 4).alias("node"), F.col("cls").alias("at"), F.col("cls").alias("held")), "fit-steps")
-    new = steps
-    while new.limit(1).count():
-        after = _written(_falling(steps.unionByName(_round(steps, new, member, belongs, looks))), "fit-steps")
-        new = _written(_joined(after, steps, ["node", "at", "held"], "left_anti"), "fit-new")  # only these have more to hand on
-        steps = after
+    steps = _written(cls.select((F.col("cls") * 4).alias("node"), F.col("cls").alias("at"), F.col("cls").alias("held"), F.lit(True).alias("new")), "fit-steps")
+    more = True
+    while more:  # only new steps have more to hand on
+        counted = Observation()
+        after = _falling(steps, _round(steps.drop("new"), steps.where("new").drop("new"), member, belongs, looks))
+        steps = _written(after.observe(counted, F.count_if("new").alias("n")), "fit-steps")
+        more = counted.get["n"] > 0
     # a class's group from each of its steps on, and the first member of that group which it looks at
     own = steps.where("node % 4 = 0").select((F.col("node") / 4).cast("long").alias("cls"), "at", "held")
     seen = _joined(looks, steps, "node").select("cls", "held", F.col("at").alias("member_at"), "rule")
@@ -97,20 +98,22 @@ def first_fit(rows: DataFrame) -> DataFrame:
     return out.select("seq", F.col("s.held").alias("group_seq"), F.when(F.col("s.held") == F.col("seq"), "").otherwise(reason).alias("reason"))
 
 
-def _falling(steps: DataFrame) -> DataFrame:
-    """Of each node the steps that lower its group, in order of time. A node has few."""
-    least = steps.groupBy("node", "at").agg(F.min("held").alias("held"))
+def _falling(steps: DataFrame, found: DataFrame) -> DataFrame:
+    """Of each node the steps that lower its group, in order of time; new are those of found that are no steps yet. A node has few."""
+    of = lambda df, new: df.select("node", "at", "held", F.lit(new).alias("new"))
+    least = of(steps, False).unionByName(of(found, True)).repartition("node").groupBy("node", "at").agg(F.min(F.struct("held", "new")).alias("s")).select("node", "at", "s.held", "s.new")
     before = F.min("held").over(Window.partitionBy("node").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
-    return least.withColumn("before", before).where("before is null or held < before").select("node", "at", "held")
+    return least.withColumn("before", before).where("before is null or held < before").select("node", "at", "held", "new")
 
 
 def _round(steps: DataFrame, new: DataFrame, member: DataFrame, belongs: DataFrame, looks: DataFrame) -> DataFrame:
-    """Steps that follow from new ones, to the nodes a class belongs to and to the classes that look at a node; and jumps."""
+    """Steps that follow from new ones, to the nodes a class belongs to and on to the classes that look at them; and jumps."""
     classes = lambda df: df.where("node % 4 = 0").select((F.col("node") / 4).cast("long").alias("cls"), "at", "held")
     of_class = classes(steps)
     up = _joined(belongs, classes(new), "cls").select("node", "at", "held")
     sets = of_class.groupBy("cls").agg(F.collect_list(F.struct("at", "held")).alias("own"))
-    asked = _joined(_joined(looks, new, "node").select("cls", "at", "held").distinct(), sets, "cls")
+    told = new.unionByName(_falling(steps, up).where("new").drop("new"))  # of what classes tell a node, few steps lower its group
+    asked = _joined(_joined(looks, told, "node").select("cls", "at", "held").repartition("cls").distinct(), sets, "cls")
     asked = asked.where(~F.exists("own", lambda s: (s["at"] <= F.col("at") + 1) & (s["held"] <= F.col("held")))).select("cls", "at", "held")
     later = _joined(asked, member, (asked["cls"] == member["cls"]) & (member["seq"] > asked["at"])).groupBy(asked["cls"], asked["at"], asked["held"]).agg(F.min("seq").alias("next"))
     down = later.select((F.col("cls") * 4).alias("node"), F.col("next").alias("at"), "held")

@@ -96,3 +96,36 @@ def test_segmentation_memory_is_bounded():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert rows == 6000 and peak < 100_000_000
+
+
+def test_pairs_are_measured_once_and_after_the_bound(spark):
+    """A filter on the ratio stays behind the bound, and texts that owners share are compared once."""
+    from pyspark.sql import functions as F
+
+    from tessella.operators import alike
+
+    texts = ["cold anvil promo", "cold anvil prom", "old brass ring", "old brass rings", "new"]
+    df = spark.createDataFrame([(f"o{i}", t) for i in range(9) for t in texts[i % 3 :]], "o string, t string")
+    out = alike.pairs(df, "o", "t", 0.86)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("RepartitionByExpression") == 1
+    assert plan.index("Repartition") > plan.index("ArrowEvalPython")  # below it
+    assert {r["scope"] for r in alike._scoped(alike._plain(df, "o", "t")).collect()} == {0}
+    apart = df.withColumn("t", F.concat("t", F.lit(" of "), "o"))
+    assert len({r["scope"] for r in alike._scoped(alike._plain(apart, "o", "t")).collect()}) == 9
+    got = sorted((r["o"], r["a"], r["b"]) for r in out.collect())
+    assert got == sorted((f"o{i}", b, a) for i in range(9) for a, b in (texts[:2], texts[3:1:-1]) if {a, b} <= set(texts[i % 3 :]) for a, b in [sorted((a, b), reverse=True)])
+
+
+def test_a_round_goes_to_nodes_and_on_to_classes(spark):
+    from tessella.operators import grouping
+
+    rows = lambda xs, s: spark.createDataFrame(xs, s)
+    # classes 1 and 5 share a URL's node; row 9 of class 5 follows row 1 of class 1 by one round
+    steps = rows([(4, 1, 1), (20, 5, 5)], "node long, at long, held long")
+    member, belongs = rows([(1, 1), (5, 5), (9, 5)], "seq long, cls long"), rows([(1, 5), (5, 5)], "cls long, node long")
+    looks = rows([(1, 5, 0), (5, 5, 0)], "cls long, node long, rule int")
+    out = grouping._round(steps, steps, member, belongs, looks)
+    assert (20, 5, 1) in set(map(tuple, out.collect()))
+    told = {tuple(r) for r in grouping._falling(steps, out).collect()}
+    assert told == {(4, 1, 1, False), (20, 5, 1, True), (5, 1, 1, True)}
