@@ -129,3 +129,20 @@ def test_a_round_goes_to_nodes_and_on_to_classes(spark):
     assert (20, 5, 1) in set(map(tuple, out.collect()))
     told = {tuple(r) for r in grouping._falling(steps, out).collect()}
     assert told == {(4, 1, 1, False), (20, 5, 1, True), (5, 1, 1, True)}
+
+
+def test_suggestions_gather_no_table_on_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(entity, "TYPED", 2)
+    monkeypatch.setattr(entity, "CANDIDATES", 2)
+    monkeypatch.setattr(entity, "TASKS", 3)
+    typed = spark.range(12).selectExpr("id as seq", "concat('name ', id % 9) as name")
+    cand = spark.range(40).selectExpr("id as seq", "id as company_key", "concat('name ', id % 20) as company")
+    out = entity.suggestions(typed, cand, n=3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert f"RoundRobinPartitioning({3 * spark.sparkContext.defaultParallelism})" in plan  # of 5 x 10 blocks
+    got = {(r["seq"], r["rank"]): r["company_key"] for r in out.collect()}
+    core = [f"name {i % 20}" for i in range(40)]
+    for i in range(12):
+        best = sorted((-entity.similarity(f"name {i % 9}", x), j) for j, x in enumerate(core))[:3]
+        assert [got[i, k + 1] for k in range(3)] == [j for _, j in best]
